@@ -86,24 +86,26 @@ def category_encode(df: DataFrame, name: str, mapping: dict[str, int] | None = N
     return category_code(name, mapping)
 
 
+def encoded_column(df: DataFrame, name: str, high_value_threshold: float = C.HIGH_VALUE_PRICE) -> Column:
+    """One model feature as the encoder produces it (numeric double, flags int, codes int)."""
+    if name == "is_high_value":
+        if has_column(df, name):
+            return flag_high_value(df).alias(name)
+        return (to_number("price", 0.0) > F.lit(high_value_threshold)).cast("int").alias(name)
+    if name == "is_weekend":
+        return flag_weekend(df).alias(name)
+    if name in C.CATEGORY_MAPS:
+        return category_encode(df, name).alias(name)
+    if has_column(df, name):
+        return to_number(name, C.DEFAULT_NUMERIC_VALUES.get(name, 0.0)).alias(name)
+    return F.lit(float(C.DEFAULT_NUMERIC_VALUES.get(name, 0.0))).alias(name)
+
+
 def encode_features(df: DataFrame, high_value_threshold: float = C.HIGH_VALUE_PRICE,
                     keep: list[str] | None = None) -> DataFrame:
     """The 19 model features in fixed order (numeric as double, codes as int)."""
     cols = [F.col(k) for k in (keep or [])]
-    for name in C.NUMERIC_FEATURES:
-        if name == "is_high_value":
-            if has_column(df, name):
-                cols.append(flag_high_value(df).alias(name))
-            else:
-                cols.append((to_number("price", 0.0) > F.lit(high_value_threshold)).cast("int").alias(name))
-        elif name == "is_weekend":
-            cols.append(flag_weekend(df).alias(name))
-        elif has_column(df, name):
-            cols.append(to_number(name, C.DEFAULT_NUMERIC_VALUES[name]).alias(name))
-        else:
-            cols.append(F.lit(float(C.DEFAULT_NUMERIC_VALUES[name])).alias(name))
-    for name in C.CATEGORICAL_FEATURES:
-        cols.append(category_encode(df, name).alias(name))
+    cols += [encoded_column(df, n, high_value_threshold) for n in C.MODEL_FEATURES]
     return df.select(*cols)
 
 
@@ -167,7 +169,8 @@ def scorecard(terms=None, intercept: float | None = None) -> Column:
     for expr, w in terms:
         z = z + F.lit(w) * F.coalesce(F.expr(expr).cast("double"), F.lit(0.0))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))
+    # quantised to 1e-10 so score ties do not hinge on the last bit of exp()
+    return round_half_up(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)), 10)
 
 
 def linear_score(price="price") -> Column:

@@ -47,12 +47,21 @@ def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PS
     implicit.  ``method="exact"`` interpolates like ``quantile_cont``;
     ``method="approx"`` uses ``percentile_approx`` (bounded memory sketch).
     """
-    keys = _keys(keys)
     qs = [i / buckets for i in range(1, buckets)]
+    return quantiles(df, value_col, qs, keys, method, accuracy, out_col="edges")
+
+
+def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method: str = "exact",
+              accuracy: int = 100000, out_col: str = "quantiles") -> DataFrame:
+    """Linear-interpolated quantiles ``qs`` of ``value_col`` per key (NULL/NaN dropped).
+
+    Returns ``keys + [out_col array<double>, n long]``.
+    """
+    keys = _keys(keys)
     clean = df.where(valid_number(value_col)).select(*keys, F.col(value_col).cast("double").alias("_x"))
     if method == "approx":
         return clean.groupBy(*keys).agg(
-            F.percentile_approx("_x", F.array(*[F.lit(q) for q in qs]), accuracy).alias("edges"),
+            F.percentile_approx("_x", F.array(*[F.lit(q) for q in qs]), accuracy).alias(out_col),
             F.count(F.lit(1)).alias("n"))
     # 1. counts per distinct value (partial aggregation before the shuffle)
     counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_c"))
@@ -83,7 +92,7 @@ def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PS
         "edge", F.when(F.col("d") == 0, F.col("lo"))
                  .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("d")))
     return per_q.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda s: s["edge"]).alias("edges"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda s: s["edge"]).alias(out_col),
         F.max("_n").cast("long").alias("n"))
 
 

@@ -5,8 +5,9 @@ key that holds a third of all rows) moves the whole series into one task.
 The two helpers here keep the work spread over all partitions:
 
 * ``prefix_sum`` — range-partition the rows by (keys, order), take running
-  sums inside every partition (vectorised pandas over Arrow batches), add
-  the totals of earlier partitions.  The offsets table has at most one row
+  sums inside every partition (vectorised pandas over Arrow batches),
+  checkpoint that result once (range bounds are sampled per evaluation, so
+  both uses must read the same copy), add the totals of earlier partitions.  The offsets table has at most one row
   per partition boundary, so broadcasting it is bounded by the partition
   count, not by the data.
 * ``halo_window`` — cut a dense sequence into fixed-size chunks, copy the
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.session import cut_lineage
+
 
 def _default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -81,11 +84,14 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 out[c] = cum[v].to_numpy()
             yield out
 
-    local = ranged.mapInPandas(local_running, out_schema)
+    # Materialise the locally summed rows once (reliable checkpoint in the shared
+    # folder): range bounds are sampled per evaluation, so the partition totals
+    # must come from the very same partitioning as the local sums.
+    local = cut_lineage(ranged.mapInPandas(local_running, out_schema))
 
     # partition totals; offsets only for rows whose key started in an earlier partition
     agg = F.max if is_max else F.sum
-    totals = ranged.groupBy("_pid", *keys).agg(*[agg(F.col(v).cast("double")).alias(v + "_tot")
+    totals = local.groupBy("_pid", *keys).agg(*[agg(F.col(v).cast("double")).alias(v + "_tot")
                                                  for v in value_cols])
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -50,3 +50,21 @@ EVT = f"""evt AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+STX = f"""stx AS (
+  SELECT *, CAST(price > {C.HIGH_VALUE_PRICE} AS INTEGER) AS is_high_value,
+         CAST((price > 180.0 AND merchant_risk_score > 0.25) OR (prior_chargebacks >= 1 AND discount_pct > 0.20)
+              AS INTEGER) AS is_fraud
+  FROM (SELECT event_id AS step, ts AS event_time, user_id, k AS product_id, value AS price, event_type,
+          {sql_pick('user_id', list(C.CATEGORY_MAPS['category']))} AS category,
+          {sql_pick('event_id', list(C.CATEGORY_MAPS['device_type']))} AS device_type,
+          {sql_pick('user_id + 1', list(C.CATEGORY_MAPS['channel']))} AS channel,
+          upper({sql_pick('user_id', list(C.CATEGORY_MAPS['country']))}) AS country,
+          CAST(k AS DOUBLE) * 10.0 AS session_duration, (user_id * 37) % 3650 AS account_age_days,
+          user_id % 121 AS prior_orders, CAST(event_id % 7 = 0 AS BIGINT) AS prior_chargebacks,
+          CAST(k % 50 AS DOUBLE) / 100.0 AS discount_pct,
+          {sql_pick('k', list(C.CATEGORY_MAPS['shipping_speed']))} AS shipping_speed,
+          hour(ts) AS hour_of_day, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,
+          k % 19 AS cart_size, CAST(user_id % 45 AS DOUBLE) / 100.0 AS merchant_risk_score,
+          ts >= TIMESTAMP '{EVENTS_CURRENT_FROM}' AS is_current
+        FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))"""

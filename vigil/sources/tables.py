@@ -129,3 +129,38 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props"),
         (F.col("ts") >= F.lit(EVENTS_CURRENT_FROM).cast("timestamp")).alias("is_current"),
     )
+
+
+def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` bound to the full transaction model, one row per event.
+
+    ``step`` = event_id (dense); ``k`` is the number inside ``props``; the
+    other fields are picked from event and user ids so every row is complete.
+    """
+    ev = load(spark, sf_dir, "events")
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("long")
+    hour, weekend = time_features("ts")
+    base = ev.select(
+        F.col("event_id").alias("step"),
+        F.col("ts").alias("event_time"),
+        F.col("user_id"),
+        k.alias("product_id"),
+        F.col("value").alias("price"),
+        F.col("event_type"),
+        _pick("user_id", list(C.CATEGORY_MAPS["category"])).alias("category"),
+        _pick("event_id", list(C.CATEGORY_MAPS["device_type"])).alias("device_type"),
+        _pick(F.col("user_id") + F.lit(1), list(C.CATEGORY_MAPS["channel"])).alias("channel"),
+        F.upper(_pick("user_id", list(C.CATEGORY_MAPS["country"]))).alias("country"),
+        (k * F.lit(10.0)).alias("session_duration"),
+        ((F.col("user_id") * F.lit(37)) % F.lit(3650)).alias("account_age_days"),
+        (F.col("user_id") % F.lit(121)).alias("prior_orders"),
+        ((F.col("event_id") % F.lit(7)) == 0).cast("long").alias("prior_chargebacks"),
+        ((k % F.lit(50)) / F.lit(100.0)).alias("discount_pct"),
+        _pick(k, list(C.CATEGORY_MAPS["shipping_speed"])).alias("shipping_speed"),
+        hour, weekend,
+        (k % F.lit(19)).alias("cart_size"),
+        ((F.col("user_id") % F.lit(45)) / F.lit(100.0)).alias("merchant_risk_score"),
+        (F.col("ts") >= F.lit(EVENTS_CURRENT_FROM).cast("timestamp")).alias("is_current"),
+    )
+    return base.withColumn("is_high_value", (F.col("price") > F.lit(C.HIGH_VALUE_PRICE)).cast("int")) \
+               .withColumn("is_fraud", rule_label())
