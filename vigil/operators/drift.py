@@ -96,11 +96,16 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
         F.max("_n").cast("long").alias("n"))
 
 
-def bin_of(x, edges) -> Column:
-    """Half-open bin index: number of inner edges <= x (ties in edges give empty bins)."""
+def bin_of(x, edges, n_inner: int = C.PSI_BUCKETS - 1) -> Column:
+    """Half-open bin index: number of inner edges <= x (ties in edges give empty bins).
+
+    Written as ``n_inner`` comparisons (no lambda): stays in generated code and
+    accepts edges that come from a scalar subquery.
+    """
     xc = F.col(x) if isinstance(x, str) else x
     ec = F.col(edges) if isinstance(edges, str) else edges
-    return F.size(F.filter(ec, lambda e: xc >= e))
+    hits = [F.when(xc >= F.element_at(ec, j), F.lit(1)).otherwise(F.lit(0)) for j in range(1, n_inner + 1)]
+    return sum(hits[1:], hits[0])
 
 
 def _attach_edges(df: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from vigil import config as C
 from vigil.operators.drift import bin_of, quantile_edges, to_long, valid_number
 from vigil.operators.metrics import f1_expr, safe_div
 from vigil.operators.sequence import halo_window, prefix_sum
+from vigil.session import cut_lineage
 
 
 def _keys(keys) -> list[str]:
@@ -118,7 +119,8 @@ def baseline_edges(baseline: DataFrame, features: list[str], buckets: int = C.PS
     counts = binned.groupBy("feature").agg(*[F.count_if(F.col("bin") == b).alias(f"c{b}") for b in range(buckets)])
     total = sum((F.col(f"c{b}") for b in range(buckets)), F.lit(0))
     shares = counts.select("feature", F.array(*[F.col(f"c{b}") / total for b in range(buckets)]).alias("shares"))
-    return edges.join(shares, "feature")
+    # one row per feature: materialise once so every window / subquery reads the same small table
+    return cut_lineage(edges.join(shares, "feature"))
 
 
 def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: str = "step", keys=None,
@@ -133,32 +135,46 @@ def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: s
     """
     keys = _keys(keys)
     edges = edges if edges is not None else baseline_edges(baseline, features, buckets)
-    binned = df
+    # all features' edges and shares as ONE struct -> one scalar subquery, one column
+    row = edges.agg(*[F.max(F.when(F.col("feature") == F.lit(f), F.struct("edges", "shares"))).alias(f)
+                      for f in features])
+    binned = df.withColumn("_ed", row.select(F.struct(*features)).scalar())
     for f in features:
-        e = edges.where(F.col("feature") == F.lit(f))
-        binned = binned.withColumn(f"_b_{f}", F.when(valid_number(f), bin_of(F.col(f).cast("double"),
-                                                                             e.select("edges").scalar())))
-        binned = binned.withColumn(f"_s_{f}", e.select("shares").scalar())
+        binned = binned.withColumn(f"_b_{f}", F.when(valid_number(f), bin_of(
+            F.col(f).cast("double"), F.col("_ed")[f]["edges"], buckets - 1)))
+        binned = binned.withColumn(f"_s_{f}", F.col("_ed")[f]["shares"])
+    binned = binned.drop("_ed")
 
     def build(frame: DataFrame, w: Window) -> DataFrame:
-        cols = {}
-        for f in features:
-            for b in range(buckets):
-                cols[f"_n_{f}_{b}"] = F.count_if(F.col(f"_b_{f}") == b).over(w)
-        return frame.withColumns(cols)
+        # window count = running count - running count `window` rows back: an
+        # incremental running sum and a lag, O(1) per row instead of O(window).
+        # Inside a chunk the halo holds exactly window-1 earlier rows, so the lag
+        # default 0 is right at the chunk's first own row.
+        base = Window.partitionBy(*keys, "_chunk").orderBy(step)
+        run = base.rowsBetween(Window.unboundedPreceding, 0)
+        cum = {f"_c_{f}_{b}": F.sum(F.when(F.col(f"_b_{f}") == b, F.lit(1)).otherwise(F.lit(0))).over(run)
+               for f in features for b in range(buckets)}
+        frame = frame.withColumns(cum)
+        return frame.withColumns({f"_n_{f}_{b}": F.col(f"_c_{f}_{b}") - F.lag(f"_c_{f}_{b}", window, 0).over(base)
+                                  for f in features for b in range(buckets)})
 
     out = halo_window(binned, step, window, build, keys=keys, chunk_rows=chunk_rows)
-    per_feature = []
+    # staged projections: window total, then shares, then terms (no repeated sub-trees)
+    out = out.withColumns({f"_t_{f}": sum((F.col(f"_n_{f}_{b}") for b in range(buckets)), F.lit(0))
+                           for f in features})
+    shares = {}
     for f in features:
-        n = sum((F.col(f"_n_{f}_{b}") for b in range(buckets)), F.lit(0))
-        terms = []
         for b in range(buckets):
-            a = F.col(f"_n_{f}_{b}") / n
+            a = F.when(F.col(f"_t_{f}") > 0, F.col(f"_n_{f}_{b}") / F.col(f"_t_{f}"))
             e = F.element_at(F.col(f"_s_{f}"), b + 1)
-            a = F.when(a == 0, F.lit(floor)).otherwise(a)
-            e = F.when(e == 0, F.lit(floor)).otherwise(e)
-            terms.append((a - e) * F.ln(a / e))
-        per_feature.append(F.when(n > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0)))
+            shares[f"_a_{f}_{b}"] = F.when(a == 0, F.lit(floor)).otherwise(a)
+            shares[f"_e_{f}_{b}"] = F.when(e == 0, F.lit(floor)).otherwise(e)
+    out = out.withColumns(shares)
+    per_feature = []
+    for f in features:
+        terms = [(F.col(f"_a_{f}_{b}") - F.col(f"_e_{f}_{b}")) * F.ln(F.col(f"_a_{f}_{b}") / F.col(f"_e_{f}_{b}"))
+                 for b in range(buckets)]
+        per_feature.append(F.when(F.col(f"_t_{f}") > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0)))
     mean = sum(per_feature[1:], per_feature[0]) / F.lit(float(len(features)))
     warm = F.col(step) >= F.lit(window)
     return out.select(*[F.col(c) for c in df.columns],
