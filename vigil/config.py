@@ -143,3 +143,14 @@ SCORECARD_TERMS = [
 CHAMPION_PARAMS = {"max_iter": 100, "max_depth": 5, "step_size": 0.1, "pos_weight": 15.0, "seed": 42}
 CHALLENGER_PARAMS = {"max_iter": 100, "max_depth": 4, "step_size": 0.1, "pos_weight": 1.0, "seed": 100}
 STRONG_CHALLENGER_PARAMS = {"max_iter": 300, "max_depth": 6, "step_size": 0.05, "pos_weight": 1.0, "seed": 123}
+
+# ---- fixed values: the inference log table (column, type) in order ----
+LOG_COLUMNS = [
+    ("timestamp", "string"), ("user_id", "double"), ("product_id", "double"), ("price", "double"),
+    ("event_type", "string"), ("category", "string"), ("device_type", "string"), ("channel", "string"),
+    ("country", "string"), ("session_duration", "double"), ("account_age_days", "double"),
+    ("prior_orders", "double"), ("prior_chargebacks", "double"), ("discount_pct", "double"),
+    ("shipping_speed", "string"), ("hour_of_day", "double"), ("is_weekend", "int"), ("cart_size", "double"),
+    ("merchant_risk_score", "double"), ("is_high_value", "int"), ("is_fraud", "int"),
+    ("fraud_probability", "double"), ("model_version", "string"),
+]
