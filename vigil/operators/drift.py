@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from vigil import config as C
 from vigil.operators.sequence import prefix_sum
+from vigil.session import cut_lineage
 
 
 def valid_number(c) -> Column:
@@ -67,7 +68,7 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
     counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     # 2. rank ranges per distinct value without one-task windows
     ranked = prefix_sum(counts, ["_x"], ["_c"], keys=keys)
-    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    n = ranked.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))  # totals from the materialised running sums
     ranked = ranked.join(n, on=keys, how="inner") if keys else \
         ranked.withColumn("_n", n.select("_n").scalar())
     # 0-based rank range covered by this value: [cum - c, cum - 1]
@@ -91,9 +92,12 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
     per_q = per_q.withColumn(
         "edge", F.when(F.col("d") == 0, F.col("lo"))
                  .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("d")))
-    return per_q.groupBy(*keys).agg(
+    result = per_q.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda s: s["edge"]).alias(out_col),
         F.max("_n").cast("long").alias("n"))
+    # one small row per key, used several times downstream (binning, grid, shares):
+    # materialise it once instead of re-running the ranking for every use
+    return cut_lineage(result)
 
 
 def bin_of(x, edges, n_inner: int = C.PSI_BUCKETS - 1) -> Column:
@@ -156,8 +160,12 @@ def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=
     full = grid.join(counts, on=[*keys, "bin"], how="left").fillna(0, subset=["e_cnt", "a_cnt"])
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     n_e, n_a = F.sum("e_cnt").over(w), F.sum("a_cnt").over(w)
-    shares = full.select(*keys, "bin", n_e.alias("n_expected"), n_a.alias("n_actual"),
-                         (F.col("e_cnt") / n_e).alias("e_share"), (F.col("a_cnt") / n_a).alias("a_share"))
+    full = full.select(*keys, "bin", "e_cnt", "a_cnt", n_e.alias("n_expected"), n_a.alias("n_actual"))
+    shares = full.select(*keys, "bin", "n_expected", "n_actual",
+                         F.when(F.col("n_expected") > 0, F.col("e_cnt") / F.col("n_expected"))
+                          .otherwise(F.lit(0.0)).alias("e_share"),
+                         F.when(F.col("n_actual") > 0, F.col("a_cnt") / F.col("n_actual"))
+                          .otherwise(F.lit(0.0)).alias("a_share"))
     out = shares.groupBy(*keys).agg(
         F.sum(psi_term(F.col("e_share"), F.col("a_share"))).alias("_psi"),
         F.max("n_expected").alias("n_expected"), F.max("n_actual").alias("n_actual"))
@@ -203,8 +211,8 @@ def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | No
     if keys:
         rep = n_cur.join(summary, on=keys, how="left")
     else:
-        rep = n_cur.select("n_current", summary.select("psi_mean").scalar().alias("psi_mean"),
-                           summary.select("n_features").scalar().alias("n_features"))
+        both = summary.select(F.struct("psi_mean", "n_features")).scalar()  # one subquery, not two
+        rep = n_cur.select("n_current", both["psi_mean"].alias("psi_mean"), both["n_features"].alias("n_features"))
     rep = rep.where(F.col("n_current") > min_rows).select(
         *keys, "n_current",
         F.coalesce(F.col("psi_mean"), F.lit(0.0)).alias("psi"),
@@ -232,8 +240,10 @@ def psi_categorical(df: DataFrame, cat_col: str, is_current: Column, keys=None,
         F.count_if(~is_current).alias("e_cnt"), F.count_if(is_current).alias("a_cnt"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     n_e, n_a = F.sum("e_cnt").over(w), F.sum("a_cnt").over(w)
-    shares = counts.select(*keys, (F.col("e_cnt") / n_e).alias("e"), (F.col("a_cnt") / n_a).alias("a"),
-                           n_e.alias("n_e"), n_a.alias("n_a"))
+    counts = counts.select(*keys, "e_cnt", "a_cnt", n_e.alias("n_e"), n_a.alias("n_a"))
+    shares = counts.select(*keys, F.when(F.col("n_e") > 0, F.col("e_cnt") / F.col("n_e")).otherwise(F.lit(0.0)).alias("e"),
+                           F.when(F.col("n_a") > 0, F.col("a_cnt") / F.col("n_a")).otherwise(F.lit(0.0)).alias("a"),
+                           "n_e", "n_a")
     out = shares.groupBy(*keys).agg(F.sum(psi_term(F.col("e"), F.col("a"), floor)).alias("_psi"),
                                     F.max("n_e").alias("n_expected"), F.max("n_a").alias("n_actual"))
     return out.select(*keys, F.when((F.col("n_expected") == 0) | (F.col("n_actual") == 0), F.lit(0.0))
@@ -278,7 +288,7 @@ def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None)
     counts = clean.groupBy(*keys, "_x").agg(F.count_if(~F.col("_cur")).cast("double").alias("_ca"),
                                             F.count_if(F.col("_cur")).cast("double").alias("_cb"))
     cum = prefix_sum(counts, ["_x"], ["_ca", "_cb"], keys=keys)
-    n = counts.groupBy(*keys).agg(F.sum("_ca").alias("n_expected"), F.sum("_cb").alias("n_actual"))
+    n = cum.groupBy(*keys).agg(F.max("_ca_cum").alias("n_expected"), F.max("_cb_cum").alias("n_actual"))
     cum = cum.join(n, on=keys, how="inner") if keys else \
         cum.withColumn("n_expected", n.select("n_expected").scalar()) \
            .withColumn("n_actual", n.select("n_actual").scalar())

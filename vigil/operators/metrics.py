@@ -87,8 +87,9 @@ def cumulative_from_top(df: DataFrame, score: str, label: str, keys=None) -> Dat
     counts = score_counts(df, score, label, keys).withColumn("_neg_s", -F.col("s"))
     cum = prefix_sum(counts, ["_neg_s"], ["pos", "neg"], keys=keys)
     cum = cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp").drop("_neg_s")
+    totals = cum.groupBy(*keys).agg(F.max("tp").alias("P"), F.max("fp").alias("N"))  # from the running sums
     cum = cum.where(F.col("s").isNotNull())  # after the checkpoint barrier: nothing to push down
-    return _attach(cum, _totals(counts, keys), keys, ["P", "N"])
+    return _attach(cum, totals, keys, ["P", "N"])
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys=None) -> DataFrame:

@@ -215,7 +215,7 @@ def rank_pct(df: DataFrame, value_col: str, keys=None, out_col: str | None = Non
     v = F.col(value_col).cast("double")
     counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     cum = prefix_sum(counts, ["_v"], ["_c"], keys=keys)
-    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    n = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
     cum = cum.join(n, on=keys, how="inner") if keys else cum.withColumn("_n", n.select("_n").scalar())
     # average rank of the tie group: below + (c + 1) / 2
     ranks = cum.select(*keys, "_v", ((F.col("_c_cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / 2)

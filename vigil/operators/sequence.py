@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import StorageLevel
 
 from vigil.session import cut_lineage
 
@@ -46,7 +47,10 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
     is_max = how == "max"
     keys = list(keys or [])
     n = num_partitions or _default_partitions(df)
-    ranged = (df.repartitionByRange(n, *keys, *order_cols)
+    # the range partitioner samples its input in a separate job: keep the input
+    # (MEMORY_AND_DISK; recomputable from lineage if an executor is lost) for both passes
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *keys, *order_cols)
               .sortWithinPartitions(*keys, *order_cols)
               .withColumn("_pid", F.spark_partition_id()))
     cum_names = [v + out_suffix for v in value_cols]
@@ -88,6 +92,7 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
     # folder): range bounds are sampled per evaluation, so the partition totals
     # must come from the very same partitioning as the local sums.
     local = cut_lineage(ranged.mapInPandas(local_running, out_schema))
+    src.unpersist()
 
     # partition totals; offsets only for rows whose key started in an earlier partition
     agg = F.max if is_max else F.sum
