@@ -35,8 +35,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(f"local[{cpus}]", app_name="vigil-bench", shuffle_partitions=max(cpus, 8))
-    # warm-up: JVM, Python workers, file listing
-    spark.read.parquet(f"{sf_dir}/events.parquet").write.format("noop").mode("overwrite").save()
+    # warm-up: JVM, file listing and the Arrow Python workers used by prefix_sum
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev.write.format("noop").mode("overwrite").save()
+    ev.select("event_id").mapInPandas(lambda it: it, "event_id long").write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
