@@ -25,20 +25,22 @@ def frame(spark, exp, act, key="k"):
     return spark.createDataFrame(rows, "k string, x double, cur boolean")
 
 
-def test_quantile_edges_match_numpy(spark):
+@pytest.mark.parametrize("method", ["exact", "auto"])
+def test_quantile_edges_match_numpy(spark, method):
     rng = np.random.RandomState(1)
     vals = np.round(rng.exponential(50, 997), 2)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = D.quantile_edges(df, "x").first()["edges"]
+    got = D.quantile_edges(df, "x", method=method).first()["edges"]
     want = np.percentile(vals, np.arange(1, 10) * 10)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
-def test_psi_matches_numpy_and_ties(spark):
+@pytest.mark.parametrize("method", ["exact", "auto"])
+def test_psi_matches_numpy_and_ties(spark, method):
     rng = np.random.RandomState(2)
     exp = np.round(rng.normal(0, 1, 500), 1)          # many ties -> repeated edges, empty bins
     act = np.round(rng.normal(0.4, 1.2, 300), 1)
-    out = D.psi(frame(spark, exp, act), "x", F.col("cur"), keys=["k"]).first()
+    out = D.psi(frame(spark, exp, act), "x", F.col("cur"), keys=["k"], method=method).first()
     assert out["psi"] == pytest.approx(np_psi(exp, act), abs=1e-9)
 
 

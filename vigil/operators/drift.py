@@ -40,8 +40,14 @@ def _keys(keys) -> list[str]:
 
 # ------------------------------------------------------------------ quantiles
 
+# largest per-group distinct count for which Spark's exact ``percentile`` buffer
+# (one entry per distinct value of the group) is accepted; above it, or for a hot
+# key, the distributed ranking is used
+BUILTIN_MAX_DISTINCT = 1_000_000
+
+
 def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PSI_BUCKETS,
-                   method: str = "exact", accuracy: int = 100000) -> DataFrame:
+                   method: str = "auto", accuracy: int = 100000) -> DataFrame:
     """Inner edges (``buckets - 1`` linear-interpolated quantiles) per key.
 
     Returns ``keys + [edges array<double>, n long]``.  Outer edges are ±inf and
@@ -52,14 +58,26 @@ def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PS
     return quantiles(df, value_col, qs, keys, method, accuracy, out_col="edges")
 
 
-def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method: str = "exact",
+def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method: str = "auto",
               accuracy: int = 100000, out_col: str = "quantiles") -> DataFrame:
     """Linear-interpolated quantiles ``qs`` of ``value_col`` per key (NULL/NaN dropped).
 
-    Returns ``keys + [out_col array<double>, n long]``.
+    Returns ``keys + [out_col array<double>, n long]``.  Methods:
+    ``"auto"`` — size check first (``approx_count_distinct`` per key, one number
+    to the driver): Spark's exact ``percentile`` when every group's buffer is
+    bounded by ``BUILTIN_MAX_DISTINCT`` distinct values, else ``"exact"``;
+    ``"exact"`` — distributed ranking, no per-group buffer at all;
+    ``"approx"`` — ``percentile_approx`` sketch.
     """
     keys = _keys(keys)
     clean = df.where(valid_number(value_col)).select(*keys, F.col(value_col).cast("double").alias("_x"))
+    if method == "auto":
+        widest = clean.groupBy(*keys).agg(F.approx_count_distinct("_x").alias("_d")).agg(F.max("_d")).first()[0]
+        method = "builtin" if (widest or 0) <= BUILTIN_MAX_DISTINCT else "exact"
+    if method == "builtin":
+        res = clean.groupBy(*keys).agg(F.percentile("_x", F.array(*[F.lit(q) for q in qs])).alias(out_col),
+                                       F.count(F.lit(1)).alias("n"))
+        return cut_lineage(res)
     if method == "approx":
         return clean.groupBy(*keys).agg(
             F.percentile_approx("_x", F.array(*[F.lit(q) for q in qs]), accuracy).alias(out_col),

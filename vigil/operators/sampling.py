@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import round_places
 from vigil.operators.sequence import dense_sequence
 
 
@@ -45,7 +46,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_share:
     seq = dense_sequence(work, ["_h", *key_cols, *(tiebreak or [])], keys=[label], name="_rank")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     seq = seq.join(n, on=label, how="inner")
-    part = F.when(F.col("_rank") < F.round(F.col("_n") * F.lit(test_share)), F.lit("test")).otherwise(F.lit("train"))
+    part = F.when(F.col("_rank") < round_places(F.col("_n") * F.lit(test_share), 0), F.lit("test")).otherwise(F.lit("train"))
     return seq.withColumn(out_col, part).drop("_h", "_rank", "_n")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import round_places
+
 from vigil import config as C
 from vigil.operators import drift as D
 from vigil.plans.psi_sql import long_union, psi_ctes
@@ -16,7 +18,7 @@ R6 = 6
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, R6)
+    return round_places(c, R6)
 
 
 # ---------------------------------------------------------------- quantile_edges

@@ -5,6 +5,8 @@ folder (``spark.checkpoint.dir``), one fresh sub-folder per run."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+
+from vigil.functions.numeric import round_places
 from pyspark.sql import Window
 
 from vigil import config as C
@@ -20,7 +22,7 @@ from vigil.streaming import streams as S
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_places(c, 6)
 
 
 TXN_COLS = [f.name for f in TRANSACTION_SCHEMA.fields]

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import round_places
+
 from vigil import config as C
 from vigil.operators import jobs as J
 from vigil.operators import sampling as SP
@@ -20,7 +22,7 @@ from vigil.sources.tables import load, stream_transactions, transactions
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_places(c, 6)
 
 
 # ---------------------------------------------------------------- job events from `events`

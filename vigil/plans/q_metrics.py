@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import round_places
+
 from vigil import config as C
 from vigil.functions.features import scorecard
 from vigil.operators import metrics as M
@@ -13,7 +15,7 @@ from vigil.sources.tables import transactions
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_places(c, 6)
 
 
 def scored(spark, sf):

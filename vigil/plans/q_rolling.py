@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import round_places
+
 from vigil import config as C
 from vigil.operators import drift as D
 from vigil.operators import rolling as R
@@ -21,7 +23,7 @@ QS = ", ".join(str(i / 10) for i in range(1, 10))
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_places(c, 6)
 
 
 # ---------------------------------------------------------------- SQL building blocks
