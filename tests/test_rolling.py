@@ -87,3 +87,17 @@ def test_recovery_stats_arithmetic(spark):
     r = R.recovery_stats(df, "f1", step="seq", keys=["scenario"]).first()
     assert (r.f1_before_drift, r.lowest_f1, r.f1_after_recovery) == pytest.approx((0.9, 0.4, 0.8))
     assert r.absolute_recovery == pytest.approx(0.4) and r.relative_recovery == pytest.approx(100.0)
+
+
+def test_slot_path_equals_pair_path(spark, stream):
+    df, _, _ = stream
+    changes = spark.createDataFrame([("s", -1, 0.5, "a"), ("s", 70, 0.25, "b"), ("s", 90, 0.5, "c")],
+                                    "scenario string, change_step long, threshold double, model string")
+    tl = R.model_timeline(df, changes, step="seq", keys=["scenario"])
+    tl = tl.withColumn("p", F.when(F.col("seq") == 80, F.lit(None)).otherwise(F.col("p")))
+    cols = ["seq", "tn", "fp", "fn", "tp"]
+    a = sorted(tuple(r) for r in R.rolling_confusion(tl, "p", "y", "threshold", step="seq", keys=["scenario"],
+                                                     chunk_rows=40).select(cols).collect())
+    b = sorted(tuple(r) for r in R.rolling_confusion(tl, "p", "y", "threshold", step="seq", keys=["scenario"],
+                                                     chunk_rows=40, max_slots=0).select(cols).collect())
+    assert a == b

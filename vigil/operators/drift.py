@@ -126,7 +126,7 @@ def bin_of(x, edges, n_inner: int = C.PSI_BUCKETS - 1) -> Column:
     """
     xc = F.col(x) if isinstance(x, str) else x
     ec = F.col(edges) if isinstance(edges, str) else edges
-    hits = [F.when(xc >= F.element_at(ec, j), F.lit(1)).otherwise(F.lit(0)) for j in range(1, n_inner + 1)]
+    hits = [F.when(xc >= F.try_element_at(ec, F.lit(j)), F.lit(1)).otherwise(F.lit(0)) for j in range(1, n_inner + 1)]
     return sum(hits[1:], hits[0])
 
 

@@ -77,14 +77,64 @@ def stage_progress(stage_col: str = "stage") -> Column:
 # ------------------------------------------------------------------ rolling windows
 
 def rolling_confusion(df: DataFrame, score: str, label: str, threshold: str, step: str = "step",
-                      keys=None, window: int = C.WINDOW_SIZE, chunk_rows: int = 1 << 16) -> DataFrame:
+                      keys=None, window: int = C.WINDOW_SIZE, chunk_rows: int = 1 << 16,
+                      max_slots: int = 8) -> DataFrame:
     """Confusion counts over the last ``window`` rows (incl. current) at the row's own threshold.
 
     Rows with step < window get zeros.  The current threshold is applied to the
-    whole window, so the window carries (p, y) pairs rather than running sums.
+    whole window.  Thresholds follow a timeline, so a series has only a few
+    distinct values: each one gets a slot with running counts of ``p >= t_slot``
+    (running count minus its lag ``window`` rows back, O(1) per row), and each
+    row reads its own slot.  A series with more than ``max_slots`` distinct
+    thresholds falls back to carrying the window's (p, y) pairs.
     """
     keys = _keys(keys)
+    ths = df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(threshold).cast("double"))).alias("_ths"))
+    slots = ths.agg(F.max(F.size("_ths"))).first()[0] or 0  # one number: the widest timeline
+    if slots > max_slots:
+        return _rolling_confusion_pairs(df, score, label, threshold, step, keys, window, chunk_rows)
+    work = df.join(ths, on=keys, how="left") if keys else df.withColumn("_ths", ths.select("_ths").scalar())
+    work = work.withColumn("_slot", F.array_position("_ths", F.col(threshold).cast("double")))
+    p, y = F.col(score), F.col(label)
 
+    def ind(cond):
+        return F.when(F.coalesce(cond, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+
+    def build(frame: DataFrame, w: Window) -> DataFrame:
+        base = Window.partitionBy(*keys, "_chunk").orderBy(step)
+        run = base.rowsBetween(Window.unboundedPreceding, 0)
+        scored = p.isNotNull()  # NULL scores are in no cell (as with the pair path)
+        cums = {"_cP": F.sum(ind(scored & (y == 1))).over(run), "_cN": F.sum(ind(scored & (y == 0))).over(run)}
+        for j in range(slots):
+            t = F.try_element_at(F.col("_ths"), F.lit(j + 1))  # NULL past a short timeline
+            cums[f"_cT{j}"] = F.sum(ind((p >= t) & (y == 1))).over(run)
+            cums[f"_cF{j}"] = F.sum(ind((p >= t) & (y == 0))).over(run)
+        frame = frame.withColumns(cums)
+        return frame.withColumns({c.replace("_c", "_w", 1): F.col(c) - F.lag(c, window, 0).over(base) for c in cums})
+
+    out = halo_window(work, step, window, build, keys=keys, chunk_rows=chunk_rows)
+
+    def pick(prefix: str) -> Column:
+        expr = None
+        for j in range(slots):
+            cond = F.col("_slot") == j + 1
+            expr = F.when(cond, F.col(f"{prefix}{j}")) if expr is None else expr.when(cond, F.col(f"{prefix}{j}"))
+        return F.coalesce(expr, F.lit(0)) if expr is not None else F.lit(0)
+
+    tp, fp = pick("_wT"), pick("_wF")
+    known = F.col("_slot").isNotNull() & (F.col("_slot") > 0)
+    warm = (F.col(step) >= F.lit(window)) & known
+    z = F.lit(0)
+    return out.select(*[F.col(c) for c in df.columns],
+                      F.when(warm, F.col("_wN") - fp).otherwise(z).alias("tn"),
+                      F.when(warm, fp).otherwise(z).alias("fp"),
+                      F.when(warm, F.col("_wP") - tp).otherwise(z).alias("fn"),
+                      F.when(warm, tp).otherwise(z).alias("tp"))
+
+
+def _rolling_confusion_pairs(df: DataFrame, score: str, label: str, threshold: str, step: str,
+                             keys: list[str], window: int, chunk_rows: int) -> DataFrame:
+    """Fallback for thresholds that vary freely: the window carries its (p, y) pairs."""
     def build(frame: DataFrame, w: Window) -> DataFrame:
         pairs = F.collect_list(F.struct(F.col(score).alias("p"), F.col(label).alias("y"))).over(w)
         return frame.withColumn("_w", pairs)
@@ -96,10 +146,9 @@ def rolling_confusion(df: DataFrame, score: str, label: str, threshold: str, ste
         return F.size(F.filter("_w", lambda e: ((e["p"] >= t) if pred_pos else ~(e["p"] >= t)) & (e["y"] == y)))
 
     warm = F.col(step) >= F.lit(window)
-    res = out.select(*[F.col(c) for c in df.columns],
-                     *[F.when(warm, cnt(pp, yy)).otherwise(F.lit(0)).alias(n)
-                       for n, pp, yy in (("tn", False, 0), ("fp", True, 0), ("fn", False, 1), ("tp", True, 1))])
-    return res
+    return out.select(*[F.col(c) for c in df.columns],
+                      *[F.when(warm, cnt(pp, yy)).otherwise(F.lit(0)).alias(n)
+                        for n, pp, yy in (("tn", False, 0), ("fp", True, 0), ("fn", False, 1), ("tp", True, 1))])
 
 
 def rolling_metrics(conf: DataFrame) -> DataFrame:
