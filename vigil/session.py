@@ -34,6 +34,11 @@ def build_session(master: str | None = None, app_name: str = "vigil",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
         "spark.driver.memory": os.environ.get("VIGIL_DRIVER_MEMORY", "16g"),
     }
+    if master and master.startswith("local"):
+        # wide generated methods (> 8000 bytecodes) are otherwise never JIT-compiled by
+        # HotSpot; in local mode the driver JVM is the executor.  On a cluster, put the
+        # same flag into the executors' Java options.
+        conf["spark.driver.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
