@@ -75,8 +75,13 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
         widest = clean.groupBy(*keys).agg(F.approx_count_distinct("_x").alias("_d")).agg(F.max("_d")).first()[0]
         method = "builtin" if (widest or 0) <= BUILTIN_MAX_DISTINCT else "exact"
     if method == "builtin":
-        res = clean.groupBy(*keys).agg(F.percentile("_x", F.array(*[F.lit(q) for q in qs])).alias(out_col),
-                                       F.count(F.lit(1)).alias("n"))
+        # count per (key, value) first: that shuffle is spread over all values, and each
+        # group's percentile then merges at most its distinct values (weighted by count)
+        # instead of one partial value map from every input task
+        counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+        res = counts.groupBy(*keys).agg(
+            F.percentile("_x", F.array(*[F.lit(q) for q in qs]), F.col("_c")).alias(out_col),
+            F.sum("_c").alias("n"))
         return cut_lineage(res)
     if method == "approx":
         return clean.groupBy(*keys).agg(
@@ -85,7 +90,7 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
     # 1. counts per distinct value (partial aggregation before the shuffle)
     counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_c"))
     # 2. rank ranges per distinct value without one-task windows
-    ranked = prefix_sum(counts, ["_x"], ["_c"], keys=keys)
+    ranked = prefix_sum(counts, ["_x"], ["_c"], keys=keys, materialize=True)
     n = ranked.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))  # totals from the materialised running sums
     ranked = ranked.join(n, on=keys, how="inner") if keys else \
         ranked.withColumn("_n", n.select("_n").scalar())
@@ -158,7 +163,7 @@ def psi_term(e_share: Column, a_share: Column, floor: float = C.PSI_FLOOR) -> Co
 
 
 def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=None,
-                   buckets: int = C.PSI_BUCKETS, method: str = "exact",
+                   buckets: int = C.PSI_BUCKETS, method: str = "auto",
                    edges: DataFrame | None = None) -> DataFrame:
     """Per key: ``psi``, ``n_expected``, ``n_actual``.  Empty side -> psi 0.
 
@@ -194,7 +199,7 @@ def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=
 
 
 def psi(df: DataFrame, value_col: str, is_current: Column, keys=None,
-        buckets: int = C.PSI_BUCKETS, method: str = "exact") -> DataFrame:
+        buckets: int = C.PSI_BUCKETS, method: str = "auto") -> DataFrame:
     """PSI of one column between the rows where ``is_current`` is false (baseline)
     and true (current)."""
     return psi_from_sides(df.where(~is_current), df.where(is_current), value_col, keys, buckets, method)
@@ -211,7 +216,7 @@ def to_long(df: DataFrame, features: list[str], keys=None, value_name: str = "va
 
 def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | None = None,
                keys=None, buckets: int = C.PSI_BUCKETS, threshold: float = C.PSI_ALERT,
-               min_rows: int = C.PSI_MIN_ROWS, method: str = "exact") -> DataFrame:
+               min_rows: int = C.PSI_MIN_ROWS, method: str = "auto") -> DataFrame:
     """Mean PSI over the monitored features, alert ``mean > threshold``.
 
     Features absent from either side or empty on either side are skipped; keys
@@ -305,7 +310,7 @@ def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None)
                                                      is_current.alias("_cur"))
     counts = clean.groupBy(*keys, "_x").agg(F.count_if(~F.col("_cur")).cast("double").alias("_ca"),
                                             F.count_if(F.col("_cur")).cast("double").alias("_cb"))
-    cum = prefix_sum(counts, ["_x"], ["_ca", "_cb"], keys=keys)
+    cum = prefix_sum(counts, ["_x"], ["_ca", "_cb"], keys=keys, materialize=True)
     n = cum.groupBy(*keys).agg(F.max("_ca_cum").alias("n_expected"), F.max("_cb_cum").alias("n_actual"))
     cum = cum.join(n, on=keys, how="inner") if keys else \
         cum.withColumn("n_expected", n.select("n_expected").scalar()) \
@@ -323,7 +328,8 @@ def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None)
 def running_peak(df: DataFrame, value_col: str, order_cols: list[str], keys=None,
                  out_col: str = "peak_so_far") -> DataFrame:
     """Highest value so far per key (distributed running max)."""
-    out = prefix_sum(df, order_cols, [value_col], keys=_keys(keys), how="max")
+    out = prefix_sum(df.select(*_keys(keys), *order_cols, value_col), order_cols, [value_col], keys=_keys(keys),
+                     how="max", materialize=True)
     return out.withColumnRenamed(value_col + "_cum", out_col)
 
 

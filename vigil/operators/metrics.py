@@ -85,7 +85,7 @@ def cumulative_from_top(df: DataFrame, score: str, label: str, keys=None) -> Dat
     """Per distinct score s: tp / fp of ``p >= s`` plus class totals P, N."""
     keys = _keys(keys)
     counts = score_counts(df, score, label, keys).withColumn("_neg_s", -F.col("s"))
-    cum = prefix_sum(counts, ["_neg_s"], ["pos", "neg"], keys=keys)
+    cum = prefix_sum(counts, ["_neg_s"], ["pos", "neg"], keys=keys, materialize=True)
     cum = cum.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp").drop("_neg_s")
     totals = cum.groupBy(*keys).agg(F.max("tp").alias("P"), F.max("fp").alias("N"))  # from the running sums
     cum = cum.where(F.col("s").isNotNull())  # after the checkpoint barrier: nothing to push down

@@ -159,7 +159,7 @@ def rolling_metrics(conf: DataFrame) -> DataFrame:
 
 
 def baseline_edges(baseline: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,
-                   method: str = "exact") -> DataFrame:
+                   method: str = "auto") -> DataFrame:
     """(feature, edges, shares) of a static baseline: computed once, reused by every window."""
     long = to_long(baseline, features)
     edges = quantile_edges(long, "value", keys=["feature"], buckets=buckets, method=method)
@@ -263,7 +263,7 @@ def rank_pct(df: DataFrame, value_col: str, keys=None, out_col: str | None = Non
     out_col = out_col or f"{value_col}_rank_pct"
     v = F.col(value_col).cast("double")
     counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    cum = prefix_sum(counts, ["_v"], ["_c"], keys=keys)
+    cum = prefix_sum(counts, ["_v"], ["_c"], keys=keys, materialize=True)
     n = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
     cum = cum.join(n, on=keys, how="inner") if keys else cum.withColumn("_n", n.select("_n").scalar())
     # average rank of the tie group: below + (c + 1) / 2

@@ -18,7 +18,7 @@ from vigil.functions.features import encoded_column
 from vigil.operators.drift import quantiles, to_long
 
 
-def medians(df: DataFrame, features: list[str], keys=None, method: str = "exact") -> DataFrame:
+def medians(df: DataFrame, features: list[str], keys=None, method: str = "auto") -> DataFrame:
     """Exact (or approximate) median of each numeric feature: (keys…, feature, median)."""
     keys = list(keys or [])
     long = to_long(df, features, keys)
@@ -101,7 +101,7 @@ def schema_summary(spark: SparkSession, canonical: list[str], predictive: list[s
 
 
 def adapt(df: DataFrame, mapping: dict[str, str], predictive: list[str], target: str,
-          keep: list[str] | None = None, median_method: str = "exact") -> dict:
+          keep: list[str] | None = None, median_method: str = "auto") -> dict:
     """Adapter contract: canonical columns by mapping (canonical -> source), predictive
     columns kept, target renamed ``is_fraud``, missing canonical features declared,
     medians of the numeric model features as a small table."""

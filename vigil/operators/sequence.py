@@ -34,18 +34,39 @@ def _default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# value-range blocks: target rows per (key, block) window partition, and the largest
+# block accepted (checked on the block totals) before the range-partition path is used
+BLOCK_ROWS = 1 << 20
+BLOCK_MAX_ROWS = 1 << 23
+# offsets tables up to this many (key, block) rows are broadcast, larger ones shuffle-joined
+OFFSETS_BROADCAST_ROWS = 1 << 21
+
+
 def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
                keys: list[str] | None = None, out_suffix: str = "_cum",
-               num_partitions: int | None = None, how: str = "sum") -> DataFrame:
+               num_partitions: int | None = None, how: str = "sum",
+               block_rows: int = BLOCK_ROWS, materialize: bool = False) -> DataFrame:
     """Inclusive running sums (``how="sum"``) or maxima (``how="max"``) of
     ``value_cols`` per ``keys`` in ``order_cols`` order.
 
     ``order_cols`` must give a total order within a key (add an id tiebreak).
     Adds one column ``<value><out_suffix>`` per value column.  NULLs count as
     0 for sums and are skipped for maxima.
+
+    One numeric order column: value-range blocks, all JVM-side (see
+    ``_prefix_sum_blocked``); otherwise, or when a block is too large, the
+    range-partitioned path below.  ``materialize=True`` writes the input once
+    first (for inputs that are aggregates or long pipelines, which the blocked
+    path would otherwise evaluate three times).
     """
     is_max = how == "max"
     keys = list(keys or [])
+    if materialize:
+        df = cut_lineage(df, "prefix-input")
+    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, T.NumericType):
+        out = _prefix_sum_blocked(df, order_cols[0], value_cols, keys, out_suffix, is_max, block_rows)
+        if out is not None:
+            return out
     n = num_partitions or _default_partitions(df)
     # the range partitioner samples its input in a separate job: keep the input
     # (MEMORY_AND_DISK; recomputable from lineage if an executor is lost) for both passes
@@ -117,6 +138,63 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
     return result
 
 
+def _prefix_sum_blocked(df: DataFrame, order: str, value_cols: list[str], keys: list[str],
+                        out_suffix: str, is_max: bool, block_rows: int) -> DataFrame | None:
+    """Running sums/maxima over value-range blocks of one numeric order column.
+
+    Block = floor((x - min) / width), monotone in x, with the width chosen for
+    about ``block_rows`` rows per block (NULL order first, NaN last).  Inside a
+    (key, block) the running total is a window (partition size bounded by the
+    block, whatever the key skew); earlier blocks' totals come from a small
+    (key, block) table.  Deterministic: no sampling, nothing materialised but
+    the small table.  Returns None (caller uses the range path) when the order
+    range is not finite or a block holds more than ``BLOCK_MAX_ROWS`` rows.
+    """
+    o = F.col(order).cast("double")
+    finite = ~F.isnan(o) & (F.abs(o) < F.lit(float("inf")))
+    lo, hi, n = df.agg(F.min(F.when(finite, o)), F.max(F.when(finite, o)), F.count(F.lit(1))).first()
+    n_blocks = max(1, -(-int(n or 0) // block_rows))
+    if lo is None:
+        lo, hi = 0.0, 0.0
+    width = (hi - lo) / n_blocks if hi > lo else 1.0
+    if not (np.isfinite(width) and width > 0):
+        return None
+    blk = (F.when(o.isNull(), F.lit(-1))
+           .when(F.isnan(o) | (o == F.lit(float("inf"))), F.lit(n_blocks))
+           .when(o == F.lit(float("-inf")), F.lit(-1))
+           .otherwise(F.least(F.greatest(F.floor((o - F.lit(lo)) / F.lit(width)), F.lit(0)),
+                              F.lit(n_blocks - 1))).cast("long"))
+    agg = F.max if is_max else F.sum
+
+    def val(v):
+        x = F.col(v).cast("double")
+        return x if is_max else F.coalesce(x, F.lit(0.0))
+
+    cum_names = [v + out_suffix for v in value_cols]
+    withb = df.withColumn("_blk", blk)
+    # -inf orders before every finite value but shares block -1 with NULL (NULLs sort first)
+    totals = cut_lineage(withb.groupBy(*keys, "_blk").agg(
+        F.count(F.lit(1)).alias("_rows"), *[agg(val(v)).alias(v + "_tot") for v in value_cols]), "blocks")
+    widest, n_rows = totals.agg(F.max("_rows"), F.count(F.lit(1))).first()
+    if (widest or 0) > BLOCK_MAX_ROWS:
+        return None
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_blk").alias("_k_blk"),
+                            *[agg(v + "_tot").over(before).alias(v + "_off") for v in value_cols])
+    if n_rows <= OFFSETS_BROADCAST_ROWS:  # size checked above: (key, block) rows
+        offsets = F.broadcast(offsets)
+    run = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = withb.select("*", *[agg(val(v)).over(run).alias(c) for v, c in zip(value_cols, cum_names)])
+    cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col("_blk") == F.col("_k_blk")]
+    joined = local.join(offsets, on=cond, how="left")
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[((F.greatest(F.col(c), F.col(v + "_off")) if is_max
+            else F.col(c) + F.coalesce(F.col(v + "_off"), F.lit(0.0))).alias(c))
+          for v, c in zip(value_cols, cum_names)])
+
+
 def dense_sequence(df: DataFrame, order_cols: list[str], keys: list[str] | None = None,
                    name: str = "seq", start: int = 0) -> DataFrame:
     """0-based (or ``start``-based) position of each row within its key, distributed."""

@@ -23,6 +23,7 @@ from vigil.functions.features import scorecard
 from vigil.operators import metrics as M
 from vigil.operators import rolling as R
 from vigil.operators.sequence import dense_sequence
+from vigil.session import cut_lineage
 from vigil.sources.tables import stream_transactions
 
 RECURRING_SCENARIO = "signup"
@@ -33,7 +34,9 @@ def scored_stream(spark, sf) -> DataFrame:
     s = stream_transactions(spark, sf).withColumn("scenario", F.col("event_type")) \
         .withColumn("p", scorecard()).withColumnRenamed("is_fraud", "y")
     s = s.select("scenario", "step", "event_time", "p", "y", *FEATURES, "device_type", "is_current")
-    return dense_sequence(s, ["step"], keys=["scenario"], name="seq")
+    # the scored log every monitoring statistic reads (several times per query):
+    # written once, so the sequence numbering is not recomputed for each use
+    return cut_lineage(dense_sequence(s, ["step"], keys=["scenario"], name="seq"), "scored-log")
 
 
 def timeline_changes(scored: DataFrame) -> DataFrame:
