@@ -84,6 +84,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.token_counts import token_counts
