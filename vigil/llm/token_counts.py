@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vigil.llm.byte_bpe import default_vocabulary, encoder
 from vigil.llm.common import Stored, running_sum
 
-BLOCK = 1024  # lengths whose histogram rows are summed in one task
+BLOCK = 64  # lengths whose histogram rows are summed in one task
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
