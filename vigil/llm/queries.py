@@ -21,6 +21,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.ngram_join import link_documents
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.sharding import shard_documents
