@@ -33,6 +33,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (
+  SELECT vec_id AS node, vec_id AS reached FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT node AS vec_id, (SELECT count(*) FROM l WHERE l.a = node)::BIGINT AS n_links, min(reached) AS component_id,
+       node = min(reached) AS kept
+FROM r GROUP BY node
+"""
+
+
+@query("op3_embedding_dedup", OP3_SQL)
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.embedding_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
 d AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS digest FROM p),
