@@ -115,6 +115,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op8_ann")
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.ann import nearest_neighbours
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.langid import identify
