@@ -1,13 +1,74 @@
-"""The corpus pipeline over ``documents``; see STAGES."""
+"""The corpus pipeline over ``documents``.
+
+Stages, each written as Parquet and read again by the next:
+
+1. language: documents without a letter, or of no learned language with some certainty, go;
+2. lines: cross-site boilerplate lines are cut out of the texts;
+3. near duplicates: of each group of linked documents the one with the smallest id stays;
+4. packing: what is left becomes full windows of tokens; returns the pieces.
+
+Stages 1 to 3 return the columns of their input.  Rows without an id pass the first three
+stages (they are no copies of anything); an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vigil.llm import langid, line_dedup, ngram_join, packing
+from vigil.llm.common import Stored, has_rows
+
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    report = _free_name(docs, "language_report")
+    seen = docs.withColumn(report, langid.prediction(docs["text"], langid.train(docs)))
+    return seen.where((F.col(f"{report}.lang_pred") != F.lit(langid.UNDETERMINED))
+                      & (F.col(f"{report}.score") >= F.lit(MIN_LANGUAGE_SCORE))).drop(report)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    report = _free_name(docs, "line_report")
+    cleaned = line_dedup.dedup_lines(docs, report_col=report)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col(f"{report}.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_documents(docs)
+    gone = Stored(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies").df
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    if has_rows(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")):
+        number = _free_name(docs, "row_number")
+        once = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.where("doc_id is not null").withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number) \
+            .unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", windows)]
 
-STAGES: list = []
+# learned language models, exact overlaps of whole texts and token ids are beyond SQL: see tests/llm/test_pipeline.py
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

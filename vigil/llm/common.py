@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Stored:
     """A table written once into the shared scratch folder; ``drop`` removes its files.
 
-    ``df`` reads it back: no lineage to recompute, and a lost executor loses nothing."""
+    ``df`` reads it back: no lineage to recompute, and a lost executor loses nothing.  The shuffle files
+    behind it are then of no use; ``collect_garbage`` lets Spark's cleaner find that out at once instead
+    of at the driver's next full collection."""
 
     def __init__(self, df: DataFrame, name: str, compression: str = "zstd"):
         self.spark = df.sparkSession
@@ -23,6 +27,11 @@ class Stored:
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 
+    def collect_garbage(self) -> Stored:
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -190,7 +190,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "shingles"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    return texts.join(wanted, F.col("_id") == F.col("rep")).select("class", F.col("_text").alias("text")) \
+    # the same plan at every size: texts are sorted and merged, whether the wanted ids are few or many
+    return texts.join(wanted.hint("merge"), F.col("_id") == F.col("rep")).select("class", F.col("_text").alias("text")) \
         .mapInArrow(run, "class long, shingles binary")
 
 
@@ -305,23 +306,18 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
                    .where("k > 1"), "jaccard-repeated").df  # ids that repeat
     repeated = has_rows(again)
 
-    # one row per class goes on
-    others = Stored(usable.join(classes.withColumnRenamed("class", "_c"), F.col("class") == F.col("_c"))
-                    .where("doc_id <> rep").select(F.col("doc_id").alias("_other")), "jaccard-copies").df
-    if repeated:  # an id with several texts may stand for one class and be a copy in another
-        others = Stored(others.join(classes, F.col("_other") == F.col("rep"), "left_anti"), "jaccard-copies").df
-    single = docs.where(docs["doc_id"].isNotNull()).join(others, docs["doc_id"] == F.col("_other"), "left_anti")
-    sigs = signatures(single, count_levels(all_facts), num, den)
-    sigs = Stored(sigs.dropDuplicates(["class"]) if repeated else sigs, "jaccard-signatures").df
+    usable_docs = docs.where(docs["doc_id"].isNotNull())
+    sigs = Stored(signatures(usable_docs, count_levels(all_facts), num, den).dropDuplicates(["class"]), "jaccard-signatures").collect_garbage().df
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         passed = Stored(bitmap_check(pairs, sigs, num, den), f"jaccard-{name}-candidates").df
         needed = passed.select(F.col("a").alias("_n")).unionByName(passed.select(F.col("b").alias("_n"))).distinct()
         wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), f"jaccard-{name}-wanted").df
         sets = class_sets(docs, wanted)
-        sets = Stored(sets.dropDuplicates(["class"]) if repeated else sets, f"jaccard-{name}-sets")
+        sets = Stored(sets.dropDuplicates(["class"]) if repeated else sets, f"jaccard-{name}-sets").collect_garbage()
         found = Stored(exact_check(passed, sets.df, num, den).select("a", "b"), f"jaccard-{name}-links").df
         sets.drop()
+        sets.collect_garbage()
         return found
 
     stars = linked(star_pairs(sigs, num, den), "star")
@@ -329,7 +325,7 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
         same = usable.join(again.select(F.col("doc_id").alias("_d"), "least"), F.col("doc_id") == F.col("_d"))
         stars = stars.unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
     joined = Stored(connected_components(stars), "jaccard-stars").df
-    tiles = linked(Stored(tile_pairs(sigs, joined, num, den), "jaccard-tiles").df, "tile")
+    tiles = linked(Stored(tile_pairs(sigs, joined, num, den), "jaccard-tiles").collect_garbage().df, "tile")
     parts = Stored(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tiles)), "jaccard-parts").df
 
     named = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("part"))
