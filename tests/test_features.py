@@ -69,19 +69,16 @@ def test_json_decode_booleans_and_whole_doubles(spark):
     assert (r.user_id, r.is_fraud, r.is_high_value, r.cart_size, r.price) == (7, 1, 0, 3, 12.5)
 
 
-def test_producer_cohorts_cycle(spark):
-    rows = [(i, 100.0, "view", "desktop", "organic", "US", "standard", 100.0, 0.5, 0, 0.1, 30, 2, 0)
-            for i in (149, 150, 219, 220, 359, 360)]
-    df = spark.createDataFrame(rows, "step long, price double, event_type string, device_type string, channel string, "
-                                     "country string, shipping_speed string, session_duration double, discount_pct double, "
-                                     "prior_chargebacks long, merchant_risk_score double, account_age_days long, "
-                                     "cart_size long, is_fraud int")
-    cohorts, other = X.producer_cohorts("step")
-    out = {r.step: r for r in X.cohort_rewrite(df, cohorts, other).collect()}
-    assert out[149].price == 100.0 and out[149].is_fraud is False
-    assert out[150].price == 180.0 and out[150].channel == "affiliate" and out[150].account_age_days == 10
-    assert out[220].price == 355.0 and out[220].country == "BR" and out[220].cart_size == 5
-    assert out[360].price == 100.0
+def test_cohort_rewrite_first_match_reads_old_values(spark):
+    df = spark.createDataFrame([(1, 10.0, "a"), (2, 20.0, "a"), (3, 30.0, "b")], "id long, x double, c string")
+    out = {r.id: (r.x, r.c) for r in X.cohort_rewrite(
+        df, [(F.col("x") > 25, {"x": F.col("x") * 2}), (F.col("x") > 15, {"x": F.col("x") + 1, "c": F.lit("z")})]).collect()}
+    assert out == {1: (10.0, "a"), 2: (21.0, "z"), 3: (60.0, "b")}
+
+
+def test_out_of_range_flags_are_bad(spark):
+    df = spark.createDataFrame([("1e10",), ("1",), ("x",)], "is_weekend string")
+    assert [r[0] for r in df.select(X.flag_weekend(df)).collect()] == [0, 1, 0]
 
 
 def test_scorecard_clipped(spark):

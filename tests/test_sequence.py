@@ -14,7 +14,7 @@ def series(spark):
 
 
 def test_prefix_sum_equals_window(spark, series):
-    got = prefix_sum(series, ["id"], ["v"], keys=["k"], num_partitions=6)
+    got = prefix_sum(series, ["id"], ["v"], keys=["k"], block_rows=100)
     w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     ref = series.withColumn("r", F.sum("v").over(w))
     bad = got.join(ref, ["id", "k"]).where(F.abs(F.col("v_cum") - F.col("r")) > 1e-9).count()
@@ -22,7 +22,7 @@ def test_prefix_sum_equals_window(spark, series):
 
 
 def test_prefix_max_and_keyless(spark, series):
-    got = prefix_sum(series, ["id"], ["v"], how="max", num_partitions=5)
+    got = prefix_sum(series, ["id"], ["v"], how="max", block_rows=300)
     w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     ref = series.withColumn("r", F.max("v").over(w))
     assert got.join(ref, ["id"]).where(F.col("v_cum") != F.col("r")).count() == 0
@@ -62,8 +62,7 @@ def test_prefix_blocked_many_blocks_with_nulls(spark, how):
         k = None if i % 50 == 3 else ("hot" if i % 3 else "cold")
         rows.append((i, k, o, None if i % 11 == 0 else float(rng.rand())))
     df = spark.createDataFrame(rows, "id long, k string, o double, v double")
-    got = S._prefix_sum_blocked(df, "o", ["v"], ["k"], "_cum", how == "max", 17)
-    assert got is not None
+    got = S.prefix_sum(df, ["o"], ["v"], ["k"], how=how, block_rows=17)
     agg = F.max if how == "max" else F.sum
     v = F.col("v") if how == "max" else F.coalesce("v", F.lit(0.0))
     w = Window.partitionBy("k").orderBy(F.asc_nulls_first("o")).rowsBetween(Window.unboundedPreceding, 0)
@@ -74,8 +73,19 @@ def test_prefix_blocked_many_blocks_with_nulls(spark, how):
     assert bad.count() == 0
 
 
-def test_prefix_blocked_falls_back_on_a_wide_block(spark, monkeypatch):
-    import vigil.operators.sequence as S
-    df = spark.range(0, 300).select(F.lit(1.0).alias("o"), F.col("id"), F.lit(1.0).alias("v"))
-    monkeypatch.setattr(S, "BLOCK_MAX_ROWS", 50)
-    assert S._prefix_sum_blocked(df, "o", ["v"], [], "_cum", False, 10) is None
+@pytest.mark.parametrize("block_rows", [1, 7, 10_000])
+@pytest.mark.parametrize("order", ["ties", "outlier", "text", "two"])
+def test_prefix_sum_is_the_plain_window_at_any_block_size(spark, order, block_rows):
+    rng = np.random.RandomState(3)
+    rows = []
+    for i in range(120):
+        o = {"ties": 5.0, "outlier": 1e18 if i == 60 else float(i % 40), "two": float(i % 3), "text": 0.0}[order]
+        rows.append((i, None if i % 4 == 0 else "k", o, f"ß{rng.randint(50):02d}" if i % 9 else None, None, float(i)))
+    df = spark.createDataFrame(rows, "id long, k string, o double, t string, empty double, v double")
+    cols = ["t", "id"] if order == "text" else ["o", "id"]
+    got = prefix_sum(df, cols, ["empty", "v"], ["k"], block_rows=block_rows)
+    w = Window.partitionBy("k").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("r", F.sum("v").over(w)).select("id", "r")
+    out = got.join(ref, "id")
+    assert got.count() == 120
+    assert out.where((F.col("v_cum") != F.col("r")) | (F.col("empty_cum") != 0)).count() == 0

@@ -80,30 +80,13 @@ SECOND_DRIFT_START = 700
 SECOND_RETRAIN_TRIGGER = 820
 SECOND_MODEL_DEPLOYED = 920
 
-# ---- fixed values: pipeline stages in display order ----
-PIPELINE_STAGES = [
-    "Champion Model", "Incoming Transactions", "Inference", "SQLite Logging",
-    "PSI Monitoring", "Drift Detected", "Retraining", "Offline Validation",
-    "Challenger Deployment", "Recovered",
-]
-# step ranges -> stage: (lo, hi_exclusive, stage); recurring adds the second list
-STAGE_RANGES = [
-    (0, 100, "Champion Model"), (100, 300, "Incoming Transactions"),
-    (300, 350, "Inference"), (350, 400, "SQLite Logging"),
-    (400, 500, "PSI Monitoring"), (500, 501, "Drift Detected"),
-    (501, 650, "Challenger Deployment"),
-]
-RECURRING_STAGE_RANGES = [
-    (700, 720, "Inference"), (720, 750, "SQLite Logging"),
-    (750, 850, "PSI Monitoring"), (850, 851, "Drift Detected"),
-    (851, 920, "Challenger Deployment"),
-]
-STAGE_REASONS = {
-    "Drift Detected": "PSI threshold exceeded",
-    "Retraining": "retraining initiated",
-    "Offline Validation": "offline metrics evaluation",
-    "Challenger Deployment": "validation passed",
-    "Recovered": "challenger deployed / recovery complete",
+# stages of a monitored series, in order; each is measured (see operators.rolling.stage_of_step)
+STAGES = {
+    "Warm-up": "window not full",
+    "Monitoring": "no breach so far",
+    "Drift Detected": "first rolling PSI over the alert level",
+    "Drift Active": "rolling PSI over the alert level",
+    "Recovered": "rolling PSI back under the alert level",
 }
 
 # ---- fixed values: fallback pseudo-label weights (rank-percent terms) ----

@@ -52,13 +52,13 @@ def flag_high_value(df: DataFrame, price_col: str = "price",
     """Absent flag -> price > threshold; present -> coerced int, bad -> 0."""
     if not has_column(df, flag_col):
         return (to_number(price_col, 0.0) > F.lit(threshold)).cast("int")
-    return to_number(flag_col, 0.0).cast("int")
+    return F.coalesce(to_number(flag_col, 0.0).try_cast("int"), F.lit(0))  # out of range counts as bad
 
 
 def flag_weekend(df: DataFrame, flag_col: str = "is_weekend") -> Column:
     if not has_column(df, flag_col):
         return F.lit(0)
-    return to_number(flag_col, 0.0).cast("int")
+    return F.coalesce(to_number(flag_col, 0.0).try_cast("int"), F.lit(0))  # out of range counts as bad
 
 
 def stream_high_value(price="price", flag="is_high_value", threshold: float = C.HIGH_VALUE_PRICE) -> Column:
@@ -205,51 +205,17 @@ def cohort_rewrite(df: DataFrame, cohorts: list[tuple[Column, dict]],
         if name not in touched:
             out.append(F.col(name))
     for name in touched:
+        base = F.col(name) if name in df.columns else F.lit(None)
         expr = None
-        for cond, spec in cohorts:
-            if name in spec:
-                expr = F.when(cond, spec[name]) if expr is None else expr.when(cond, spec[name])
-        base = otherwise.get(name, F.col(name) if name in df.columns else F.lit(None))
-        out.append((base if expr is None else expr.otherwise(base)).alias(name))
+        for cond, spec in cohorts:  # a cohort that leaves the column alone still takes the row
+            value = spec.get(name, base)
+            expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+        rest = otherwise.get(name, base)
+        out.append((rest if expr is None else expr.otherwise(rest)).alias(name))
     return df.select(*out)
 
 
-def producer_cohorts(index="step", cycle: int = 360) -> tuple[list, dict]:
-    """The stream producer's cycle rewrite: a stealth window and a drift burst.
-
-    Fixed values: cycle 360; stealth 150 <= pos < 220; drift pos >= 220.
-    """
-    pos = F.pmod(_c(index), F.lit(cycle))
-    stealth = (pos >= 150) & (pos < 220)
-    burst = pos >= 220
-
-    def spec(s: bool) -> dict:
-        return {
-            "price": round_half_up(F.col("price") * (1.45 if s else 2.35) + (35.0 if s else 120.0), 2),
-            "event_type": F.lit("cart" if s else "purchase"),
-            "device_type": F.lit("mobile"),
-            "channel": F.lit("affiliate" if s else "social"),
-            "country": F.lit("IN" if s else "BR"),
-            "shipping_speed": F.lit("overnight"),
-            "session_duration": F.greatest(F.col("session_duration") * (0.72 if s else 0.55), F.lit(8.0)),
-            "discount_pct": F.greatest(F.col("discount_pct") * (0.65 if s else 0.45), F.lit(0.0)),
-            "prior_chargebacks": F.col("prior_chargebacks").cast("long") + (1 if s else 2),
-            "merchant_risk_score": F.least(F.col("merchant_risk_score") + (0.14 if s else 0.28), F.lit(1.0)),
-            "account_age_days": F.greatest(F.floor(F.col("account_age_days").cast("long") / (3 if s else 5)),
-                                           F.lit(1)),
-            "cart_size": F.col("cart_size").cast("long") + (1 if s else 3),
-            "is_fraud": F.lit(True),
-        }
-    otherwise = {"is_fraud": F.coalesce(F.col("is_fraud").cast("boolean"), F.lit(False))}
-    return [(stealth, spec(True)), (burst, spec(False))], otherwise
-
-
 def hash_share(key, seed: int, share) -> Column:
     """Deterministic share of rows: pmod(xxhash64(key, seed), 10000) < share * 10000."""
     return F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(10000)) < (
         (share if isinstance(share, Column) else F.lit(float(share))) * F.lit(10000.0))
-
-
-def ramp_share(step="step", start: int = C.DRIFT_START, span: float = 400.0, cap: float = 0.5) -> Column:
-    """least((step - start) / span, cap) — a share that grows after drift start."""
-    return F.least((_c(step) - F.lit(start)).cast("double") / F.lit(span), F.lit(cap))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil import config as C
-from vigil.operators.sequence import prefix_sum
+from vigil.operators.sequence import attach, prefix_sum
 from vigil.session import cut_lineage
 
 
@@ -40,14 +40,8 @@ def _keys(keys) -> list[str]:
 
 # ------------------------------------------------------------------ quantiles
 
-# largest per-group distinct count for which Spark's exact ``percentile`` buffer
-# (one entry per distinct value of the group) is accepted; above it, or for a hot
-# key, the distributed ranking is used
-BUILTIN_MAX_DISTINCT = 1_000_000
-
-
 def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PSI_BUCKETS,
-                   method: str = "auto", accuracy: int = 100000) -> DataFrame:
+                   method: str = "exact", accuracy: int = 100000) -> DataFrame:
     """Inner edges (``buckets - 1`` linear-interpolated quantiles) per key.
 
     Returns ``keys + [edges array<double>, n long]``.  Outer edges are ±inf and
@@ -58,31 +52,16 @@ def quantile_edges(df: DataFrame, value_col: str, keys=None, buckets: int = C.PS
     return quantiles(df, value_col, qs, keys, method, accuracy, out_col="edges")
 
 
-def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method: str = "auto",
+def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method: str = "exact",
               accuracy: int = 100000, out_col: str = "quantiles") -> DataFrame:
     """Linear-interpolated quantiles ``qs`` of ``value_col`` per key (NULL/NaN dropped).
 
-    Returns ``keys + [out_col array<double>, n long]``.  Methods:
-    ``"auto"`` — size check first (``approx_count_distinct`` per key, one number
-    to the driver): Spark's exact ``percentile`` when every group's buffer is
-    bounded by ``BUILTIN_MAX_DISTINCT`` distinct values, else ``"exact"``;
-    ``"exact"`` — distributed ranking, no per-group buffer at all;
-    ``"approx"`` — ``percentile_approx`` sketch.
+    Returns ``keys + [out_col array<double>, n long]``; NULL keys are a key of
+    their own.  ``"exact"`` ranks distributed, with no per-group buffer;
+    ``"approx"`` is the ``percentile_approx`` sketch.
     """
     keys = _keys(keys)
     clean = df.where(valid_number(value_col)).select(*keys, F.col(value_col).cast("double").alias("_x"))
-    if method == "auto":
-        widest = clean.groupBy(*keys).agg(F.approx_count_distinct("_x").alias("_d")).agg(F.max("_d")).first()[0]
-        method = "builtin" if (widest or 0) <= BUILTIN_MAX_DISTINCT else "exact"
-    if method == "builtin":
-        # count per (key, value) first: that shuffle is spread over all values, and each
-        # group's percentile then merges at most its distinct values (weighted by count)
-        # instead of one partial value map from every input task
-        counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-        res = counts.groupBy(*keys).agg(
-            F.percentile("_x", F.array(*[F.lit(q) for q in qs]), F.col("_c")).alias(out_col),
-            F.sum("_c").alias("n"))
-        return cut_lineage(res)
     if method == "approx":
         return clean.groupBy(*keys).agg(
             F.percentile_approx("_x", F.array(*[F.lit(q) for q in qs]), accuracy).alias(out_col),
@@ -92,8 +71,7 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
     # 2. rank ranges per distinct value without one-task windows
     ranked = prefix_sum(counts, ["_x"], ["_c"], keys=keys, materialize=True)
     n = ranked.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))  # totals from the materialised running sums
-    ranked = ranked.join(n, on=keys, how="inner") if keys else \
-        ranked.withColumn("_n", n.select("_n").scalar())
+    ranked = attach(ranked, n, keys, ["_n"])
     # 0-based rank range covered by this value: [cum - c, cum - 1]
     lo_rank = F.col("_c_cum") - F.col("_c")
     hi_rank = F.col("_c_cum") - F.lit(1.0)
@@ -136,9 +114,7 @@ def bin_of(x, edges, n_inner: int = C.PSI_BUCKETS - 1) -> Column:
 
 
 def _attach_edges(df: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return df.join(edges.select(*keys, "edges"), on=keys, how="inner")
-    return df.withColumn("edges", edges.select("edges").scalar())
+    return attach(df, edges, keys, ["edges"])
 
 
 def bucket_histogram(df: DataFrame, value_col: str, edges: DataFrame, keys=None,
@@ -149,7 +125,7 @@ def bucket_histogram(df: DataFrame, value_col: str, edges: DataFrame, keys=None,
     binned = _attach_edges(clean, edges, keys).select(*keys, bin_of("_x", "edges").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cnt"))
     grid = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    full = grid.join(counts, on=[*keys, "bin"], how="left").fillna(0, subset=["cnt"])
+    full = attach(grid, counts, [*keys, "bin"], ["cnt"], "left").fillna(0, subset=["cnt"])
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     total = F.sum("cnt").over(w)
     return full.select(*keys, "bin", "cnt",
@@ -163,15 +139,20 @@ def psi_term(e_share: Column, a_share: Column, floor: float = C.PSI_FLOOR) -> Co
 
 
 def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=None,
-                   buckets: int = C.PSI_BUCKETS, method: str = "auto",
+                   buckets: int = C.PSI_BUCKETS, method: str = "exact",
                    edges: DataFrame | None = None) -> DataFrame:
     """Per key: ``psi``, ``n_expected``, ``n_actual``.  Empty side -> psi 0.
 
-    Keys are those of the expected side.  ``edges`` may be given (computed once
+    Keys are those of either side.  ``edges`` may be given (computed once
     and reused, e.g. saved as a table).
     """
     keys = _keys(keys)
     edges = edges if edges is not None else quantile_edges(expected, value_col, keys, buckets, method)
+    if keys:  # keys without a baseline have no edges but get their row
+        seen = actual.where(valid_number(value_col)).select(*keys).distinct().withColumn("_new", F.lit(True))
+        known = edges.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
+        only = seen.join(known, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], "left_anti")
+        edges = edges.select(*keys, "edges").unionByName(only.select(*keys, F.lit(None).cast("array<double>").alias("edges")))
     tagged = (expected.select(*keys, F.col(value_col).alias("_x"), F.lit(0).alias("_side"))
               .unionByName(actual.select(*keys, F.col(value_col).alias("_x"), F.lit(1).alias("_side")))
               .where(valid_number("_x")))
@@ -180,7 +161,7 @@ def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=
         F.count_if(F.col("_side") == 0).alias("e_cnt"),
         F.count_if(F.col("_side") == 1).alias("a_cnt"))
     grid = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    full = grid.join(counts, on=[*keys, "bin"], how="left").fillna(0, subset=["e_cnt", "a_cnt"])
+    full = attach(grid, counts, [*keys, "bin"], ["e_cnt", "a_cnt"], "left").fillna(0, subset=["e_cnt", "a_cnt"])
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     n_e, n_a = F.sum("e_cnt").over(w), F.sum("a_cnt").over(w)
     full = full.select(*keys, "bin", "e_cnt", "a_cnt", n_e.alias("n_expected"), n_a.alias("n_actual"))
@@ -199,7 +180,7 @@ def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=
 
 
 def psi(df: DataFrame, value_col: str, is_current: Column, keys=None,
-        buckets: int = C.PSI_BUCKETS, method: str = "auto") -> DataFrame:
+        buckets: int = C.PSI_BUCKETS, method: str = "exact") -> DataFrame:
     """PSI of one column between the rows where ``is_current`` is false (baseline)
     and true (current)."""
     return psi_from_sides(df.where(~is_current), df.where(is_current), value_col, keys, buckets, method)
@@ -216,7 +197,7 @@ def to_long(df: DataFrame, features: list[str], keys=None, value_name: str = "va
 
 def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | None = None,
                keys=None, buckets: int = C.PSI_BUCKETS, threshold: float = C.PSI_ALERT,
-               min_rows: int = C.PSI_MIN_ROWS, method: str = "auto") -> DataFrame:
+               min_rows: int = C.PSI_MIN_ROWS, method: str = "exact") -> DataFrame:
     """Mean PSI over the monitored features, alert ``mean > threshold``.
 
     Features absent from either side or empty on either side are skipped; keys
@@ -232,7 +213,7 @@ def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | No
                                       F.count(F.lit(1)).alias("n_features"))
     n_cur = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_current"))
     if keys:
-        rep = n_cur.join(summary, on=keys, how="left")
+        rep = attach(n_cur, summary, keys, ["psi_mean", "n_features"], "left")
     else:
         both = summary.select(F.struct("psi_mean", "n_features")).scalar()  # one subquery, not two
         rep = n_cur.select("n_current", both["psi_mean"].alias("psi_mean"), both["n_features"].alias("n_features"))
@@ -303,18 +284,18 @@ def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None)
     """Two-sample KS statistic (max CDF gap) and asymptotic p per key.
 
     Counts per distinct value and side, running sums in value order via
-    ``prefix_sum`` (no one-task window), gap at every distinct value.
+    ``prefix_sum`` (no one-task window), gap at every distinct value.  A missing
+    current value counts as 0, a missing baseline value is left out.
     """
     keys = _keys(keys)
-    clean = df.where(valid_number(value_col)).select(*keys, F.col(value_col).cast("double").alias("_x"),
-                                                     is_current.alias("_cur"))
+    x = F.col(value_col).cast("double")
+    filled = F.when(is_current & ~valid_number(x), F.lit(0.0)).otherwise(x)
+    clean = df.select(*keys, filled.alias("_x"), is_current.alias("_cur")).where(valid_number("_x"))
     counts = clean.groupBy(*keys, "_x").agg(F.count_if(~F.col("_cur")).cast("double").alias("_ca"),
                                             F.count_if(F.col("_cur")).cast("double").alias("_cb"))
     cum = prefix_sum(counts, ["_x"], ["_ca", "_cb"], keys=keys, materialize=True)
     n = cum.groupBy(*keys).agg(F.max("_ca_cum").alias("n_expected"), F.max("_cb_cum").alias("n_actual"))
-    cum = cum.join(n, on=keys, how="inner") if keys else \
-        cum.withColumn("n_expected", n.select("n_expected").scalar()) \
-           .withColumn("n_actual", n.select("n_actual").scalar())
+    cum = attach(cum, n, keys, ["n_expected", "n_actual"])
     gap = F.abs(F.col("_ca_cum") / F.col("n_expected") - F.col("_cb_cum") / F.col("n_actual"))
     stat = cum.where((F.col("n_expected") > 0) & (F.col("n_actual") > 0)).groupBy(*keys).agg(
         F.max(gap).alias("ks_stat"), F.max("n_expected").alias("n_expected"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import config as C
-from vigil.operators.rolling import stage_changes, stage_of_step
+from vigil.operators.rolling import stage_changes, stage_of_step, with_detection
 
 JOB_FIELDS = ["start_time", "status", "champion_f1", "challenger_f1", "decision", "shap_path",
               "psi_score", "ks_stat", "ks_p", "adwin_change"]
@@ -32,7 +32,7 @@ def job_current(events: DataFrame, job_key: str = "job_id", order_cols=("event_t
 def job_expire(jobs: DataFrame, now: Column, timeout_seconds: int = C.JOB_TIMEOUT_SECONDS) -> DataFrame:
     """Unfinished jobs that started more than ``timeout`` before ``now`` become FAILED /
     ORPHANED_TIMEOUT."""
-    unfinished = ~F.coalesce(F.col("status").isin(C.FINISHED_JOB_STATES), F.lit(False))
+    unfinished = F.coalesce(~F.col("status").isin(C.FINISHED_JOB_STATES), F.lit(False))  # a NULL status is no job
     stale = F.col("start_time") < (now - F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS"))
     hit = unfinished & F.coalesce(stale, F.lit(False))
     # one select: both new values read the *old* status
@@ -47,7 +47,7 @@ def job_gate(jobs: DataFrame, now: Column, psi: Column, change: Column, keys=Non
     COOLDOWN; else OPEN a PENDING job carrying the PSI and the change flag."""
     keys = list(keys or [])
     exp = job_expire(jobs, now, timeout_seconds)
-    active = ~F.coalesce(F.col("status").isin(C.FINISHED_JOB_STATES), F.lit(False))
+    active = F.coalesce(~F.col("status").isin(C.FINISHED_JOB_STATES), F.lit(False))
     agg = exp.groupBy(*keys).agg(F.count_if(active).alias("active_jobs"),
                                  F.max("start_time").alias("last_start"))
     since = F.unix_timestamp(now) - F.unix_timestamp(F.col("last_start"))
@@ -123,39 +123,29 @@ def run_flatten(runs: DataFrame, metric_prefix: str = "baseline_") -> DataFrame:
         F.size(prefixed).alias("baseline_metric_count"))
 
 
-def live_status(frame: DataFrame, keys=None, step: str = "step", recurring=None) -> DataFrame:
-    """Latest step's state per key, with the dashboard's status labels."""
+def live_status(frame: DataFrame, keys=None, step: str = "step") -> DataFrame:
+    """Latest step's state per key: stage and labels from the measured PSI and the model in use."""
     keys = list(keys or [])
-    last = frame.groupBy(*keys).agg(F.max_by(F.struct(F.col(step).alias("s"), "psi", "f1", "model"),
-                                             F.col(step)).alias("x"))
-    s, model = F.col("x.s"), F.col("x.model")
-    rec = recurring if recurring is not None else F.lit(False)
+    marked = with_detection(frame, step, "psi", keys)
+    last = marked.groupBy(*keys).agg(F.max_by(F.struct(F.col(step).alias("s"), "psi", "f1", "model", "detected"),
+                                              F.col(step)).alias("x"))
+    model, replaced = F.col("x.model"), F.col("x.model") != "champion"
     return last.select(
-        *keys, s.alias("step"), F.col("x.psi").alias("psi"), F.col("x.f1").alias("f1"),
-        F.when(model == "challenger_v2", F.lit("Challenger (V2)")).when(model == "challenger", F.lit("Challenger"))
-         .otherwise(F.lit("Champion")).alias("active_model"),
-        stage_of_step(s, rec).alias("stage"),
-        F.when(s >= C.RETRAIN_TRIGGER, F.lit("Detected")).otherwise(F.lit("Monitoring")).alias("detection_status"),
-        F.when(s >= C.MODEL_DEPLOYED, F.lit("Deployed")).otherwise(F.lit("Champion Active")).alias("deployment_status"),
-        F.when(F.col("x.psi") >= 0.2, F.lit("CRITICAL")).otherwise(F.lit("STABLE")).alias("drift_status"),
-        F.when(model.startswith("challenger"), F.lit("v1.1 (Challenger)")).otherwise(F.lit("v1.0 (Champion)"))
-         .alias("model_version"))
-
-
-def event_trace(df: DataFrame, keys=None, step: str = "step", time_col: str = "event_time",
-                recurring=None, component: str = "monitor") -> DataFrame:
-    """Trace lines at each stage change: 'HH:mm:ss | component | stage | step=n | RUNNING | reason'."""
+        *keys, F.col("x.s").alias("step"), F.col("x.psi").alias("psi"), F.col("x.f1").alias("f1"),
+        model.alias("active_model"), stage_of_step(F.col("x.s"), F.col("x.psi"), F.col("x.detected")).alias("stage"),
+        F.col("x.detected").alias("detected_step"),
+        F.when(F.col("x.detected").isNotNull(), F.lit("Detected")).otherwise(F.lit("Monitoring")).alias("detection_status"),
+        F.when(replaced, F.lit("Deployed")).otherwise(F.lit("Champion Active")).alias("deployment_status"),
+        F.when(F.col("x.psi") >= 0.2, F.lit("CRITICAL")).otherwise(F.lit("STABLE")).alias("drift_status"))
+
+
+def event_trace(frame: DataFrame, keys=None, step: str = "step", time_col: str = "event_time",
+                component: str = "monitor") -> DataFrame:
+    """Trace lines at each change of the measured stage: 'HH:mm:ss | component | stage | step=n | reason'."""
     keys = list(keys or [])
-    rec = recurring if recurring is not None else F.lit(False)
-    staged = df.select(*keys, step, time_col, stage_of_step(step, rec).alias("stage"))
+    staged = with_detection(frame, step, "psi", keys).select(*keys, step, time_col, stage_of_step(step).alias("stage"))
     changes = stage_changes(staged, "stage", step=step, keys=keys)
-    reason = F.lit("status update")
-    expr = None
-    for stage, why in C.STAGE_REASONS.items():
-        expr = F.when(F.col("stage") == stage, F.lit(why)) if expr is None else \
-            expr.when(F.col("stage") == stage, F.lit(why))
-    reason = expr.when(F.col(step) == 0, F.lit("scenario started")).otherwise(reason)
+    reasons = F.create_map(*[F.lit(x) for pair in C.STAGES.items() for x in pair])
     line = F.concat_ws(" | ", F.date_format(time_col, "HH:mm:ss"), F.lit(component), F.col("stage"),
-                       F.concat(F.lit("step="), F.col(step).cast("string")), F.lit("RUNNING"), reason)
-    return changes.select(*keys, F.col(step).alias("seq") if step != "seq" else F.col("seq"), "stage",
-                          line.alias("line"))
+                       F.concat(F.lit("step="), F.col(step).cast("string")), F.try_element_at(reasons, F.col("stage")))
+    return changes.select(*keys, F.col(step).alias("seq"), "stage", line.alias("line"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.sequence import prefix_sum
+from vigil.operators.sequence import attach, prefix_sum
 
 # numpy.arange(0.01, 1.0, 0.01) fills start + i * step: the same doubles
 GRID = [0.01 + i * 0.01 for i in range(99)]
@@ -76,9 +76,7 @@ def _totals(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    if keys:
-        return df.join(small, on=keys, how="inner")
-    return df.withColumns({c: small.select(c).scalar() for c in cols})
+    return attach(df, small, keys, cols)
 
 
 def cumulative_from_top(df: DataFrame, score: str, label: str, keys=None) -> DataFrame:
@@ -160,6 +158,7 @@ def grid_index(score: str) -> Column:
     """
     p = F.col(score)
     base = F.least(F.greatest(F.floor(p * F.lit(100.0)) - F.lit(2), F.lit(0)), F.lit(len(GRID))).cast("int")
+    base = F.when(F.isnan(p), F.lit(len(GRID))).otherwise(base)  # NaN is above every number
     idx = base
     for j in range(4):
         cand = base + F.lit(j)
@@ -181,7 +180,7 @@ def threshold_curve(df: DataFrame, score: str, label: str, keys=None) -> DataFra
     tot = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     grid = tot.select(*keys, "P", "N", F.posexplode(F.array(*[F.lit(t) for t in GRID])).alias("i", "threshold"))
     at = pts.groupBy(*keys, "i").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    full = grid.join(at, on=[*keys, "i"], how="left").fillna(0, subset=["tp", "fp"])
+    full = attach(grid, at, [*keys, "i"], ["tp", "fp"], "left").fillna(0, subset=["tp", "fp"])
     fn = F.col("P") - F.col("tp")
     return full.select(*keys, "i", "threshold", "tp", "fp", fn.alias("fn"),
                        safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -220,11 +219,7 @@ def best_f1_all_thresholds(df: DataFrame, score: str, label: str, keys=None) ->
                            for i in range(3)])
     fixed = fixed.select(*keys, f_fixed.alias("f1_fixed"), "P", "N")
     auc = roc_auc(df, score, label, keys).select(*keys, "roc_auc")
-    if keys:
-        out = fixed.join(at_scores, on=keys, how="left").join(auc, on=keys, how="left")
-    else:
-        out = fixed.withColumn("f1_scores", at_scores.select("f1_scores").scalar()) \
-                   .withColumn("roc_auc", auc.select("roc_auc").scalar())
+    out = attach(attach(fixed, at_scores, keys, ["f1_scores"], "left"), auc, keys, ["roc_auc"], "left")
     one_class = (F.col("P") == 0) | (F.col("N") == 0)
     return out.select(*keys,
                       F.when(one_class, F.lit(0.0)).otherwise(F.greatest("f1_fixed", "f1_scores")).alias("best_f1"),

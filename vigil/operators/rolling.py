@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vigil import config as C
 from vigil.operators.drift import bin_of, quantile_edges, to_long, valid_number
 from vigil.operators.metrics import f1_expr, safe_div
-from vigil.operators.sequence import halo_window, prefix_sum
+from vigil.operators.sequence import attach, halo_window, prefix_sum
 from vigil.session import cut_lineage
 
 
@@ -40,25 +40,27 @@ def model_timeline(df: DataFrame, changes: DataFrame, step: str = "step", keys=N
     keys = _keys(keys)
     per_key = changes.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(F.col("change_step").alias("s"), *[F.col(c).alias(c) for c in value_cols]))).alias("_chg"))
-    joined = df.join(per_key, on=keys, how="left") if keys else \
-        df.withColumn("_chg", per_key.select("_chg").scalar())
+    joined = attach(df, per_key, keys, ["_chg"], "left")
     stp = F.col(step)
     last = F.element_at(F.filter(F.coalesce(F.col("_chg"), F.array()), lambda c: c["s"] < stp), -1)
     return joined.select(*[F.col(c) for c in df.columns],
                          *[last[c].alias(c) for c in value_cols])
 
 
-def stage_of_step(step="step", recurring=False) -> Column:
-    """step -> pipeline stage; a recurring series has a second cycle."""
-    s = F.col(step) if isinstance(step, str) else step
-    rec = recurring if isinstance(recurring, Column) else F.lit(bool(recurring))
-    expr = None
-    for lo, hi, name in C.STAGE_RANGES:
-        cond = (s >= lo) & (s < hi)
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    for lo, hi, name in C.RECURRING_STAGE_RANGES:
-        expr = expr.when(rec & (s >= lo) & (s < hi), F.lit(name))
-    return expr.otherwise(F.lit("Recovered"))
+def with_detection(frame: DataFrame, step: str = "step", psi: str = "psi", keys=None, window: int = C.WINDOW_SIZE,
+                   threshold: float = C.PSI_ALERT) -> DataFrame:
+    """Adds ``detected``: each series' first step with a full window and PSI over the threshold (NULL if none)."""
+    keys = _keys(keys)
+    first = frame.groupBy(*keys).agg(F.min(F.when((F.col(psi) > threshold) & (F.col(step) >= window), F.col(step))).alias("detected"))
+    return attach(frame, first, keys, ["detected"], "left")
+
+
+def stage_of_step(step="step", psi="psi", detected="detected", window: int = C.WINDOW_SIZE,
+                  threshold: float = C.PSI_ALERT) -> Column:
+    """The measured stage of a row (names of ``config.STAGES``)."""
+    s, p, d = (F.col(c) if isinstance(c, str) else c for c in (step, psi, detected))
+    return (F.when(s < window, F.lit("Warm-up")).when(d.isNull() | (s < d), F.lit("Monitoring"))
+            .when(s == d, F.lit("Drift Detected")).when(p > threshold, F.lit("Drift Active")).otherwise(F.lit("Recovered")))
 
 
 def stage_progress(stage_col: str = "stage") -> Column:
@@ -66,89 +68,37 @@ def stage_progress(stage_col: str = "stage") -> Column:
 
     An unknown stage marks every stage future.
     """
-    order = F.array(*[F.lit(s) for s in C.PIPELINE_STAGES])
+    order = F.array(*[F.lit(s) for s in C.STAGES])
     cur = F.array_position(order, F.col(stage_col))  # 0 when unknown
-    return F.transform(order, lambda s, i: F.struct(
-        s.alias("stage"),
-        F.when(cur == 0, F.lit("future")).when(i + 1 < cur, F.lit("done"))
-         .when(i + 1 == cur, F.lit("active")).otherwise(F.lit("future")).alias("state")))
+    state = lambda i: F.when((cur == 0) | (i + 1 > cur), F.lit("future")).when(i + 1 == cur, F.lit("active")).otherwise(F.lit("done"))
+    return F.transform(order, lambda s, i: F.struct(s.alias("stage"), state(i).alias("state")))
 
 
 # ------------------------------------------------------------------ rolling windows
 
 def rolling_confusion(df: DataFrame, score: str, label: str, threshold: str, step: str = "step",
-                      keys=None, window: int = C.WINDOW_SIZE, chunk_rows: int = 1 << 16,
-                      max_slots: int = 8) -> DataFrame:
+                      keys=None, window: int = C.WINDOW_SIZE, chunk_rows: int = 1 << 14) -> DataFrame:
     """Confusion counts over the last ``window`` rows (incl. current) at the row's own threshold.
 
-    Rows with step < window get zeros.  The current threshold is applied to the
-    whole window.  Thresholds follow a timeline, so a series has only a few
-    distinct values: each one gets a slot with running counts of ``p >= t_slot``
-    (running count minus its lag ``window`` rows back, O(1) per row), and each
-    row reads its own slot.  A series with more than ``max_slots`` distinct
-    thresholds falls back to carrying the window's (p, y) pairs.
+    Rows with step < window, and rows without a threshold, get zeros.  The current
+    threshold is applied to the whole window, so the window carries its scores, those of
+    the positive and of the negative rows; the same for any number of thresholds.  NULL
+    scores are in no cell; NaN scores count as positive predictions.
     """
     keys = _keys(keys)
-    ths = df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(threshold).cast("double"))).alias("_ths"))
-    slots = ths.agg(F.max(F.size("_ths"))).first()[0] or 0  # one number: the widest timeline
-    if slots > max_slots:
-        return _rolling_confusion_pairs(df, score, label, threshold, step, keys, window, chunk_rows)
-    work = df.join(ths, on=keys, how="left") if keys else df.withColumn("_ths", ths.select("_ths").scalar())
-    work = work.withColumn("_slot", F.array_position("_ths", F.col(threshold).cast("double")))
-    p, y = F.col(score), F.col(label)
-
-    def ind(cond):
-        return F.when(F.coalesce(cond, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-
-    def build(frame: DataFrame, w: Window) -> DataFrame:
-        base = Window.partitionBy(*keys, "_chunk").orderBy(step)
-        run = base.rowsBetween(Window.unboundedPreceding, 0)
-        scored = p.isNotNull()  # NULL scores are in no cell (as with the pair path)
-        cums = {"_cP": F.sum(ind(scored & (y == 1))).over(run), "_cN": F.sum(ind(scored & (y == 0))).over(run)}
-        for j in range(slots):
-            t = F.try_element_at(F.col("_ths"), F.lit(j + 1))  # NULL past a short timeline
-            cums[f"_cT{j}"] = F.sum(ind((p >= t) & (y == 1))).over(run)
-            cums[f"_cF{j}"] = F.sum(ind((p >= t) & (y == 0))).over(run)
-        frame = frame.withColumns(cums)
-        return frame.withColumns({c.replace("_c", "_w", 1): F.col(c) - F.lag(c, window, 0).over(base) for c in cums})
-
-    out = halo_window(work, step, window, build, keys=keys, chunk_rows=chunk_rows)
-
-    def pick(prefix: str) -> Column:
-        expr = None
-        for j in range(slots):
-            cond = F.col("_slot") == j + 1
-            expr = F.when(cond, F.col(f"{prefix}{j}")) if expr is None else expr.when(cond, F.col(f"{prefix}{j}"))
-        return F.coalesce(expr, F.lit(0)) if expr is not None else F.lit(0)
-
-    tp, fp = pick("_wT"), pick("_wF")
-    known = F.col("_slot").isNotNull() & (F.col("_slot") > 0)
-    warm = (F.col(step) >= F.lit(window)) & known
-    z = F.lit(0)
-    return out.select(*[F.col(c) for c in df.columns],
-                      F.when(warm, F.col("_wN") - fp).otherwise(z).alias("tn"),
-                      F.when(warm, fp).otherwise(z).alias("fp"),
-                      F.when(warm, F.col("_wP") - tp).otherwise(z).alias("fn"),
-                      F.when(warm, tp).otherwise(z).alias("tp"))
+    p, y = F.col(score).cast("double"), F.col(label)
 
-
-def _rolling_confusion_pairs(df: DataFrame, score: str, label: str, threshold: str, step: str,
-                             keys: list[str], window: int, chunk_rows: int) -> DataFrame:
-    """Fallback for thresholds that vary freely: the window carries its (p, y) pairs."""
     def build(frame: DataFrame, w: Window) -> DataFrame:
-        pairs = F.collect_list(F.struct(F.col(score).alias("p"), F.col(label).alias("y"))).over(w)
-        return frame.withColumn("_w", pairs)
+        return frame.withColumns({"_pos": F.collect_list(F.when(y == 1, p)).over(w),
+                                  "_neg": F.collect_list(F.when(y == 0, p)).over(w)})
 
-    t = F.col(threshold)
+    t = F.col(threshold).cast("double")
     out = halo_window(df, step, window, build, keys=keys, chunk_rows=chunk_rows)
-
-    def cnt(pred_pos: bool, y: int) -> Column:
-        return F.size(F.filter("_w", lambda e: ((e["p"] >= t) if pred_pos else ~(e["p"] >= t)) & (e["y"] == y)))
-
-    warm = F.col(step) >= F.lit(window)
+    out = out.withColumns({"_tp": F.size(F.filter("_pos", lambda s: s >= t)), "_fp": F.size(F.filter("_neg", lambda s: s >= t))})
+    warm = (F.col(step) >= F.lit(window)) & t.isNotNull()
+    cells = {"tn": F.size("_neg") - F.col("_fp"), "fp": F.col("_fp"), "fn": F.size("_pos") - F.col("_tp"), "tp": F.col("_tp")}
     return out.select(*[F.col(c) for c in df.columns],
-                      *[F.when(warm, cnt(pp, yy)).otherwise(F.lit(0)).alias(n)
-                        for n, pp, yy in (("tn", False, 0), ("fp", True, 0), ("fn", False, 1), ("tp", True, 1))])
+                      *[F.when(warm, c).otherwise(F.lit(0)).alias(n) for n, c in cells.items()])
 
 
 def rolling_metrics(conf: DataFrame) -> DataFrame:
@@ -159,7 +109,7 @@ def rolling_metrics(conf: DataFrame) -> DataFrame:
 
 
 def baseline_edges(baseline: DataFrame, features: list[str], buckets: int = C.PSI_BUCKETS,
-                   method: str = "auto") -> DataFrame:
+                   method: str = "exact") -> DataFrame:
     """(feature, edges, shares) of a static baseline: computed once, reused by every window."""
     long = to_long(baseline, features)
     edges = quantile_edges(long, "value", keys=["feature"], buckets=buckets, method=method)
@@ -174,12 +124,12 @@ def baseline_edges(baseline: DataFrame, features: list[str], buckets: int = C.PS
 
 def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: str = "step", keys=None,
                 window: int = C.WINDOW_SIZE, buckets: int = C.PSI_BUCKETS, floor: float = C.PSI_FLOOR,
-                chunk_rows: int = 1 << 16, edges: DataFrame | None = None) -> DataFrame:
+                chunk_rows: int = 1 << 14, edges: DataFrame | None = None) -> DataFrame:
     """Mean PSI of ``features`` over the last ``window`` rows vs a static baseline.
 
     Rows are binned once against the baseline edges (one small row per
-    feature, attached as scalar subqueries); the window then sums ten bin
-    indicators per feature.  Steps < window get 0.  NULL/NaN values are left
+    feature, attached as scalar subqueries); the window then sums one packed bin
+    indicator per feature.  Steps < window get 0.  NULL/NaN values are left
     out of their feature's window share (the window length is the valid count).
     """
     keys = _keys(keys)
@@ -194,36 +144,41 @@ def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: s
         binned = binned.withColumn(f"_s_{f}", F.col("_ed")[f]["shares"])
     binned = binned.drop("_ed")
 
+    # all bin counts of a feature's window fit into few whole numbers: a count needs `bits` bits, so a
+    # row adds one bit pattern and the window is one sum per number
+    bits = window.bit_length()
+    per_word = 63 // bits
+    words = -(-buckets // per_word)
+
     def build(frame: DataFrame, w: Window) -> DataFrame:
-        # window count = running count - running count `window` rows back: an
-        # incremental running sum and a lag, O(1) per row instead of O(window).
-        # Inside a chunk the halo holds exactly window-1 earlier rows, so the lag
-        # default 0 is right at the chunk's first own row.
-        base = Window.partitionBy(*keys, "_chunk").orderBy(step)
-        run = base.rowsBetween(Window.unboundedPreceding, 0)
-        cum = {f"_c_{f}_{b}": F.sum(F.when(F.col(f"_b_{f}") == b, F.lit(1)).otherwise(F.lit(0))).over(run)
-               for f in features for b in range(buckets)}
-        frame = frame.withColumns(cum)
-        return frame.withColumns({f"_n_{f}_{b}": F.col(f"_c_{f}_{b}") - F.lag(f"_c_{f}_{b}", window, 0).over(base)
-                                  for f in features for b in range(buckets)})
+        sums = {}
+        for f in features:
+            b = F.col(f"_b_{f}")
+            for k in range(words):
+                here = b.between(k * per_word, (k + 1) * per_word - 1)
+                one = F.call_function("shiftleft", F.lit(1).cast("long"), ((b - F.lit(k * per_word)) * F.lit(bits)).cast("int"))
+                sums[f"_w_{f}_{k}"] = F.sum(F.when(here, one).otherwise(F.lit(0).cast("long"))).over(w)
+        return frame.withColumns(sums)
 
     out = halo_window(binned, step, window, build, keys=keys, chunk_rows=chunk_rows)
-    # staged projections: window total, then shares, then terms (no repeated sub-trees)
-    out = out.withColumns({f"_t_{f}": sum((F.col(f"_n_{f}_{b}") for b in range(buckets)), F.lit(0))
-                           for f in features})
-    shares = {}
+    mask = F.lit((1 << bits) - 1).cast("long")
+    counts = {}
     for f in features:
-        for b in range(buckets):
-            a = F.when(F.col(f"_t_{f}") > 0, F.col(f"_n_{f}_{b}") / F.col(f"_t_{f}"))
-            e = F.element_at(F.col(f"_s_{f}"), b + 1)
-            shares[f"_a_{f}_{b}"] = F.when(a == 0, F.lit(floor)).otherwise(a)
-            shares[f"_e_{f}_{b}"] = F.when(e == 0, F.lit(floor)).otherwise(e)
-    out = out.withColumns(shares)
+        cells = [F.shiftright(F.col(f"_w_{f}_{b // per_word}"), (b % per_word) * bits).bitwiseAND(mask) for b in range(buckets)]
+        counts[f"_n_{f}"] = F.array(*cells)
+    out = out.withColumns(counts)
+    out = out.withColumns({f"_t_{f}": F.aggregate(f"_n_{f}", F.lit(0).cast("long"), lambda a, x: a + x) for f in features})
     per_feature = []
     for f in features:
-        terms = [(F.col(f"_a_{f}_{b}") - F.col(f"_e_{f}_{b}")) * F.ln(F.col(f"_a_{f}_{b}") / F.col(f"_e_{f}_{b}"))
-                 for b in range(buckets)]
-        per_feature.append(F.when(F.col(f"_t_{f}") > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0)))
+        n, total = F.col(f"_n_{f}"), F.col(f"_t_{f}")
+
+        def term(x, e):
+            share = F.when(x == 0, F.lit(floor)).otherwise(x / total)
+            base = F.when(e == 0, F.lit(floor)).otherwise(e)
+            return (share - base) * F.ln(share / base)
+
+        psi = F.aggregate(F.zip_with(n, F.col(f"_s_{f}"), term), F.lit(0.0), lambda a, x: a + x)
+        per_feature.append(F.when(total > 0, psi).otherwise(F.lit(0.0)))
     mean = sum(per_feature[1:], per_feature[0]) / F.lit(float(len(features)))
     warm = F.col(step) >= F.lit(window)
     return out.select(*[F.col(c) for c in df.columns],
@@ -265,11 +220,12 @@ def rank_pct(df: DataFrame, value_col: str, keys=None, out_col: str | None = Non
     counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     cum = prefix_sum(counts, ["_v"], ["_c"], keys=keys, materialize=True)
     n = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
-    cum = cum.join(n, on=keys, how="inner") if keys else cum.withColumn("_n", n.select("_n").scalar())
+    cum = attach(cum, n, keys, ["_n"])
     # average rank of the tie group: below + (c + 1) / 2
     ranks = cum.select(*keys, "_v", ((F.col("_c_cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / 2)
                                      / F.col("_n")).alias(out_col))
-    return df.withColumn("_v", v).join(ranks, on=[*keys, "_v"], how="left").drop("_v")
+    ranks = ranks.select(*keys, "_v", out_col)
+    return attach(df.withColumn("_v", v), ranks, [*keys, "_v"], [out_col], "left").drop("_v")
 
 
 def pseudo_label(df: DataFrame, keys=None, label: str = "is_fraud", out_col: str = "label_used") -> DataFrame:
@@ -294,11 +250,7 @@ def pseudo_label(df: DataFrame, keys=None, label: str = "is_fraud", out_col: str
     work = work.withColumn("fallback_score", score)
     med = quantiles(work, "fallback_score", [0.5], keys=keys, out_col="_m").select(*keys, F.col("_m")[0].alias("_med"))
     classes = df.groupBy(*keys).agg(F.countDistinct(F.coalesce(F.col(label), F.lit(0))).alias("_classes"))
-    if keys:
-        work = work.join(med, on=keys, how="left").join(classes, on=keys, how="left")
-    else:
-        work = work.withColumn("_med", med.select("_med").scalar()) \
-                   .withColumn("_classes", classes.select("_classes").scalar())
+    work = attach(attach(work, med, keys, ["_med"], "left"), classes, keys, ["_classes"], "left")
     work = work.withColumn("pseudo_label", (F.col("fallback_score") >= F.col("_med")).cast("int"))
     work = work.withColumn(out_col, F.when(F.col("_classes") < 2, F.col("pseudo_label"))
                            .otherwise(F.coalesce(F.col(label), F.lit(0)).cast("int")))

@@ -4,12 +4,9 @@ A plain ``Window.orderBy(...)`` without ``partitionBy`` (or partitioned by a
 key that holds a third of all rows) moves the whole series into one task.
 The two helpers here keep the work spread over all partitions:
 
-* ``prefix_sum`` — range-partition the rows by (keys, order), take running
-  sums inside every partition (vectorised pandas over Arrow batches),
-  checkpoint that result once (range bounds are sampled per evaluation, so
-  both uses must read the same copy), add the totals of earlier partitions.  The offsets table has at most one row
-  per partition boundary, so broadcasting it is bounded by the partition
-  count, not by the data.
+* ``prefix_sum`` — cut the order into blocks whose bounds follow the data
+  (approximate quantiles of the first order column), run a window per (key,
+  block), and add the totals of earlier blocks from a small (key, block) table.
 * ``halo_window`` — cut a dense sequence into fixed-size chunks, copy the
   last ``size - 1`` rows of every chunk into the next one (the halo), run the
   trailing window per (key, chunk), and drop the copies.  Window partitions
@@ -20,171 +17,95 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark import StorageLevel
 
 from vigil.session import cut_lineage
 
-
-def _default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-# value-range blocks: target rows per (key, block) window partition, and the largest
-# block accepted (checked on the block totals) before the range-partition path is used
-BLOCK_ROWS = 1 << 20
-BLOCK_MAX_ROWS = 1 << 23
-# offsets tables up to this many (key, block) rows are broadcast, larger ones shuffle-joined
-OFFSETS_BROADCAST_ROWS = 1 << 21
+BLOCK_ROWS = 1 << 20   # rows a (key, block) window should hold, about
+KNOTS = 256            # approximate quantiles that steer the block bounds
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:
+    """``cols`` of a table with one row per key, beside every row of ``df``.  NULL keys match each other;
+    without keys the single row comes as scalar subqueries."""
+    if not keys:
+        return df.withColumns({c: small.select(c).scalar() for c in cols})
+    named = small.select(*[F.col(k).alias(f"_at_{k}") for k in keys], *cols)
+    cond = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    return df.join(named, cond, how).select(*df.columns, *cols)
+
+
+def _as_number(df: DataFrame, order: str) -> Column:
+    """A double that never falls where the column rises (ties are allowed): what blocks are cut by."""
+    kind, c = df.schema[order].dataType, F.col(order)
+    if isinstance(kind, T.StringType):  # the first six bytes
+        return F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def _block(x: Column, n: int, knots: list[float]) -> Column:
+    """Block number of ``x``: NULL first, then -inf, quantile intervals, and inf and NaN last.  An interval
+    holds about 1 / KNOTS of the rows and is cut into equal parts if more blocks than that are wanted."""
+    inner = max(1, -(-n // KNOTS))
+    bounds = F.array(*[F.lit(float(k)) for k in knots])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((len(knots) - 1).bit_length()))])
+    # the last knot that is not above x, by halving (0-based)
+    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.try_element_at(bounds, i + s + F.lit(1)) <= x, F.lit(False)), i + s).otherwise(i))
+    placed = F.struct(at.alias("i"))
+    low = F.element_at(bounds, placed["i"] + F.lit(1))
+    high = F.coalesce(F.try_element_at(bounds, placed["i"] + F.lit(2)), low)
+    part = F.when(high > low, F.least(F.greatest(F.floor((x - low) / (high - low) * F.lit(inner)), F.lit(0)), F.lit(inner - 1))).otherwise(F.lit(0))
+    last = F.lit(len(knots) * inner)
+    return (F.when(x.isNull(), F.lit(-2)).when(x == F.lit(float("-inf")), F.lit(-1))
+            .when(F.isnan(x) | (x == F.lit(float("inf"))), last)
+            .otherwise(placed["i"] * F.lit(inner) + part)).cast("long")
 
 
 def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
-               keys: list[str] | None = None, out_suffix: str = "_cum",
-               num_partitions: int | None = None, how: str = "sum",
+               keys: list[str] | None = None, out_suffix: str = "_cum", how: str = "sum",
                block_rows: int = BLOCK_ROWS, materialize: bool = False) -> DataFrame:
     """Inclusive running sums (``how="sum"``) or maxima (``how="max"``) of
-    ``value_cols`` per ``keys`` in ``order_cols`` order.
+    ``value_cols`` per ``keys`` in ``order_cols`` order (ascending, NULLs first).
 
     ``order_cols`` must give a total order within a key (add an id tiebreak).
     Adds one column ``<value><out_suffix>`` per value column.  NULLs count as
-    0 for sums and are skipped for maxima.
-
-    One numeric order column: value-range blocks, all JVM-side (see
-    ``_prefix_sum_blocked``); otherwise, or when a block is too large, the
-    range-partitioned path below.  ``materialize=True`` writes the input once
-    first (for inputs that are aggregates or long pipelines, which the blocked
-    path would otherwise evaluate three times).
+    0 for sums and are skipped for maxima; NULL keys are a key of their own.
+
+    Blocks are cut by the first order column and ordered by all of them.  Their
+    bounds follow approximate quantiles, so outliers do not empty the other
+    blocks; only rows that tie on the first column cannot be parted.  The bounds
+    change the work, never the result.  ``materialize=True`` writes the input
+    once first (for aggregates or long pipelines, which would otherwise be
+    evaluated for the bounds, the totals and the windows).
     """
     is_max = how == "max"
     keys = list(keys or [])
     if materialize:
         df = cut_lineage(df, "prefix-input")
-    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, T.NumericType):
-        out = _prefix_sum_blocked(df, order_cols[0], value_cols, keys, out_suffix, is_max, block_rows)
-        if out is not None:
-            return out
-    n = num_partitions or _default_partitions(df)
-    # the range partitioner samples its input in a separate job: keep the input
-    # (MEMORY_AND_DISK; recomputable from lineage if an executor is lost) for both passes
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(n, *keys, *order_cols)
-              .sortWithinPartitions(*keys, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    cum_names = [v + out_suffix for v in value_cols]
-
-    in_schema = ranged.schema
-    out_schema = T.StructType(list(in_schema.fields) +
-                              [T.StructField(c, T.DoubleType(), True) for c in cum_names])
-
-    def local_running(batches):
-        carry_key = None
-        carry = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[value_cols].astype("float64")
-            vals = vals.fillna(float("-inf")) if is_max else vals.fillna(0.0)
-            if keys:
-                grouped = vals.groupby([pdf[k] for k in keys], sort=False, dropna=False)
-                cum = grouped.cummax() if is_max else grouped.cumsum()
-                first_key = tuple(pdf[k].iloc[0] for k in keys)
-                if carry is not None and first_key == carry_key:
-                    same = pd.Series(True, index=pdf.index)
-                    for k, kv in zip(keys, first_key):
-                        same &= (pdf[k] == kv) if kv == kv else pdf[k].isna()
-                    prev = cum.loc[same].to_numpy()
-                    cum.loc[same] = (np.maximum(prev, carry) if is_max else prev + carry)
-                carry_key = tuple(pdf[k].iloc[-1] for k in keys)
-            else:
-                cum = vals.cummax() if is_max else vals.cumsum()
-                if carry is not None:
-                    cum = np.maximum(cum, carry) if is_max else cum + carry
-            carry = cum.iloc[-1].to_numpy()
-            out = pdf.copy()
-            for v, c in zip(value_cols, cum_names):
-                out[c] = cum[v].to_numpy()
-            yield out
-
-    # Materialise the locally summed rows once (reliable checkpoint in the shared
-    # folder): range bounds are sampled per evaluation, so the partition totals
-    # must come from the very same partitioning as the local sums.
-    local = cut_lineage(ranged.mapInPandas(local_running, out_schema))
-    src.unpersist()
-
-    # partition totals; offsets only for rows whose key started in an earlier partition
-    agg = F.max if is_max else F.sum
-    totals = local.groupBy("_pid", *keys).agg(*[agg(F.col(v).cast("double")).alias(v + "_tot")
-                                                 for v in value_cols])
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *keys, *[agg(v + "_tot").over(w).alias(v + "_off")
-                                             for v in value_cols])
-    offsets = offsets.where(F.coalesce(*[F.col(v + "_off").isNotNull() for v in value_cols]))
-    # bounded by the number of range partitions (one boundary key per partition)
-    joined = local.join(F.broadcast(offsets), on=["_pid", *keys], how="left")
-    result = joined.select(
-        *[F.col(c) for c in df.columns],
-        *[((F.greatest(F.col(c), F.col(v + "_off")) if is_max
-            else F.col(c) + F.coalesce(F.col(v + "_off"), F.lit(0.0))).alias(c))
-          for v, c in zip(value_cols, cum_names)])
-    if is_max:  # all-NULL prefixes stay NULL
-        result = result.select(*[F.col(c) for c in df.columns],
-                               *[F.when(F.col(c) == F.lit(float("-inf")), F.lit(None).cast("double"))
-                                 .otherwise(F.col(c)).alias(c) for c in cum_names])
-    return result
-
-
-def _prefix_sum_blocked(df: DataFrame, order: str, value_cols: list[str], keys: list[str],
-                        out_suffix: str, is_max: bool, block_rows: int) -> DataFrame | None:
-    """Running sums/maxima over value-range blocks of one numeric order column.
-
-    Block = floor((x - min) / width), monotone in x, with the width chosen for
-    about ``block_rows`` rows per block (NULL order first, NaN last).  Inside a
-    (key, block) the running total is a window (partition size bounded by the
-    block, whatever the key skew); earlier blocks' totals come from a small
-    (key, block) table.  Deterministic: no sampling, nothing materialised but
-    the small table.  Returns None (caller uses the range path) when the order
-    range is not finite or a block holds more than ``BLOCK_MAX_ROWS`` rows.
-    """
-    o = F.col(order).cast("double")
-    finite = ~F.isnan(o) & (F.abs(o) < F.lit(float("inf")))
-    lo, hi, n = df.agg(F.min(F.when(finite, o)), F.max(F.when(finite, o)), F.count(F.lit(1))).first()
-    n_blocks = max(1, -(-int(n or 0) // block_rows))
-    if lo is None:
-        lo, hi = 0.0, 0.0
-    width = (hi - lo) / n_blocks if hi > lo else 1.0
-    if not (np.isfinite(width) and width > 0):
-        return None
-    blk = (F.when(o.isNull(), F.lit(-1))
-           .when(F.isnan(o) | (o == F.lit(float("inf"))), F.lit(n_blocks))
-           .when(o == F.lit(float("-inf")), F.lit(-1))
-           .otherwise(F.least(F.greatest(F.floor((o - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                              F.lit(n_blocks - 1))).cast("long"))
+    x = _as_number(df, order_cols[0])
+    n = -(-df.count() // block_rows)
     agg = F.max if is_max else F.sum
 
     def val(v):
-        x = F.col(v).cast("double")
-        return x if is_max else F.coalesce(x, F.lit(0.0))
+        c = F.col(v).cast("double")
+        return c if is_max else F.coalesce(c, F.lit(0.0))
 
     cum_names = [v + out_suffix for v in value_cols]
-    withb = df.withColumn("_blk", blk)
-    # -inf orders before every finite value but shares block -1 with NULL (NULLs sort first)
-    totals = cut_lineage(withb.groupBy(*keys, "_blk").agg(
-        F.count(F.lit(1)).alias("_rows"), *[agg(val(v)).alias(v + "_tot") for v in value_cols]), "blocks")
-    widest, n_rows = totals.agg(F.max("_rows"), F.count(F.lit(1))).first()
-    if (widest or 0) > BLOCK_MAX_ROWS:
-        return None
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_blk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    if n <= 1:  # one block: nothing lies before it
+        run = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[agg(val(v)).over(run).alias(c) for v, c in zip(value_cols, cum_names)])
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    knots = df.where(finite).agg(F.percentile_approx(x, [i / KNOTS for i in range(KNOTS + 1)], 10 * KNOTS)).first()[0]
+    withb = df.withColumn("_blk", _block(x, n, sorted(set(knots or [0.0]))))
+    totals = cut_lineage(withb.groupBy(*keys, "_blk").agg(*[agg(val(v)).alias(v + "_tot") for v in value_cols]), "blocks")
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_blk").alias("_k_blk"),
                             *[agg(v + "_tot").over(before).alias(v + "_off") for v in value_cols])
-    if n_rows <= OFFSETS_BROADCAST_ROWS:  # size checked above: (key, block) rows
-        offsets = F.broadcast(offsets)
-    run = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*keys, "_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = withb.select("*", *[agg(val(v)).over(run).alias(c) for v, c in zip(value_cols, cum_names)])
     cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col("_blk") == F.col("_k_blk")]
     joined = local.join(offsets, on=cond, how="left")

@@ -148,7 +148,8 @@ KS_TERMS = 100
 @query("ks_two_sample", sql=with_ctes(EVT) + f"""
 , c AS (SELECT scenario, price AS x, count(*) FILTER (WHERE NOT is_current) AS ca,
               count(*) FILTER (WHERE is_current) AS cb
-       FROM evt WHERE price IS NOT NULL AND NOT isnan(price) GROUP BY scenario, price),
+       FROM (SELECT scenario, is_current, CASE WHEN is_current AND (price IS NULL OR isnan(price)) THEN 0.0 ELSE price END AS price FROM evt)
+       WHERE price IS NOT NULL AND NOT isnan(price) GROUP BY scenario, price),
 cum AS (SELECT scenario, sum(ca) OVER w AS ca_cum, sum(cb) OVER w AS cb_cum,
                sum(ca) OVER (PARTITION BY scenario) AS ne, sum(cb) OVER (PARTITION BY scenario) AS na
         FROM c WINDOW w AS (PARTITION BY scenario ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

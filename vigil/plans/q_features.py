@@ -300,60 +300,33 @@ def q_linear_score(spark, sf):
 
 
 # ---------------------------------------------------------------- cohort_rewrite
-def _rew(s: bool) -> dict:
-    return {
-        "price": f"floor((price * {1.45 if s else 2.35} + {35.0 if s else 120.0}) * 100.0 + 0.5) / 100.0",
-        "event_type": f"'{'cart' if s else 'purchase'}'",
-        "device_type": "'mobile'",
-        "channel": f"'{'affiliate' if s else 'social'}'",
-        "country": f"'{'IN' if s else 'BR'}'",
-        "shipping_speed": "'overnight'",
-        "session_duration": f"greatest(session_duration * {0.72 if s else 0.55}, 8.0)",
-        "discount_pct": f"greatest(discount_pct * {0.65 if s else 0.45}, 0.0)",
-        "prior_chargebacks": f"prior_chargebacks + {1 if s else 2}",
-        "merchant_risk_score": f"least(merchant_risk_score + {0.14 if s else 0.28}, 1.0)",
-        "account_age_days": f"greatest(floor(account_age_days / {3 if s else 5}), 1)",
-        "cart_size": f"cart_size + {1 if s else 3}",
-        "is_fraud": "true",
-    }
-
-
-def _cohort_sql() -> str:
-    st, dr = _rew(True), _rew(False)
-    cols = []
-    for c in st:
-        base = "CAST(is_fraud AS BOOLEAN)" if c == "is_fraud" else c
-        expr = f"CASE WHEN step % 360 >= 150 AND step % 360 < 220 THEN {st[c]} WHEN step % 360 >= 220 THEN {dr[c]} ELSE {base} END"
-        if c in ("price", "session_duration", "discount_pct", "merchant_risk_score"):
-            expr = f"round({expr}, 6)"
-        elif c in ("account_age_days", "prior_chargebacks", "cart_size"):
-            expr = f"CAST({expr} AS BIGINT)"
-        cols.append(f"{expr} AS {c}")
-    return with_ctes(STX) + f"SELECT step, {', '.join(cols)} FROM stx"
-
-
-@query("cohort_rewrite", sql=_cohort_sql())
+def what_if_cohorts() -> list:
+    """Rows with chargebacks get twice the risk; of the others, mobile rows over 100 get a discount."""
+    return [(F.col("prior_chargebacks") >= 1, {"merchant_risk_score": F.least(F.col("merchant_risk_score") * 2.0, F.lit(1.0))}),
+            ((F.col("device_type") == "mobile") & (F.col("price") > 100.0),
+             {"price": F.col("price") * 0.9, "discount_pct": F.col("discount_pct") + 0.1, "channel": F.lit("email")})]
+
+
+@query("cohort_rewrite", sql=with_ctes(STX) + """, c AS (
+  SELECT *, prior_chargebacks >= 1 AS a, prior_chargebacks < 1 AND device_type = 'mobile' AND price > 100.0 AS b FROM stx)
+SELECT step, round(CASE WHEN b THEN price * 0.9 ELSE price END, 6) AS price,
+       round(CASE WHEN b THEN discount_pct + 0.1 ELSE discount_pct END, 6) AS discount_pct,
+       round(CASE WHEN a THEN least(merchant_risk_score * 2.0, 1.0) ELSE merchant_risk_score END, 6) AS merchant_risk_score,
+       CASE WHEN b THEN 'email' ELSE channel END AS channel, is_fraud
+FROM c""")
 def q_cohort_rewrite(spark, sf):
-    """The producer's replay: a stealth window and a drift burst in every 360-row cycle."""
-    s = stream_transactions(spark, sf)
-    cohorts, otherwise = X.producer_cohorts("step")
-    out = X.cohort_rewrite(s, cohorts, otherwise)
-    cols = list(_rew(True))
-    return out.select("step", *[
-        (r6(c) if c in ("price", "session_duration", "discount_pct", "merchant_risk_score")
-         else F.col(c).cast("long") if c in ("account_age_days", "prior_chargebacks", "cart_size")
-         else F.col(c)).alias(c) for c in cols])
+    """Two what-if cohorts over the event stream; the first that fits a row rewrites it."""
+    out = X.cohort_rewrite(stream_transactions(spark, sf), what_if_cohorts())
+    return out.select("step", *[r6(c).alias(c) for c in ("price", "discount_pct", "merchant_risk_score")], "channel", "is_fraud")
 
 
 @query("cohort_share")
 def q_cohort_share(spark, sf):
-    """Hash-share cohorts with a ramp: share of rewritten rows grows after drift start (rows-only)."""
+    """A quarter of the rows of every 1000, by hash, rewritten (rows-only: the hash is Spark's)."""
     s = stream_transactions(spark, sf)
-    ramp = F.greatest(X.ramp_share("step", start=C.DRIFT_START), F.lit(0.0))
-    cond = X.hash_share("step", 42, ramp)
-    out = X.cohort_rewrite(s, [(cond, {"device_type": F.lit("mobile"), "merchant_risk_score": F.lit(0.05)})])
+    out = X.cohort_rewrite(s, [(X.hash_share("step", 42, 0.25), {"device_type": F.lit("kiosk")})])
     return out.groupBy((F.col("step") / 1000).cast("long").alias("block")).agg(
-        F.count_if(F.col("device_type") == "mobile").alias("mobile_rows"), F.count(F.lit(1)).alias("rows"))
+        F.count_if(F.col("device_type") == "kiosk").alias("rewritten_rows"), F.count(F.lit(1)).alias("rows"))
 
 
 # ---------------------------------------------------------------- adapt

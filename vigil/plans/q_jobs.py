@@ -271,21 +271,20 @@ def q_sample_n(spark, sf):
     return s.select("order_key", "line_number", r6("price").alias("price"))
 
 
-@query("retrain_pool", sql=with_ctes(STX) + """SELECT
-  CASE WHEN step % 360 >= 150 THEN 'rewritten' ELSE 'original' END AS kind, count(*) AS rows_,
-  round(avg(price), 6) AS mean_price
-FROM (SELECT step, price FROM stx UNION ALL
-      SELECT step, CASE WHEN step % 360 >= 150 AND step % 360 < 220 THEN floor((price * 1.45 + 35.0) * 100.0 + 0.5) / 100.0
-                        WHEN step % 360 >= 220 THEN floor((price * 2.35 + 120.0) * 100.0 + 0.5) / 100.0 ELSE price END FROM stx)
+@query("retrain_pool", sql=with_ctes(STX) + """SELECT prior_chargebacks >= 1 AS rewritten, count(*) AS rows_,
+       round(avg(merchant_risk_score), 6) AS mean_risk
+FROM (SELECT prior_chargebacks, merchant_risk_score FROM stx UNION ALL
+      SELECT prior_chargebacks, CASE WHEN prior_chargebacks >= 1 THEN least(merchant_risk_score * 2.0, 1.0) ELSE merchant_risk_score END
+      FROM stx)
 GROUP BY ALL""")
 def q_retrain_pool(spark, sf):
-    """Baseline rows unioned with their drift-rewritten copy (the retraining pool)."""
-    from vigil.functions.features import cohort_rewrite, producer_cohorts
+    """Baseline rows unioned with their rewritten copy (the retraining pool)."""
+    from vigil.functions.features import cohort_rewrite
+    from vigil.plans.q_features import what_if_cohorts
     s = stream_transactions(spark, sf)
-    cohorts, otherwise = producer_cohorts("step")
-    pool = SP.retrain_pool(s, cohort_rewrite(s, cohorts, otherwise))
-    kind = F.when(F.col("step") % 360 >= 150, F.lit("rewritten")).otherwise(F.lit("original"))
-    return pool.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows_"), r6(F.avg("price")).alias("mean_price"))
+    pool = SP.retrain_pool(s, cohort_rewrite(s, what_if_cohorts()))
+    return pool.groupBy((F.col("prior_chargebacks") >= 1).alias("rewritten")).agg(
+        F.count(F.lit(1)).alias("rows_"), r6(F.avg("merchant_risk_score")).alias("mean_risk"))
 
 
 @query("recent_n", sql="""SELECT event_id, ts, round(value, 6) AS value FROM events

@@ -149,36 +149,31 @@ def q_first_breach(spark, sf):
     return out.select("scenario", "detection_step", r6("peak").alias("peak"), "detection_latency")
 
 
-def _stage_sql(step: str, rec: str) -> str:
-    parts = [f"WHEN {step} >= {lo} AND {step} < {hi} THEN '{n}'" for lo, hi, n in C.STAGE_RANGES]
-    parts += [f"WHEN {rec} AND {step} >= {lo} AND {step} < {hi} THEN '{n}'" for lo, hi, n in C.RECURRING_STAGE_RANGES]
-    return f"(CASE {' '.join(parts)} ELSE 'Recovered' END)"
+STAGED_SQL = f""", det AS (SELECT scenario, min(seq) FILTER (WHERE psi > {C.PSI_ALERT} AND seq >= {W}) AS detected FROM rp GROUP BY scenario),
+sg AS (SELECT rp.*, detected, CASE WHEN seq < {W} THEN 'Warm-up' WHEN detected IS NULL OR seq < detected THEN 'Monitoring'
+         WHEN seq = detected THEN 'Drift Detected' WHEN psi > {C.PSI_ALERT} THEN 'Drift Active' ELSE 'Recovered' END AS stage
+       FROM rp JOIN det USING (scenario))"""
 
 
-REC_COND = f"scenario = '{REC}'"
-
-
-@query("stage_of_step", sql=STREAM_SQL + f"SELECT scenario, seq, {_stage_sql('seq', REC_COND)} AS stage FROM sc")
+@query("stage_of_step", sql=STREAM_SQL + STAGED_SQL + "SELECT scenario, seq, stage FROM sg")
 def q_stage_of_step(spark, sf):
-    s = MON.scored_stream(spark, sf)
-    return s.select("scenario", "seq", R.stage_of_step("seq", F.col("scenario") == REC).alias("stage"))
+    """The measured stage of every row."""
+    frame = R.with_detection(MON.rolling_frame(spark, sf), "seq", "psi", ["scenario"])
+    return frame.select("scenario", "seq", R.stage_of_step("seq").alias("stage"))
 
 
-STAGE_LIST = ", ".join(f"'{s}'" for s in C.PIPELINE_STAGES)
+STAGE_LIST = ", ".join(f"'{s}'" for s in C.STAGES)
 
 
-@query("stage_progress", sql=STREAM_SQL + f""", last AS (SELECT scenario, {_stage_sql('seq', f"scenario = '{REC}'")} AS cur
-       FROM (SELECT scenario, max(seq) AS seq FROM sc GROUP BY scenario)),
-ord AS (SELECT unnest([{STAGE_LIST}]) AS stage, unnest(range(1, {len(C.PIPELINE_STAGES) + 1})) AS pos)
-SELECT scenario, stage, CASE WHEN list_position([{STAGE_LIST}], cur) IS NULL THEN 'future'
-       WHEN pos < list_position([{STAGE_LIST}], cur) THEN 'done'
+@query("stage_progress", sql=STREAM_SQL + STAGED_SQL + f""", last AS (SELECT scenario, arg_max(stage, seq) AS cur FROM sg GROUP BY scenario),
+ord AS (SELECT unnest([{STAGE_LIST}]) AS stage, unnest(range(1, {len(C.STAGES) + 1})) AS pos)
+SELECT scenario, stage, CASE WHEN pos < list_position([{STAGE_LIST}], cur) THEN 'done'
        WHEN pos = list_position([{STAGE_LIST}], cur) THEN 'active' ELSE 'future' END AS state
 FROM last, ord""")
 def q_stage_progress(spark, sf):
-    """Done / active / future per pipeline stage at each scenario's latest step."""
-    s = MON.scored_stream(spark, sf)
-    last = s.groupBy("scenario").agg(F.max("seq").alias("seq"))
-    cur = last.select("scenario", R.stage_of_step("seq", F.col("scenario") == REC).alias("stage"))
+    """Done / active / future per stage at each scenario's latest step."""
+    frame = R.with_detection(MON.rolling_frame(spark, sf), "seq", "psi", ["scenario"])
+    cur = frame.groupBy("scenario").agg(F.max_by(R.stage_of_step("seq"), "seq").alias("stage"))
     return cur.select("scenario", F.explode(R.stage_progress("stage")).alias("s")).select(
         "scenario", F.col("s.stage").alias("stage"), F.col("s.state").alias("state"))
 
@@ -315,38 +310,30 @@ def q_pseudo_label(spark, sf):
 
 
 # ---------------------------------------------------------------- live_status / event_trace (§2.7)
-@query("live_status", sql=STREAM_SQL + f""", lst AS (SELECT scenario, arg_max(struct_pack(seq := seq, psi := psi, f1 := f1, model := model), seq) AS s
-       FROM rp GROUP BY scenario)
-SELECT scenario, s.seq AS step, round(s.psi, 6) AS psi, round(s.f1, 6) AS f1,
-       CASE WHEN s.model = 'challenger_v2' THEN 'Challenger (V2)' WHEN s.model = 'challenger' THEN 'Challenger'
-            ELSE 'Champion' END AS active_model,
-       {_stage_sql('s.seq', f"scenario = '{REC}'")} AS stage,
-       CASE WHEN s.seq >= {C.RETRAIN_TRIGGER} THEN 'Detected' ELSE 'Monitoring' END AS detection_status,
-       CASE WHEN s.seq >= {C.MODEL_DEPLOYED} THEN 'Deployed' ELSE 'Champion Active' END AS deployment_status,
-       CASE WHEN s.psi >= 0.2 THEN 'CRITICAL' ELSE 'STABLE' END AS drift_status,
-       CASE WHEN s.model LIKE 'challenger%' THEN 'v1.1 (Challenger)' ELSE 'v1.0 (Champion)' END AS model_version
+@query("live_status", sql=STREAM_SQL + STAGED_SQL + """, lst AS (
+  SELECT scenario, arg_max(struct_pack(seq := seq, psi := psi, f1 := f1, model := model, detected := detected, stage := stage), seq) AS s
+  FROM sg GROUP BY scenario)
+SELECT scenario, s.seq AS step, round(s.psi, 6) AS psi, round(s.f1, 6) AS f1, s.model AS active_model, s.stage AS stage,
+       s.detected AS detected_step, CASE WHEN s.detected IS NOT NULL THEN 'Detected' ELSE 'Monitoring' END AS detection_status,
+       CASE WHEN s.model <> 'champion' THEN 'Deployed' ELSE 'Champion Active' END AS deployment_status,
+       CASE WHEN s.psi >= 0.2 THEN 'CRITICAL' ELSE 'STABLE' END AS drift_status
 FROM lst""")
 def q_live_status(spark, sf):
     """Latest step's state per scenario with status labels."""
     from vigil.operators.jobs import live_status
-    frame = MON.rolling_frame(spark, sf)
-    out = live_status(frame, keys=["scenario"], step="seq", recurring=F.col("scenario") == REC)
+    out = live_status(MON.rolling_frame(spark, sf), keys=["scenario"], step="seq")
     return out.withColumn("psi", r6("psi")).withColumn("f1", r6("f1"))
 
 
-@query("event_trace", sql=STREAM_SQL + f""", st AS (SELECT scenario, seq, event_time,
-       {_stage_sql('seq', f"scenario = '{REC}'")} AS stage FROM sc),
-ch AS (SELECT *, lag(stage) OVER (PARTITION BY scenario ORDER BY seq) AS prev FROM st)
-SELECT scenario, seq, stage, strftime(event_time, '%H:%M:%S') || ' | monitor | ' || stage || ' | step=' || seq || ' | RUNNING | ' ||
-       CASE WHEN stage = 'Drift Detected' THEN 'PSI threshold exceeded' WHEN stage = 'Retraining' THEN 'retraining initiated'
-            WHEN stage = 'Offline Validation' THEN 'offline metrics evaluation'
-            WHEN stage = 'Challenger Deployment' THEN 'validation passed'
-            WHEN stage = 'Recovered' THEN 'challenger deployed / recovery complete'
-            WHEN seq = 0 THEN 'scenario started' ELSE 'status update' END AS line
-FROM ch WHERE seq = 0 OR prev <> stage""")
+REASON_SQL = "CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.STAGES.items()) + " END"
+
+
+@query("event_trace", sql=STREAM_SQL + STAGED_SQL + f""", st AS (SELECT sg.scenario, sg.seq, sc.event_time, stage,
+       lag(stage) OVER (PARTITION BY sg.scenario ORDER BY sg.seq) AS prev FROM sg JOIN sc ON sg.scenario = sc.scenario AND sg.seq = sc.seq)
+SELECT scenario, seq, stage, strftime(event_time, '%H:%M:%S') || ' | monitor | ' || stage || ' | step=' || seq || ' | ' ||
+       {REASON_SQL} AS line
+FROM st WHERE seq = 0 OR prev <> stage""")
 def q_event_trace(spark, sf):
     """Chronological trace lines at every stage change, with the reason by stage."""
     from vigil.operators.jobs import event_trace
-    s = MON.scored_stream(spark, sf)
-    return event_trace(s, keys=["scenario"], step="seq", time_col="event_time",
-                       recurring=F.col("scenario") == REC)
+    return event_trace(MON.rolling_frame(spark, sf), keys=["scenario"], step="seq", time_col="event_time")

@@ -3,7 +3,7 @@
 Everything that needs durable scratch space (checkpoints that cut lineage,
 streaming checkpoints, materialised intermediate tables) goes under the
 folder the cluster names in ``spark.checkpoint.dir``.  Only when that setting
-is absent (local tests) do we pick a folder of our own.
+is absent and the master is local (tests) do we pick a folder of our own.
 """
 
 from __future__ import annotations
@@ -34,11 +34,9 @@ def build_session(master: str | None = None, app_name: str = "vigil",
         "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
         "spark.driver.memory": os.environ.get("VIGIL_DRIVER_MEMORY", "16g"),
     }
-    if master and master.startswith("local"):
-        # wide generated methods (> 8000 bytecodes) are otherwise never JIT-compiled by
-        # HotSpot; in local mode the driver JVM is the executor.  On a cluster, put the
-        # same flag into the executors' Java options.
-        conf["spark.driver.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
+    # wide generated methods (> 8000 bytecodes) are otherwise never JIT-compiled by HotSpot
+    for side in ("driver", "executor"):
+        conf[f"spark.{side}.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -57,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

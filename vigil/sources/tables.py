@@ -30,7 +30,9 @@ EVENTS_CURRENT_FROM = "2024-01-16"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table; times without a zone become plain timestamps, whatever the session infers."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 # the transaction table schema (explicit: no inference on CSV)
