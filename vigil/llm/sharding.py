@@ -89,10 +89,10 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, version: int, n_shards: int
 
 
 def add_shard(slot_map: DataFrame, loads: DataFrame, version: int, n_shards: int = N_SHARDS) -> DataFrame:
-    """The next version with one more shard (number ``n_shards``): each old shard gives up slots, smallest
-    first, worth its part of the new shard's fair load; no other slot moves."""
+    """The next version with one more shard (number ``n_shards``): each old shard gives up slots, in
+    the order of their hash, worth its part of the new shard's fair load; no other slot moves."""
     now = _with_loads(slot_map, loads, version)
-    up = Window.partitionBy("shard").orderBy("n_bytes", "vslot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("shard").orderBy(F.xxhash64("vslot"), "vslot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = F.sum("n_bytes").over(Window.partitionBy("shard")) / F.lit(n_shards + 1)
     return now.withColumn("_gives", F.sum("n_bytes").over(up) <= share).select(
         F.lit(version + 1).alias("version"), "vslot",

@@ -38,6 +38,13 @@ NO_MERGE = 1 << 60
 
 # white space of the Unicode property, which leaves out 0x1C-0x1F
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+# fixed values: letters and numbers of later character tables that are symbols to the library
+_NEWER = re.compile("[%s]" % "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in """
+    558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+    10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8
+    16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128
+    1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
+    1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F""".split()))
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -130,11 +137,17 @@ class WordBpe:
                 self.of_word[word] = got
         return got
 
+    def split(self, chunk: str) -> list[str]:
+        """The pattern's matches, with the library's character tables."""
+        if chunk.isascii():
+            return self.words.findall(chunk)
+        return [chunk[m.start():m.end()] for m in self.words.finditer(_NEWER.sub("!", chunk))]
+
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a run of text without white space (no pre-token crosses white space)."""
         got = self.of_chunk.get(chunk)
         if got is None:
-            got = [i for w in self.words.findall(chunk) for i in self.word(w)]
+            got = [i for w in self.split(chunk) for i in self.word(w)]
             if len(chunk) < 64:
                 if len(self.of_chunk) >= CHUNKS_KEPT:
                     self.of_chunk.clear()
