@@ -44,3 +44,14 @@ def test_champion_challenger_table(spark):
                                "champ double, chall double, strong double")
     got = [r[0] for r in df.select(J.champion_challenger(F.col("champ"), F.col("chall"), F.col("strong"))).collect()]
     assert got == ["CHALLENGER_WINS", "CHALLENGER_WINS_AFTER_RETRAIN", "CHAMPION_HELD"]
+
+
+def test_a_null_status_neither_blocks_nor_expires(spark):
+    t = dt.datetime(2025, 1, 1, 12)
+    old = t - dt.timedelta(hours=2)
+    df = spark.createDataFrame([("a", old, None, None), ("b", None, None, None), ("c", old, "COMPLETED", None)],
+                               "job_id string, start_time timestamp, status string, decision string")
+    now = F.lit(t)
+    assert {r.status for r in J.job_expire(df, now).collect()} == {None, "COMPLETED"}
+    g = J.job_gate(df, now, F.lit(0.3), F.lit(True)).first()
+    assert (g.active_jobs, g.decision, g.new_status, g.psi_score, g.adwin_change) == (0, "OPEN", "PENDING", 0.3, 1)

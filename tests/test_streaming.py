@@ -32,3 +32,57 @@ def test_stream_score_restart_is_idempotent(spark):
     out = spark.read.parquet(log)
     assert out.count() == 20
     assert out.where(F.col("is_high_value") != 1).count() == 0   # price > 500 flags
+
+
+def _log(spark, path, batch, start, prices):
+    rows = [(f"2025-01-01 {start // 60:02d}:{start % 60:02d}:{i % 60:02d}", float(p), 100.0, 0.1, 0.1, 1.0) for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, "timestamp string, price double, session_duration double, merchant_risk_score double, "
+                                     "discount_pct double, fraud_probability double")
+    df.coalesce(1).write.parquet(f"{path}/batch={batch}")
+
+
+def test_monitor_over_several_triggers(spark):
+    """Quiet, alert, active job, expired job: the gate opens once and a quiet trigger blocks nothing."""
+    log, jobs, ck = (scratch_path(spark, n) for n in ("m-log", "m-jobs", "m-ck"))
+    base = spark.createDataFrame([(float(i % 50), 100.0, 0.1, 0.1) for i in range(500)],
+                                 "price double, session_duration double, merchant_risk_score double, discount_pct double")
+    seen = []
+    for batch, (minute, shift) in enumerate([(0, 0.0), (10, 900.0), (11, 900.0), (30, 900.0)]):
+        _log(spark, log, batch, minute, [float(i % 50) + shift for i in range(200)])
+        S.stream_monitor(spark, log, base, jobs, ck).awaitTermination()
+        now = {(r.job_id, r.decision, r.status) for r in spark.read.schema(S.JOB_EVENT_SCHEMA).parquet(jobs).where(F.col("monitor_batch") == batch).collect()}
+        seen.append(now)
+    assert seen[0] == {("job_0", "OPEN", None)}
+    assert seen[1] == {("job_1", "OPEN", "PENDING")}
+    assert seen[2] == {("job_2", "SKIP_ACTIVE", None)}
+    assert seen[3] == {("job_3", "OPEN", "PENDING"), ("job_1", "ORPHANED_TIMEOUT", "FAILED")}
+
+
+def test_scoring_follows_the_active_model(spark):
+    src, log, ck, runs = (scratch_path(spark, n) for n in ("a-src", "a-log", "a-ck", "a-runs"))
+
+    def finish(name, day, kind):
+        spark.sql(f"SELECT '{name}' run_id, 'fraud' experiment, 'FINISHED' status, timestamp'2025-01-0{day}' start_time, "
+                  f"map('model_type', '{kind}') params, map('f1', 0.5D) metrics").write.mode("append").parquet(runs)
+
+    def constant(p):
+        return lambda df: df.withColumn("fraud_probability", F.lit(p)).withColumn("model_version", F.lit(str(p)))
+
+    lookup = S.active_scorer(spark, runs, "fraud", {"old": constant(0.25), "new": constant(0.75)})
+    for day, kind in ((1, "old"), (2, "new")):
+        finish(f"r{day}", day, kind)
+        rows = [(json.dumps({"event_time": f"2025-01-0{day} 00:00:00", "price": 5.0}),)]
+        spark.createDataFrame(rows, "value string").write.mode("append").text(src)
+        S.stream_score(spark, src, log, ck, lookup).awaitTermination()
+    out = {r.batch: r.fraud_probability for r in spark.read.parquet(log).collect()}
+    assert out == {0: 0.25, 1: 0.75}
+
+
+def test_window_edges_leave_out_nan(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(float("nan"),)] * 100, "x double")
+    assert S.window_psi_edges(df, ["x"])["x"][1] == [0.1] * 10
+
+
+def test_kafka_options():
+    assert S.kafka_options("h:1", "t", 5) == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "latest",
+                                              "failOnDataLoss": "false", "maxOffsetsPerTrigger": "5"}

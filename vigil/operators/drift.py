@@ -197,8 +197,9 @@ def to_long(df: DataFrame, features: list[str], keys=None, value_name: str = "va
 
 def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | None = None,
                keys=None, buckets: int = C.PSI_BUCKETS, threshold: float = C.PSI_ALERT,
-               min_rows: int = C.PSI_MIN_ROWS, method: str = "exact") -> DataFrame:
-    """Mean PSI over the monitored features, alert ``mean > threshold``.
+               min_rows: int = C.PSI_MIN_ROWS, method: str = "exact", edges: DataFrame | None = None) -> DataFrame:
+    """Mean PSI over the monitored features, alert ``mean > threshold``.  ``edges`` (keys, feature,
+    edges) may be given where one baseline serves many calls.
 
     Features absent from either side or empty on either side are skipped; keys
     whose current side has ``<= min_rows`` rows give no report row.
@@ -207,7 +208,7 @@ def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | No
     features = [f for f in (features or C.MONITORED_FEATURES)
                 if f in baseline.columns and f in current.columns]
     per_feature = psi_from_sides(to_long(baseline, features, keys), to_long(current, features, keys),
-                                 "value", keys=[*keys, "feature"], buckets=buckets, method=method)
+                                 "value", keys=[*keys, "feature"], buckets=buckets, method=method, edges=edges)
     used = per_feature.where((F.col("n_expected") > 0) & (F.col("n_actual") > 0))
     summary = used.groupBy(*keys).agg(F.avg("psi").alias("psi_mean"),
                                       F.count(F.lit(1)).alias("n_features"))

@@ -85,23 +85,24 @@ def permuted(df: DataFrame, feature: str, key_cols: list[str], seed: int = 7) ->
     """
     from vigil.operators.sequence import dense_sequence
     h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
-    a = dense_sequence(df, key_cols, name="_ra")
-    b = dense_sequence(df.select(*key_cols, feature).withColumn("_h", h), ["_h", *key_cols], name="_rb") \
+    # keys may repeat: all other columns break the ties
+    rest = sorted(c for c, kind in df.dtypes if c not in key_cols and not kind.startswith(("struct", "map", "array")) and kind != "vector")
+    a = dense_sequence(df, [*key_cols, *rest], name="_ra")
+    b = dense_sequence(df.select(*key_cols, *rest).withColumn("_h", h), ["_h", *key_cols, *rest], name="_rb") \
         .select(F.col("_rb").alias("_ra"), F.col(feature).alias("_pv"))
     return a.join(b, "_ra").withColumn(feature, F.col("_pv")).drop("_ra", "_pv")
 
 
 def attribution_shift(spark: SparkSession, champion: PipelineModel, challenger: PipelineModel, df: DataFrame,
-                      features: list[str], key_cols: list[str], top: int = 5) -> DataFrame:
+                      features: list[str], key_cols: list[str]) -> DataFrame:
     """How attributions move champion -> challenger: gain importances side by side, and
-    permutation importance (AUC drop when a feature is permuted) for the top features."""
+    permutation importance (AUC drop when a feature is permuted), for every feature."""
     gains = importances(spark, champion, features, "champion_gain").join(
         importances(spark, challenger, features, "challenger_gain"), "feature")
-    chosen = [r["feature"] for r in gains.orderBy(F.col("champion_gain").desc(), "feature").limit(top).collect()]
     base_c = M.roc_auc(score_batch(champion, df), "p", "label").select("roc_auc").first()[0]
     base_h = M.roc_auc(score_batch(challenger, df), "p", "label").select("roc_auc").first()[0]
     rows = []
-    for f in chosen:
+    for f in features:
         perm = permuted(df, f, key_cols)
         auc_c = M.roc_auc(score_batch(champion, perm), "p", "label").select("roc_auc").first()[0]
         auc_h = M.roc_auc(score_batch(challenger, perm), "p", "label").select("roc_auc").first()[0]

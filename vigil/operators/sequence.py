@@ -128,7 +128,8 @@ def dense_sequence(df: DataFrame, order_cols: list[str], keys: list[str] | None
 def halo_window(df: DataFrame, seq_col: str, size: int,
                 build: Callable[[DataFrame, Window], DataFrame],
                 keys: list[str] | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
-    """Trailing ``size``-row windows over a dense sequence, chunked with a halo.
+    """Trailing ``size``-row windows over a dense sequence (0, 1, 2, ... per key; number the rows with
+    ``dense_sequence`` first if it has gaps), chunked with a halo.
 
     ``build(frame, w)`` adds window columns using ``w`` (a rowsBetween(-(size-1), 0)
     frame partitioned by key and chunk, ordered by ``seq_col``).  Rows copied in as

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from vigil import config as C
 from vigil.functions.features import linear_score
-from vigil.operators.sequence import halo_window, prefix_sum
+from vigil.operators.sequence import dense_sequence, halo_window, prefix_sum
 from vigil.plans.registry import query
 from vigil.plans.sqlbind import STX, TXN, with_ctes
 from vigil.session import scratch_path
@@ -106,7 +106,7 @@ def q_log_append(spark, sf):
     rows = _log_rows(spark, sf)
     path = scratch_path(spark, "inference-log")
     L.log_append(rows.where(~F.col("is_current")).drop("is_current"), path)
-    L.log_append(rows.where(F.col("is_current")).drop("is_current", "channel", "country"), path)
+    L.log_append(rows.where(F.col("is_current")).drop("is_current", "channel", "country"), path, batch_id=1)
     back = L.read_log(spark, path)
     cols = [c for c, _ in C.LOG_COLUMNS]
     return back.select(*[(r6(c) if c in ("price", "session_duration", "discount_pct", "merchant_risk_score",
@@ -149,11 +149,11 @@ def _land_payloads(spark, sf, n_files: int = 4) -> str:
 def q_stream_source(spark, sf):
     """File-source stream over landed payloads, decoded (availableNow, rows-only)."""
     src = _land_payloads(spark, sf)
-    name = "stream_source_" + scratch_path(spark, "q").rsplit("-", 1)[1]
-    q = K.json_decode(spark.readStream.format("text").load(src), "value").writeStream.format("memory") \
-        .queryName(name).trigger(availableNow=True).start()
+    out = scratch_path(spark, "stream-source")
+    q = K.json_decode(S.payload_files(spark, src), "value").writeStream.format("parquet").option("path", out) \
+        .option("checkpointLocation", scratch_path(spark, "stream-source-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
 
 
 @query("foreach_batch_sink")
@@ -246,12 +246,12 @@ def q_prefix_sum(spark, sf):
 def q_halo_window(spark, sf):
     """Trailing 50-event mean over the whole event series, chunked with a halo (small chunks
     here to exercise chunk boundaries)."""
-    ev = load(spark, sf, "events").select("event_id", "value")
+    ev = dense_sequence(load(spark, sf, "events").select("event_id", "value"), ["event_id"], name="seq")
 
     def build(frame, w):
         return frame.withColumn("value_ma50", F.avg("value").over(w))
 
-    out = halo_window(ev, "event_id", 50, build, chunk_rows=1000)
+    out = halo_window(ev, "seq", 50, build, chunk_rows=1000)
     return out.select("event_id", r6("value_ma50").alias("value_ma50"))
 
 

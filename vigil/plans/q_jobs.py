@@ -94,9 +94,9 @@ def _now(spark, sf):
 
 
 @query("job_expire", sql=with_ctes(JOB_CURRENT_SQL) + f"""SELECT job_id,
-  CASE WHEN NOT coalesce(status IN ('COMPLETED', 'FAILED', 'REJECTED'), false)
+  CASE WHEN status NOT IN ('COMPLETED', 'FAILED', 'REJECTED')
         AND coalesce(start_time < now - INTERVAL {C.JOB_TIMEOUT_SECONDS} SECOND, false) THEN 'FAILED' ELSE status END AS status,
-  CASE WHEN NOT coalesce(status IN ('COMPLETED', 'FAILED', 'REJECTED'), false)
+  CASE WHEN status NOT IN ('COMPLETED', 'FAILED', 'REJECTED')
         AND coalesce(start_time < now - INTERVAL {C.JOB_TIMEOUT_SECONDS} SECOND, false) THEN 'ORPHANED_TIMEOUT' ELSE decision END AS decision
 FROM jc, nw""")
 def q_job_expire(spark, sf):
@@ -106,24 +106,26 @@ def q_job_expire(spark, sf):
 
 
 @query("job_gate", sql=with_ctes(JOB_CURRENT_SQL) + f""", ex AS (SELECT job_id, start_time,
-  CASE WHEN NOT coalesce(status IN ('COMPLETED', 'FAILED', 'REJECTED'), false)
+  CASE WHEN status NOT IN ('COMPLETED', 'FAILED', 'REJECTED')
         AND coalesce(start_time < now - INTERVAL {C.JOB_TIMEOUT_SECONDS} SECOND, false) THEN 'FAILED' ELSE status END AS status
   FROM jc, nw),
-ag AS (SELECT count(*) FILTER (WHERE NOT coalesce(status IN ('COMPLETED', 'FAILED', 'REJECTED'), false)) AS active_jobs,
+ag AS (SELECT count(*) FILTER (WHERE status NOT IN ('COMPLETED', 'FAILED', 'REJECTED')) AS active_jobs,
               max(start_time) AS last_start FROM ex),
 ps AS (SELECT avg(value) / 100.0 AS psi FROM events WHERE ts >= TIMESTAMP '2024-01-16')
 SELECT active_jobs, last_start,
   CASE WHEN active_jobs > 0 THEN 'SKIP_ACTIVE'
        WHEN last_start IS NOT NULL AND epoch(now) - epoch(last_start) < {C.JOB_COOLDOWN_SECONDS} THEN 'COOLDOWN'
-       ELSE 'OPEN' END AS decision
+       ELSE 'OPEN' END AS decision,
+  CASE WHEN decision = 'OPEN' THEN 'PENDING' END AS new_status,
+  round(CASE WHEN decision = 'OPEN' THEN psi END, 6) AS psi_score, CASE WHEN decision = 'OPEN' THEN 1 END AS adwin_change
 FROM ag, nw, ps""")
 def q_job_gate(spark, sf):
     """Expire, then skip when a job is active, cool down after a recent start, else open a job."""
     cur = J.job_current(job_events(spark, sf), fields=["start_time", "status", "decision"])
     ev = load(spark, sf, "events")
     psi = ev.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).agg(F.avg("value") / 100.0).scalar()
-    gate = J.job_gate(cur, _now(spark, sf), psi, F.lit(False))
-    return gate.select("active_jobs", "last_start", "decision")
+    gate = J.job_gate(cur, _now(spark, sf), psi, F.lit(True))
+    return gate.withColumn("psi_score", r6("psi_score"))
 
 
 @query("ready_to_retrain", sql="""SELECT user_id, count(*) AS n_rows,

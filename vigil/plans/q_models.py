@@ -107,7 +107,7 @@ def q_attribution_shift(spark, sf):
     """Champion vs challenger attributions on the drifted test rows: gains and permutation AUC drops."""
     data = frames(spark, sf).where(F.col("is_current") & (F.col("part") == "test"))
     return ML.attribution_shift(spark, trained(spark, sf, "champion"), trained(spark, sf, "challenger"),
-                                data, FEATURES, KEYS, top=3)
+                                data, FEATURES, KEYS)
 
 
 @query("save_load_model")

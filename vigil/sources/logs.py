@@ -23,11 +23,13 @@ def log_evolve(df: DataFrame, columns: list[tuple[str, str]] | None = None) -> D
     return df.select(*out, *extra)
 
 
-def log_append(df: DataFrame, path: str, time_col: str = "timestamp", partition_col: str = "log_date") -> None:
-    """Append scored rows (evolved to the log schema), partitioned by date."""
-    rows = log_evolve(df)
-    rows = rows.withColumn(partition_col, F.to_date(F.col(time_col)))
-    rows.write.mode("append").partitionBy(partition_col).parquet(path)
+def log_append(df: DataFrame, path: str, time_col: str = "timestamp", partition_col: str = "log_date",
+               batch_id: str | int = 0) -> None:
+    """Add scored rows (evolved to the log schema) as one batch, partitioned and clustered by date.
+
+    A batch that is written again replaces itself, so a retried write doubles nothing."""
+    rows = log_evolve(df).withColumn(partition_col, F.to_date(F.col(time_col)))
+    rows.repartition(partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

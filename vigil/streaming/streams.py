@@ -28,25 +28,59 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil import config as C
 from vigil.functions.features import scorecard, stream_high_value
-from vigil.operators.drift import bin_of, psi_report, quantile_edges, to_long
-from vigil.operators.jobs import job_gate
+from vigil.operators.drift import adaptive_window, bin_of, psi_report, quantile_edges, to_long, valid_number
+from vigil.operators.jobs import active_model, job_current, job_expire, job_gate
 from vigil.sources.codec import json_decode
+from vigil.session import cut_lineage
 from vigil.sources.logs import log_evolve
 
 
+KAFKA_START = "latest"
+
+
+def payload_files(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Payload lines (column ``value``) of a landing folder, as a stream."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(source_dir)
+
+
+def kafka_options(servers: str, topic: str, max_offsets_per_trigger: int | None = None) -> dict[str, str]:
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": KAFKA_START, "failOnDataLoss": "false"}
+    if max_offsets_per_trigger:
+        out["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    return out
+
+
+def payload_topic(spark: SparkSession, servers: str, topic: str, max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """The same from a Kafka topic (needs Spark's Kafka package on the cluster)."""
+    raw = spark.readStream.format("kafka").options(**kafka_options(servers, topic, max_offsets_per_trigger)).load()
+    return raw.select(F.col("value").cast("string").alias("value"))
+
+
+def active_scorer(spark: SparkSession, runs_path: str, prefix: str, scorers: dict[str, Callable[[DataFrame], DataFrame]]
+                  ) -> Callable[[], Callable[[DataFrame], DataFrame]]:
+    """A lookup for ``stream_score``: the scorer of the run table's active model, read anew for each batch;
+    a model type without a scorer, or no finished run, gets the built-in scorecard."""
+    def lookup():
+        row = active_model(spark.read.parquet(runs_path), prefix).first()
+        return scorers.get(row["model_type"], default_scorer)
+    return lookup
+
+
 def default_scorer(df: DataFrame) -> DataFrame:
     """Score with the built-in scorecard (model version 'scorecard-v1')."""
     return df.withColumn("fraud_probability", scorecard()).withColumn("model_version", F.lit("scorecard-v1"))
 
 
-def stream_score(spark: SparkSession, source_dir: str, log_path: str, checkpoint: str,
+def stream_score(spark: SparkSession, source: str | DataFrame, log_path: str, checkpoint: str,
                  scorer_lookup: Callable[[], Callable[[DataFrame], DataFrame]] | None = None,
                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the scoring stream; ``scorer_lookup()`` is called once per micro-batch (hot switch)."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    decoded = json_decode(reader.load(source_dir), "value")
+    """Start the scoring stream over a landing folder or a payload stream; ``scorer_lookup()`` is called
+    once per micro-batch (hot switch)."""
+    lines = payload_files(spark, source, max_files_per_trigger) if isinstance(source, str) else source
+    decoded = json_decode(lines, "value")
     flagged = decoded.withColumn("is_high_value", stream_high_value("price", "is_high_value"))
     lookup = scorer_lookup or (lambda: default_scorer)
 
@@ -60,45 +94,61 @@ def stream_score(spark: SparkSession, source_dir: str, log_path: str, checkpoint
     return w.start()
 
 
+JOB_EVENT_SCHEMA = ("job_id string, psi_score double, adwin_change boolean, alert boolean, decision string, status string, "
+                    "start_time timestamp, monitor_batch long")
+
+
 def stream_monitor(spark: SparkSession, log_path: str, baseline: DataFrame, jobs_path: str, checkpoint: str,
                    recent: int = C.MONITOR_RECENT_ROWS, available_now: bool = True) -> StreamingQuery:
-    """Every trigger: newest ``recent`` log rows -> PSI report -> gate -> job event."""
+    """Every trigger: newest ``recent`` log rows -> PSI report and change flag -> expiry and gate -> job events.
+
+    The baseline's edges are computed once.  A trigger writes one event for what it decided (with a status
+    only if it opens a job) and one for every job that it expires; a trigger that runs again replaces its own.
+    """
     schema = spark.read.parquet(log_path).schema
     stream = spark.readStream.schema(schema).parquet(log_path)
+    edges = cut_lineage(quantile_edges(to_long(baseline, C.MONITORED_FEATURES), "value", keys=["feature"]), "monitor-edges")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         log = spark.read.parquet(log_path)
-        newest = log.orderBy(F.col("timestamp").desc(), F.col("batch").desc()).limit(recent)
-        rep = psi_report(baseline, newest, C.MONITORED_FEATURES)
-        jobs = _read_jobs(spark, jobs_path)
-        now = log.agg(F.max(F.col("timestamp").cast("timestamp"))).scalar()
-        gate = job_gate(jobs, now, F.lit(0.0), F.lit(False))
-        row = gate.withColumns({"psi": rep.select("psi").scalar(), "alert": rep.select("alert").scalar()})
-        event = row.select(
-            F.concat(F.lit("job_"), F.lit(str(batch_id))).alias("job_id"),
-            F.col("psi").alias("psi_score"), F.coalesce(F.col("alert"), F.lit(False)).alias("alert"), F.col("decision"),
-            F.when((F.col("decision") == "OPEN") & F.col("alert"), F.lit("PENDING")).alias("status"),
-            F.when((F.col("decision") == "OPEN") & F.col("alert"), now).alias("start_time"),
-            F.lit(batch_id).alias("monitor_batch"))
-        event.write.mode("overwrite").parquet(f"{jobs_path.rstrip('/')}/monitor_batch={batch_id}")
+        newest = cut_lineage(log.orderBy(F.col("timestamp").desc(), F.xxhash64(*log.columns)).limit(recent), "monitor-newest")
+        rep = psi_report(baseline, newest, C.MONITORED_FEATURES, edges=edges)
+        change = adaptive_window(newest.withColumn("_at", F.col("timestamp").cast("timestamp")), "price", "_at")
+        now = newest.agg(F.max(F.col("timestamp").cast("timestamp"))).scalar()
+        psi, flag = F.coalesce(rep.select("psi").scalar(), F.lit(0.0)), F.coalesce(change.select("adwin_change").scalar(), F.lit(False))
+        alert = F.coalesce(rep.select("alert").scalar(), F.lit(False))
+        earlier = _job_events(spark, jobs_path).where(F.col("monitor_batch") != F.lit(batch_id))
+        jobs = job_current(earlier, order_cols=("monitor_batch",), fields=["start_time", "status", "decision"])
+        gate = job_gate(jobs, now, psi, flag).withColumns({"_psi": psi, "_flag": flag, "_alert": alert})
+        opens = F.col("_alert") & (F.col("decision") == "OPEN")
+        own = gate.select(F.lit(f"job_{batch_id}").alias("job_id"), F.col("_psi").alias("psi_score"), F.col("_flag").alias("adwin_change"),
+                          F.col("_alert").alias("alert"), "decision", F.when(opens, F.lit("PENDING")).alias("status"),
+                          F.when(opens, now).alias("start_time"))
+        expired = job_expire(jobs, now).join(jobs.select("job_id", F.col("status").alias("_was")), "job_id") \
+            .where((F.col("decision") == "ORPHANED_TIMEOUT") & (F.col("_was") != F.col("status"))) \
+            .select("job_id", F.lit(None).cast("double").alias("psi_score"), F.lit(None).cast("boolean").alias("adwin_change"),
+                    F.lit(None).cast("boolean").alias("alert"), "decision", "status", F.lit(None).cast("timestamp").alias("start_time"))
+        events = cut_lineage(own.unionByName(expired), "monitor-events")  # read before the folder is replaced
+        events.write.mode("overwrite").parquet(f"{jobs_path.rstrip('/')}/monitor_batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def _read_jobs(spark: SparkSession, jobs_path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(jobs_path).select("start_time", "status", F.lit(None).cast("string").alias("decision"))
-    except Exception:  # noqa: BLE001 - no job written yet
-        return spark.createDataFrame([], "start_time timestamp, status string, decision string")
+def _job_events(spark: SparkSession, jobs_path: str) -> DataFrame:
+    """The job events so far; none where no trigger has written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(jobs_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], JOB_EVENT_SCHEMA)
+    return spark.read.schema(JOB_EVENT_SCHEMA).parquet(jobs_path)
 
 
 def window_psi_edges(baseline: DataFrame, features: list[str]) -> dict:
     """Baseline edges and shares per feature, fetched once (features x buckets numbers)."""
     long = to_long(baseline, features)
     edges = quantile_edges(long, "value", keys=["feature"])
-    binned = long.join(edges.select("feature", "edges"), "feature").where(F.col("value").isNotNull()) \
+    binned = long.join(edges.select("feature", "edges"), "feature").where(valid_number("value")) \
         .select("feature", bin_of("value", "edges").alias("bin"))
     counts = binned.groupBy("feature", "bin").count()
     rows = {r["feature"]: list(r["edges"]) for r in edges.select("feature", "edges").collect()}
