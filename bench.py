@@ -29,6 +29,7 @@ HEADLINE = [
     "rolling_confusion",   # 50-row windows at the row's own threshold
     "rolling_psi",         # 50-row rolling PSI vs a static baseline
     "job_current",         # latest-non-null per job field
+    "train_champion",      # gradient-boosted trees on the encoded baseline
 ]
 
 
