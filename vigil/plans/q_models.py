@@ -50,8 +50,8 @@ def trained(spark, sf, role: str):
         elif role == "challenger":
             train = data.where(F.col("is_current") & (F.col("part") == "train"))
             model = ML.train_gbt(train, FEATURES, **_params(C.CHALLENGER_PARAMS))
-        else:  # stronger retrain on all drifted rows
-            train = data.where(F.col("is_current"))
+        else:  # stronger retrain on the drifted rows that it is not judged on
+            train = data.where(F.col("is_current") & (F.col("part") != "val"))
             model = ML.train_gbt(train, FEATURES, **_params(C.STRONG_CHALLENGER_PARAMS))
         _REGISTRY[key] = ML.save_model(model, scratch_path(spark, f"model-{role}"))
     return ML.load_model(_REGISTRY[key])
@@ -73,9 +73,13 @@ def q_train_champion(spark, sf):
 @query("train_challenger")
 def q_train_challenger(spark, sf):
     """Challenger (100 x depth 4) on the drifted period vs the champion, by AUC on drifted validation rows."""
-    data = frames(spark, sf).where(F.col("is_current"))
-    val = data.where(F.col("part") == "val")
-    champ = ML.evaluate_model(ML.score_batch(trained(spark, sf, "champion"), val))
+    if not alert:  # nothing is trained without an alert; the same columns either way
+        none = F.lit(None).cast("double")
+        return rep.select("psi", "alert", *[none.alias(c) for c in ("champion_auc", "champion_f1", "challenger_auc", "challenger_f1", "strong_auc")],
+                          F.lit("NO_DRIFT").alias("decision"), F.lit("champion").alias("active_model"))
+    val = frames(spark, sf).where(F.col("is_current") & (F.col("part") == "val"))
+    champ = ML.evaluate_model(ML.score_batch(trained(spark, sf, "champion"), val)).select(
+        F.col("roc_auc").alias("champion_auc"), F.col("f1").alias("champion_f1"))
     chall = ML.evaluate_model(ML.score_batch(trained(spark, sf, "challenger"), val))
     return champ.select(F.lit("champion").alias("model"), "f1", "roc_auc", "pr_auc").unionByName(
         chall.select(F.lit("challenger").alias("model"), "f1", "roc_auc", "pr_auc"))
