@@ -13,9 +13,9 @@
    only the band of sizes that can reach t.  Pairs that the stars have joined are left
    out (their link adds nothing to the components); a pair must pass the bound that the
    shingle's places in both orders set.
-5. Every pair, of a star or a tile, is checked by its bitmaps: bits set in one and not
-   in the other bound the overlap from above.  What passes is decided by intersecting
-   the sorted shingle arrays, recomputed from the texts that are needed.
+5. Every pair, of a star or inside a tile, is checked by its bitmaps before it goes on:
+   bits set in one and not in the other bound the overlap from above.  What passes is
+   decided by intersecting the sorted shingle arrays, recomputed from the texts.
 
 Components of the links are the result.  The tiles find every pair that reaches t, so
 no link between components is lost; the count table and the order change only the work.
@@ -29,6 +29,7 @@ come out repeated; an empty table gives no rows; other input columns are ignored
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,10 @@ from vigil.llm.components import connected_components
 from vigil.llm.shingles import mix, shingle_sets
 
 SIMILARITY = (80, 100)   # links need 100 * intersection >= 80 * union
-COUNT_BITS = 20          # slots of the count table; more slots tell more frequent shingles apart
-BLOCK = 4096             # slots a row of the stored table
+COUNT_BITS = 22          # slots of the count table; more slots tell more frequent shingles apart
+BLOCK = 1 << 14          # slots a row of the stored table
 STARS = 3
-MIN_BITS, MAX_BITS = 256, 1 << 16
+MIN_BITS, MAX_BITS = 256, 1 << 18
 
 
 # --- numbers -------------------------------------------------------------------------------------------------
@@ -64,18 +65,21 @@ def class_id(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit per shingle, at its hash modulo the width: the next power of two over twice the size."""
-    width = min(MAX_BITS, max(MIN_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    """A bit per shingle, at its hash modulo the width: the next power of two over eight times the size."""
+    width = min(MAX_BITS, max(MIN_BITS, 1 << (8 * len(shingles) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(mix(shingles) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def fold(bits: bytes, width: int) -> np.ndarray:
+    """The bitmap of the same set at a narrower width (in bytes), as 64-bit words."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).view(np.uint64)
+
+
 def overlap_bound(map_a: bytes, size_a: int, map_b: bytes, size_b: int) -> int:
     """An upper bound of the overlap; the wider bitmap is folded to the narrower width."""
-    a, b = np.frombuffer(map_a, np.uint8), np.frombuffer(map_b, np.uint8)
-    width = min(len(a), len(b))
-    a, b = (np.bitwise_or.reduce(x.reshape(-1, width), axis=0).view(np.uint64) for x in (a, b))
+    a, b = (fold(x, min(len(map_a), len(map_b))) for x in (map_a, map_b))
     return min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
 
 
@@ -102,14 +106,14 @@ def facts(docs: DataFrame) -> DataFrame:
                 ids.append(class_id(s) if len(s) else None)
                 waiting.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
                 held += len(s)
-                if held > 1 << 20:
+                if held > 1 << 22:
                     counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
                     waiting, held = [], 0
             if waiting:
                 counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
                                               pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
-        rows = [(i, counts[i * BLOCK:(i + 1) * BLOCK].tobytes()) for i in range(len(counts) // BLOCK) if counts[i * BLOCK:(i + 1) * BLOCK].any()]
+        rows = [(i, zlib.compress(counts[i * BLOCK:(i + 1) * BLOCK].tobytes(), 1)) for i in range(len(counts) // BLOCK) if counts[i * BLOCK:(i + 1) * BLOCK].any()]
         if rows:
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
@@ -128,7 +132,7 @@ def count_levels(stored_facts: DataFrame) -> np.ndarray:
                     if block is not None:
                         yield _row(block, total)
                     block, total = i, np.zeros(BLOCK, np.int64)
-                total += np.frombuffer(raw, np.int32)
+                total += np.frombuffer(zlib.decompress(raw), np.int32)
         if block is not None:
             yield _row(block, total)
 
@@ -208,54 +212,115 @@ def star_pairs(sigs: DataFrame, num: int, den: int) -> DataFrame:
         .select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
 
 
-def tile_pairs(sigs: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): classes of different components that share a prefix shingle and may link.
+def tile_members(sigs: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, n, place, class, part): the rows of all tiles that may link two components.
 
-    A tile is the run of rows of one shingle in size order; runs of one component, the large groups of
-    copies, are passed over."""
+    A tile is the run of rows of one prefix shingle in size order.  Runs of one component, the large
+    groups of copies, are passed over, and so are rows without a partner in their band of sizes that the
+    places of the shingle in both orders allow."""
     rows = sigs.select("class", "n", "prefix").join(joined, F.col("class") == F.col("node"), "left") \
         .select("class", "n", F.coalesce("component", "class").alias("part"), F.posexplode("prefix").alias("place", "shingle")) \
         .repartition("shingle").sortWithinPartitions("shingle", "n").select("shingle", "n", "place", "class", "part")
 
     def run(batches):
-        held, made = None, []
-        for b in batches:
-            new = [b.column(i).to_numpy() for i in range(5)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on in the next batch
-            if last:
-                made += _tiles([x[:last] for x in held], num, den)
-                held = [x[last:] for x in held]
-            if sum(len(x[0]) for x in made) > 1 << 16:
-                yield _pair_rows(made)
-                made = []
-        if held is not None and len(held[0]):
-            made += _tiles(held, num, den)
-        if made:
+        for tile in _tiles(batches):
+            part = tile.column("part").to_numpy()
+            starts = _starts(tile)
+            mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+            keep = np.zeros(tile.num_rows, bool)
+            for a, z in zip(starts[mixed].tolist(), np.append(starts[1:], tile.num_rows)[mixed].tolist()):
+                for i, partners in _partners(tile, a, z, num, den):
+                    keep[i] = True
+                    keep[partners] = True
+            if keep.any():
+                yield from tile.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, "shingle long, n long, place int, class long, part long")
+
+
+def tile_pairs(members: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of a tile, of different components, whose bitmaps do not rule a link out."""
+    own = sigs.select(F.col("class").alias("_class"), "bits")
+    rows = members.join(own, F.col("class") == F.col("_class")).select("shingle", "n", "place", "class", "part", "bits") \
+        .repartition("shingle").sortWithinPartitions("shingle", "n", "class")
+
+    def run(batches):
+        made, held = [], 0
+        for tile in _tiles(batches):
+            own, size = tile.column("class").to_numpy(), tile.column("n").to_numpy()
+            starts = _starts(tile)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), tile.num_rows]):
+                maps = Bitmaps(tile.column("bits").slice(a, z - a).to_pylist())
+                for i, partners in _partners(tile, a, z, num, den):
+                    bound = maps.overlap_bounds(i - a, partners - a, size[a:z])
+                    other = own[partners[bound >= least_overlap(size[i], size[partners], num, den)]]
+                    made.append((np.minimum(other, own[i]), np.maximum(other, own[i])))
+                    held += len(other)
+                if held > 1 << 16:
+                    yield _pair_rows(made)
+                    made, held = [], 0
+        if held:
             yield _pair_rows(made)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _tiles(rows: list[np.ndarray], num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    shingle, size, place, own, part = rows
-    starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-    mixed = np.flatnonzero(np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts))
-    ends = np.concatenate([starts[1:], [len(shingle)]])
-    out = []
-    for k in mixed.tolist():
-        s = slice(starts[k], ends[k])
-        n, p, c, g = size[s], place[s].astype(np.int64), own[s], part[s]
-        band = np.searchsorted(n, n * den // num, side="right")  # up to the largest partner
-        reach = n - -(-2 * num * n // (num + den)) + 1           # places within the shorter prefix
-        for i in np.flatnonzero(p < reach).tolist():
-            j = slice(i + 1, band[i])
-            most = 1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)
-            ok = (g[j] != g[i]) & (most >= least_overlap(n[i], n[j], num, den))
-            if ok.any():
-                other = c[j][ok]
-                out.append((np.minimum(other, c[i]), np.maximum(other, c[i])))
-    return out
+def _tiles(batches):
+    """Tables of whole runs of one shingle, from batches sorted by it."""
+    held = None
+    for b in batches:
+        new = pa.Table.from_batches([b])
+        held = new if held is None else pa.concat_tables([held, new])
+        keys = held.column("shingle").to_numpy()
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on in the next batch
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _starts(tile: pa.Table) -> np.ndarray:
+    keys = tile.column("shingle").to_numpy()
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+
+
+def _partners(tile: pa.Table, a: int, z: int, num: int, den: int):
+    """(row, rows of its larger partners) for the run of rows a to z: other components, sizes in the band, and
+    an overlap that the shingle's places in both orders allow (it holds for a pair's first common shingle)."""
+    n, p, g = (tile.column(c).slice(a, z - a).to_numpy() for c in ("n", "place", "part"))
+    p = p.astype(np.int64)
+    band = np.searchsorted(n, n * den // num, side="right")  # up to the largest partner
+    reach = n - -(-2 * num * n // (num + den)) + 1           # places within the shorter prefix
+    for i in np.flatnonzero(p < reach).tolist():
+        j = slice(i + 1, band[i])
+        most = 1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)
+        ok = np.flatnonzero((g[j] != g[i]) & (most >= least_overlap(n[i], n[j], num, den)))
+        if len(ok):
+            yield a + i, a + i + 1 + ok
+
+
+class Bitmaps:
+    """The bitmaps of a tile, each width's as one matrix, folded to narrower widths when first asked for."""
+
+    def __init__(self, maps: list[bytes]):
+        self.width = np.array([len(m) for m in maps])
+        self.maps, self.folded = maps, {}
+
+    def _matrix(self, width: int) -> np.ndarray:
+        if width not in self.folded:
+            out = np.zeros((len(self.maps), width // 8), np.uint64)
+            for i in np.flatnonzero(self.width >= width).tolist():
+                out[i] = fold(self.maps[i], width)
+            self.folded[width] = out
+        return self.folded[width]
+
+    def overlap_bounds(self, i: int, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlap of set ``i`` with larger ones (whose bitmaps are no narrower)."""
+        m = self._matrix(int(self.width[i]))
+        a, b = m[i], m[others]
+        return np.minimum(size[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
+                          size[others] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
 
 
 def _pair_rows(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -298,19 +363,21 @@ def exact_check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable."""
     num, den = similarity
-    all_facts = Stored(facts(docs), "jaccard-facts").df
-    rows = all_facts.where("block is null").select("doc_id", "n_shingles", "class")
+    all_facts = Stored(facts(docs), "jaccard-facts")
+    rows = Stored(all_facts.df.where("block is null").select("doc_id", "n_shingles", "class"), "jaccard-rows").df
+    levels = count_levels(all_facts.df)
+    all_facts.drop()
     usable = rows.where("class is not null and doc_id is not null")
     classes = Stored(usable.groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-classes").df
     again = Stored(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("least"), F.max("class").alias("most"))
                    .where("k > 1"), "jaccard-repeated").df  # ids that repeat
     repeated = has_rows(again)
-
     usable_docs = docs.where(docs["doc_id"].isNotNull())
-    sigs = Stored(signatures(usable_docs, count_levels(all_facts), num, den).dropDuplicates(["class"]), "jaccard-signatures").collect_garbage().df
+    signed = Stored(signatures(usable_docs, levels, num, den).dropDuplicates(["class"]), "jaccard-signatures").collect_garbage()
+    sigs = signed.df
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        passed = Stored(bitmap_check(pairs, sigs, num, den), f"jaccard-{name}-candidates").df
+        passed = Stored(pairs, f"jaccard-{name}-candidates").collect_garbage().df
         needed = passed.select(F.col("a").alias("_n")).unionByName(passed.select(F.col("b").alias("_n"))).distinct()
         wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), f"jaccard-{name}-wanted").df
         sets = class_sets(docs, wanted)
@@ -320,12 +387,15 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
         sets.collect_garbage()
         return found
 
-    stars = linked(star_pairs(sigs, num, den), "star")
+    stars = linked(bitmap_check(star_pairs(sigs, num, den), sigs, num, den), "star")
     if repeated:
         same = usable.join(again.select(F.col("doc_id").alias("_d"), "least"), F.col("doc_id") == F.col("_d"))
         stars = stars.unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
     joined = Stored(connected_components(stars), "jaccard-stars").df
-    tiles = linked(Stored(tile_pairs(sigs, joined, num, den), "jaccard-tiles").collect_garbage().df, "tile")
+    members = Stored(tile_members(sigs, joined, num, den), "jaccard-tiles").collect_garbage()
+    tiles = linked(tile_pairs(members.df, sigs, num, den), "tile")
+    members.drop()
+    signed.drop()
     parts = Stored(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tiles)), "jaccard-parts").df
 
     named = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("part"))
