@@ -40,9 +40,11 @@ from vigil.llm.common import Stored
 SAMPLE_DOCS = 1000
 ITERATIONS = 2
 SMOOTHING = 0.05         # added to each expected count
+LEAST_COUNT = 0.01       # expected uses under which a piece counts as unused
 UNKNOWN = 1e-9           # probability of a character that is no piece, in any language
 LONGEST_RUN = 64
 WORDS_KEPT = 1 << 19
+CHUNK = 1 << 16          # runs scored in one go
 UNDETERMINED = "und"
 WORD_START = "▁"
 
@@ -94,13 +96,55 @@ def arcs(word: str, pieces: dict, longest: int):
                 yield start, end, None
 
 
-def word_likelihoods(word: str, pieces: dict[str, tuple[float, ...]], longest: int, n_langs: int) -> list[float]:
-    """log P(word) in each language, summed over all segmentations."""
-    ahead = [[1.0] * n_langs] + [[0.0] * n_langs for _ in range(len(word) + 1)]
-    unknown = (UNKNOWN,) * n_langs
-    for start, end, probs in arcs(word, pieces, longest):
-        ahead[end] = [a + b * p for a, b, p in zip(ahead[end], ahead[start], probs or unknown)]
-    return [math.log(a) if a > 0.0 else -700.0 for a in ahead[-1]]
+class Automaton:
+    """The pieces as a table of states by character, so that many words go through it at once."""
+
+    def __init__(self, pieces: dict[str, tuple[float, ...]], n_langs: int):
+        chars = sorted({c for p in pieces for c in p})
+        self.index = {c: i for i, c in enumerate(chars)}
+        self.longest = max(map(len, pieces), default=1)
+        steps: list[dict[int, int]] = [{}]
+        values = {}
+        for piece, value in pieces.items():
+            state = 0
+            for c in piece:
+                if self.index[c] not in steps[state]:
+                    steps[state][self.index[c]] = len(steps)
+                    steps.append({})
+                state = steps[state][self.index[c]]
+            values[state] = value
+        self.dead = len(steps)                                    # no piece begins like this
+        self.next = np.full((len(steps) + 1, len(chars) + 1), self.dead, np.int32)  # last column: any other character
+        self.value = np.zeros((len(steps) + 1, n_langs))
+        for state, by_char in enumerate(steps):
+            for c, to in by_char.items():
+                self.next[state, c] = to
+        for state, value in values.items():
+            self.value[state] = value
+        self.known = np.append(self.value[self.next[0]].any(axis=1)[:-1], False)
+
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """log P(word) in each language, summed over all segmentations: the forward algorithm."""
+        out = np.empty((len(words), self.value.shape[1]))
+        by_length = defaultdict(list)
+        for i, w in enumerate(words):
+            by_length[len(w)].append(i)
+        other = len(self.index)
+        for length, at in by_length.items():
+            chars = np.array([[self.index.get(c, other) for c in WORD_START + words[i]] for i in at], np.int32)
+            ahead = np.zeros((length + 2, len(at), out.shape[1]))
+            ahead[0] = 1.0
+            for start in range(length + 1):
+                state = np.zeros(len(at), np.int32)
+                for end in range(start, min(length + 1, start + self.longest)):
+                    state = self.next[state, chars[:, end]]
+                    ahead[end + 1] += ahead[start] * self.value[state]
+                    if (state == self.dead).all():
+                        break
+                ahead[start + 1] += ahead[start] * np.where(self.known[chars[:, start]], 0.0, UNKNOWN)[:, None]
+            with np.errstate(divide="ignore"):
+                out[at] = np.maximum(np.log(ahead[-1]), -700.0)
+        return out
 
 
 def expected_counts(word: str, pieces: dict[str, float], longest: int) -> dict[str, float]:
@@ -125,7 +169,7 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     """(lang, text) of the labelled documents to learn from."""
     usable = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"), docs["lang"].cast("string").alias("lang")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = Stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "langid-sizes").df  # a row a language
     chance = (F.xxhash64("id", F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
     return usable.join(sizes, "lang").where(chance * F.col("_n") < F.lit(sample_docs)).select("lang", "text")
 
@@ -173,7 +217,6 @@ class Model:
 
     def __init__(self, langs: list[str], priors: list[float], pieces: dict[str, tuple[float, ...]]):
         self.uid, self.langs, self.priors, self.pieces = uuid.uuid4().hex, langs, priors, pieces
-        self.longest = max(map(len, pieces), default=1)
 
 
 def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS, iterations: int = ITERATIONS) -> Model:
@@ -186,57 +229,78 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
         for lang, c in counts.items():
             total = sum(c.get(p, 0.0) for p in pieces) + SMOOTHING * len(pieces)
             probs[lang] = {p: (c.get(p, 0.0) + SMOOTHING) / total for p in pieces}
+    return build_model(counts, pieces)
+
+
+def build_model(counts: dict[str, dict[str, float]], pieces: tuple[str, ...]) -> Model:
+    """The model of the expected counts.  Longer pieces that no language uses tell nothing apart and are
+    left out; single characters stay."""
     langs = sorted(counts)
     if not langs:
         return Model([], [], {})
-    return Model(langs, [-math.log(len(langs))] * len(langs), {p: tuple(probs[x][p] for x in langs) for p in pieces})
+    used = [p for p in pieces if len(p) == 1 or any(counts[x].get(p, 0.0) > LEAST_COUNT for x in langs)]
+    totals = {x: sum(counts[x].get(p, 0.0) for p in used) + SMOOTHING * len(used) for x in langs}
+    return Model(langs, [-math.log(len(langs))] * len(langs),
+                 {p: tuple((counts[x].get(p, 0.0) + SMOOTHING) / totals[x] for x in langs) for p in used})
 
 
 # --- prediction ----------------------------------------------------------------------------------------------
 
 class Scorer:
-    """Scores texts; word likelihoods are kept (bounded, emptied when full)."""
+    """Scores texts; the likelihoods of runs are kept (bounded, emptied when full)."""
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
-        self.table = np.zeros((1024, len(model.langs) + 1))
-
-    def _row(self, run: str) -> int:
-        got = self.rows.get(run)
-        if got is None:
-            m = self.model
-            if len(self.rows) == len(self.table):
-                if len(self.rows) >= WORDS_KEPT:
-                    self.rows.clear()
-                else:
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            got = self.rows[run] = len(self.rows)
-            words = stretches(run)
-            self.table[got] = 0.0
-            for w in words:
-                self.table[got, :-1] += word_likelihoods(w, m.pieces, m.longest, len(m.langs))
-            self.table[got, -1] = sum(map(len, words))
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        self.automaton = Automaton(model.pieces, len(model.langs))
+        self.table = np.zeros((1024, len(model.langs) + 1))  # log likelihoods, then the number of letters
+
+    def _learn(self, runs: list[str]) -> None:
+        new = [r for r in dict.fromkeys(runs) if r not in self.rows]
+        if len(self.rows) + len(new) > max(WORDS_KEPT, len(new)):
+            self.rows.clear()
+            new = list(dict.fromkeys(runs))
+        while len(self.table) < len(self.rows) + len(new):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        words, owner = [], []
+        for r in new:
+            self.rows[r] = row = len(self.rows)
+            self.table[row] = 0.0
+            for w in stretches(r):
+                words.append(w)
+                owner.append(row)
+        if words:
+            np.add.at(self.table, (np.array(owner)[:, None], np.arange(len(self.model.langs))[None, :]), self.automaton.likelihoods(words))
+            np.add.at(self.table[:, -1], owner, [len(w) for w in words])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         m = self.model
-        if not text or not m.langs:
-            return UNDETERMINED, 0.0
-        total = np.zeros(self.table.shape[1])
-        runs = letter_runs(text)
-        for at in range(0, len(runs), 4096):
-            part = runs[at:at + 4096]
-            rows = list(map(self.rows.get, part))
-            if None in rows:
-                if len(self.rows) + len(part) > WORDS_KEPT:
-                    self.rows.clear()
-                rows = [self._row(r) for r in part]
-            total += self.table[rows].sum(axis=0)
+        if not m.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        totals = np.zeros((len(texts), self.table.shape[1]))
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            runs = letter_runs(t or "")
+            for at in range(0, len(runs), CHUNK):  # a very long text goes in several parts
+                held.append((i, runs[at:at + CHUNK]))
+                size += len(held[-1][1])
+                if size >= CHUNK:
+                    self._add(totals, held)
+                    held, size = [], 0
+        self._add(totals, held)
+        return [self._decide(t) for t in totals]
+
+    def _add(self, totals: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
+        self._learn([r for _, runs in held for r in runs])
+        for i, runs in held:
+            totals[i] += self.table[list(map(self.rows.__getitem__, runs))].sum(axis=0)
+
+    def _decide(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1]:
             return UNDETERMINED, 0.0
-        score = total[:-1] + m.priors
+        score = total[:-1] + self.model.priors
         best = int(np.argmax(score))
-        return m.langs[best], float(1.0 / np.exp(np.minimum(score - score[best], 0.0)).sum())
+        return self.model.langs[best], float(1.0 / np.exp(np.minimum(score - score[best], 0.0)).sum())
 
 
 _LAST: dict[str, Scorer] = {}
@@ -254,7 +318,7 @@ def prediction(text: Column, model: Model) -> Column:
     """Struct (lang_pred, score) of a text column."""
     def run(texts: pd.Series) -> pd.DataFrame:
         own = scorer(model)
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(own.predict(texts.tolist()), columns=["lang_pred", "score"])
 
     # not to be copied into filters above it
     return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)
