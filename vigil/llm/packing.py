@@ -89,7 +89,8 @@ def cut(encoded: DataFrame, width: int, window: int = WINDOW) -> DataFrame:
             if out:
                 yield _batch(doc, start, length, crc, total, seq, off, out)
 
-    return encoded.join(partition_offsets(encoded), "part").select(
+    offsets = Stored(partition_offsets(encoded), "packing-offsets").df  # its size is known when the join is planned
+    return encoded.join(offsets, "part").select(
         "doc_id", "ids", (F.col("part_offset") + F.col("start_in_part")).alias("at")).mapInArrow(pieces, _PIECES)
 
 
