@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 18
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 

@@ -30,7 +30,6 @@ import uuid
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +42,7 @@ SMOOTHING = 0.05         # added to each expected count
 LEAST_COUNT = 0.01       # expected uses under which a piece counts as unused
 UNKNOWN = 1e-9           # probability of a character that is no piece, in any language
 LONGEST_RUN = 64
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 CHUNK = 1 << 16          # runs scored in one go
 UNDETERMINED = "und"
 WORD_START = "▁"
@@ -316,12 +315,14 @@ def scorer(model: Model) -> Scorer:
 
 def prediction(text: Column, model: Model) -> Column:
     """Struct (lang_pred, score) of a text column."""
-    def run(texts: pd.Series) -> pd.DataFrame:
-        own = scorer(model)
-        return pd.DataFrame(own.predict(texts.tolist()), columns=["lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        own, out = scorer(model), []
+        for at in range(0, len(texts), 512):  # few texts at a time become Python strings
+            out += own.predict(texts.slice(at, 512).to_pylist())
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["lang_pred", "score"])
 
     # not to be copied into filters above it
-    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()(text)
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -91,6 +91,13 @@ def sorted_overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
 
 
+def _slices(batches, rows: int = 1024):
+    """Smaller batches: a batch's texts become Python strings as a whole."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 # --- passes over the texts -----------------------------------------------------------------------------------
 
 def facts(docs: DataFrame) -> DataFrame:
@@ -99,14 +106,14 @@ def facts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << COUNT_BITS, np.int32)
-        for b in batches:
+        for b in _slices(batches):
             n, ids, waiting, held = [], [], [], 0
             for s in shingle_sets(b.column(1).to_pylist()):
                 n.append(len(s))
                 ids.append(class_id(s) if len(s) else None)
                 waiting.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
                 held += len(s)
-                if held > 1 << 22:
+                if held > 1 << 20:
                     counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
                     waiting, held = [], 0
             if waiting:
@@ -155,7 +162,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, num: int, den: int) -> DataF
     def run(batches):
         level = np.frombuffer(shared.value, np.uint8)
         turn = mix(np.arange(1, STARS + 1, dtype=np.uint64)) | np.uint64(1)
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for s in shingle_sets(b.column(0).to_pylist()):
                 if len(s):
@@ -179,7 +186,7 @@ def _signature_rows(rows: list[tuple]) -> pa.RecordBatch:
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the wanted (class, rep): sorted hashes, from the text of the row ``rep``."""
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             want, out = b.column(0).to_pylist(), []
             for w, s in zip(want, shingle_sets(b.column(1).to_pylist())):
                 if len(s) and class_id(s) == w:
