@@ -24,3 +24,12 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert C.token_counts(empty(spark)).collect() == []
+
+
+def test_truncated_totals_read_the_suffix_sums(spark):
+    lengths = [2, 2, 5, 9]
+    rows = [(n, sum(x >= n for x in lengths), sum(min(x, n) for x in lengths)) for n in (2, 5, 9)]
+    sums = spark.createDataFrame(rows, "length long, docs_at_least long, truncated_total long")  # no histogram columns
+    limits = [0, 1, 2, 3, 5, 8, 9, 10]
+    assert {r.context_limit: r.total_tokens for r in C.truncated_totals(sums, limits).collect()} == {m: sum(min(x, m) for x in lengths) for m in limits}
+    assert [r.total_tokens for r in C.truncated_totals(sums.limit(0), [7]).collect()] == [0]

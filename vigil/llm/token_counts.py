@@ -56,11 +56,13 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     sums of the next length at or above it."""
     spark = sums.sparkSession
     wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    cut = [F.sum(F.when(F.col("length") <= F.lit(int(x)), F.col("n_tokens")).otherwise(F.lit(int(x)) * F.col("n_docs"))).alias(str(i))
+    # row of the first length at or above each limit; above the longest, no document is cut
+    cut = [F.min_by(F.struct("truncated_total", "length", "docs_at_least"), F.when(F.col("length") >= F.lit(int(x)), F.col("length"))).alias(str(i))
            for i, x in enumerate(limits)]
-    row = sums.agg(*cut)
-    both = F.explode(F.map_from_arrays(F.array(*[F.lit(int(x)).cast("long") for x in limits]),
-                                       F.array(*[F.coalesce(F.col(str(i)), F.lit(0)) for i in range(len(limits))])))
+    row = sums.agg(F.max(F.struct("length", "truncated_total")).alias("last"), *cut)
+    total = [F.coalesce(F.col(f"{i}.truncated_total") - (F.col(f"{i}.length") - F.lit(int(x))) * F.col(f"{i}.docs_at_least"),
+                        F.col("last.truncated_total"), F.lit(0)).cast("long") for i, x in enumerate(limits)]
+    both = F.explode(F.map_from_arrays(F.array(*[F.lit(int(x)).cast("long") for x in limits]), F.array(*total)))
     return wanted.join(row.select(both.alias("context_limit", "total_tokens")), "context_limit")
 
 
