@@ -131,3 +131,55 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS grp, doc_id::VARCHAR AS d, text,
+         coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS mid,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+           lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a // 2, 3988292384 * (a % 2)) END) AS crc
+  FROM documents),
+s AS (
+  SELECT doc_id, grp, sha256(coalesce(strlen(d)::VARCHAR || ':' || d, '-') || mid || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 5 = 0
+              THEN sha256(coalesce(strlen(d)::VARCHAR || ':' || d, '-') || mid || coalesce(strlen(low)::VARCHAR || ':' || low, '-')) END AS changed
+  FROM t),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM s),
+n AS (
+  SELECT grp, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY grp) AS k FROM l
+  UNION ALL
+  SELECT grp, level, i, digest, count(*) OVER (PARTITION BY grp) FROM (
+    SELECT grp, level + 1 AS level, i // 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest
+    FROM n WHERE k > 1 GROUP BY grp, level, i // 16)),
+r AS (SELECT grp, digest AS subroot, level AS height, row_number() OVER (ORDER BY grp) - 1 AS i FROM n WHERE k = 1),
+u AS (
+  SELECT 0 AS level, i, subroot AS digest, count(*) OVER () AS k FROM r
+  UNION ALL
+  SELECT level, i, digest, count(*) OVER () FROM (
+    SELECT level + 1 AS level, i // 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM u WHERE k > 1 GROUP BY level, i // 16)),
+f AS (
+  SELECT l.doc_id, l.grp, l.i AS id, l.leaf, r.subroot, r.height, r.i AS ri, 0 AS level, l.i AS i, coalesce(l.changed, l.leaf) AS node, '' AS proof
+  FROM l JOIN r USING (grp)
+  UNION ALL
+  SELECT doc_id, grp, id, leaf, subroot, height, ri, level + 1, CASE WHEN level + 1 = height THEN ri ELSE i // 16 END,
+         sha256(string_agg(CASE WHEN b_i = i THEN node ELSE digest END, '' ORDER BY b_i)),
+         proof || coalesce(string_agg(digest, '' ORDER BY b_i) FILTER (b_i <> i), '')
+  FROM (
+    SELECT f.*, b.i AS b_i, b.digest FROM f JOIN n b ON b.grp = f.grp AND b.level = f.level AND b.i // 16 = f.i // 16 WHERE f.level < f.height
+    UNION ALL
+    SELECT g.*, b.i AS b_i, b.digest FROM f g JOIN u b ON b.level = g.level - g.height AND b.i // 16 = g.i // 16 WHERE g.level >= g.height AND b.k > 1)
+  GROUP BY doc_id, grp, id, leaf, subroot, height, ri, level, i, node, proof),
+w AS (SELECT digest AS root, level FROM u WHERE k = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM f, w WHERE f.level = f.height + w.level
+"""
+
+
+@query("op12_merkle", OP12_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.merkle import verify_documents
+    return verify_documents(table(spark, sf_dir, "documents"))
