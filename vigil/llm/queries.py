@@ -183,3 +183,33 @@ FROM f, w WHERE f.level = f.height + w.level
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.merkle import verify_documents
     return verify_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+k AS (SELECT unnest(range(1, 6)) AS k),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, k WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (
+  SELECT c.lang, c.phrase, c.k, a, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * a * n) // (x.f * y.f), cut) AS place
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ') JOIN n ON n.lang = c.lang),
+d AS (
+  SELECT * FROM s WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM f q WHERE q.lang = s.lang AND q.k > s.k AND 100 * q.f >= 100 * s.a AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' '))),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM e WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
