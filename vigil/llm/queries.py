@@ -213,3 +213,9 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.collocations import collocations
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_pii")  # offsets of matches, and the transducers, are beyond SQL: see tests/llm/test_pii.py
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.pii import personal_data, report
+    return report(personal_data(table(spark, sf_dir, "documents")))
