@@ -78,7 +78,7 @@ def test_disguised_identifiers_map_back_to_their_characters(kind, hidden, around
 CLEAN = [
     "Meet me at home. Then we go", "look at example.com for more", "She arrived at noon dot dot dot", "two plus two is four. one two three, go!", "Il faut un point de vue plus clair",
     "The price @ 3.50 is fine", "version 1.2.3 and 4.5", "at the end.Of the day", "почта и адрес. Привет", "one.two and three", "chapter four, five, six, seven and eight", "dos o tres veces, un punto final",
-    "call at 10.30 or 11.45", "a (a) b (b) c", "he said: oh one", "IO error l0 O2", "ich bin um acht, neun oder zehn da", "<a> href </a> .", "nothing at all",
+    "call at 10.30 or 11.45", "a (a) b (b) c", "he said: oh one", "IO error l0 O2", "ich bin um acht, neun oder zehn da", "<a> href </a> .", "nothing at all", "12 345 un an",
 ]
 
 

@@ -9,7 +9,7 @@ piece stood before:
 2. letters that pose as digits inside numbers (O, l, I);
 3. "at" and "dot" in brackets, as words, as entities or spaced out, where they make an
    address, and disguised dots between numbers;
-4. spelled digits (English, German, French, Spanish) in runs of three or more, "double"
+4. spelled digits (English, German, French, Spanish), two or more in a run of three numbers, "double"
    and "triple", "plus".
 
 The detectors run again on the normalised text, and spans in which something was rewritten
@@ -156,11 +156,14 @@ def _look_alikes() -> dict[str, str]:
 
 
 _LOOK_ALIKES = _look_alikes()
-_LOOK_ALIKE = re.compile("[" + "".join(map(re.escape, _LOOK_ALIKES)) + "]")
+# characters beyond 16 bits as one range: a class of single ones would be searched one by one
+_LOOK_ALIKE = re.compile("[" + "".join(re.escape(c) for c in _LOOK_ALIKES if c <= "\uffff") + "\U00010000-\U0010ffff]")
 
 
 def look_alike_edits(text: str):
-    return [] if text.isascii() else [(m.start(), m.end(), _LOOK_ALIKES[m[0]]) for m in _LOOK_ALIKE.finditer(text)]
+    if text.isascii():
+        return []
+    return [(m.start(), m.end(), _LOOK_ALIKES[m[0]]) for m in _LOOK_ALIKE.finditer(text) if m[0] in _LOOK_ALIKES]
 
 
 _POSING = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OolI|])[0-9OolI|]{2,}+(?![A-Za-z0-9])|(?<=[0-9]\.)[OolI](?=\.[0-9OolI]|(?![\w.]))")
@@ -188,6 +191,20 @@ _IS_DOT = re.compile(_DOT_WORD, re.I)
 _LABEL = re.compile("[A-Za-z0-9-]+")
 
 
+# what a text in lower case must hold before it is searched for disguises; plain searches are far quicker
+_DOT_MARKS = ("dot", "punkt", "punto", "point", "ponto", "&#46;", "&period;", "%2e", "[.", "(.", "{.", "<.", "[ .", "( .", "{ .", "< .")
+_AT_MARKS = ("&#64;", "&commat;", "%40", "arroba", "_at_", *(f"{o}{b}{w}" for o in "[({<" for b in ("", " ") for w in ("at", "@", "a]", "a)", "a}", "a>")))
+_ENDED = re.compile(r"\.(?:" + "|".join(sorted(_ENDINGS)) + r")(?!\w)")
+
+
+def _may_hide_dots(low: str) -> bool:
+    return any(mark in low for mark in _DOT_MARKS)
+
+
+def _may_hide_address(low: str) -> bool:
+    return "@" in low or _may_hide_dots(low) or any(mark in low for mark in _AT_MARKS) or " at " in low and bool(_ENDED.search(low))
+
+
 def _local_part(text: str, end: int, least: int) -> tuple[int, list[tuple[int, int, str]]]:
     """Where the local part before ``end`` starts, and the disguised dots in it."""
     dots, start = [], end
@@ -208,6 +225,8 @@ def _local_part(text: str, end: int, least: int) -> tuple[int, list[tuple[int, i
 def address_edits(text: str):
     """Rewrites of disguised addresses: the at sign and all dots that are not plain."""
     out, done = [], 0
+    if not _may_hide_address(text.lower()):
+        return out
     for m in _AT.finditer(text):
         a, z = m.span()
         if a < done:
@@ -233,11 +252,13 @@ def address_edits(text: str):
                 edits.append((dot.start(), dot.end(), "."))
             hidden, dots, last = hidden + bool(dot["hidden"]), dots + 1, label
         known = last[0].lower() in _ENDINGS
+        if not edits:  # a plain address
+            continue
         if not dots or len(last[0]) < 2 or not last[0].isalpha() or word and not hidden and not known:
             continue
         start, before = _local_part(text, a, done)
         edits = before + edits
-        if start == a or not edits or word and not hidden and not re.search("[0-9._+]", text[start:a]):
+        if start == a or word and not hidden and not re.search("[0-9._+]", text[start:a]):
             continue
         out += edits
         done = last.end()
@@ -259,18 +280,29 @@ _NUMBER_DOT = re.compile(rf"(?<=[0-9A-Za-z])(?:{_HIDDEN_DOT})(?={_TOKEN})", re.I
 
 
 def number_dot_edits(text: str):
-    return [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)]
+    return [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text)] if _may_hide_dots(text.lower()) else []
+
+
+def _may_spell_digits(text: str) -> bool:
+    """Whether three words in a row are digits, spelled or not, and some word is a spelled one."""
+    for sign in ",.()-":
+        text = text.replace(sign, " ")
+    words = text.split()
+    spelled = [w in _SPELLED for w in words]
+    if not any(spelled):
+        return False
+    return b"\1\1\1" in bytes([s or w.isdigit() or w in ("double", "triple") for s, w in zip(spelled, words)])
 
 
 def spelled_digit_edits(text: str):
     """Each word becomes its digit; blanks, commas and hyphens between two words go."""
     out = []
+    if not _may_spell_digits(text.lower()):
+        return out
     for m in _SPOKEN.finditer(text):
         before = None  # end of the spelled word before
-        if len(_digits(m[0])) * 2 >= len(m[0]):
-            parts = list(_SPOKEN_PART.finditer(text, m.start(), m.end()))
-            if not any(p["word"] for p in parts):
-                continue
+        if sum(bool(p["word"]) for p in _SPOKEN_PART.finditer(m[0])) < 2:
+            continue
         for p in _SPOKEN_PART.finditer(text, m.start(), m.end()):
             if p["word"]:
                 if before is not None and before < p.start() and not text[before:p.start()].strip(" \t,-"):
