@@ -77,23 +77,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH l AS (
-  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+WITH t AS (SELECT text, min(source) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+v AS (SELECT site, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line_key FROM t),
+b AS (SELECT line_key FROM v WHERE line_key <> '' GROUP BY line_key HAVING count(DISTINCT site) >= 10),
+l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
-k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS line_key FROM l),
-b AS (SELECT line_key FROM k WHERE line_key <> '' GROUP BY line_key
-      HAVING count(DISTINCT source) >= 10 AND count(DISTINCT text) >= 10),
-m AS (SELECT k.*, b.line_key IS NOT NULL AS cut FROM k LEFT JOIN b USING (line_key)),
-d AS (
-  SELECT doc_id, text, count(*) AS n_lines, sum(cut::INT) AS n_cut,
-         coalesce(sum(length(line)) FILTER (cut), 0) > 0.5 * length(text) AS left_whole,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS kept
-  FROM m GROUP BY doc_id, text)
-SELECT doc_id, n_lines::BIGINT AS n_lines, (CASE WHEN left_whole THEN 0 ELSE n_cut END)::BIGINT AS n_removed,
-       left_whole AND n_cut > 0 AS left_whole, CASE WHEN left_whole THEN text ELSE kept END AS text
-FROM d
+m AS (SELECT l.*, b.line_key IS NOT NULL AS cut FROM l LEFT JOIN b ON b.line_key = trim(line, ' ' || chr(9) || chr(13)))
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(cut::INT)::BIGINT AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text
+FROM m GROUP BY doc_id, m.text
 UNION ALL
-SELECT doc_id, 0, 0, false, NULL FROM documents WHERE text IS NULL
+SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 
