@@ -6,7 +6,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id string, v int, comp
 
 
 def brute(rows):
-    n = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and len(r[1]) == 8 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    n = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     ids = sorted({r[0] for r in rows if r[0] is not None})
     vec = {}
     for r in n:
@@ -20,7 +20,7 @@ def brute(rows):
 
     for a in vec:
         for b in vec:
-            if a < b and vec[a][2] == vec[b][2]:
+            if a < b and vec[a][2] == vec[b][2] and len(vec[a][1]) == len(vec[b][1]):
                 x, y = (np.float32(vec[k][1]).astype(float) for k in (a, b))
                 if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
                     links[a] += 1
@@ -60,5 +60,39 @@ def test_awkward_rows_and_a_hot_group(spark, monkeypatch):
     check(spark, awkward_rows())
 
 
+def test_vectors_of_three_lengths(spark, monkeypatch):
+    monkeypatch.setattr(D, "TILE", 64)
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, size in ((5, 8), (60, 2), (40, 3), (45, 8)):
+        base = rng.normal(size=size)
+        rows += [(len(rows) + i, (base + rng.normal(size=size) * 0.1 * (i % 4)).tolist(), int(i % 2)) for i in range(n)]
+    rows += [(100_000, [1.0, 2.0], 7), (100_001, [1.0, 2.0], 7), (100_002, [1.0, 2.0, 0.0], 7)]
+    check(spark, [(*r, "x", 1, "x", "x") for r in rows])
+
+
+def test_passes_follow_the_rows():
+    assert D.passes_for(0) == D.passes_for(1000) == D.PASSES
+    sizes = [D.passes_for(10 ** k) for k in range(3, 12)]
+    assert sizes == sorted(sizes) and 20 < sizes[-3] < 50
+    agree = 1 - np.arccos(0.98) / np.pi
+    assert (1 - agree ** np.log2(1e9 / D.WINDOW)) ** D.passes_for(10 ** 9) <= D.MISSED
+
+
+def test_isolated_pairs_at_the_threshold_are_found(spark, monkeypatch):
+    """recall of pairs of cosine just above 0.98 among vectors of no structure, with narrow windows, at two sizes"""
+    rng = np.random.default_rng(4)
+    for n in (1500, 6000):
+        m = rng.normal(size=(n, 24))
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        side = rng.normal(size=(n // 2, 24))
+        even = m[0::2]
+        side -= (side * even).sum(axis=1, keepdims=True) * even
+        m[1::2] = 0.9805 * even + np.sqrt(1 - 0.9805 ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        rows = [(i, v.tolist(), 0, "x", 1, "x", "x") for i, v in enumerate(m)]
+        got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), window=4).collect()
+        assert sum(r.n_links >= 1 for r in got) >= 0.98 * n
+
+
 def test_empty_table(spark):
     assert D.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -11,9 +11,11 @@ all pairs of its members.  Members within half the angle of the threshold from t
 component's first vector all link with each other and are counted without comparing;
 the rest is compared with all members in blocks.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components or
-have another length than the most common one link with nothing, nor do those without a
-label or id; of rows that repeat an id the smallest vector counts, and every row gets the
+The number of passes follows the size of the largest label by one rule: see ``passes_for``.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link
+with nothing, nor do those without a label or id; vectors of any length take part, and link
+with those of their own length only; of rows that repeat an id the smallest vector counts, and every row gets the
 id's result; rows without an id have a null component and are kept; an empty table gives
 no rows; other input columns are ignored.
 """
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import Stored
 from vigil.llm.components import connected_components
-from vigil.llm.vectors import directions, matrix, taking_part, unit
+from vigil.llm.vectors import by_length, directions, matrix, row_cosines, taking_part, unit
 
 SIMILARITY = 0.98
 PASSES = 12
+MISSED = 3e-4    # see ``passes_for``
 WINDOW = 32
 KEY_BITS = 60
 TILE = 512       # rows of a pass compared in one go
@@ -45,12 +48,12 @@ def sorted_positions(vectors: DataFrame, passes: int = PASSES) -> DataFrame:
     """(turn, label, id, position): the place of every vector in one order over all passes."""
     def keys(batches):
         for b in batches:
-            v = matrix(b.column(2))
-            ids, labels = b.column(0), b.column(1)
-            for t in range(passes):
-                bits = v @ directions(KEY_BITS, v.shape[1], SEED + t) > 0
-                key = bits.astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), labels, pa.array(key), ids], ["turn", "label", "key", "id"])
+            for at, v in by_length(b.column(2)):
+                ids, labels = (b.column(i).take(pa.array(at)) for i in (0, 1))
+                for t in range(passes):
+                    bits = v @ directions(KEY_BITS, v.shape[1], SEED + t) > 0
+                    key = bits.astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), labels, pa.array(key), ids], ["turn", "label", "key", "id"])
 
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -76,11 +79,14 @@ def window_links(vectors: DataFrame, positions: DataFrame, similarity: float = S
         F.explode(F.when(place % TILE >= TILE - window, F.array(F.floor(place / TILE), F.floor(place / TILE) + 1)).otherwise(F.array(F.floor(place / TILE)))).alias("tile"))
 
     def compare(rows):
-        turn, label, ids, v = rows[0].to_numpy(), np.asarray(rows[1].to_pylist(), object), rows[2].to_numpy(), unit(matrix(rows[4]))
+        turn, label, ids = rows[0].to_numpy(), np.asarray(rows[1].to_pylist(), object), rows[2].to_numpy()
+        cuts = np.flatnonzero((turn[1:] != turn[:-1]) | (label[1:] != label[:-1])) + 1
         pairs = []
-        for d in range(1, min(window, len(ids) - 1) + 1):
-            hit = np.flatnonzero(np.einsum("ij,ij->i", v[:-d], v[d:]) >= similarity)
-            pairs += [(i, i + d) for i in hit.tolist() if turn[i] == turn[i + d] and label[i] == label[i + d]]
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):  # one pass, one label, one length
+            v = unit(matrix(rows[4].slice(a, z - a)))
+            for d in range(1, min(window, z - a - 1) + 1):
+                hit = np.flatnonzero(np.einsum("ij,ij->i", v[:-d], v[d:]) >= similarity)
+                pairs += [(a + i, a + i + d) for i in hit.tolist()]
         root = list(range(len(ids)))
 
         def find(x):
@@ -126,7 +132,7 @@ def link_counts(vectors: DataFrame, parts: DataFrame, similarity: float = SIMILA
 
     def angle(batches):
         for b in batches:
-            near = (unit(matrix(b.column(2))) * unit(matrix(b.column(3)))).sum(axis=1) >= half
+            near = row_cosines(b.column(2), b.column(3)) >= half
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], ["id", "component", "near"])
 
     first = vectors.select(F.col("id").alias("_first"), F.col("v").alias("w"))
@@ -166,11 +172,26 @@ def link_counts(vectors: DataFrame, parts: DataFrame, similarity: float = SIMILA
         .select("id", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, window: int = WINDOW,
+def passes_for(rows: int, similarity: float = SIMILARITY, window: int = WINDOW) -> int:
+    """Passes after which an isolated pair of exactly this similarity is missed with a chance of ``MISSED``
+    at most, among ``rows`` vectors of a label; ``PASSES`` at least.
+
+    Two vectors agree in a key bit with chance 1 - angle / pi, and stand in one window of a pass if they agree in
+    about the first log2(rows / window) bits; so the passes grow with a small power of the rows."""
+    agree = 1 - math.acos(similarity) / math.pi
+    found = agree ** max(0.0, math.log2(max(rows, 1) / window))
+    return max(PASSES, math.ceil(math.log(MISSED) / math.log1p(-min(found, 1 - 1e-9))))
+
+
+def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, passes: int | None = None, window: int = WINDOW,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    vectors = Stored(taking_part(embeddings, id_col, vector_col, [embeddings[label_col].cast("string").alias("label")])
-                     .where("label is not null"), "dedup-vectors").df
+    taken = taking_part(embeddings, id_col, vector_col, [embeddings[label_col].cast("string").alias("label")]).where("label is not null")
+    # vectors of different lengths have no cosine: the length is part of the label
+    vectors = Stored(taken.withColumn("label", F.concat_ws("/", F.size("v").cast("string"), "label")), "dedup-vectors").df
+    if passes is None:
+        largest = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        passes = passes_for(largest or 0, similarity, window)
     links = Stored(window_links(vectors, sorted_positions(vectors, passes), similarity, window), "dedup-links").df
     parts = Stored(connected_components(links), "dedup-parts").df
     counts = Stored(link_counts(vectors, parts, similarity), "dedup-counts").df

@@ -17,12 +17,9 @@ def is_valid(vector: Column) -> Column:
 
 
 def taking_part(vectors: DataFrame, id_col: str, vector_col: str, others: list[Column]) -> DataFrame:
-    """(id, v, ...) of the valid vectors with an id and of the most common length (the smaller on ties);
-    of rows that repeat an id the smallest stays."""
+    """(id, v, ...) of the valid vectors with an id, of any length; of rows that repeat an id the smallest stays."""
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), *others) \
         .where(F.col("id").isNotNull() & is_valid(F.col("v")))
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).first()
-    rows = rows.where(F.size("v") == F.lit(size["d"] if size else 0))
     if has_rows(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")):
         rest = [c for c in rows.columns if c != "id"]
         rows = rows.groupBy("id").agg(F.min(F.struct(*rest)).alias("s")).select("id", *[f"s.{c}" for c in rest])
@@ -37,6 +34,24 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def by_length(column: pa.Array):
+    """(row numbers, matrix) of the lists of each length in a column."""
+    size = column.value_lengths().to_numpy()
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        yield at, matrix(column if len(at) == len(column) else column.take(pa.array(at)))
+
+
+def row_cosines(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The cosine of every row's two vectors, which have one length."""
+    out, size = np.zeros(len(a)), a.value_lengths().to_numpy()
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x, y = (matrix(c.take(pa.array(at))) for c in (a, b))
+        out[at] = (unit(x) * unit(y)).sum(axis=1)
+    return out
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     """Rows divided by their length, safe for very large and very small components."""
     m = m / np.abs(m).max(axis=1, keepdims=True)
