@@ -4,6 +4,7 @@ import io
 import pyarrow.fs as pafs
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from vigil.llm import warc as W
 
@@ -40,6 +41,27 @@ def test_awkward_rows(spark, tmp_path):
     assert manifest.agg({"n_records": "sum"}).first()[0] == len(rows)
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i}", "a", "b", 1) for i in range(40)]
+    manifest, folder = W.archive_pages(spark.createDataFrame(rows, SCHEMA).repartition(8), str(tmp_path / "many"))
+    read = W.read_archives(manifest, folder)
+    assert manifest.count() == 8
+    tasks = read.select("archive", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in tasks}) > 1 and len({r.archive for r in tasks}) == len(tasks) == 8
+
+
+def test_a_path_without_a_scheme_is_resolved_as_spark_does(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    assert W.qualified(spark, f"{tmp_path}/x") == f"file://{tmp_path}/x" == W.qualified(spark, f"file:{tmp_path}/x")
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:1")  # names the file system only, nothing is opened
+        assert W.qualified(spark, "/ckpt/x") == "hdfs://127.0.0.1:1/ckpt/x"
+        assert W.qualified(spark, f"file://{tmp_path}/x") == f"file://{tmp_path}/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_empty_table(spark):
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Stored
@@ -35,6 +35,7 @@ from vigil.session import scratch_path
 
 REVISIT_FROM = 100
 ARCHIVE_BYTES = 16 << 20
+READ_BYTES = 128 << 20     # compressed bytes a reading task gets, about
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 6
@@ -187,7 +188,18 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, _RECORDS)
+    # a number of its own: a partition of a manifest is a few bytes, and would be merged with all others
+    n, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, 4 * manifest.sparkSession.sparkContext.defaultParallelism), -(-size // READ_BYTES))
+    return manifest.select("path").repartition(min(tasks, max(n, 1))).mapInArrow(run, _RECORDS)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The URI that Spark itself resolves ``folder`` to; a path without a scheme lies on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = uri.partition(":")
+    return f"{'s3' if scheme == 's3a' else scheme}://{rest.removeprefix('//')}"
 
 
 def _row(fields: dict[str, str], block: bytes, path: str) -> tuple:
@@ -204,9 +216,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Writes the archives and the stored manifest; gives the manifest and the folder."""
-    folder = folder or scratch_path(pages.sparkSession, "warc")
-    if "://" not in folder:
-        folder = f"file://{folder.removeprefix('file:')}"
+    folder = qualified(pages.sparkSession, folder or scratch_path(pages.sparkSession, "warc"))
     return Stored(write_archives(pages, folder), "warc-manifest").df, folder
 
 
