@@ -30,11 +30,17 @@ def brute(rows):
         return x
 
     ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1:]:
-            if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
+    flat = [(i, s) for i in ids for s in sets[i] if s]
+    column = {x: k for k, x in enumerate(sorted(set().union(*[s for _, s in flat])))} if flat else {}
+    held = np.zeros((len(flat), len(column)), np.float32)
+    for k, (_, s) in enumerate(flat):
+        held[k, [column[x] for x in s]] = 1
+    size = held.sum(axis=1)
+    for k in range(len(flat)):
+        both = held[k + 1:] @ held[k]
+        for m in np.flatnonzero(100 * both >= 80 * (size[k] + size[k + 1:] - both)).tolist():
+            x, y = sorted((find(flat[k][0]), find(flat[k + 1 + m][0])))
+            root[y] = x
     return {i: find(i) for i in ids}
 
 
@@ -72,6 +78,63 @@ def test_groups_at_the_threshold_and_an_id_with_two_texts(spark):
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def spread(rng, n, words=300, most=8):
+    """near copies of one text, 1 to ``most`` of its words changed: some pairs link, some do not"""
+    stock = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(stock) for _ in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.randint(1, most)):
+            copy[at] = rng.choice(stock)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("n,run", [(400, 1 << 14), (400, 60), (2000, 700)])
+def test_a_spread_group_verifies_few_pairs(spark, monkeypatch, n, run):
+    monkeypatch.setattr(J, "RUN", run)
+    rng = random.Random(n)
+    rows = spread(rng, n) + [(10_000 + i, t) for i, t in spread(rng, 30, most=40)]
+    offered, checked = [], []
+    best, exact = J.best_offers, J.exact_check
+    monkeypatch.setattr(J, "best_offers", lambda o, m: offered.append((m, o.select("x", "y").distinct().count())) or best(o, m))
+    monkeypatch.setattr(J, "exact_check", lambda p, *a: checked.append(p.count()) or exact(p, *a))
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert offered[0][0] == 1 and sum(checked[1:]) <= 5 * max(offered[0][1], 1)
+
+
+@pytest.mark.parametrize("run", [3, 10])
+def test_long_runs_cut_into_blocks_lose_no_link(spark, monkeypatch, run):
+    monkeypatch.setattr(J, "RUN", run)
+    rng = random.Random(run)
+    rows = spread(rng, 60, words=80, most=6)
+    other = [(1000 + i, t + " " + " ".join(f"x{i}y{j}" for j in range(rng.randint(0, 30)))) for i, (_, t) in enumerate(spread(rng, 40, words=70, most=3))]
+    rows += other
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_partners_equal_all_pairs():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    for turn in range(60):
+        m = int(rng.integers(2, 60))
+        n = np.sort(rng.integers(1, 60, m))
+        place = (rng.random(m) * np.array([J.prefix_lengths(int(x), 80, 100)[0] for x in n])).astype(np.int32)
+        part = rng.integers(0, 3 if turn % 2 else 40, m)
+        side = np.full(m, -1) if turn % 3 else rng.integers(0, 2, m)
+        tile = pa.table({"shingle": np.zeros(m, np.int64), "tile": np.zeros(m, np.int64), "side": side.astype(np.int32), "n": n, "place": place, "class": np.arange(m), "part": part})
+        got = sorted(tuple(sorted((i, j))) for i, p in J._partners(tile, 0, m, 80, 100) for j in p.tolist())
+        want = []
+        for i in range(m):
+            for j in range(i + 1, m):
+                most = 1 + min(n[i] - place[i] - 1, n[j] - place[j] - 1)
+                if part[i] != part[j] and (side[i] == -1 or side[i] != side[j]) and 100 * n[i] >= 80 * n[j] and place[i] < J.prefix_lengths(int(n[i]), 80, 100)[1] \
+                        and most >= J.least_overlap(n[i], n[j], 80, 100):
+                    want.append((i, j))
+        assert got == want
+
+
 def test_the_bitmap_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(300):

@@ -10,9 +10,12 @@
 3. Stars: classes with an equal minimum are compared with one centre of them.  This
    joins large groups of near copies with few comparisons.
 4. Tiles: classes that share a prefix shingle, in size order, so that a class meets
-   only the band of sizes that can reach t.  Pairs that the stars have joined are left
-   out (their link adds nothing to the components); a pair must pass the bound that the
-   shingle's places in both orders set.
+   only the band of sizes that can reach t; a pair must pass the bound that the
+   shingle's places in both orders set.  Components are what is compared: of every two that
+   meet, first one pair, the one whose bitmaps leave most room, is verified, then several,
+   then all; what links is united before the next round (see ``tile_components``).  A long
+   run of one shingle is cut into blocks, and its largest component is only met by the
+   other rows.
 5. Every pair, of a star or inside a tile, is checked by its bitmaps before it goes on:
    bits set in one and not in the other bound the overlap from above.  What passes is
    decided by intersecting the sorted shingle arrays, recomputed from the texts.
@@ -33,7 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Stored, has_rows
@@ -44,6 +47,8 @@ SIMILARITY = (80, 100)   # links need 100 * intersection >= 80 * union
 COUNT_BITS = 22          # slots of the count table; more slots tell more frequent shingles apart
 BLOCK = 1 << 14          # slots a row of the stored table
 STARS = 3
+RUN = 1 << 14            # rows of one prefix shingle that a task compares in one go
+ROUNDS = (1, 8, None)    # pairs verified for each two components that may link, round by round
 MIN_BITS, MAX_BITS = 256, 1 << 18
 
 
@@ -219,16 +224,47 @@ def star_pairs(sigs: DataFrame, num: int, den: int) -> DataFrame:
         .select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
 
 
-def tile_members(sigs: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
-    """(shingle, n, place, class, part): the rows of all tiles that may link two components.
-
-    A tile is the run of rows of one prefix shingle in size order.  Runs of one component, the large
-    groups of copies, are passed over, and so are rows without a partner in their band of sizes that the
-    places of the shingle in both orders allow."""
-    rows = sigs.select("class", "n", "prefix").join(joined, F.col("class") == F.col("node"), "left") \
-        .select("class", "n", F.coalesce("component", "class").alias("part"), F.posexplode("prefix").alias("place", "shingle")) \
-        .repartition("shingle").sortWithinPartitions("shingle", "n").select("shingle", "n", "place", "class", "part")
-
+def tile_rows(sigs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(shingle, tile, side, n, place, class, part): every class under every prefix shingle.
+
+    A tile is a run of rows of one shingle.  A run of over ``RUN`` rows is cut: its largest component
+    into blocks, and all other rows into blocks; every block of the others is a tile, and so is every
+    pair of blocks of which one holds others (``side`` tells them apart; -1: one block alone)."""
+    sizes = Stored(parts.groupBy(F.col("component").alias("_part")).agg(F.count(F.lit(1)).alias("_size")), "jaccard-sizes").df
+    named = sigs.select("class", "n", "prefix").join(parts, F.col("class") == F.col("node"), "left") \
+        .select("class", "n", "prefix", F.coalesce("component", "class").alias("part"))
+    rows = named.select("class", "n", "part", F.posexplode("prefix").alias("place", "shingle"))
+    long = Stored(rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(RUN)), "jaccard-long").df
+    if not has_rows(long):
+        return rows.select("shingle", F.lit(0).cast("long").alias("tile"), F.lit(-1).alias("side"), "n", "place", "class", "part")
+    # of each long run, the component that is largest over all
+    inside = rows.join(long, F.col("shingle") == F.col("_shingle")).groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k")) \
+        .join(sizes, F.col("part") == F.col("_part"), "left")
+    stats = Stored(inside.groupBy(F.col("shingle").alias("_shingle")).agg(
+        F.sum("k").alias("_rows"), F.max(F.struct(F.coalesce("_size", F.lit(1)), "part", "k")).alias("_top")).select(
+            "_shingle", F.col("_top.part").alias("_most"), F.ceil(F.col("_top.k") / F.lit(RUN)).alias("_d"),
+            F.ceil((F.col("_rows") - F.col("_top.k")) / F.lit(RUN)).alias("_o")).where("_o > 0"), "jaccard-runs").df
+    block = F.pmod(F.xxhash64("class"), F.when(F.col("part") == F.col("_most"), F.col("_d")).otherwise(F.col("_o")))
+    own = F.struct((F.col("_o") * (F.col("_d") + F.col("_o")) + F.col("block")).alias("tile"), F.lit(-1).alias("side"))
+    to = F.when(F.col("_shingle").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("tile"), F.lit(-1).alias("side")))) \
+        .when(F.col("part") == F.col("_most"), F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda i: F.struct((F.col("block") * F.col("_o") + i).alias("tile"), F.lit(0).alias("side")))) \
+        .otherwise(F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("_d") - 1), lambda d: F.struct((d * F.col("_o") + F.col("block")).alias("tile"), F.lit(1).alias("side"))),
+            F.transform(F.filter(F.sequence(F.lit(0), F.col("_o") - 1), lambda i: i != F.col("block")), lambda i: F.struct(
+                (F.col("_o") * F.col("_d") + F.least(i, F.col("block")) * F.col("_o") + F.greatest(i, F.col("block"))).alias("tile"), F.when(i < F.col("block"), 1).otherwise(0).alias("side"))),
+            F.array(own)))
+    short = rows.join(long, F.col("shingle") == F.col("_shingle"), "left_anti").select(
+        "shingle", F.lit(0).cast("long").alias("tile"), F.lit(-1).alias("side"), "n", "place", "class", "part")
+    cut = rows.join(stats, F.col("shingle") == F.col("_shingle")).withColumn("block", block).withColumn("to", F.explode(to)) \
+        .select("shingle", "to.tile", "to.side", "n", "place", "class", "part")
+    return short.unionByName(cut)
+
+
+def tile_members(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of all tiles that may link two components.
+
+    Tiles of one component, the large groups of copies, are passed over, and so are rows without a
+    partner in their band of sizes that the places of the shingle in both orders allow."""
     def run(batches):
         for tile in _tiles(batches):
             part = tile.column("part").to_numpy()
@@ -242,69 +278,116 @@ def tile_members(sigs: DataFrame, joined: DataFrame, num: int, den: int) -> Data
             if keep.any():
                 yield from tile.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "shingle long, n long, place int, class long, part long")
+    return rows.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n").select("shingle", "tile", "side", "n", "place", "class", "part") \
+        .mapInArrow(run, "shingle long, tile long, side int, n long, place int, class long, part long")
 
 
-def tile_pairs(members: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of a tile, of different components, whose bitmaps do not rule a link out."""
+def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """(x, y, room, a, b): of every two components x < y that meet in a tile, the ``most`` pairs (None: all)
+    whose bitmaps leave most room above the overlap of a link; pairs that they rule out are left out."""
     own = sigs.select(F.col("class").alias("_class"), "bits")
-    rows = members.join(own, F.col("class") == F.col("_class")).select("shingle", "n", "place", "class", "part", "bits") \
-        .repartition("shingle").sortWithinPartitions("shingle", "n", "class")
+    rows = members.join(own, F.col("class") == F.col("_class")).select("shingle", "tile", "side", "n", "place", "class", "part", "bits") \
+        .repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "class")
 
     def run(batches):
         made, held = [], 0
         for tile in _tiles(batches):
-            own, size = tile.column("class").to_numpy(), tile.column("n").to_numpy()
+            own, part, size = (tile.column(c).to_numpy() for c in ("class", "part", "n"))
             starts = _starts(tile)
             for a, z in zip(starts.tolist(), [*starts[1:].tolist(), tile.num_rows]):
                 maps = Bitmaps(tile.column("bits").slice(a, z - a).to_pylist())
                 for i, partners in _partners(tile, a, z, num, den):
-                    bound = maps.overlap_bounds(i - a, partners - a, size[a:z])
-                    other = own[partners[bound >= least_overlap(size[i], size[partners], num, den)]]
-                    made.append((np.minimum(other, own[i]), np.maximum(other, own[i])))
-                    held += len(other)
-                if held > 1 << 16:
-                    yield _pair_rows(made)
-                    made, held = [], 0
+                    room = maps.overlap_bounds(i - a, partners - a, size[a:z]) - least_overlap(size[i], size[partners], num, den)
+                    other, room = partners[room >= 0], room[room >= 0]
+                    if len(other):
+                        swap = part[other] < part[i]
+                        made.append((np.where(swap, part[other], part[i]), np.where(swap, part[i], part[other]), room,
+                                     np.where(swap, own[other], own[i]), np.where(swap, own[i], own[other])))
+                        held += len(other)
+                    if held > 1 << 18:
+                        made = [_best_offers(made, most)]
+                        held = len(made[0][0])
+                        if held > 1 << 17:
+                            yield _offer_rows(made[0])
+                            made, held = [], 0
         if held:
-            yield _pair_rows(made)
+            yield _offer_rows(_best_offers(made, most))
+
+    return rows.mapInArrow(run, "x long, y long, room long, a long, b long")
+
+
+def _best_offers(made: list[tuple], most: int | None) -> tuple:
+    """Different pairs, and the first ``most`` of each two components."""
+    x, y, room, a, b = (np.concatenate([m[i] for m in made]) for i in range(5))
+    order = np.lexsort((b, a, -room, y, x))
+    x, y, room, a, b = (c[order] for c in (x, y, room, a, b))
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    x, y, room, a, b = (c[new] for c in (x, y, room, a, b))
+    if most is not None:
+        first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+        few = np.arange(len(x)) - start < most
+        x, y, room, a, b = (c[few] for c in (x, y, room, a, b))
+    return x, y, room, a, b
+
+
+def _offer_rows(offers: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in offers], ["x", "y", "room", "a", "b"])
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def best_offers(offers: DataFrame, most: int | None) -> DataFrame:
+    """(x, y, a, b): the offers of all tiles together, ``most`` for each two components."""
+    if most == 1:
+        return offers.groupBy("x", "y").agg(F.max(F.struct("room", "a", "b")).alias("s")).select("x", "y", "s.a", "s.b")
+    pairs = offers.select("x", "y", "room", "a", "b").distinct()
+    if most is not None:
+        best = Window.partitionBy("x", "y").orderBy(F.desc("room"), "a", "b")
+        pairs = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.lit(most))
+    return pairs.select("x", "y", "a", "b")
 
 
 def _tiles(batches):
-    """Tables of whole runs of one shingle, from batches sorted by it."""
+    """Tables of whole tiles, from batches sorted by (shingle, tile)."""
     held = None
     for b in batches:
         new = pa.Table.from_batches([b])
         held = new if held is None else pa.concat_tables([held, new])
-        keys = held.column("shingle").to_numpy()
-        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on in the next batch
-        if last:
-            yield held.slice(0, last)
-            held = held.slice(last)
+        if held.num_rows:
+            starts = _starts(held)
+            if starts[-1]:  # the last tile may go on in the next batch
+                yield held.slice(0, int(starts[-1]))
+                held = held.slice(int(starts[-1]))
     if held is not None and held.num_rows:
         yield held
 
 
 def _starts(tile: pa.Table) -> np.ndarray:
-    keys = tile.column("shingle").to_numpy()
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    shingle, number = tile.column("shingle").to_numpy(), tile.column("tile").to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (number[1:] != number[:-1])]))
 
 
 def _partners(tile: pa.Table, a: int, z: int, num: int, den: int):
-    """(row, rows of its larger partners) for the run of rows a to z: other components, sizes in the band, and
-    an overlap that the shingle's places in both orders allow (it holds for a pair's first common shingle)."""
-    n, p, g = (tile.column(c).slice(a, z - a).to_numpy() for c in ("n", "place", "part"))
+    """(row, rows of its partners) for the tile of rows a to z: other components, sizes in the band, and an
+    overlap that the shingle's places in both orders allow (it holds for a pair's first common shingle).
+
+    The rows of the tile's most frequent component are only looked at from the other rows, so a tile of
+    one large component and few others costs no more than their product."""
+    n, p, g, side = (tile.column(c).slice(a, z - a).to_numpy() for c in ("n", "place", "part", "side"))
     p = p.astype(np.int64)
-    band = np.searchsorted(n, n * den // num, side="right")  # up to the largest partner
-    reach = n - -(-2 * num * n // (num + den)) + 1           # places within the shorter prefix
-    for i in np.flatnonzero(p < reach).tolist():
-        j = slice(i + 1, band[i])
+    names, number, count = np.unique(g, return_inverse=True, return_counts=True)
+    large = number == int(np.argmax(count))
+    above = np.searchsorted(n, n * den // num, side="right")            # up to the largest partner
+    below = np.searchsorted(n, -(-n * num // den), side="left")         # from the smallest one
+    reach = n - -(-2 * num * n // (num + den)) + 1                      # places within the shorter prefix, for the smaller of two
+    for i in np.flatnonzero(~large).tolist():
+        j = np.arange(below[i], above[i])
+        smaller = j < i
+        least = np.where(smaller, n[j], n[i])
         most = 1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)
-        ok = np.flatnonzero((g[j] != g[i]) & (most >= least_overlap(n[i], n[j], num, den)))
-        if len(ok):
-            yield a + i, a + i + 1 + ok
+        ok = (g[j] != g[i]) & (~smaller | large[j]) & (most >= least_overlap(n[i], n[j], num, den)) \
+            & (np.where(smaller, p[j], p[i]) < np.where(smaller, reach[j], reach[i])) & ((side[j] == -1) | (side[j] != side[i])) & (least > 0)
+        if ok.any():
+            yield a + i, a + j[ok]
 
 
 class Bitmaps:
@@ -323,16 +406,18 @@ class Bitmaps:
         return self.folded[width]
 
     def overlap_bounds(self, i: int, others: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Upper bounds of the overlap of set ``i`` with larger ones (whose bitmaps are no narrower)."""
-        m = self._matrix(int(self.width[i]))
-        a, b = m[i], m[others]
-        return np.minimum(size[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
-                          size[others] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-
-
-def _pair_rows(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.concatenate([x[i] for x in made]) for i in (0, 1)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        """Upper bounds of the overlap of set ``i`` with others, at the narrower width of each two."""
+        out = np.zeros(len(others), np.int64)
+        width = np.minimum(self.width[others], self.width[i])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            m = self._matrix(w)
+            for k in range(0, len(at), 4096):
+                own = at[k:k + 4096]
+                a, b = m[i], m[others[own]]
+                out[own] = np.minimum(size[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
+                                      size[others[own]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+        return out
 
 
 def bitmap_check(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
@@ -365,6 +450,36 @@ def exact_check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
         .mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
 
 
+def tile_components(sigs: DataFrame, parts: DataFrame, linked, num: int, den: int) -> DataFrame:
+    """(node, component): the components of ``parts`` (classes that it lacks are their own) united by all links
+    that the tiles hold.  ``linked`` gives those of the pairs (a, b) that link.
+
+    Between two components one link is enough.  So the first round verifies the most promising pair of each two
+    components that meet in a tile, the next ones several, and the last all; what has been united offers nothing
+    more.  After the last round every pair that the bitmaps leave is verified or lies inside a component."""
+    members = None
+    for turn, most in enumerate(ROUNDS):
+        if members is None:
+            rows = tile_rows(sigs, parts)
+        else:
+            rows = members.df.drop("part").join(parts, F.col("class") == F.col("node"), "left") \
+                .select("shingle", "tile", "side", "n", "place", "class", F.coalesce("component", "class").alias("part"))
+        before, members = members, Stored(tile_members(rows, num, den), "jaccard-tiles").collect_garbage()
+        if before is not None:
+            before.drop()
+        offers = Stored(tile_offers(members.df, sigs, num, den, most), "jaccard-offers").collect_garbage()
+        pairs = Stored(best_offers(offers.df, most), "jaccard-best")
+        offers.drop()
+        if not has_rows(pairs.df):
+            break
+        found = linked(pairs.df.select("a", "b")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        united = pairs.df.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b")
+        old = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = Stored(connected_components(old.unionByName(united)), f"jaccard-parts-{turn}").df
+    members.drop()
+    return parts
+
+
 # --- the join ------------------------------------------------------------------------------------------------
 
 def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -398,12 +513,9 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     if repeated:
         same = usable.join(again.select(F.col("doc_id").alias("_d"), "least"), F.col("doc_id") == F.col("_d"))
         stars = stars.unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
-    joined = Stored(connected_components(stars), "jaccard-stars").df
-    members = Stored(tile_members(sigs, joined, num, den), "jaccard-tiles").collect_garbage()
-    tiles = linked(tile_pairs(members.df, sigs, num, den), "tile")
-    members.drop()
+    parts = Stored(connected_components(stars), "jaccard-stars").df
+    parts = tile_components(sigs, parts, lambda pairs: linked(pairs, "tile"), num, den)
     signed.drop()
-    parts = Stored(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tiles)), "jaccard-parts").df
 
     named = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("part"))
     named = Stored(named, "jaccard-named").df
