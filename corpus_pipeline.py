@@ -4,20 +4,21 @@ Stages, each written as Parquet and read again by the next:
 
 1. language: documents without a letter, or of no learned language with some certainty, go;
 2. lines: cross-site boilerplate lines are cut out of the texts;
-3. near duplicates: of each group of linked documents the one with the smallest id stays;
+3. near duplicates: of each group of linked documents one row, of the smallest id, stays;
 4. packing: what is left becomes full windows of tokens; returns the pieces.
 
-Stages 1 to 3 return the columns of their input.  Rows without an id pass the first three
-stages (they are no copies of anything); an empty table gives an empty table.
+Stages 1 to 3 return the columns of their input.  Rows without an id are treated like any
+other row, and stay if no row of their group has one; different texts under one id are
+different documents; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import langid, line_dedup, ngram_join, packing
-from vigil.llm.common import Stored, has_rows
+from vigil.llm.common import Stored
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -46,15 +47,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.link_documents(docs)
-    gone = Stored(linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies").df
-    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
-    if has_rows(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")):
-        number = _free_name(docs, "row_number")
-        once = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.where("doc_id is not null").withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number) \
-            .unionByName(kept.where("doc_id is null"))
-    return kept
+    """Rows are what is compared and removed, by a number of their own; ids only decide which one stays."""
+    row = _free_name(docs, "row_number")
+    rows = Stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows").df  # the numbers stay as they are
+    linked = ngram_join.link_documents(rows.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0") \
+        .select(F.col("doc_id").alias("_row"), "component_id")
+    owner = rows.select(F.col(row).alias("_of"), F.col("doc_id").cast("long").alias("_id"))
+    known = Stored(linked.join(owner, F.col("_row") == F.col("_of")).select("_row", "component_id", "_id"), "pipeline-linked").df
+    groups = known.groupBy(F.col("component_id").alias("_group")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_best")) \
+        .where("_n > 1").select("_group", F.col("_best._row").alias("_stays"))
+    gone = Stored(known.join(groups, F.col("component_id") == F.col("_group")).where("_row <> _stays").select(F.col("_row").alias("_gone")), "pipeline-copies").df
+    return rows.join(gone.hint("merge"), rows[row] == gone["_gone"], "left_anti").drop(row)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
