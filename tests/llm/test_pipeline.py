@@ -1,7 +1,7 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import EXTRA, SCHEMA, awkward, empty
 from tests.llm.test_ngram_join import brute
 from vigil.llm import langid
 from vigil.llm.common import Stored
@@ -34,3 +34,13 @@ def test_empty_table(spark):
     docs = empty(spark)
     for _, stage in P.STAGES:
         assert stage(spark, docs, "").collect() == []
+
+
+def test_rows_are_removed_not_ids(spark):
+    one, two, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60)), " ".join(f"a{i}" for i in range(1, 60))
+    rows = [(5, one), (5, two), (7, near), (None, one), (None, two), (None, "c d e f g h"), (None, "c d e f g h"), (9, None), (9, ""), (8, two), (5, two), (11, "x y z")]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", 0, *EXTRA) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+    out = P.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(5, one), (5, two), (None, "c d e f g h"), (9, None), (9, ""), (11, "x y z")], key=str)
