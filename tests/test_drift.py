@@ -35,6 +35,31 @@ def test_quantile_edges_match_numpy(spark, method):
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
+QS = [0.0, 0.001, 0.25, 0.5, 0.5, 0.9, 0.999, 1.0]
+
+
+@pytest.mark.parametrize("k,move", [(2000, 0.006), (8, 0.0), (8, 0.02)])
+def test_quantiles_by_bracket_and_refine(spark, monkeypatch, k, move):
+    """also with a sketch so coarse that its brackets miss: the exact counts see it and all values are taken"""
+    monkeypatch.setattr(D, "SKETCH_K", k)
+    monkeypatch.setattr(D, "BRACKET", move)
+    rng = np.random.RandomState(3)
+    groups = {"wide": rng.lognormal(3, 4, 6000), "ties": rng.randint(0, 4, 5000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]),
+              "ends": np.concatenate([[-np.inf] * 40, rng.normal(size=3000), [np.inf] * 40]), None: np.arange(2500.0)}
+    rows = [(key, float(x)) for key, xs in groups.items() for x in xs] + [("wide", None), ("wide", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: (r["quantiles"], r.n) for r in D.quantiles(df, "x", QS, keys=["k"]).collect()}
+    assert set(got) == set(groups)
+    for key, xs in groups.items():
+        xs = np.sort(xs)
+        at = [(int(q * (len(xs) - 1)), math.ceil(q * (len(xs) - 1)), q) for q in QS]
+        want = [xs[a] if xs[a] == xs[z] else np.quantile(xs, q) for a, z, q in at]
+        assert got[key][1] == len(xs) and np.allclose(got[key][0], want, rtol=1e-12, atol=1e-12), key
+    keyless = D.quantiles(df.where("k = 'wide'"), "x", [0.5]).first()
+    assert keyless["quantiles"] == pytest.approx([np.median(groups["wide"])])
+    assert D.quantiles(df.where("k = 'empty'"), "x", [0.5], keys=["k"]).collect() == []
+
+
 @pytest.mark.parametrize("method", ["exact"])
 def test_psi_matches_numpy_and_ties(spark, method):
     rng = np.random.RandomState(2)

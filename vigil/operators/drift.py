@@ -3,9 +3,10 @@
 All statistics take optional grouping ``keys`` (model, scenario, feature …)
 and are computed as distributed aggregations:
 
-* exact quantiles never hold one group's values in one buffer: distinct
-  values are counted (map-side combined), ranked with ``prefix_sum`` and the
-  two order statistics around each quantile are picked and interpolated;
+* exact quantiles by bracket and refine: a mergeable sketch brackets every
+  order statistic, a second scan counts what lies below each bracket and keeps
+  only the values inside, and those few are ranked with ``prefix_sum``.  The
+  counts are exact, so a bracket that missed is seen and widened;
 * binning a row against its edges is ``size(filter(edges, e -> x >= e))`` —
   the edges arrive as a scalar subquery (keyless) or through an equi-join on
   the keys (one row per key; AQE turns it into a broadcast when small);
@@ -57,7 +58,7 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
     """Linear-interpolated quantiles ``qs`` of ``value_col`` per key (NULL/NaN dropped).
 
     Returns ``keys + [out_col array<double>, n long]``; NULL keys are a key of
-    their own.  ``"exact"`` ranks distributed, with no per-group buffer;
+    their own.  ``"exact"`` selects by bracket and refine, two scans, no per-group buffer;
     ``"approx"`` is the ``percentile_approx`` sketch.
     """
     keys = _keys(keys)
@@ -66,39 +67,80 @@ def quantiles(df: DataFrame, value_col: str, qs: list[float], keys=None, method:
         return clean.groupBy(*keys).agg(
             F.percentile_approx("_x", F.array(*[F.lit(q) for q in qs]), accuracy).alias(out_col),
             F.count(F.lit(1)).alias("n"))
-    # 1. counts per distinct value (partial aggregation before the shuffle)
-    counts = clean.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    # 2. rank ranges per distinct value without one-task windows
-    ranked = prefix_sum(counts, ["_x"], ["_c"], keys=keys, materialize=True)
-    n = ranked.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))  # totals from the materialised running sums
-    ranked = attach(ranked, n, keys, ["_n"])
-    # 0-based rank range covered by this value: [cum - c, cum - 1]
-    lo_rank = F.col("_c_cum") - F.col("_c")
-    hi_rank = F.col("_c_cum") - F.lit(1.0)
-    picks = []
-    for i, q in enumerate(qs):
-        pos = F.lit(q) * (F.col("_n") - F.lit(1.0))
-        f_lo, f_hi = F.floor(pos), F.ceil(pos)
-        picks.append(F.when((lo_rank <= f_lo) & (f_lo <= hi_rank),
-                            F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.col("_x").alias("v"),
-                                     (pos - f_lo).alias("d"))))
-        picks.append(F.when((lo_rank <= f_hi) & (f_hi <= hi_rank),
-                            F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.col("_x").alias("v"),
-                                     (pos - f_lo).alias("d"))))
-    chosen = ranked.select(*keys, "_n", F.explode(F.array_compact(F.array(*picks))).alias("p"))
-    per_q = chosen.groupBy(*keys, F.col("p.i").alias("i")).agg(
-        F.max(F.when(F.col("p.side") == 0, F.col("p.v"))).alias("lo"),
-        F.max(F.when(F.col("p.side") == 1, F.col("p.v"))).alias("hi"),
-        F.max("p.d").alias("d"), F.max("_n").alias("_n"))
-    per_q = per_q.withColumn(
-        "edge", F.when(F.col("d") == 0, F.col("lo"))
-                 .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("d")))
-    result = per_q.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "edge"))), lambda s: s["edge"]).alias(out_col),
-        F.max("_n").cast("long").alias("n"))
-    # one small row per key, used several times downstream (binning, grid, shares):
-    # materialise it once instead of re-running the ranking for every use
-    return cut_lineage(result)
+    # 1. a mergeable sketch brackets the two order statistics around every quantile
+    sketched = clean.groupBy(*keys).agg(F.kll_sketch_agg_double("_x", F.lit(SKETCH_K)).alias("_s"), F.count(F.lit(1)).alias("n"))
+
+    def end(q: float, move: float) -> Column:
+        rank = F.least(F.greatest(F.lit(q) + F.lit(move), F.lit(0.0)), F.lit(1.0))
+        return F.kll_sketch_get_quantile_double("_s", rank)
+
+    qs_sorted = sorted(set(qs))
+    brackets = cut_lineage(sketched.select(
+        *keys, "n", F.array(*[end(q, -BRACKET) for q in qs_sorted]).alias("_lo"),
+        F.array(*[end(q, BRACKET) for q in qs_sorted]).alias("_hi")), "brackets")
+    # 2. exact counts outside and values inside the brackets, then the order statistics
+    edge = F.when((F.col("d") == 0) | (F.col("lo") == F.col("hi")), F.col("lo")) \
+        .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("d"))
+
+    def select(ends: DataFrame) -> DataFrame:
+        found = _order_statistics(clean, ends, qs_sorted, keys)
+        per_key = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", edge.alias("edge")))).alias("_e"), F.max("n").alias("n"))
+        # one small row per key, used several times downstream (binning, grid, shares):
+        # materialise it once instead of re-running the selection for every use
+        return cut_lineage(per_key.select(*keys, F.array(*[F.try_element_at("_e", F.lit(qs_sorted.index(q))) for q in qs]).alias(out_col), "n"))
+
+    result = select(brackets)
+    if result.where(F.exists(out_col, lambda x: x.isNull())).take(1):  # a bracket missed its rank: take all values
+        result = select(brackets.withColumns({"_lo": F.transform("_lo", lambda x: F.lit(float("-inf"))),
+                                              "_hi": F.transform("_hi", lambda x: F.lit(float("inf")))}))
+    return result
+
+
+SKETCH_K = 2000    # rank error of the sketch about 0.2 %
+BRACKET = 0.006    # three times as much on either side; a miss is seen by the exact counts
+
+
+def _order_statistics(clean: DataFrame, brackets: DataFrame, qs: list[float], keys: list[str]) -> DataFrame:
+    """``keys + [i, n, lo, hi, d]``: the values at the ranks around ``qs[i] * (n - 1)`` and the fraction between
+    them; lo or hi is NULL where the rank does not lie in its bracket.
+
+    One pass: a row counts in the interval between the brackets' lower ends, and brings its value only if it lies
+    inside a bracket (a few per cent of the rows, before equal values are merged)."""
+    both = attach(clean, brackets, keys, ["_lo", "_hi"])
+    x = F.col("_x")
+    below = [F.when(x >= F.try_element_at("_lo", F.lit(j)), 1).otherwise(0) for j in range(1, len(qs) + 1)]
+    inside = [(x >= F.try_element_at("_lo", F.lit(j))) & (x <= F.try_element_at("_hi", F.lit(j))) for j in range(1, len(qs) + 1)]
+    any_inside = inside[0]
+    for c in inside[1:]:
+        any_inside = any_inside | c
+    counts = cut_lineage(both.select(*keys, sum(below[1:], below[0]).alias("_bin"), F.when(any_inside, x).alias("_v"))
+                         .groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c")), "bracket-counts")
+    # rows below each bracket: those of the intervals up to its lower end
+    per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c")).groupBy(*keys).agg(
+        F.collect_list(F.struct("_bin", "_c")).alias("_bins"))  # len(qs) + 1 entries at most
+    ends = attach(brackets, per_bin, keys, ["_bins"]) if keys else brackets.withColumn("_bins", per_bin.select("_bins").scalar())
+    ends = ends.select(*keys, "n", "_lo", "_hi", "_bins")
+
+    def up_to(i: int) -> Column:
+        return F.aggregate("_bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["_bin"] <= F.lit(i), b["_c"]).otherwise(F.lit(0).cast("long")))
+
+    one = F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(q).alias("q"), F.try_element_at("_lo", F.lit(i + 1)).alias("lo"), F.try_element_at("_hi", F.lit(i + 1)).alias("hi"),
+        up_to(i).alias("below")) for i, q in enumerate(qs)])).alias("_b")
+    ranks = ends.select(*keys, "n", one).select(*keys, "n", "_b.*").withColumn("_pos", F.col("q") * (F.col("n") - F.lit(1.0)))
+    values = attach(counts.where("_v is not null"), ends, keys, ["_lo", "_hi"])
+    held = F.explode(F.array_compact(F.array(*[
+        F.when((F.col("_v") >= F.try_element_at("_lo", F.lit(i + 1))) & (F.col("_v") <= F.try_element_at("_hi", F.lit(i + 1))), F.lit(i)) for i in range(len(qs))])))
+    values = values.select(*keys, held.alias("i"), "_v", "_c").groupBy(*keys, "i", "_v").agg(F.sum("_c").cast("double").alias("_c"))
+    ranked = prefix_sum(values, ["_v"], ["_c"], keys=[*keys, "i"])
+    near = attach(ranked, ranks.select(*keys, "i", "below", "_pos"), [*keys, "i"], ["below", "_pos"])
+    first, last = F.col("below") + F.col("_c_cum") - F.col("_c"), F.col("below") + F.col("_c_cum") - F.lit(1.0)
+    f_lo, f_hi = F.floor("_pos"), F.ceil("_pos")
+    picked = near.groupBy(*keys, "i").agg(
+        F.max(F.when((first <= f_lo) & (f_lo <= last), F.col("_v"))).alias("lo"),
+        F.max(F.when((first <= f_hi) & (f_hi <= last), F.col("_v"))).alias("hi"))
+    out = attach(ranks.select(*keys, "i", "n", (F.col("_pos") - F.floor("_pos")).alias("d")), picked, [*keys, "i"], ["lo", "hi"], "left")
+    return out
 
 
 def bin_of(x, edges, n_inner: int = C.PSI_BUCKETS - 1) -> Column:
@@ -148,35 +190,27 @@ def psi_from_sides(expected: DataFrame, actual: DataFrame, value_col: str, keys=
     """
     keys = _keys(keys)
     edges = edges if edges is not None else quantile_edges(expected, value_col, keys, buckets, method)
-    if keys:  # keys without a baseline have no edges but get their row
-        seen = actual.where(valid_number(value_col)).select(*keys).distinct().withColumn("_new", F.lit(True))
-        known = edges.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
-        only = seen.join(known, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], "left_anti")
-        edges = edges.select(*keys, "edges").unionByName(only.select(*keys, F.lit(None).cast("array<double>").alias("edges")))
     tagged = (expected.select(*keys, F.col(value_col).alias("_x"), F.lit(0).alias("_side"))
               .unionByName(actual.select(*keys, F.col(value_col).alias("_x"), F.lit(1).alias("_side")))
               .where(valid_number("_x")))
-    binned = _attach_edges(tagged, edges, keys).select(*keys, "_side", bin_of("_x", "edges").alias("bin"))
+    # keys without a baseline have no edges (all their rows fall into bin 0) but get their row
+    binned = attach(tagged, edges, keys, ["edges"], "left").select(*keys, "_side", bin_of("_x", "edges").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(
         F.count_if(F.col("_side") == 0).alias("e_cnt"),
         F.count_if(F.col("_side") == 1).alias("a_cnt"))
-    grid = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    full = attach(grid, counts, [*keys, "bin"], ["e_cnt", "a_cnt"], "left").fillna(0, subset=["e_cnt", "a_cnt"])
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    n_e, n_a = F.sum("e_cnt").over(w), F.sum("a_cnt").over(w)
-    full = full.select(*keys, "bin", "e_cnt", "a_cnt", n_e.alias("n_expected"), n_a.alias("n_actual"))
-    shares = full.select(*keys, "bin", "n_expected", "n_actual",
-                         F.when(F.col("n_expected") > 0, F.col("e_cnt") / F.col("n_expected"))
-                          .otherwise(F.lit(0.0)).alias("e_share"),
-                         F.when(F.col("n_actual") > 0, F.col("a_cnt") / F.col("n_actual"))
-                          .otherwise(F.lit(0.0)).alias("a_share"))
-    out = shares.groupBy(*keys).agg(
-        F.sum(psi_term(F.col("e_share"), F.col("a_share"))).alias("_psi"),
-        F.max("n_expected").alias("n_expected"), F.max("n_actual").alias("n_actual"))
-    return out.select(*keys,
-                      F.when((F.col("n_expected") == 0) | (F.col("n_actual") == 0), F.lit(0.0))
-                       .otherwise(F.col("_psi")).alias("psi"),
-                      "n_expected", "n_actual")
+    # a key's bins side by side: one row a key, empty bins are zero
+    wide = counts.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when(F.col("bin") == j, F.col(f"{side}_cnt"))), F.lit(0)).alias(f"_{side}{j}") for side in "ea" for j in range(buckets)],
+        F.coalesce(F.sum("e_cnt"), F.lit(0)).alias("n_expected"), F.coalesce(F.sum("a_cnt"), F.lit(0)).alias("n_actual"))
+
+    def share(side: str, n: str, j: int) -> Column:
+        return F.when(F.col(n) > 0, F.col(f"_{side}{j}") / F.col(n)).otherwise(F.lit(0.0))
+
+    terms = [psi_term(share("e", "n_expected", j), share("a", "n_actual", j)) for j in range(buckets)]
+    return wide.select(*keys,
+                       F.when((F.col("n_expected") == 0) | (F.col("n_actual") == 0), F.lit(0.0))
+                        .otherwise(sum(terms[1:], terms[0])).alias("psi"),
+                       "n_expected", "n_actual")
 
 
 def psi(df: DataFrame, value_col: str, is_current: Column, keys=None,
@@ -243,9 +277,9 @@ def psi_categorical(df: DataFrame, cat_col: str, is_current: Column, keys=None,
     keys = _keys(keys)
     counts = df.where(F.col(cat_col).isNotNull()).groupBy(*keys, F.col(cat_col).alias("category")).agg(
         F.count_if(~is_current).alias("e_cnt"), F.count_if(is_current).alias("a_cnt"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    n_e, n_a = F.sum("e_cnt").over(w), F.sum("a_cnt").over(w)
-    counts = counts.select(*keys, "e_cnt", "a_cnt", n_e.alias("n_e"), n_a.alias("n_a"))
+    counts = cut_lineage(counts, "category-counts")  # read for the totals and the terms
+    totals = counts.groupBy(*keys).agg(F.sum("e_cnt").alias("n_e"), F.sum("a_cnt").alias("n_a"))
+    counts = attach(counts, totals, keys, ["n_e", "n_a"])
     shares = counts.select(*keys, F.when(F.col("n_e") > 0, F.col("e_cnt") / F.col("n_e")).otherwise(F.lit(0.0)).alias("e"),
                            F.when(F.col("n_a") > 0, F.col("a_cnt") / F.col("n_a")).otherwise(F.lit(0.0)).alias("a"),
                            "n_e", "n_a")
