@@ -101,7 +101,21 @@ def test_a_spread_group_verifies_few_pairs(spark, monkeypatch, n, run):
     monkeypatch.setattr(J, "best_offers", lambda o, m: offered.append((m, o.select("x", "y").distinct().count())) or best(o, m))
     monkeypatch.setattr(J, "exact_check", lambda p, *a: checked.append(p.count()) or exact(p, *a))
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    assert offered[0][0] == 1 and sum(checked[1:]) <= 5 * max(offered[0][1], 1)
+    assert offered[0][0] == J.OFFERS and sum(checked[1:]) <= 5 * max(offered[0][1], 1)
+
+
+def test_where_the_offers_do_not_link_all_pairs_are_tried(spark, monkeypatch):
+    """one offer for each two components: the pairs beyond it are looked at in the second pass over the tiles"""
+    monkeypatch.setattr(J, "OFFERS", 1)
+    seen, calls = [], []
+    best, exact = J.best_offers, J.exact_check
+    monkeypatch.setattr(J, "best_offers", lambda o, m: seen.append(m) or best(o, m))
+    # the best offers of the first pass (the second check, after that of the stars) are taken as not linking
+    monkeypatch.setattr(J, "exact_check", lambda p, *a: calls.append(1) or exact(p.where("false") if len(calls) == 2 else p, *a))
+    rng = random.Random(12)
+    rows = spread(rng, 60, words=60, most=5) + [(500 + i, t) for i, t in spread(rng, 60, words=90, most=9)]
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert seen == [1, None]
 
 
 @pytest.mark.parametrize("run", [3, 10])
@@ -114,25 +128,40 @@ def test_long_runs_cut_into_blocks_lose_no_link(spark, monkeypatch, run):
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
-def test_partners_equal_all_pairs():
+def test_pairs_of_tiles_equal_all_pairs():
     import pyarrow as pa
     rng = np.random.default_rng(3)
     for turn in range(60):
-        m = int(rng.integers(2, 60))
-        n = np.sort(rng.integers(1, 60, m))
-        place = (rng.random(m) * np.array([J.prefix_lengths(int(x), 80, 100)[0] for x in n])).astype(np.int32)
-        part = rng.integers(0, 3 if turn % 2 else 40, m)
-        side = np.full(m, -1) if turn % 3 else rng.integers(0, 2, m)
-        tile = pa.table({"shingle": np.zeros(m, np.int64), "tile": np.zeros(m, np.int64), "side": side.astype(np.int32), "n": n, "place": place, "class": np.arange(m), "part": part})
-        got = sorted(tuple(sorted((i, j))) for i, p in J._partners(tile, 0, m, 80, 100) for j in p.tolist())
-        want = []
-        for i in range(m):
-            for j in range(i + 1, m):
-                most = 1 + min(n[i] - place[i] - 1, n[j] - place[j] - 1)
-                if part[i] != part[j] and (side[i] == -1 or side[i] != side[j]) and 100 * n[i] >= 80 * n[j] and place[i] < J.prefix_lengths(int(n[i]), 80, 100)[1] \
-                        and most >= J.least_overlap(n[i], n[j], 80, 100):
-                    want.append((i, j))
-        assert got == want
+        parts, want, at = [], [], 0
+        for number in range(int(rng.integers(1, 5))):
+            m = int(rng.integers(1, 90))
+            n = np.sort(rng.integers(1, 60, m))
+            place = (rng.random(m) * np.array([J.prefix_lengths(int(x), 80, 100)[0] for x in n])).astype(np.int32)
+            part = rng.integers(0, 3 if turn % 2 else 40, m)
+            side = np.full(m, -1) if turn % 3 else rng.integers(0, 2, m)
+            parts.append((np.full(m, number // 2), np.full(m, number), side, n, place, part))
+            for i in range(m):
+                for j in range(i + 1, m):
+                    most = 1 + min(n[i] - place[i] - 1, n[j] - place[j] - 1)
+                    if part[i] != part[j] and (side[i] == -1 or side[i] != side[j]) and 100 * n[i] >= 80 * n[j] and place[i] < J.prefix_lengths(int(n[i]), 80, 100)[1] \
+                            and most >= J.least_overlap(n[i], n[j], 80, 100):
+                        want.append((at + i, at + j))
+            at += m
+        shingle, tile, side, n, place, part = (np.concatenate([x[k] for x in parts]) for k in range(6))
+        table = pa.table({"shingle": shingle, "tile": tile, "side": side.astype(np.int32), "n": n, "place": place, "class": np.arange(at), "part": part})
+        got = sorted(p for i, j in J._pairs(table, 80, 100) for p in zip(i.tolist(), j.tolist()))
+        assert got == sorted(want)
+
+
+def test_bounds_of_many_pairs_equal_those_of_each():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3000, int(rng.integers(1, 700))).astype(np.uint64)) for _ in range(40)]
+    maps = [J.bitmap(s) for s in sets]
+    size = np.array([len(s) for s in sets])
+    i, j = rng.integers(0, 40, 500), rng.integers(0, 40, 500)
+    got = J.Bitmaps(pa.chunked_array([pa.array(maps[:15], pa.binary()), pa.array(maps[15:], pa.binary())])).overlap_bounds(i, j, size)
+    assert got.tolist() == [J.overlap_bound(maps[a], len(sets[a]), maps[b], len(sets[b])) for a, b in zip(i, j)]
 
 
 def test_the_bitmap_bound_is_never_below_the_overlap():

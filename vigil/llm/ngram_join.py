@@ -12,8 +12,8 @@
 4. Tiles: classes that share a prefix shingle, in size order, so that a class meets
    only the band of sizes that can reach t; a pair must pass the bound that the
    shingle's places in both orders set.  Components are what is compared: of every two that
-   meet, first one pair, the one whose bitmaps leave most room, is verified, then several,
-   then all; what links is united before the next round (see ``tile_components``).  A long
+   meet, first one pair, the one whose bitmaps leave most room, is verified, then a few more,
+   then all; what links is united before the next step (see ``tile_components``).  A long
    run of one shingle is cut into blocks, and its largest component is only met by the
    other rows.
 5. Every pair, of a star or inside a tile, is checked by its bitmaps before it goes on:
@@ -36,6 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ COUNT_BITS = 22          # slots of the count table; more slots tell more freque
 BLOCK = 1 << 14          # slots a row of the stored table
 STARS = 3
 RUN = 1 << 14            # rows of one prefix shingle that a task compares in one go
-ROUNDS = (1, 8, None)    # pairs verified for each two components that may link, round by round
+OFFERS = 4               # pairs that the tiles offer for each two components before one of them is known to link
+SHORT = 32               # rows of a tile up to which all its distances are compared at once
+CHUNK_BYTES = 1 << 22    # bitmaps compared at once
 MIN_BITS, MAX_BITS = 256, 1 << 18
 
 
@@ -267,14 +270,9 @@ def tile_members(rows: DataFrame, num: int, den: int) -> DataFrame:
     partner in their band of sizes that the places of the shingle in both orders allow."""
     def run(batches):
         for tile in _tiles(batches):
-            part = tile.column("part").to_numpy()
-            starts = _starts(tile)
-            mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
             keep = np.zeros(tile.num_rows, bool)
-            for a, z in zip(starts[mixed].tolist(), np.append(starts[1:], tile.num_rows)[mixed].tolist()):
-                for i, partners in _partners(tile, a, z, num, den):
-                    keep[i] = True
-                    keep[partners] = True
+            for i, j in _pairs(tile, num, den):
+                keep[i] = keep[j] = True
             if keep.any():
                 yield from tile.filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -293,23 +291,20 @@ def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: i
         made, held = [], 0
         for tile in _tiles(batches):
             own, part, size = (tile.column(c).to_numpy() for c in ("class", "part", "n"))
-            starts = _starts(tile)
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), tile.num_rows]):
-                maps = Bitmaps(tile.column("bits").slice(a, z - a).to_pylist())
-                for i, partners in _partners(tile, a, z, num, den):
-                    room = maps.overlap_bounds(i - a, partners - a, size[a:z]) - least_overlap(size[i], size[partners], num, den)
-                    other, room = partners[room >= 0], room[room >= 0]
-                    if len(other):
-                        swap = part[other] < part[i]
-                        made.append((np.where(swap, part[other], part[i]), np.where(swap, part[i], part[other]), room,
-                                     np.where(swap, own[other], own[i]), np.where(swap, own[i], own[other])))
-                        held += len(other)
-                    if held > 1 << 18:
-                        made = [_best_offers(made, most)]
-                        held = len(made[0][0])
-                        if held > 1 << 17:
-                            yield _offer_rows(made[0])
-                            made, held = [], 0
+            maps = Bitmaps(tile.column("bits"))
+            for i, j in _pairs(tile, num, den):
+                room = maps.overlap_bounds(i, j, size) - least_overlap(size[i], size[j], num, den)
+                i, j, room = i[room >= 0], j[room >= 0], room[room >= 0]
+                swap = part[j] < part[i]
+                x, y = np.where(swap, j, i), np.where(swap, i, j)
+                made.append((part[x], part[y], room, own[x], own[y]))
+                held += len(i)
+                if held > 1 << 17:
+                    made = [_best_offers(made, most)]
+                    held = len(made[0][0])
+                    if held > 1 << 16:
+                        yield _offer_rows(made[0])
+                        made, held = [], 0
         if held:
             yield _offer_rows(_best_offers(made, most))
 
@@ -321,9 +316,9 @@ def _best_offers(made: list[tuple], most: int | None) -> tuple:
     x, y, room, a, b = (np.concatenate([m[i] for m in made]) for i in range(5))
     order = np.lexsort((b, a, -room, y, x))
     x, y, room, a, b = (c[order] for c in (x, y, room, a, b))
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
     x, y, room, a, b = (c[new] for c in (x, y, room, a, b))
-    if most is not None:
+    if most is not None and len(a):
         first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         start = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
         few = np.arange(len(x)) - start < most
@@ -336,14 +331,13 @@ def _offer_rows(offers: tuple) -> pa.RecordBatch:
 
 
 def best_offers(offers: DataFrame, most: int | None) -> DataFrame:
-    """(x, y, a, b): the offers of all tiles together, ``most`` for each two components."""
-    if most == 1:
-        return offers.groupBy("x", "y").agg(F.max(F.struct("room", "a", "b")).alias("s")).select("x", "y", "s.a", "s.b")
-    pairs = offers.select("x", "y", "room", "a", "b").distinct()
-    if most is not None:
-        best = Window.partitionBy("x", "y").orderBy(F.desc("room"), "a", "b")
-        pairs = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.lit(most))
-    return pairs.select("x", "y", "a", "b")
+    """(x, y, a, b, turn): the offers of all tiles together, best first; ``most`` for each two components, and one
+    more where there are more."""
+    pairs = offers.distinct()
+    if most is None:
+        return pairs.select("x", "y", "a", "b", F.lit(1).alias("turn"))
+    best = Window.partitionBy("x", "y").orderBy(F.desc("room"), "a", "b")  # cut down before the shuffle
+    return pairs.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= F.lit(most + 1)).select("x", "y", "a", "b", "turn")
 
 
 def _tiles(batches):
@@ -366,57 +360,88 @@ def _starts(tile: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (number[1:] != number[:-1])]))
 
 
-def _partners(tile: pa.Table, a: int, z: int, num: int, den: int):
-    """(row, rows of its partners) for the tile of rows a to z: other components, sizes in the band, and an
-    overlap that the shingle's places in both orders allow (it holds for a pair's first common shingle).
-
-    The rows of the tile's most frequent component are only looked at from the other rows, so a tile of
-    one large component and few others costs no more than their product."""
-    n, p, g, side = (tile.column(c).slice(a, z - a).to_numpy() for c in ("n", "place", "part", "side"))
-    p = p.astype(np.int64)
-    names, number, count = np.unique(g, return_inverse=True, return_counts=True)
-    large = number == int(np.argmax(count))
-    above = np.searchsorted(n, n * den // num, side="right")            # up to the largest partner
-    below = np.searchsorted(n, -(-n * num // den), side="left")         # from the smallest one
-    reach = n - -(-2 * num * n // (num + den)) + 1                      # places within the shorter prefix, for the smaller of two
-    for i in np.flatnonzero(~large).tolist():
-        j = np.arange(below[i], above[i])
-        smaller = j < i
-        least = np.where(smaller, n[j], n[i])
-        most = 1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)
-        ok = (g[j] != g[i]) & (~smaller | large[j]) & (most >= least_overlap(n[i], n[j], num, den)) \
-            & (np.where(smaller, p[j], p[i]) < np.where(smaller, reach[j], reach[i])) & ((side[j] == -1) | (side[j] != side[i])) & (least > 0)
-        if ok.any():
-            yield a + i, a + j[ok]
+def _pairs(tile: pa.Table, num: int, den: int):
+    """Arrays (i, j) of the rows of all pairs inside the tiles, i of the smaller size: of different components,
+    sizes in the band, and an overlap that the shingle's places in both orders allow (it holds for a pair's
+    first common shingle).
+
+    Short tiles are compared all at once, distance by distance.  In a long one the rows of its most frequent
+    component are only looked at from the other rows, so it costs no more than their product."""
+    n, p, g, side = (tile.column(c).to_numpy() for c in ("n", "place", "part", "side"))
+    p, starts = p.astype(np.int64), _starts(tile)
+    ends = np.append(starts[1:], len(n))
+    reach = n - -(-2 * num * n // (num + den)) + 1  # places within the shorter prefix, for the smaller of two
+
+    def fit(i, j):
+        ok = (g[i] != g[j]) & (n[i] * den >= n[j] * num) & (p[i] < reach[i]) & ((side[i] == -1) | (side[i] != side[j])) \
+            & (1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1) >= least_overlap(n[i], n[j], num, den))
+        return i[ok], j[ok]
+
+    mixed = np.minimum.reduceat(g, starts) != np.maximum.reduceat(g, starts)
+    short = mixed & (ends - starts <= SHORT)
+    end = np.repeat(np.where(short, ends, 0), ends - starts)
+    rows = np.flatnonzero(end > 0)
+    for d in range(1, SHORT):
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        i, j = fit(rows, rows + d)
+        if len(i):
+            yield i, j
+    for a, z in zip(starts[mixed & ~short].tolist(), ends[mixed & ~short].tolist()):
+        own, sizes = g[a:z], n[a:z]
+        _, number, count = np.unique(own, return_inverse=True, return_counts=True)
+        large = number == int(np.argmax(count))
+        above = a + np.searchsorted(sizes, sizes * den // num, side="right")      # up to the largest partner
+        below = a + np.searchsorted(sizes, -(-sizes * num // den), side="left")   # from the smallest one
+        most = np.arange(a, z)[large]
+        held, waiting = 0, []
+        for k in np.flatnonzero(~large).tolist():
+            at = a + k
+            later = np.arange(at + 1, above[k])
+            earlier = most[np.searchsorted(most, below[k]):np.searchsorted(most, at)]
+            for i, j in (fit(np.full(len(later), at), later), fit(earlier, np.full(len(earlier), at))):
+                if len(i):
+                    waiting.append((i, j))
+                    held += len(i)
+            if held > 1 << 14:
+                yield tuple(np.concatenate([w[x] for w in waiting]) for x in (0, 1))
+                held, waiting = 0, []
+        if held:
+            yield tuple(np.concatenate([w[x] for w in waiting]) for x in (0, 1))
 
 
 class Bitmaps:
-    """The bitmaps of a tile, each width's as one matrix, folded to narrower widths when first asked for."""
-
-    def __init__(self, maps: list[bytes]):
-        self.width = np.array([len(m) for m in maps])
-        self.maps, self.folded = maps, {}
-
-    def _matrix(self, width: int) -> np.ndarray:
-        if width not in self.folded:
-            out = np.zeros((len(self.maps), width // 8), np.uint64)
-            for i in np.flatnonzero(self.width >= width).tolist():
-                out[i] = fold(self.maps[i], width)
-            self.folded[width] = out
-        return self.folded[width]
-
-    def overlap_bounds(self, i: int, others: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Upper bounds of the overlap of set ``i`` with others, at the narrower width of each two."""
-        out = np.zeros(len(others), np.int64)
-        width = np.minimum(self.width[others], self.width[i])
+    """The bitmaps of some rows; each width's as one matrix, wider ones folded to it."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.width = pa.compute.binary_length(column).to_numpy().astype(np.int64)
+        self.column = column.combine_chunks()
+
+    def _matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width // 8), np.uint64)
+        same = self.width[rows] == width
+        if same.any():
+            raw = b"".join(self.column.take(pa.array(rows[same])).to_pylist())
+            out[same] = np.frombuffer(raw, np.uint64).reshape(-1, width // 8)
+        for k in np.flatnonzero(~same).tolist():
+            out[k] = fold(self.column[int(rows[k])].as_py(), width)
+        return out
+
+    def overlap_bounds(self, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of the sets of rows i and j, at the narrower width of each two."""
+        out = np.zeros(len(i), np.int64)
+        width = np.minimum(self.width[i], self.width[j])
         for w in np.unique(width).tolist():
+            step = max(1, CHUNK_BYTES // w)
             at = np.flatnonzero(width == w)
-            m = self._matrix(w)
-            for k in range(0, len(at), 4096):
-                own = at[k:k + 4096]
-                a, b = m[i], m[others[own]]
-                out[own] = np.minimum(size[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
-                                      size[others[own]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            for k in range(0, len(at), step):
+                own = at[k:k + step]
+                rows, place = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+                m = self._matrix(rows, w)
+                a, b = m[place[:len(own)]], m[place[len(own):]]
+                out[own] = np.minimum(size[i[own]] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
+                                      size[j[own]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
         return out
 
 
@@ -450,36 +475,53 @@ def exact_check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
         .mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
 
 
-def tile_components(sigs: DataFrame, parts: DataFrame, linked, num: int, den: int) -> DataFrame:
+def tile_components(sigs: DataFrame, parts: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     """(node, component): the components of ``parts`` (classes that it lacks are their own) united by all links
-    that the tiles hold.  ``linked`` gives those of the pairs (a, b) that link.
-
-    Between two components one link is enough.  So the first round verifies the most promising pair of each two
-    components that meet in a tile, the next ones several, and the last all; what has been united offers nothing
-    more.  After the last round every pair that the bitmaps leave is verified or lies inside a component."""
-    members = None
-    for turn, most in enumerate(ROUNDS):
-        if members is None:
-            rows = tile_rows(sigs, parts)
-        else:
-            rows = members.df.drop("part").join(parts, F.col("class") == F.col("node"), "left") \
-                .select("shingle", "tile", "side", "n", "place", "class", F.coalesce("component", "class").alias("part"))
-        before, members = members, Stored(tile_members(rows, num, den), "jaccard-tiles").collect_garbage()
-        if before is not None:
-            before.drop()
-        offers = Stored(tile_offers(members.df, sigs, num, den, most), "jaccard-offers").collect_garbage()
-        pairs = Stored(best_offers(offers.df, most), "jaccard-best")
-        offers.drop()
-        if not has_rows(pairs.df):
+    that the tiles hold.  ``sets_of`` gives the shingle sets of all classes of some pairs.
+
+    Between two components one link is enough.  The tiles offer ``OFFERS`` pairs for each two components that
+    meet, the most promising ones.  First the best is verified; of the components that are still apart, the other
+    ones; and where there were more, all.  Then every pair that the bitmaps leave is verified or lies inside a
+    component."""
+    members = Stored(tile_members(tile_rows(sigs, parts), num, den), "jaccard-tiles").collect_garbage()
+    live, most = members.df, OFFERS
+    while True:
+        pairs = Stored(best_offers(Stored(tile_offers(live, sigs, num, den, most), "jaccard-offers").collect_garbage().df, most), "jaccard-best").df
+        within = F.lit(True) if most is None else F.col("turn") <= F.lit(most)
+        if not has_rows(pairs):
+            break
+        sets = sets_of(pairs.where(within))
+        for turn in (F.col("turn") == F.lit(1), within & (F.col("turn") > F.lit(1))):
+            apart = _apart(pairs.where(turn), parts)
+            found = Stored(exact_check(apart.select("a", "b"), sets.df, num, den).select("a", "b"), "jaccard-links").df
+            old = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = Stored(connected_components(old.unionByName(found)), "jaccard-parts").df
+            if most is None:
+                break
+        sets.drop()
+        sets.collect_garbage()
+        if most is None:
+            break
+        more = Stored(_apart(pairs.where(~within), parts).select("part_a", "part_b"), "jaccard-more").df
+        if not has_rows(more):
             break
-        found = linked(pairs.df.select("a", "b")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        united = pairs.df.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b")
-        old = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        parts = Stored(connected_components(old.unionByName(united)), f"jaccard-parts-{turn}").df
+        # components that are apart and were offered more: their rows alone, in the components of now
+        both = more.select(F.col("part_a").alias("_part")).unionByName(more.select(F.col("part_b").alias("_part"))).distinct()
+        live = live.drop("part").join(parts, F.col("class") == F.col("node"), "left") \
+            .select("shingle", "tile", "side", "n", "place", "class", F.coalesce("component", "class").alias("part")) \
+            .join(both, F.col("part") == F.col("_part"), "left_semi")
+        live, most = Stored(tile_members(live, num, den), "jaccard-tiles-left").df, None
     members.drop()
     return parts
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components, with these (part_a, part_b)."""
+    one, two = (parts.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    return pairs.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left") \
+        .select("a", "b", F.coalesce("c_a", "a").alias("part_a"), F.coalesce("c_b", "b").alias("part_b")).where("part_a <> part_b")
+
+
 # --- the join ------------------------------------------------------------------------------------------------
 
 def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -498,23 +540,22 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     signed = Stored(signatures(usable_docs, levels, num, den).dropDuplicates(["class"]), "jaccard-signatures").collect_garbage()
     sigs = signed.df
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        passed = Stored(pairs, f"jaccard-{name}-candidates").collect_garbage().df
-        needed = passed.select(F.col("a").alias("_n")).unionByName(passed.select(F.col("b").alias("_n"))).distinct()
-        wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), f"jaccard-{name}-wanted").df
+    def sets_of(pairs: DataFrame) -> Stored:
+        needed = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
+        wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), "jaccard-wanted").df
         sets = class_sets(docs, wanted)
-        sets = Stored(sets.dropDuplicates(["class"]) if repeated else sets, f"jaccard-{name}-sets").collect_garbage()
-        found = Stored(exact_check(passed, sets.df, num, den).select("a", "b"), f"jaccard-{name}-links").df
-        sets.drop()
-        sets.collect_garbage()
-        return found
+        return Stored(sets.dropDuplicates(["class"]) if repeated else sets, "jaccard-sets").collect_garbage()
 
-    stars = linked(bitmap_check(star_pairs(sigs, num, den), sigs, num, den), "star")
+    passed = Stored(bitmap_check(star_pairs(sigs, num, den), sigs, num, den), "jaccard-star-candidates").collect_garbage().df
+    star_sets = sets_of(passed)
+    stars = Stored(exact_check(passed, star_sets.df, num, den).select("a", "b"), "jaccard-star-links").df
+    star_sets.drop()
+    star_sets.collect_garbage()
     if repeated:
         same = usable.join(again.select(F.col("doc_id").alias("_d"), "least"), F.col("doc_id") == F.col("_d"))
         stars = stars.unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
     parts = Stored(connected_components(stars), "jaccard-stars").df
-    parts = tile_components(sigs, parts, lambda pairs: linked(pairs, "tile"), num, den)
+    parts = tile_components(sigs, parts, sets_of, num, den)
     signed.drop()
 
     named = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("part"))
