@@ -6,6 +6,7 @@ import pytest
 
 from tests.llm.helpers import awkward, awkward_rows, empty
 from vigil.llm import ngram_join as J
+from vigil.llm.common import Stored
 from vigil.llm.shingles import shingle_sets
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -105,17 +106,30 @@ def test_a_spread_group_verifies_few_pairs(spark, monkeypatch, n, run):
 
 
 def test_where_the_offers_do_not_link_all_pairs_are_tried(spark, monkeypatch):
-    """one offer for each two components: the pairs beyond it are looked at in the second pass over the tiles"""
+    """two components that are offered one pair, which is taken as not linking: the second pass offers all"""
+    rng = random.Random(12)
+    base = spread(rng, 1, words=300, most=1)[0][1].split()
+    other = [f"other{k}" if k in (40, 120, 200, 280) else w for k, w in enumerate(base)]
+    texts = []
+    for group in (base, other):
+        for k in range(6):
+            copy = list(group)
+            copy[7 + 20 * k] = f"own{len(texts)}"
+            texts.append(" ".join(copy))
+    sets = list(shingle_sets(texts))
+    ids = [J.class_id(s) for s in sets]
+    parts = spark.createDataFrame([(c, min(ids[k // 6 * 6:k // 6 * 6 + 6])) for k, c in enumerate(ids)], "node long, component long")
+    stored = spark.createDataFrame([(c, s.tobytes()) for c, s in zip(ids, sets)], "class long, shingles binary")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = Stored(J.signatures(docs, np.zeros(1 << J.COUNT_BITS, np.uint8), 80, 100), "test-signatures").df
     monkeypatch.setattr(J, "OFFERS", 1)
     seen, calls = [], []
     best, exact = J.best_offers, J.exact_check
     monkeypatch.setattr(J, "best_offers", lambda o, m: seen.append(m) or best(o, m))
-    # the best offers of the first pass (the second check, after that of the stars) are taken as not linking
-    monkeypatch.setattr(J, "exact_check", lambda p, *a: calls.append(1) or exact(p.where("false") if len(calls) == 2 else p, *a))
-    rng = random.Random(12)
-    rows = spread(rng, 60, words=60, most=5) + [(500 + i, t) for i, t in spread(rng, 60, words=90, most=9)]
-    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert seen == [1, None]
+    monkeypatch.setattr(J, "exact_check", lambda p, *a: calls.append(p.count()) or exact(p.where("false") if len(calls) == 1 else p, *a))
+    out = J.tile_components(sigs, parts, lambda pairs: Stored(stored, "test-sets"), 80, 100).collect()
+    assert seen == [1, None] and calls == [1, 0, 36]
+    assert {r.node for r in out} == set(ids) and {r.component for r in out} == {min(ids)}
 
 
 @pytest.mark.parametrize("run", [3, 10])

@@ -282,7 +282,9 @@ def tile_members(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
     """(x, y, room, a, b): of every two components x < y that meet in a tile, the ``most`` pairs (None: all)
-    whose bitmaps leave most room above the overlap of a link; pairs that they rule out are left out."""
+    whose bitmaps leave most room above the overlap of a link; pairs that they rule out are left out.  One pair
+    more is given where there are more, so that it shows."""
+    most = None if most is None else most + 1
     own = sigs.select(F.col("class").alias("_class"), "bits")
     rows = members.join(own, F.col("class") == F.col("_class")).select("shingle", "tile", "side", "n", "place", "class", "part", "bits") \
         .repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "class")
