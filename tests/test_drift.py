@@ -141,3 +141,32 @@ def test_ks_counts_a_missing_current_value_as_zero(spark):
     rows = [("k", 1.0, False), ("k", 2.0, False), ("k", None, False), ("k", None, True), ("k", 2.0, True)]
     r = D.ks_two_sample(spark.createDataFrame(rows, "k string, x double, cur boolean"), "x", F.col("cur"), keys=["k"]).first()
     assert (r["n_expected"], r["n_actual"]) == (2, 2) and r["ks_stat"] == pytest.approx(0.5)
+
+
+def test_exact_ks_p_equals_enumeration():
+    from itertools import combinations
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (3, 6), (6, 4)):
+        stats = []
+        for own in combinations(range(n + m), n):
+            a = b = 0
+            gap = 0
+            for k in range(n + m):
+                a, b = (a + 1, b) if k in own else (a, b + 1)
+                gap = max(gap, abs(a * m - b * n))
+            stats.append(gap)
+        for gap in sorted(set(stats)):
+            want = sum(g >= gap for g in stats) / len(stats)
+            assert D.exact_ks_p(gap / (n * m), n, m) == pytest.approx(want, abs=1e-12)
+    assert D.exact_ks_p(0.0, 5, 5) == 1.0
+
+
+def test_ks_p_is_exact_for_small_samples_and_asymptotic_for_large(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    small, large = (rng.normal(size=7), rng.normal(1, 1, 9)), (rng.normal(size=400), rng.normal(0.1, 1, 300))
+    df = frame(spark, *small, key="small").unionByName(frame(spark, *large, key="large"))
+    monkeypatch.setattr(D, "EXACT_KS_CELLS", 100)
+    auto = {r.k: r for r in D.ks_two_sample(df, "x", F.col("cur"), keys=["k"]).collect()}
+    series = {r.k: r for r in D.ks_two_sample(df, "x", F.col("cur"), keys=["k"], method="asymptotic").collect()}
+    exact = {r.k: r for r in D.ks_two_sample(df, "x", F.col("cur"), keys=["k"], method="exact").collect()}
+    assert auto["small"].ks_p == pytest.approx(D.exact_ks_p(auto["small"].ks_stat, 7, 9)) != pytest.approx(series["small"].ks_p)
+    assert auto["large"].ks_p == series["large"].ks_p == pytest.approx(exact["large"].ks_p, abs=0.03)

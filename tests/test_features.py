@@ -45,6 +45,13 @@ def test_validate_rows_first_bad_field(spark):
     assert [(r.reject_field, r.is_valid) for r in out] == [("price", False), (None, True)]
 
 
+def test_rejects_carry_all_their_reasons(spark):
+    df = spark.createDataFrame([(1, "1", "x", "y"), (2, "1", "2", "3"), (3, None, "", "1e3"), (4, "u", "2", "3")], "id int, user_id string, price string, cart_size string")
+    valid, rejects = X.split_valid(df)
+    assert valid.columns == df.columns and [r.id for r in valid.collect()] == [2]
+    assert {r.id: r.reasons for r in rejects.collect()} == {1: ["not a number: price", "not a number: cart_size"], 3: ["not a number: price"], 4: ["not a number: user_id"]}
+
+
 def test_weekend_monday_zero(spark):
     df = spark.createDataFrame([("2024-01-06 10:00:00",), ("2024-01-08 23:00:00",)], "t string") \
         .select(F.to_timestamp("t").alias("t"))

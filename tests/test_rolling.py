@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import rolling as R
+from vigil.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,43 @@ def test_rolling_confusion_with_a_threshold_for_every_row(spark):
             seen = [(r[2] >= t, r[3]) for r in series[n - 19:n + 1] if r[2] is not None] if step >= 20 and t is not None else []
             assert got[k, step] == tuple(seen.count(c) for c in ((False, 0), (True, 0), (False, 1), (True, 1)))
 
+
+
+def test_timeline_with_many_changes_of_one_key(spark, monkeypatch):
+    """10^5 changes of one key over blocks of 2^13 rows: no array of changes anywhere"""
+    import vigil.operators.sequence as Q
+    monkeypatch.setattr(Q.prefix_sum, "__defaults__", (None, "_cum", "sum", 1 << 13, False))
+    n = 100_000
+    changes = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 3).alias("change_step"), (F.col("id") * 0.5).alias("threshold"),
+                                    F.when(F.col("id") % 7 != 0, F.concat(F.lit("m"), F.col("id").cast("string"))).alias("model"))
+    rows = spark.range(3 * n).select(F.lit("hot").alias("k"), (F.col("id") - 1).alias("step")).unionByName(spark.sql("SELECT 'none' k, 5L step UNION ALL SELECT NULL, 9L"))
+    out = R.model_timeline(rows, changes.unionByName(spark.sql("SELECT NULL k, 2L change_step, 0.25D threshold, 'x' model")), step="step", keys=["k"])
+    assert out.count() == 3 * n + 2
+    at = F.floor((F.col("step") - 1) / 3)  # the latest change before the step
+    wrong = out.where("k = 'hot'").where(~F.when(F.col("step") <= 0, F.col("threshold").isNull()).otherwise(
+        (F.col("threshold") == at * 0.5) & F.col("model").eqNullSafe(F.when(at % 7 != 0, F.concat(F.lit("m"), at.cast("string"))))))
+    assert wrong.count() == 0
+    assert {(r.k, r.threshold, r.model) for r in out.where("k IS NULL OR k = 'none'").collect()} == {("none", None, None), (None, 0.25, "x")}
+
+
+def test_ranks_with_one_hot_value(spark):
+    """90 % equal values: ranks as pandas gives them, and their rows in no single task"""
+    rng = np.random.RandomState(8)
+    values = np.where(rng.rand(20_000) < 0.9, 0.0, np.round(rng.normal(size=20_000), 4))
+    rows = [(i, "a" if i % 3 else None, float(v)) for i, v in enumerate(values)] + [(-1, "a", None)]
+    df = spark.createDataFrame(rows, "i long, k string, x double").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = cut_lineage(R.rank_pct(df, "x", keys=["k"]).withColumn("task", F.spark_partition_id()))
+        per_task = [r["count"] for r in out.groupBy("task").count().collect()]
+        got = {r.i: r.x_rank_pct for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(per_task) <= 2 * np.median(per_task)
+    ref = pd.DataFrame(rows, columns=["i", "k", "x"])
+    want = ref.groupby(ref.k.fillna("~")).x.rank(pct=True)
+    assert all((got[i] is None) if pd.isna(w) else got[i] == pytest.approx(w, abs=1e-12) for i, w in zip(ref.i, want))

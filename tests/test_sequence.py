@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.operators.sequence import dense_sequence, halo_window, prefix_sum
+from vigil.operators import sequence as Q
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,18 @@ def test_prefix_sum_is_the_plain_window_at_any_block_size(spark, order, block_ro
     out = got.join(ref, "id")
     assert got.count() == 120
     assert out.where((F.col("v_cum") != F.col("r")) | (F.col("empty_cum") != 0)).count() == 0
+
+
+def test_text_order_with_a_long_common_beginning(spark):
+    """keys that share their first bytes are still cut into blocks, and the sums are right"""
+    rows = [(f"https://example.org/a/very/long/path/{i * 7919 % 5000:05d}", float(i % 11), None if i % 3 else i) for i in range(5000)] + [(None, 1.0, 5)]
+    df = spark.createDataFrame(rows, "t string, x double, y int").repartition(4)
+    block = Q._text_block(df, "t", 20)
+    sizes = [r["count"] for r in df.groupBy(block.alias("b")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 1500
+    for how, col in (("sum", "x"), ("max", "x"), ("last", "y")):
+        got = {r.t: r[f"{col}_cum"] for r in Q.prefix_sum(df, ["t"], [col], how=how, block_rows=250).collect()}
+        total = None
+        for t, x, y in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+            total = (total or 0) + x if how == "sum" else max(total or 0, x) if how == "max" else y if y is not None else total
+            assert got[t] == total

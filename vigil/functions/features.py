@@ -127,15 +127,23 @@ def payload_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
 
 
 def validate_rows(df: DataFrame, numeric_fields: list[str] | None = None) -> DataFrame:
-    """Adds ``reject_field`` (first non-numeric field, in field order) and ``is_valid``.
+    """Adds ``reasons`` (one text per non-numeric field, in field order; empty if the row is valid),
+    ``reject_field`` (the first such field) and ``is_valid``.
 
     A field is bad when a value is present but does not parse as a number.
     """
     fields = [f for f in (numeric_fields or C.REQUEST_NUMERIC_FIELDS) if has_column(df, f)]
-    bad = [F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), F.lit(f))
-           for f in fields]
-    first_bad = F.coalesce(*bad) if bad else F.lit(None).cast("string")
-    return df.withColumn("reject_field", first_bad).withColumn("is_valid", first_bad.isNull())
+    bad = [F.when(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull(), F.lit(f)) for f in fields]
+    found = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    return df.withColumn("_bad", found).select(
+        *df.columns, F.transform("_bad", lambda f: F.concat(F.lit("not a number: "), f)).alias("reasons"),
+        F.try_element_at("_bad", F.lit(1)).alias("reject_field"), (F.size("_bad") == 0).alias("is_valid"))
+
+
+def split_valid(df: DataFrame, numeric_fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows as they came, rejects with all their ``reasons``)."""
+    seen = validate_rows(df, numeric_fields)
+    return seen.where("is_valid").select(*df.columns), seen.where("NOT is_valid").select(*df.columns, "reasons")
 
 
 def time_features(ts="event_time") -> tuple[Column, Column]:

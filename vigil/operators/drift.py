@@ -315,8 +315,41 @@ def kolmogorov_sf(z: Column, terms: int = 100) -> Column:
     return F.when(z < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None) -> DataFrame:
-    """Two-sample KS statistic (max CDF gap) and asymptotic p per key.
+def exact_ks_p(d: float, n: int, m: int) -> float:
+    """P(D >= d) of two samples of n and m values from one continuous distribution.
+
+    The pooled order is a lattice path from (0, 0) to (n, m), all equally likely.  Column by column, the share
+    of paths that have stayed where |i/n - j/m| < d: a step up keeps the path, a step right thins it by
+    i / (i + m).  The gap is compared in whole numbers, |i*m - j*n| < d*n*m."""
+    limit = round(d * n * m)
+    if limit <= 0:
+        return 1.0
+    j = np.arange(m + 1, dtype=np.int64)
+    alive = np.where(j * n < limit, 1.0, 0.0)
+    for i in range(1, n + 1):
+        ok = np.abs(i * m - j * n) < limit
+        alive = np.where(ok, np.cumsum(np.where(ok, alive * (i / (i + m)), 0.0)), 0.0)
+    return float(min(1.0, max(0.0, 1.0 - alive[-1])))
+
+
+def exact_p_column(d: Column, n: Column, m: Column) -> Column:
+    """``exact_ks_p`` of every row; one row per key and n * m steps each."""
+    @F.pandas_udf("double")
+    def run(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([exact_ks_p(float(x), int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
+
+    return run(d, n, m)
+
+
+EXACT_KS_CELLS = 4_000_000   # n * m up to which method="auto" counts lattice paths
+
+
+def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None, method: str = "auto") -> DataFrame:
+    """Two-sample KS statistic (max CDF gap) and p per key.
+
+    p is exact where n * m is at most ``EXACT_KS_CELLS`` and by the asymptotic series above;
+    ``method="exact"`` or ``"asymptotic"`` fixes the choice.  With ties p is that of the statistic under no
+    ties, as is usual.
 
     Counts per distinct value and side, running sums in value order via
     ``prefix_sum`` (no one-task window), gap at every distinct value.  A missing
@@ -336,7 +369,17 @@ def ks_two_sample(df: DataFrame, value_col: str, is_current: Column, keys=None)
         F.max(gap).alias("ks_stat"), F.max("n_expected").alias("n_expected"),
         F.max("n_actual").alias("n_actual"))
     en = F.col("n_expected") * F.col("n_actual") / (F.col("n_expected") + F.col("n_actual"))
-    return stat.select(*keys, "ks_stat", kolmogorov_sf(F.sqrt(en) * F.col("ks_stat")).alias("ks_p"),
+    series = kolmogorov_sf(F.sqrt(en) * F.col("ks_stat"))
+    if method == "asymptotic":
+        p = series
+    else:
+        small = F.lit(True) if method == "exact" else F.col("n_expected") * F.col("n_actual") <= EXACT_KS_CELLS
+        stat = cut_lineage(stat, "ks")  # one row a key
+        # rows that take the series cost the exact form one step
+        one = F.lit(1.0)
+        exact = exact_p_column(F.col("ks_stat"), F.when(small, F.col("n_expected")).otherwise(one), F.when(small, F.col("n_actual")).otherwise(one))
+        p = F.when(small, exact).otherwise(series)
+    return stat.select(*keys, "ks_stat", p.alias("ks_p"),
                        F.col("n_expected").cast("long").alias("n_expected"),
                        F.col("n_actual").cast("long").alias("n_actual"))
 

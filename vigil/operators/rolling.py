@@ -6,9 +6,9 @@ series is cut into fixed-size chunks, each carrying a copy of the previous
 ``n - 1`` rows, so no window partition holds more than one chunk however
 large a series (or a hot key) grows.
 
-Timeline changes (threshold / model switches) are few per series; they are
-gathered into one small array per key and looked up per row, which needs
-no shuffle of the rows beyond a join with that small per-key table.
+Timeline changes (threshold / model switches) are carried along the series by
+``prefix_sum(how="last")``: a running latest value inside blocks, and the latest
+value of the blocks before, so a key may have any number of changes and rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from vigil.operators.sequence import attach, halo_window, prefix_sum
 from vigil.session import cut_lineage
 
 
+HOT_VALUES = 1000   # a value with more than this share of the rows is joined by broadcast
+
+
 def _keys(keys) -> list[str]:
     return list(keys or [])
 
@@ -38,13 +41,16 @@ def model_timeline(df: DataFrame, changes: DataFrame, step: str = "step", keys=N
     value, or put a change at step -1).
     """
     keys = _keys(keys)
-    per_key = changes.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("change_step").alias("s"), *[F.col(c).alias(c) for c in value_cols]))).alias("_chg"))
-    joined = attach(df, per_key, keys, ["_chg"], "left")
-    stp = F.col(step)
-    last = F.element_at(F.filter(F.coalesce(F.col("_chg"), F.array()), lambda c: c["s"] < stp), -1)
-    return joined.select(*[F.col(c) for c in df.columns],
-                         *[last[c].alias(c) for c in value_cols])
+    here = F.struct(*[F.col(c).alias(f"_row_{c}") for c in df.columns])
+    live = F.struct(*[F.col(c) for c in value_cols])
+    # at one step the row comes before the change; of changes at one step the greatest values count
+    rows = df.select(*keys, F.col(step).cast("double").alias("_at"), F.lit(0).alias("_kind"), here.alias("_row"),
+                     F.lit(None).cast(changes.select(live.alias("v")).schema["v"].dataType).alias("_live"))
+    moves = changes.select(*keys, F.col("change_step").cast("double").alias("_at"), F.lit(1).alias("_kind"),
+                           F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), live.alias("_live"))
+    seen = prefix_sum(rows.unionByName(moves), ["_at", "_kind", "_live"], ["_live"], keys=keys, how="last")
+    return seen.where("_kind = 0").select(*[F.col(f"_row._row_{c}").alias(c) for c in df.columns],
+                                          *[F.col(f"_live_cum.{c}").alias(c) for c in value_cols])
 
 
 def with_detection(frame: DataFrame, step: str = "step", psi: str = "psi", keys=None, window: int = C.WINDOW_SIZE,
@@ -208,24 +214,42 @@ def stage_changes(df: DataFrame, stage_col: str = "stage", step: str = "step", k
 
 # ------------------------------------------------------------------ ranks
 
-def rank_pct(df: DataFrame, value_col: str, keys=None, out_col: str | None = None) -> DataFrame:
-    """Average rank / n with ties averaged (pandas ``rank(pct=True)``); NULLs stay NULL.
-
-    Counts per distinct value + distributed running totals, joined back on the
-    value: no window over a whole key.
-    """
+def rank_table(df: DataFrame, value: Column, keys=None) -> DataFrame:
+    """``keys + [_v, _c, _rank, _salt]``: every distinct value with its count and its average rank / n."""
     keys = _keys(keys)
-    out_col = out_col or f"{value_col}_rank_pct"
-    v = F.col(value_col).cast("double")
+    v = value.cast("double")
     counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     cum = prefix_sum(counts, ["_v"], ["_c"], keys=keys, materialize=True)
     n = cum.groupBy(*keys).agg(F.max("_c_cum").alias("_n"))
     cum = attach(cum, n, keys, ["_n"])
     # average rank of the tie group: below + (c + 1) / 2
-    ranks = cum.select(*keys, "_v", ((F.col("_c_cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / 2)
-                                     / F.col("_n")).alias(out_col))
-    ranks = ranks.select(*keys, "_v", out_col)
-    return attach(df.withColumn("_v", v), ranks, [*keys, "_v"], [out_col], "left").drop("_v")
+    return cut_lineage(cum.select(*keys, "_v", "_c", ((F.col("_c_cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / 2) / F.col("_n")).alias("_rank"),
+                                  F.lit(0).alias("_salt")), "ranks")  # the salt is stored: a literal would leave the join
+
+
+def with_rank(df: DataFrame, value: Column, ranks: DataFrame, out_col: str, keys=None) -> DataFrame:
+    """Adds the rank of each row's value.  Values that hold over 1 / HOT_VALUES of all rows, of which there
+    are fewer than HOT_VALUES whatever the data, come by a broadcast; their rows are spread over the tasks
+    of the join that serves all other values."""
+    keys = _keys(keys)
+    rows = ranks.agg(F.sum("_c").alias("n")).first()["n"] or 0.0
+    hot = ranks.where(F.col("_c") > F.lit(rows / HOT_VALUES)).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_v").alias("_h_v"), F.col("_rank").alias("_h_rank"))
+    cold = ranks.where(F.col("_c") <= F.lit(rows / HOT_VALUES)).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_v").alias("_c_v"), F.col("_rank").alias("_c_rank"), F.col("_salt").alias("_c_salt"))
+    named = df.withColumn("_v", value.cast("double"))
+    same_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("_v").eqNullSafe(F.col("_h_v"))]
+    salted = named.join(F.broadcast(hot), same_hot, "left").withColumn(
+        "_salt", F.when(F.col("_h_rank").isNotNull() | F.col("_v").isNull(), F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)))
+    same_cold = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_v") == F.col("_c_v"), F.col("_salt") == F.col("_c_salt")]
+    return salted.join(cold, same_cold, "left").select(*df.columns, F.coalesce("_h_rank", "_c_rank").alias(out_col))
+
+
+def rank_pct(df: DataFrame, value_col: str, keys=None, out_col: str | None = None) -> DataFrame:
+    """Average rank / n with ties averaged (pandas ``rank(pct=True)``); NULLs stay NULL.
+
+    Counts per distinct value + distributed running totals, joined back on the
+    value: no window over a whole key, and no task for a hot value (``with_rank``).
+    """
+    return with_rank(df, F.col(value_col), rank_table(df, F.col(value_col), keys), out_col or f"{value_col}_rank_pct", keys)
 
 
 def pseudo_label(df: DataFrame, keys=None, label: str = "is_fraud", out_col: str = "label_used") -> DataFrame:
@@ -241,20 +265,20 @@ def pseudo_label(df: DataFrame, keys=None, label: str = "is_fraud", out_col: str
     score = F.lit(0.0)
     for f, w in C.PSEUDO_LABEL_WEIGHTS.items():
         src = F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0)
-        work = work.withColumn(f"_pl_{f}", src)
-        work = rank_pct(work, f"_pl_{f}", keys=keys, out_col=f"_r_{f}")
+        # ranked on the given rows, not on what the joins before have made of them
+        work = with_rank(work, src, rank_table(df, src, keys), f"_r_{f}", keys)
         score = score + F.col(f"_r_{f}") * F.lit(w)
     for col, values, w in C.PSEUDO_LABEL_BIASES:
         hit = F.lower(F.col(col).cast("string")).isin(values) if col in df.columns else F.lit(False)
         score = score + F.coalesce(hit, F.lit(False)).cast("double") * F.lit(w)
-    work = work.withColumn("fallback_score", score)
+    work = cut_lineage(work.withColumn("fallback_score", score), "fallback-scores")  # read for the median and the labels
     med = quantiles(work, "fallback_score", [0.5], keys=keys, out_col="_m").select(*keys, F.col("_m")[0].alias("_med"))
     classes = df.groupBy(*keys).agg(F.countDistinct(F.coalesce(F.col(label), F.lit(0))).alias("_classes"))
     work = attach(attach(work, med, keys, ["_med"], "left"), classes, keys, ["_classes"], "left")
     work = work.withColumn("pseudo_label", (F.col("fallback_score") >= F.col("_med")).cast("int"))
     work = work.withColumn(out_col, F.when(F.col("_classes") < 2, F.col("pseudo_label"))
                            .otherwise(F.coalesce(F.col(label), F.lit(0)).cast("int")))
-    drop = [c for c in work.columns if c.startswith("_pl_") or c.startswith("_r_")] + ["_med", "_classes"]
+    drop = [c for c in work.columns if c.startswith("_r_")] + ["_med", "_classes"]
     return work.drop(*drop)
 
 

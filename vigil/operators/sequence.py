@@ -25,6 +25,7 @@ from vigil.session import cut_lineage
 
 BLOCK_ROWS = 1 << 20   # rows a (key, block) window should hold, about
 KNOTS = 256            # approximate quantiles that steer the block bounds
+TEXT_BOUNDS = 1024     # whole texts that steer them where the order is by text
 
 
 def attach(df: DataFrame, small: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:
@@ -40,8 +41,6 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], cols: list[str], ho
 def _as_number(df: DataFrame, order: str) -> Column:
     """A double that never falls where the column rises (ties are allowed): what blocks are cut by."""
     kind, c = df.schema[order].dataType, F.col(order)
-    if isinstance(kind, T.StringType):  # the first six bytes
-        return F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     return c.cast("double")
@@ -52,10 +51,7 @@ def _block(x: Column, n: int, knots: list[float]) -> Column:
     holds about 1 / KNOTS of the rows and is cut into equal parts if more blocks than that are wanted."""
     inner = max(1, -(-n // KNOTS))
     bounds = F.array(*[F.lit(float(k)) for k in knots])
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range((len(knots) - 1).bit_length()))])
-    # the last knot that is not above x, by halving (0-based)
-    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.try_element_at(bounds, i + s + F.lit(1)) <= x, F.lit(False)), i + s).otherwise(i))
-    placed = F.struct(at.alias("i"))
+    placed = F.struct(_last_not_above(x, [float(k) for k in knots]).alias("i"))
     low = F.element_at(bounds, placed["i"] + F.lit(1))
     high = F.coalesce(F.try_element_at(bounds, placed["i"] + F.lit(2)), low)
     part = F.when(high > low, F.least(F.greatest(F.floor((x - low) / (high - low) * F.lit(inner)), F.lit(0)), F.lit(inner - 1))).otherwise(F.lit(0))
@@ -65,15 +61,37 @@ def _block(x: Column, n: int, knots: list[float]) -> Column:
             .otherwise(placed["i"] * F.lit(inner) + part)).cast("long")
 
 
+def _last_not_above(x: Column, bounds: list) -> Column:
+    """0-based place of the last of the ascending ``bounds`` that is not above ``x`` (0 if all are), by halving."""
+    held = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((len(bounds) - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.try_element_at(held, i + s + F.lit(1)) <= x, F.lit(False)), i + s).otherwise(i))
+
+
+def _text_block(df: DataFrame, order: str, n: int) -> Column:
+    """Block number of a text column, NULL first, then between whole texts of a random sample (at most
+    TEXT_BOUNDS of them): texts that share a long beginning are still parted."""
+    c = F.col(order)
+    wanted = min(n, TEXT_BOUNDS)
+    sample = df.where(c.isNotNull()).select(c.alias("t")).orderBy(F.rand(11)).limit(16 * wanted)
+    texts = sorted((r["t"] for r in sample.collect()), key=lambda t: t.encode())  # as Spark orders them
+    bounds = sorted({texts[i * len(texts) // wanted] for i in range(1, wanted)} if texts else set(), key=lambda t: t.encode())
+    if not bounds:
+        return F.when(c.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    place = F.when(c < F.lit(bounds[0]), F.lit(0)).otherwise(_last_not_above(c, bounds) + F.lit(1))
+    return F.when(c.isNull(), F.lit(-1)).otherwise(place).cast("long")
+
+
 def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
                keys: list[str] | None = None, out_suffix: str = "_cum", how: str = "sum",
                block_rows: int = BLOCK_ROWS, materialize: bool = False) -> DataFrame:
-    """Inclusive running sums (``how="sum"``) or maxima (``how="max"``) of
-    ``value_cols`` per ``keys`` in ``order_cols`` order (ascending, NULLs first).
+    """Inclusive running sums (``how="sum"``), maxima (``how="max"``) or latest values that are
+    not NULL (``how="last"``, of any type) of ``value_cols`` per ``keys`` in ``order_cols`` order
+    (ascending, NULLs first).
 
     ``order_cols`` must give a total order within a key (add an id tiebreak).
     Adds one column ``<value><out_suffix>`` per value column.  NULLs count as
-    0 for sums and are skipped for maxima; NULL keys are a key of their own.
+    0 for sums and are skipped for maxima and latest values; NULL keys are a key of their own.
 
     Blocks are cut by the first order column and ordered by all of them.  Their
     bounds follow approximate quantiles, so outliers do not empty the other
@@ -82,38 +100,51 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
     once first (for aggregates or long pipelines, which would otherwise be
     evaluated for the bounds, the totals and the windows).
     """
-    is_max = how == "max"
     keys = list(keys or [])
     if materialize:
         df = cut_lineage(df, "prefix-input")
-    x = _as_number(df, order_cols[0])
     n = -(-df.count() // block_rows)
-    agg = F.max if is_max else F.sum
 
     def val(v):
-        c = F.col(v).cast("double")
-        return c if is_max else F.coalesce(c, F.lit(0.0))
+        c = F.col(v)
+        return c if how == "last" else c.cast("double") if how == "max" else F.coalesce(c.cast("double"), F.lit(0.0))
+
+    def over(v, frame):  # the running value inside a frame
+        return F.last(val(v), ignorenulls=True).over(frame) if how == "last" else (F.max if how == "max" else F.sum)(val(v)).over(frame)
+
+    def total(v):  # of a whole block
+        if how == "last":
+            return F.max(F.when(F.col(v).isNotNull(), F.struct(*order_cols, F.col(v).alias("_v"))))["_v"]
+        return (F.max if how == "max" else F.sum)(val(v))
+
+    def joined_to(now, earlier):
+        if how == "last":
+            return F.coalesce(now, earlier)
+        return F.greatest(now, earlier) if how == "max" else now + F.coalesce(earlier, F.lit(0.0))
 
     cum_names = [v + out_suffix for v in value_cols]
     if n <= 1:  # one block: nothing lies before it
         run = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[agg(val(v)).over(run).alias(c) for v, c in zip(value_cols, cum_names)])
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    knots = df.where(finite).agg(F.percentile_approx(x, [i / KNOTS for i in range(KNOTS + 1)], 10 * KNOTS)).first()[0]
-    withb = df.withColumn("_blk", _block(x, n, sorted(set(knots or [0.0]))))
-    totals = cut_lineage(withb.groupBy(*keys, "_blk").agg(*[agg(val(v)).alias(v + "_tot") for v in value_cols]), "blocks")
+        return df.select("*", *[over(v, run).alias(c) for v, c in zip(value_cols, cum_names)])
+    if isinstance(df.schema[order_cols[0]].dataType, T.StringType):
+        block = _text_block(df, order_cols[0], n)
+    else:
+        x = _as_number(df, order_cols[0])
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+        knots = df.where(finite).agg(F.percentile_approx(x, [i / KNOTS for i in range(KNOTS + 1)], 10 * KNOTS)).first()[0]
+        block = _block(x, n, sorted(set(knots or [0.0])))
+    withb = df.withColumn("_blk", block)
+    totals = cut_lineage(withb.groupBy(*keys, "_blk").agg(*[total(v).alias(v + "_tot") for v in value_cols]), "blocks")
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    agg = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
     offsets = totals.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_blk").alias("_k_blk"),
                             *[agg(v + "_tot").over(before).alias(v + "_off") for v in value_cols])
     run = Window.partitionBy(*keys, "_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = withb.select("*", *[agg(val(v)).over(run).alias(c) for v, c in zip(value_cols, cum_names)])
+    local = withb.select("*", *[over(v, run).alias(c) for v, c in zip(value_cols, cum_names)])
     cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col("_blk") == F.col("_k_blk")]
     joined = local.join(offsets, on=cond, how="left")
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[((F.greatest(F.col(c), F.col(v + "_off")) if is_max
-            else F.col(c) + F.coalesce(F.col(v + "_off"), F.lit(0.0))).alias(c))
-          for v, c in zip(value_cols, cum_names)])
+    return joined.select(*[F.col(c) for c in df.columns],
+                         *[joined_to(F.col(c), F.col(v + "_off")).alias(c) for v, c in zip(value_cols, cum_names)])
 
 
 def dense_sequence(df: DataFrame, order_cols: list[str], keys: list[str] | None = None,

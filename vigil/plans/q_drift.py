@@ -165,7 +165,7 @@ FROM z""")
 def q_ks_two_sample(spark, sf):
     """KS statistic of the event value between the two halves of the month, per event type."""
     ev = stream_events(spark, sf)
-    out = D.ks_two_sample(ev, "price", F.col("is_current"), keys=["scenario"])
+    out = D.ks_two_sample(ev, "price", F.col("is_current"), keys=["scenario"], method="asymptotic")  # as the SQL does
     return out.select("scenario", r6("ks_stat").alias("ks_stat"), r6("ks_p").alias("ks_p"),
                       "n_expected", "n_actual")
 

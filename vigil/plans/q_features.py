@@ -199,22 +199,23 @@ def q_payload_defaults(spark, sf):
 , r AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, json_extract_string(props, '$.k') AS session_duration,
               CASE WHEN event_type = 'error' THEN event_type ELSE CAST(value AS VARCHAR) END AS price,
               CASE WHEN event_type = 'signup' THEN 'n/a' ELSE '1' END AS cart_size FROM e),
-b AS (SELECT event_id, coalesce(
+b AS (SELECT event_id, list_filter([
         CASE WHEN user_id IS NOT NULL AND TRY_CAST(user_id AS DOUBLE) IS NULL THEN 'user_id' END,
         CASE WHEN price IS NOT NULL AND TRY_CAST(price AS DOUBLE) IS NULL THEN 'price' END,
         CASE WHEN session_duration IS NOT NULL AND TRY_CAST(session_duration AS DOUBLE) IS NULL THEN 'session_duration' END,
-        CASE WHEN cart_size IS NOT NULL AND TRY_CAST(cart_size AS DOUBLE) IS NULL THEN 'cart_size' END) AS reject_field
+        CASE WHEN cart_size IS NOT NULL AND TRY_CAST(cart_size AS DOUBLE) IS NULL THEN 'cart_size' END], lambda x: x IS NOT NULL) AS bad
       FROM r)
-SELECT event_id, reject_field, reject_field IS NULL AS is_valid FROM b""")
+SELECT event_id, bad[1] AS reject_field, len(bad) = 0 AS is_valid,
+       array_to_string(list_transform(bad, lambda x: 'not a number: ' || x), '; ') AS reasons FROM b""")
 def q_validate_rows(spark, sf):
-    """First non-numeric numeric field per request (error events carry text prices)."""
+    """All non-numeric numeric fields per request (error events carry text prices)."""
     ev = stream_events(spark, sf)
     req = ev.select(F.col("step").alias("event_id"), F.col("user_id").cast("string").alias("user_id"),
                     F.get_json_object("props", "$.k").alias("session_duration"),
                     F.when(F.col("event_type") == "error", F.col("event_type"))
                      .otherwise(F.col("price").cast("string")).alias("price"),
                     F.when(F.col("event_type") == "signup", F.lit("n/a")).otherwise(F.lit("1")).alias("cart_size"))
-    return X.validate_rows(req).select("event_id", "reject_field", "is_valid")
+    return X.validate_rows(req).select("event_id", "reject_field", "is_valid", F.array_join("reasons", "; ").alias("reasons"))
 
 
 # ---------------------------------------------------------------- validate_schema / schema_summary (rows-only)
