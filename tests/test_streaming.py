@@ -1,8 +1,13 @@
 import json
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from vigil.operators.adwin import Adwin
 from vigil.session import scratch_path
+from vigil.sources import logs as L
+from vigil.streaming import adwin_stream as A
 from vigil.streaming import streams as S
 
 
@@ -29,7 +34,7 @@ def test_stream_score_restart_is_idempotent(spark):
     log, ck = scratch_path(spark, "t-log"), scratch_path(spark, "t-ck")
     S.stream_score(spark, src, log, ck).awaitTermination()
     S.stream_score(spark, src, log, ck).awaitTermination()   # restart from the checkpoint: nothing new
-    out = spark.read.parquet(log)
+    out = L.read_log(spark, log)
     assert out.count() == 20
     assert out.where(F.col("is_high_value") != 1).count() == 0   # price > 500 flags
 
@@ -38,7 +43,7 @@ def _log(spark, path, batch, start, prices):
     rows = [(f"2025-01-01 {start // 60:02d}:{start % 60:02d}:{i % 60:02d}", float(p), 100.0, 0.1, 0.1, 1.0) for i, p in enumerate(prices)]
     df = spark.createDataFrame(rows, "timestamp string, price double, session_duration double, merchant_risk_score double, "
                                      "discount_pct double, fraud_probability double")
-    df.coalesce(1).write.parquet(f"{path}/batch={batch}")
+    L.log_append(df, path, batch_id=batch)
 
 
 def test_monitor_over_several_triggers(spark):
@@ -74,8 +79,8 @@ def test_scoring_follows_the_active_model(spark):
         rows = [(json.dumps({"event_time": f"2025-01-0{day} 00:00:00", "price": 5.0}),)]
         spark.createDataFrame(rows, "value string").write.mode("append").text(src)
         S.stream_score(spark, src, log, ck, lookup).awaitTermination()
-    out = {r.batch: r.fraud_probability for r in spark.read.parquet(log).collect()}
-    assert out == {0: 0.25, 1: 0.75}
+    out = {r.batch: r.fraud_probability for r in L.read_log(spark, log).collect()}
+    assert out == {"0": 0.25, "1": 0.75}
 
 
 def test_window_edges_leave_out_nan(spark):
@@ -84,5 +89,59 @@ def test_window_edges_leave_out_nan(spark):
 
 
 def test_kafka_options():
-    assert S.kafka_options("h:1", "t", 5) == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "latest",
-                                              "failOnDataLoss": "false", "maxOffsetsPerTrigger": "5"}
+    assert S.kafka_options("h:1", "t", 5) == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "earliest",
+                                              "failOnDataLoss": "true", "maxOffsetsPerTrigger": "5"}
+
+
+def test_adwin_stream_equals_one_value_at_a_time_over_restarts(spark):
+    A.use_rocksdb(spark)
+    rng = np.random.RandomState(1)
+    series = {"jump": np.concatenate([rng.normal(0, 1, 300), rng.normal(4, 1, 300)]), "calm": rng.normal(0, 1, 600), None: rng.normal(9, 1, 90)}
+    src, out, ck = (scratch_path(spark, n) for n in ("w-src", "w-out", "w-ck"))
+    for part in range(3):
+        rows = [(k, i, float(v)) for k, xs in series.items() for i, v in enumerate(xs) if i * 3 // len(xs) == part] + [("calm", 10_000 + part, float("nan"))]
+        spark.createDataFrame(rows, "s string, i long, x double").repartition(3).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("s string, i long, x double").parquet(src)
+        A.adaptive_window_stream(stream, "x", "i", "s").writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(out)) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.series, r.n_seen): r for r in spark.read.parquet(out).collect()}
+    for k, xs in series.items():
+        own = Adwin()
+        for i, v in enumerate(xs):
+            own.add(v)
+            if (i + 1) % (len(xs) // 3) == 0:
+                r = got[(k or "", i + 1)]
+                assert (r.width, r.n_changes, r.last_change) == (own.width, own.changes, own.last_change if own.last_change >= 0 else None)
+                assert abs(r.window_mean - own.mean()) < 1e-9
+    assert got[("jump", 600)].n_changes >= 1 and got[("calm", 600)].n_changes == 0
+
+
+def test_adwin_memory_is_logarithmic_and_its_moments_are_right():
+    rng = np.random.RandomState(2)
+    own, values = Adwin(delta=1e-9), rng.normal(5, 2, 20_000)
+    for v in values:
+        own.add(v)
+    assert own.width == 20_000 and sum(map(len, own.rows)) < 100 and len(own.dumps()) < 5000
+    assert abs(own.mean() - values.mean()) < 1e-9
+    again = Adwin.loads(own.dumps())
+    assert again.dumps() == own.dumps() and again.mean() == own.mean()
+
+
+def test_sliding_windows_in_append_mode(spark):
+    """each window comes out once, after the watermark has passed it, equal to its batch twin; a late row is dropped and counted"""
+    minutes = [(f"2025-01-01 00:{m:02d}:00", float(m % 7)) for m in range(60)]
+    late, far = ("2025-01-01 00:01:00", 3.0), ("2025-01-01 06:00:00", 1.0)
+    frame = lambda rows: spark.createDataFrame(rows, "t string, x double").select(F.to_timestamp("t").alias("ts"), "x")
+    edges = S.window_psi_edges(frame([(t, x) for t, x in minutes]), ["x"])
+    src, out, ck = (scratch_path(spark, n) for n in ("sl-src", "sl-out", "sl-ck"))
+    dropped = 0
+    for rows in (minutes, [far], [late], [("2025-01-01 12:00:00", 1.0)]):
+        frame(rows).coalesce(1).write.mode("append").parquet(src)
+        q = S.stream_psi_window(spark, src, frame(rows).schema, edges, out, ck, window="20 minutes", slide="10 minutes", watermark="30 minutes", mode="append")
+        q.awaitTermination()
+        dropped += S.late_rows(q)
+    batch = {r.window_start: (r.n_rows, round(r.psi, 9)) for r in S.windowed_psi_frame(frame([*minutes, far]), edges, "ts", "20 minutes", slide="10 minutes").collect()}
+    got = [(r.window_start, (r.n_rows, round(r.psi, 9))) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == batch
+    assert len(batch) == 9 and sum(n for n, _ in batch.values()) == 2 * 61
+    assert dropped == 2  # the late row, in both of its windows

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil import config as C
+from vigil.operators.adwin import DELTA, Adwin
 from vigil.operators.sequence import attach, prefix_sum
 from vigil.session import cut_lineage
 
@@ -259,6 +260,38 @@ def psi_report(baseline: DataFrame, current: DataFrame, features: list[str] | No
     return rep.withColumn("alert", F.col("psi") > F.lit(threshold))
 
 
+def baseline_counts(expected: DataFrame, value_col: str, keys=None, buckets: int = C.PSI_BUCKETS) -> DataFrame:
+    """``keys + [edges, e_counts array<long>]``: all that later PSI needs of a baseline; one small row per key."""
+    keys = _keys(keys)
+    edges = quantile_edges(expected, value_col, keys, buckets)
+    rows = expected.where(valid_number(value_col)).select(*keys, F.col(value_col).cast("double").alias("_x"))
+    binned = attach(rows, edges, keys, ["edges"]).select(*keys, bin_of("_x", "edges", buckets - 1).alias("_b"))
+    counts = binned.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_b") == j) for j in range(buckets)]).alias("e_counts"))
+    return attach(edges.select(*keys, "edges"), counts, keys, ["e_counts"])
+
+
+def psi_against(counted: DataFrame, current: DataFrame, features: list[str] | None = None, threshold: float = C.PSI_ALERT,
+                min_rows: int = C.PSI_MIN_ROWS) -> DataFrame:
+    """``psi_report`` of ``current`` against a baseline counted before (``baseline_counts`` keyed by feature): the
+    same columns, without reading the baseline again."""
+    features = [f for f in (features or C.MONITORED_FEATURES) if f in current.columns]
+    long = to_long(current, features).where(valid_number("value"))
+    binned = attach(long, counted, ["feature"], ["edges"]).select("feature", bin_of("value", "edges").alias("_b"))
+    here = binned.groupBy("feature").agg(F.array(*[F.count_if(F.col("_b") == j) for j in range(C.PSI_BUCKETS)]).alias("a_counts"))
+    both = attach(here, counted, ["feature"], ["e_counts"])
+
+    def share(counts: str, j: int) -> Column:
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+        return F.try_element_at(counts, F.lit(j + 1)) / total
+
+    terms = [psi_term(share("e_counts", j), share("a_counts", j)) for j in range(C.PSI_BUCKETS)]
+    summary = both.select(sum(terms[1:], terms[0]).alias("psi")).agg(F.struct(F.avg("psi").alias("psi"), F.count(F.lit(1)).alias("n")).alias("s"))
+    n_cur = current.agg(F.count(F.lit(1)).alias("n_current"))
+    return n_cur.withColumn("_s", summary.scalar()).where(F.col("n_current") > min_rows).select(
+        "n_current", F.coalesce(F.col("_s.psi"), F.lit(0.0)).alias("psi"), F.coalesce(F.col("_s.n"), F.lit(0)).alias("n_features"),
+        (F.coalesce(F.col("_s.psi"), F.lit(0.0)) > F.lit(threshold)).alias("alert"))
+
+
 def psi_band(c) -> Column:
     """< 0.1 stable, < 0.2 moderate, else significant."""
     x = F.col(c) if isinstance(c, str) else c
@@ -404,40 +437,10 @@ def first_breach(df: DataFrame, value_col: str, step_col: str, keys=None,
 
 # ------------------------------------------------------------------ ADWIN
 
-def adwin_first_change(values: np.ndarray, delta: float = 0.002, clock: int = 32,
-                       min_window: int = 5, grace: int = 10) -> int:
-    """Index of the first detected change (or -1), ADWIN with a variance bound.
-
-    Written from the published ADWIN description (Bifet & Gavaldà, 2007): keep
-    the window W; every ``clock`` updates test each split W0|W1 with
-    ``|mu0 - mu1| >= sqrt(2 v ln(2/d') / m) + 2 ln(2/d') / (3 m)`` where m is the
-    harmonic mean of the sub-window sizes, v the window variance and
-    d' = delta / ln(n); on detection the oldest part is dropped.  The window is
-    held as prefix sums, so each test is vectorised over all splits.
-    """
-    start = 0
-    seen = 0
-    for t in range(len(values)):
-        seen += 1
-        if seen < grace or seen % clock != 0:
-            continue
-        w = values[start:t + 1]
-        n = len(w)
-        if n < 2 * min_window:
-            continue
-        cs = np.cumsum(w)
-        n0 = np.arange(min_window, n - min_window + 1)
-        n1 = n - n0
-        mu0 = cs[n0 - 1] / n0
-        mu1 = (cs[-1] - cs[n0 - 1]) / n1
-        var = float(np.var(w))
-        m = 1.0 / (1.0 / n0 + 1.0 / n1)
-        dd = math.log(2.0 * math.log(n) / delta) if n > 1 else math.log(2.0 / delta)
-        eps = np.sqrt(2.0 * var * dd / m) + 2.0 * dd / (3.0 * m)
-        cut = np.nonzero(np.abs(mu0 - mu1) >= eps)[0]
-        if cut.size:
-            return t
-    return -1
+def adwin_first_change(values: np.ndarray, delta: float = DELTA) -> int:
+    """Index of the value at which an adaptive window (``operators.adwin``) is first cut, or -1."""
+    window = Adwin(delta)
+    return next((i for i, v in enumerate(values) if window.add(v)), -1)
 
 
 def adaptive_window(df: DataFrame, value_col: str, order_col: str, keys=None,

@@ -163,7 +163,7 @@ def q_foreach_batch_sink(spark, sf):
     log = scratch_path(spark, "fb-log")
     q = S.stream_score(spark, src, log, scratch_path(spark, "fb-ckpt"), max_files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(log)
+    return L.read_log(spark, log)
 
 
 @query("stream_score")
@@ -173,7 +173,7 @@ def q_stream_score(spark, sf):
     log = scratch_path(spark, "score-log")
     q = S.stream_score(spark, src, log, scratch_path(spark, "score-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(log).groupBy("batch", "model_version").agg(
+    return L.read_log(spark, log).groupBy("batch", "model_version").agg(
         F.count(F.lit(1)).alias("rows_"), F.avg("fraud_probability").alias("mean_probability"))
 
 

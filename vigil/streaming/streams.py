@@ -2,14 +2,15 @@
 
 * ``stream_score`` — JSON payloads -> decode -> flag -> (per micro-batch)
   encode + score with the *currently active* scorer -> append to the log.
-  Each batch writes its own ``batch=<id>`` folder with overwrite, so a
-  replayed batch after a failure replaces itself (idempotent sink); restart
+  Each batch is one batch of the log table, visible at once, and a replayed
+  batch after a failure replaces itself (idempotent sink); restart
   state lives in the checkpoint folder.
-* ``stream_monitor`` — every trigger: newest N log rows -> PSI report vs the
-  baseline -> job gate -> append a job event.
-* ``stream_psi_window`` — event-time tumbling windows with a watermark; ONE
-  aggregation with ten conditional counts per feature, PSI as a row
-  expression of those counts (no second stateful step).
+* ``stream_monitor`` — every trigger: newest N log rows (by the log's zone
+  maps) -> PSI report vs the stored baseline counts -> change flag of an
+  adaptive window that goes on across triggers -> job gate -> job events.
+* ``stream_psi_window`` — event-time windows, tumbling or sliding, with a
+  watermark; ONE aggregation with ten conditional counts per feature, PSI as a
+  row expression of those counts (no second stateful step).
 
 Production sources are Kafka (``format("kafka")``); tests and the registered
 queries use a file source over a landing folder written from the tables.
@@ -28,14 +29,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil import config as C
 from vigil.functions.features import scorecard, stream_high_value
-from vigil.operators.drift import adaptive_window, bin_of, psi_report, quantile_edges, to_long, valid_number
+from vigil.operators.drift import baseline_counts, bin_of, psi_against, quantile_edges, to_long, valid_number
 from vigil.operators.jobs import active_model, job_current, job_expire, job_gate
 from vigil.sources.codec import json_decode
 from vigil.session import cut_lineage
-from vigil.sources.logs import log_evolve
+from vigil.sources.logs import log_append, newest
+from vigil.streaming.adwin_stream import adaptive_window_stream, use_rocksdb
 
 
-KAFKA_START = "latest"
+# fixed value: the topic is read from its beginning
+KAFKA_START = "earliest"
 
 
 def payload_files(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -47,7 +50,8 @@ def payload_files(spark: SparkSession, source_dir: str, max_files_per_trigger: i
 
 
 def kafka_options(servers: str, topic: str, max_offsets_per_trigger: int | None = None) -> dict[str, str]:
-    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": KAFKA_START, "failOnDataLoss": "false"}
+    """From the earliest offset on the first start; offsets that are lost stop the stream instead of being passed over."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": KAFKA_START, "failOnDataLoss": "true"}
     if max_offsets_per_trigger:
         out["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     return out
@@ -87,7 +91,7 @@ def stream_score(spark: SparkSession, source: str | DataFrame, log_path: str, ch
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         scorer = lookup()
         scored = scorer(batch).withColumn("timestamp", F.col("event_time"))
-        log_evolve(scored).write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch={batch_id}")
+        log_append(scored, log_path, batch_id=batch_id)
 
     w = flagged.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -102,20 +106,25 @@ def stream_monitor(spark: SparkSession, log_path: str, baseline: DataFrame, jobs
                    recent: int = C.MONITOR_RECENT_ROWS, available_now: bool = True) -> StreamingQuery:
     """Every trigger: newest ``recent`` log rows -> PSI report and change flag -> expiry and gate -> job events.
 
-    The baseline's edges are computed once.  A trigger writes one event for what it decided (with a status
-    only if it opens a job) and one for every job that it expires; a trigger that runs again replaces its own.
+    The baseline is counted once (features x bins numbers); the newest rows come from the files that can hold
+    them; the change flag is that of one adaptive window over the prices of the log, kept as stream state.  The
+    stream reads data files, so a batch that is written twice counts twice in that window, and nowhere else.
+    A trigger writes one event for what it decided (with a status only if it opens a job) and one for every
+    job that it expires; a trigger that runs again replaces its own.
     """
-    schema = spark.read.parquet(log_path).schema
-    stream = spark.readStream.schema(schema).parquet(log_path)
-    edges = cut_lineage(quantile_edges(to_long(baseline, C.MONITORED_FEATURES), "value", keys=["feature"]), "monitor-edges")
+    use_rocksdb(spark)
+    schema = "timestamp string, price double"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet") \
+        .parquet(f"{log_path.rstrip('/')}/data")
+    windows = adaptive_window_stream(stream.withColumn("_at", F.col("timestamp").try_cast("timestamp")), "price", "_at")
+    counted = cut_lineage(baseline_counts(to_long(baseline, C.MONITORED_FEATURES), "value", keys=["feature"]), "monitor-baseline")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        log = spark.read.parquet(log_path)
-        newest = cut_lineage(log.orderBy(F.col("timestamp").desc(), F.xxhash64(*log.columns)).limit(recent), "monitor-newest")
-        rep = psi_report(baseline, newest, C.MONITORED_FEATURES, edges=edges)
-        change = adaptive_window(newest.withColumn("_at", F.col("timestamp").cast("timestamp")), "price", "_at")
-        now = newest.agg(F.max(F.col("timestamp").cast("timestamp"))).scalar()
-        psi, flag = F.coalesce(rep.select("psi").scalar(), F.lit(0.0)), F.coalesce(change.select("adwin_change").scalar(), F.lit(False))
+        latest = cut_lineage(newest(spark, log_path, recent), "monitor-newest")
+        rep = psi_against(counted, latest, C.MONITORED_FEATURES)
+        now = latest.agg(F.max(F.col("timestamp").cast("timestamp"))).scalar()
+        flag = F.lit(bool(batch.agg(F.max("changed")).first()[0]))  # one row a series
+        psi = F.coalesce(rep.select("psi").scalar(), F.lit(0.0))
         alert = F.coalesce(rep.select("alert").scalar(), F.lit(False))
         earlier = _job_events(spark, jobs_path).where(F.col("monitor_batch") != F.lit(batch_id))
         jobs = job_current(earlier, order_cols=("monitor_batch",), fields=["start_time", "status", "decision"])
@@ -131,7 +140,7 @@ def stream_monitor(spark: SparkSession, log_path: str, baseline: DataFrame, jobs
         events = cut_lineage(own.unionByName(expired), "monitor-events")  # read before the folder is replaced
         events.write.mode("overwrite").parquet(f"{jobs_path.rstrip('/')}/monitor_batch={batch_id}")
 
-    w = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    w = windows.writeStream.outputMode("update").foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -164,16 +173,17 @@ def window_psi_edges(baseline: DataFrame, features: list[str]) -> dict:
 
 
 def windowed_psi_frame(events: DataFrame, edges: dict, time_col: str, window: str,
-                       watermark: str | None = None) -> DataFrame:
+                       watermark: str | None = None, slide: str | None = None) -> DataFrame:
     """One aggregation per event-time window: ten conditional counts per feature,
-    then PSI as a row expression (works on batch and streaming frames alike)."""
+    then PSI as a row expression (works on batch and streaming frames alike).
+    With ``slide`` shorter than ``window`` a row counts in several overlapping windows."""
     src = events.withWatermark(time_col, watermark) if watermark else events
     aggs = []
     for f, (e, _) in edges.items():
         b = bin_of(F.col(f).cast("double"), F.array(*[F.lit(float(x)) for x in e]))
         ok = F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
         aggs += [F.count_if(ok & (b == k)).alias(f"n_{f}_{k}") for k in range(C.PSI_BUCKETS)]
-    agg = src.groupBy(F.window(time_col, window).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    agg = src.groupBy((F.window(time_col, window, slide) if slide else F.window(time_col, window)).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
     per_feature = []
     for f, (_, shares) in edges.items():
         n = sum((F.col(f"n_{f}_{k}") for k in range(C.PSI_BUCKETS)), F.lit(0))
@@ -189,14 +199,27 @@ def windowed_psi_frame(events: DataFrame, edges: dict, time_col: str, window: st
 
 
 def stream_psi_window(spark: SparkSession, source_dir: str, schema, edges: dict, out_path: str, checkpoint: str,
-                      time_col: str = "ts", window: str = "1 day", watermark: str = "1 day") -> StreamingQuery:
-    """Windowed PSI over a file stream; update mode, one folder per micro-batch (idempotent)."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    frame = windowed_psi_frame(stream, edges, time_col, window, watermark)
+                      time_col: str = "ts", window: str = "1 day", watermark: str = "1 day", slide: str | None = None,
+                      mode: str = "update", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Windowed PSI over a file stream, tumbling or sliding; one folder per micro-batch (idempotent).
+
+    ``mode="update"`` gives a window again whenever it has changed; ``mode="append"`` gives it once, when the
+    watermark has passed its end, and never again.  A row is late if its time lies before the watermark of the
+    trigger that reads it: every window that it belongs to and that ended before the watermark drops it
+    (``late_rows`` counts such drops)."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    frame = windowed_psi_frame(reader.parquet(source_dir), edges, time_col, window, watermark, slide)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
              .parquet(f"{out_path.rstrip('/')}/b={batch_id}")
 
-    return (frame.writeStream.outputMode("update").foreachBatch(each_batch)
+    return (frame.writeStream.outputMode(mode).foreachBatch(each_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many times a window dropped a late row, over all triggers of a query."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
