@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from vigil.functions.features import encoded_column
 from vigil.operators import metrics as M
+from vigil.session import cut_lineage
 
 
 def model_frame(df: DataFrame, canonical: list[str], predictive: list[str], label: str | None = "is_fraud",
@@ -41,9 +42,11 @@ def train_gbt(df: DataFrame, features: list[str], max_iter: int = 100, max_depth
     data = df.withColumn("w", F.when(F.col("label") == 1.0, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step_size, seed=seed, subsamplingRate=subsampling_rate,
-                        featureSubsetStrategy=feature_subset)
+                        featureSubsetStrategy=feature_subset, maxMemoryInMB=1024, checkpointInterval=25)
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, gbt]).fit(data)
+    # every tree reads the rows again: they are spread over all tasks once, and only what the trees need
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return Pipeline(stages=[asm, gbt]).fit(data.select(*features, "label", "w").repartition(max(tasks, data.rdd.getNumPartitions())))
 
 
 def score_batch(model: PipelineModel, df: DataFrame, out_col: str = "p") -> DataFrame:
@@ -57,6 +60,7 @@ def evaluate_model(scored: DataFrame, threshold: float = 0.5, score: str = "p",
                    keys=None) -> DataFrame:
     """Confusion, accuracy, precision, recall, F1 at the threshold, plus ROC-AUC and PR-AUC."""
     keys = list(keys or [])
+    scored = cut_lineage(scored.select(*keys, score, label), "scored")  # the model runs once, not for every metric
     cm = M.class_metrics(scored, score, label, threshold, keys)
     auc = M.roc_auc(scored, score, label, keys).select(*keys, "roc_auc")
     pr = M.pr_auc(scored, score, label, keys)
@@ -76,12 +80,11 @@ def top_importance(spark: SparkSession, model: PipelineModel, features: list[str
     return importances(spark, model, features).orderBy(F.col("importance").desc(), F.col("feature")).limit(k)
 
 
-def permuted(df: DataFrame, feature: str, key_cols: list[str], seed: int = 7) -> DataFrame:
-    """The frame with one feature's values permuted across rows, deterministically.
+def permuted(df: DataFrame, features: list[str], key_cols: list[str], seed: int = 7) -> DataFrame:
+    """The frame with ``_p_<feature>``: the features of another row, each row's taken once, deterministically.
 
-    Rows are ranked twice — by key and by a seeded hash — and each row takes the
-    feature value of the row with the same rank in the other order (a join on
-    ranks computed by the distributed ``dense_sequence``).
+    Rows are ranked twice — by key and by a seeded hash — and each row meets the row with the same rank in the
+    other order (one join on ranks computed by the distributed ``dense_sequence``, for all features).
     """
     from vigil.operators.sequence import dense_sequence
     h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
@@ -89,29 +92,30 @@ def permuted(df: DataFrame, feature: str, key_cols: list[str], seed: int = 7) ->
     rest = sorted(c for c, kind in df.dtypes if c not in key_cols and not kind.startswith(("struct", "map", "array")) and kind != "vector")
     a = dense_sequence(df, [*key_cols, *rest], name="_ra")
     b = dense_sequence(df.select(*key_cols, *rest).withColumn("_h", h), ["_h", *key_cols, *rest], name="_rb") \
-        .select(F.col("_rb").alias("_ra"), F.col(feature).alias("_pv"))
-    return a.join(b, "_ra").withColumn(feature, F.col("_pv")).drop("_ra", "_pv")
+        .select(F.col("_rb").alias("_ra"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    return a.join(b, "_ra").drop("_ra")
 
 
 def attribution_shift(spark: SparkSession, champion: PipelineModel, challenger: PipelineModel, df: DataFrame,
                       features: list[str], key_cols: list[str]) -> DataFrame:
     """How attributions move champion -> challenger: gain importances side by side, and
-    permutation importance (AUC drop when a feature is permuted), for every feature."""
+    permutation importance (AUC drop when a feature is permuted), for every feature.
+
+    One long frame (feature permuted, model, p, label), written once, and one keyed AUC over it."""
     gains = importances(spark, champion, features, "champion_gain").join(
         importances(spark, challenger, features, "challenger_gain"), "feature")
-    base_c = M.roc_auc(score_batch(champion, df), "p", "label").select("roc_auc").first()[0]
-    base_h = M.roc_auc(score_batch(challenger, df), "p", "label").select("roc_auc").first()[0]
-    rows = []
-    for f in features:
-        perm = permuted(df, f, key_cols)
-        auc_c = M.roc_auc(score_batch(champion, perm), "p", "label").select("roc_auc").first()[0]
-        auc_h = M.roc_auc(score_batch(challenger, perm), "p", "label").select("roc_auc").first()[0]
-        rows.append((f, float((base_c or 0) - (auc_c or 0)), float((base_h or 0) - (auc_h or 0))))
-    schema = T.StructType([T.StructField("feature", T.StringType()),
-                           T.StructField("champion_auc_drop", T.DoubleType()),
-                           T.StructField("challenger_auc_drop", T.DoubleType())])
-    perm_df = spark.createDataFrame(rows, schema)
-    return gains.join(perm_df, "feature", "left")
+    mixed = cut_lineage(permuted(df.select(*key_cols, *features, "label"), features, key_cols), "permuted")
+    scored = None
+    for name, model in (("champion", champion), ("challenger", challenger)):
+        for f in [None, *features]:
+            one = mixed.select(*[F.col(f"_p_{c}").alias(c) if c == f else F.col(c) for c in features], "label")
+            part = score_batch(model, one).select(F.lit(f or "").alias("feature"), F.lit(name).alias("model"), "p", "label")
+            scored = part if scored is None else scored.unionByName(part)
+    auc = cut_lineage(M.roc_auc(cut_lineage(scored, "permuted-scores"), "p", "label", ["feature", "model"]).select("feature", "model", "roc_auc"), "permuted-auc")
+    base = auc.where("feature = ''").select(F.col("model").alias("_m"), F.col("roc_auc").alias("_base"))
+    drops = auc.where("feature <> ''").join(base, F.col("model") == F.col("_m")).groupBy("feature").agg(
+        *[F.max(F.when(F.col("model") == m, F.coalesce("_base", F.lit(0.0)) - F.coalesce("roc_auc", F.lit(0.0)))).alias(f"{m}_auc_drop") for m in ("champion", "challenger")])
+    return gains.join(drops, "feature", "left")
 
 
 def save_model(model: PipelineModel, path: str) -> str:

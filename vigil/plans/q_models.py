@@ -2,36 +2,64 @@
 All rows-only (trained models are not SQL-expressible).
 
 Data: the transaction table; baseline period = champion data, current
-period = drifted data.  Rows are split 70/15/15 by a stable hash.  Trained
-models are persisted once per session under the shared checkpoint folder
-and reloaded by the other queries (the run registry role).
+period = drifted data.  Rows are split 70/15/15 by a stable hash.  The
+encoded, split frame is written once, and trained models are saved once; both are
+runs of a registry (``sources.registry``) under the shared checkpoint folder, where the
+other queries of the application find them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil import config as C
 from vigil.operators import drift as D
-from vigil.operators import jobs as J
 from vigil.operators import metrics as M
 from vigil.operators import models as ML
 from vigil.operators.sampling import hash_split
 from vigil.plans.q_features import CANONICAL, PREDICTIVE
 from vigil.plans.registry import query
-from vigil.session import scratch_path
+from vigil.functions.features import cohort_rewrite, rule_label
+from vigil.operators.loop import closed_loop
+from vigil.session import cut_lineage, ensure_checkpoint_dir, scratch_path
+from vigil.sources.registry import register_run, run_table
 from vigil.sources.tables import transactions
 
 FEATURES = CANONICAL + PREDICTIVE
+SCHEMA_VERSION = "1"
 KEYS = ["order_key", "line_number"]
-_REGISTRY: dict[tuple, str] = {}
+
+
+def registry_of(spark, sf) -> str:
+    """The registry folder of this application and these tables."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf}".encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{name}"
+
+
+def registered(spark, sf, role: str, make) -> str:
+    """Path of a finished run ``role``; ``make(path)`` writes it if there is none yet."""
+    folder = registry_of(spark, sf)
+    run = {r["run_id"]: r for r in run_table(spark, folder).collect()}.get(role)  # a handful of roles
+    if run is None or run["status"] != "FINISHED":
+        path = scratch_path(spark, f"run-{role}")
+        metrics = make(path)
+        register_run(spark, folder, role, "fraud", "FINISHED", {
+            "path": path, "model_type": "gbt", "canonical_features": ",".join(CANONICAL), "predictive_features": ",".join(PREDICTIVE),
+            "adapter": "transactions", "schema_version": SCHEMA_VERSION}, metrics)
+        return path
+    return run["params"]["path"]
 
 
 def frames(spark, sf):
-    t = transactions(spark, sf)
-    mf = ML.model_frame(t, CANONICAL, PREDICTIVE, keep=[*KEYS, "is_current"])
-    return hash_split(mf, KEYS, {"train": 0.70, "val": 0.15, "test": 0.15}, seed=42)
+    def make(path):
+        t = transactions(spark, sf)
+        mf = ML.model_frame(t, CANONICAL, PREDICTIVE, keep=[*KEYS, "is_current"])
+        hash_split(mf, KEYS, {"train": 0.70, "val": 0.15, "test": 0.15}, seed=42).write.mode("overwrite").parquet(path)
+
+    return spark.read.parquet(registered(spark, sf, "frames", make))
 
 
 def _params(p: dict) -> dict:
@@ -40,21 +68,16 @@ def _params(p: dict) -> dict:
 
 
 def trained(spark, sf, role: str):
-    """Train (once per session) and persist; later calls reload from the shared folder."""
-    key = (sf, role, spark.sparkContext.applicationId)
-    if key not in _REGISTRY:
+    """Train once per application and register; later calls load what the registry names."""
+    def make(path):
         data = frames(spark, sf)
         if role == "champion":
-            train = data.where(~F.col("is_current") & (F.col("part") == "train"))
-            model = ML.train_gbt(train, FEATURES, **_params(C.CHAMPION_PARAMS))
-        elif role == "challenger":
-            train = data.where(F.col("is_current") & (F.col("part") == "train"))
-            model = ML.train_gbt(train, FEATURES, **_params(C.CHALLENGER_PARAMS))
-        else:  # stronger retrain on the drifted rows that it is not judged on
-            train = data.where(F.col("is_current") & (F.col("part") != "val"))
-            model = ML.train_gbt(train, FEATURES, **_params(C.STRONG_CHALLENGER_PARAMS))
-        _REGISTRY[key] = ML.save_model(model, scratch_path(spark, f"model-{role}"))
-    return ML.load_model(_REGISTRY[key])
+            train, params = data.where(~F.col("is_current") & (F.col("part") == "train")), C.CHAMPION_PARAMS
+        else:
+            train, params = data.where(F.col("is_current") & (F.col("part") == "train")), C.CHALLENGER_PARAMS
+        ML.save_model(ML.train_gbt(train, FEATURES, **_params(params)), path)
+
+    return ML.load_model(registered(spark, sf, role, make))
 
 
 @query("train_champion")
@@ -115,7 +138,10 @@ def q_save_load_model(spark, sf):
     """Persist the champion with its feature lists and medians; reload; predictions must agree."""
     model = trained(spark, sf, "champion")
     path = ML.save_model(model, scratch_path(spark, "saved-model"))
-    again = ML.load_model(path)
+    folder = scratch_path(spark, "saved-registry")
+    register_run(spark, folder, "saved", "fraud", "FINISHED", {"path": path, "model_type": "gbt", "canonical_features": ",".join(CANONICAL),
+                                                               "predictive_features": ",".join(PREDICTIVE), "schema_version": SCHEMA_VERSION})
+    again = ML.load_model(run_table(spark, folder).where("is_active").first()["params"]["path"])
     data = frames(spark, sf).where(F.col("part") == "test")
     a = ML.score_batch(model, data).select(*KEYS, "label", F.col("p").alias("p1"))
     b = ML.score_batch(again, data).select(*KEYS, "label", F.col("p").alias("p2"))
@@ -135,31 +161,24 @@ def q_save_load_model(spark, sf):
                                  F.struct("feature", F.col("m")[0])))).scalar()})
 
 
+def drifted(spark, sf):
+    """The current period as a what-if replay: prices of mobile rows tripled, and the shifted rule for the labels."""
+    t = transactions(spark, sf).where(F.col("is_current"))
+    moved = cohort_rewrite(t, [(F.col("device_type") == "mobile", {"price": F.col("price") * 3.0, "discount_pct": F.least(F.col("discount_pct") + 0.2, F.lit(0.9))})])
+    moved = moved.withColumn("is_fraud", rule_label(concept_shift=True))
+    return hash_split(ML.model_frame(moved, CANONICAL, PREDICTIVE, keep=[*KEYS, "is_current"]), KEYS, {"train": 0.70, "val": 0.15, "test": 0.15}, seed=42)
+
+
 @query("closed_loop")
 def q_closed_loop(spark, sf):
-    """encode -> score -> monitor (PSI) -> gate -> retrain -> compare -> switch, as one decision row."""
-    t = transactions(spark, sf)
-    rep = D.psi_report(t.where(~F.col("is_current")), t.where(F.col("is_current")))
-    alert = rep.select("alert").first()[0]
-    if not alert:  # nothing is trained without an alert; the same columns either way
-        none = F.lit(None).cast("double")
-        return rep.select("psi", "alert", *[none.alias(c) for c in ("champion_auc", "champion_f1", "challenger_auc", "challenger_f1", "strong_auc")],
-                          F.lit("NO_DRIFT").alias("decision"), F.lit("champion").alias("active_model"))
-    val = frames(spark, sf).where(F.col("is_current") & (F.col("part") == "val"))
-    champ = ML.evaluate_model(ML.score_batch(trained(spark, sf, "champion"), val)).select(
-        F.col("roc_auc").alias("champion_auc"), F.col("f1").alias("champion_f1"))
-    chall = ML.evaluate_model(ML.score_batch(trained(spark, sf, "challenger"), val)).select(
-        F.col("roc_auc").alias("challenger_auc"), F.col("f1").alias("challenger_f1"))
-    row = rep.select("psi", "alert").withColumns({
-        "champion_auc": champ.select("champion_auc").scalar(), "champion_f1": champ.select("champion_f1").scalar(),
-        "challenger_auc": chall.select("challenger_auc").scalar(),
-        "challenger_f1": chall.select("challenger_f1").scalar()})
-    strong = None
-    if (row.select("challenger_auc").first()[0] or 0) <= (row.select("champion_auc").first()[0] or 0):
-        # challenger lost: one stronger retrain on all drifted rows (300 x depth 6, rate 0.05)
-        strong = ML.evaluate_model(ML.score_batch(trained(spark, sf, "strong"), val)).select("roc_auc").scalar()
-    row = row.withColumn("strong_auc", strong if strong is not None else F.lit(None).cast("double"))
-    decided = row.withColumn("decision", J.champion_challenger(F.col("champion_auc"), F.col("challenger_auc"),
-                                                               F.col("strong_auc")))
-    return decided.withColumn("active_model", F.when(F.col("decision") == "CHAMPION_HELD", F.lit("champion"))
-                              .otherwise(F.lit("challenger")))
+    """encode -> monitor (PSI) -> gate -> retrain -> compare -> register -> switch, on a period that has drifted;
+    the decision row beside the run that is active afterwards in the run table."""
+    trained(spark, sf, "champion")
+    folder = scratch_path(spark, "loop")
+    own = {r["run_id"]: r for r in run_table(spark, registry_of(spark, sf)).collect()}["champion"]
+    register_run(spark, f"{folder}/registry", "champion", "fraud", "FINISHED", own["params"])
+    base = frames(spark, sf).where(~F.col("is_current"))
+    row = closed_loop(base, cut_lineage(drifted(spark, sf), "loop-current"), FEATURES, f"{folder}/registry", f"{folder}/jobs", f"{folder}/models",
+                      now="1999-01-01 00:00:00", monitored=C.MONITORED_FEATURES, challenger=_params(C.CHALLENGER_PARAMS), strong=_params(C.STRONG_CHALLENGER_PARAMS))
+    active = run_table(spark, f"{folder}/registry").where("is_active").select(F.col("run_id").alias("active_run"), F.col("params")["decision_threshold"].alias("active_threshold"))
+    return row.crossJoin(F.broadcast(active))  # one row each

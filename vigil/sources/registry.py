@@ -42,10 +42,10 @@ def _state(entries: list[dict]) -> tuple[dict[str, dict], str | None]:
 
 
 def active_run(spark: SparkSession, folder: str) -> dict | None:
-    """The run that was switched to last; where none was, the newest finished one."""
+    """The run that was switched to last (``switched``); where none was, the newest finished one."""
     runs, active = _state(CommitLog(spark, folder).entries())
     if active is not None:
-        return runs[active]
+        return {**runs[active], "switched": True}
     done = [r for r in runs.values() if r["status"] == "FINISHED"]
     return max(done, key=lambda r: (dt.datetime.fromisoformat(r["start_time"]), r["run_id"]), default=None)
 
