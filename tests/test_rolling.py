@@ -142,3 +142,11 @@ def test_ranks_with_one_hot_value(spark):
     ref = pd.DataFrame(rows, columns=["i", "k", "x"])
     want = ref.groupby(ref.k.fillna("~")).x.rank(pct=True)
     assert all((got[i] is None) if pd.isna(w) else got[i] == pytest.approx(w, abs=1e-12) for i, w in zip(ref.i, want))
+
+
+def test_change_point_of_a_jump(spark):
+    rng = np.random.RandomState(9)
+    rows = [("up", i, float(rng.normal(0 if i < 400 else 2))) for i in range(1000)] + [("flat", i, 3.0) for i in range(50)] + [(None, i, float(i >= 7)) for i in range(20)]
+    rows += [("up", 2000, None), ("up", 2001, float("nan"))]
+    got = {r.k: r for r in R.change_point(spark.createDataFrame(rows, "k string, seq long, x double").repartition(3), "x", step="seq", keys=["k"]).collect()}
+    assert abs(got["up"].change_step - 400) <= 5 and got["flat"].change_step is None and got[None].change_step == 7

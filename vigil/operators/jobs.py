@@ -92,11 +92,12 @@ def active_model(runs: DataFrame, prefix: str, fallback: str = "fallback") -> Da
     """Newest FINISHED run of prefixed experiments, else one fallback row."""
     newest = top_runs(runs, 1, prefix=prefix, status="FINISHED").select(
         "run_id", "experiment", "start_time", F.col("params")["model_type"].alias("model_type"),
-        F.col("params")["decision_threshold"].alias("decision_threshold"))
+        F.col("params")["decision_threshold"].alias("decision_threshold"), F.col("params")["adapter"].alias("adapter"),
+        F.col("params")["schema_version"].alias("schema_version"))
     stub = runs.sparkSession.range(1).select(
         F.lit(fallback).alias("run_id"), F.lit(None).cast("string").alias("experiment"),
         F.lit(None).cast("timestamp").alias("start_time"), F.lit("linear_score").alias("model_type"),
-        F.lit(None).cast("string").alias("decision_threshold"))
+        *[F.lit(None).cast("string").alias(c) for c in ("decision_threshold", "adapter", "schema_version")])
     both = newest.withColumn("_rank", F.lit(0)).unionByName(stub.withColumn("_rank", F.lit(1)))
     return both.orderBy("_rank").limit(1).drop("_rank")
 
@@ -104,6 +105,7 @@ def active_model(runs: DataFrame, prefix: str, fallback: str = "fallback") -> Da
 def model_info(active: DataFrame, canonical: list[str], predictive: list[str]) -> DataFrame:
     return active.select(
         F.col("run_id").alias("model_run_id"), F.coalesce(F.col("experiment"), F.lit("none")).alias("dataset_name"),
+        F.coalesce("adapter", F.lit("none")).alias("adapter_class"), F.coalesce("schema_version", F.lit("none")).alias("feature_schema_version"),
         F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss").alias("training_timestamp"),
         F.lit(len(canonical)).alias("canonical_features_count"),
         F.lit(len(predictive)).alias("predictive_features_count"),

@@ -207,7 +207,8 @@ def best_f1_all_thresholds(df: DataFrame, score: str, label: str, keys=None) ->
     keys = _keys(keys)
     cum = cumulative_from_top(df, score, label, keys)
     f1_s = f1_expr(F.col("tp"), F.col("fp"), F.col("P") - F.col("tp"))
-    at_scores = cum.groupBy(*keys).agg(F.max(f1_s).alias("f1_scores"))
+    part = F.col("pos") * ((F.col("N") - F.col("fp")) + F.lit(0.5) * F.col("neg"))
+    at_scores = cum.groupBy(*keys).agg(F.max(f1_s).alias("f1_scores"), F.sum(part).alias("_u"))  # F1 and AUC from the same running counts
     y = F.col(label) == 1
     p = F.col(score)
     ok = p.isNotNull()
@@ -218,12 +219,15 @@ def best_f1_all_thresholds(df: DataFrame, score: str, label: str, keys=None) ->
     f_fixed = F.greatest(*[f1_expr(F.col(f"tp_{i}"), F.col(f"fp_{i}"), F.col("P") - F.col(f"tp_{i}"))
                            for i in range(3)])
     fixed = fixed.select(*keys, f_fixed.alias("f1_fixed"), "P", "N")
-    auc = roc_auc(df, score, label, keys).select(*keys, "roc_auc")
-    out = attach(attach(fixed, at_scores, keys, ["f1_scores"], "left"), auc, keys, ["roc_auc"], "left")
+    if not keys:  # one subquery, not two
+        both = at_scores.select(F.struct("f1_scores", "_u")).scalar()
+        out = fixed.withColumns({"f1_scores": both["f1_scores"], "_u": both["_u"]})
+    else:
+        out = attach(fixed, at_scores, keys, ["f1_scores", "_u"], "left")
     one_class = (F.col("P") == 0) | (F.col("N") == 0)
     return out.select(*keys,
                       F.when(one_class, F.lit(0.0)).otherwise(F.greatest("f1_fixed", "f1_scores")).alias("best_f1"),
-                      F.when(one_class, F.lit(0.5)).otherwise(F.col("roc_auc")).alias("roc_auc"))
+                      F.when(one_class, F.lit(0.5)).otherwise(F.col("_u") / (F.col("P") * F.col("N"))).alias("roc_auc"))
 
 
 def class_balance(df: DataFrame, label: str, keys=None) -> DataFrame:

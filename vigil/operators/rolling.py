@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import config as C
+from vigil.functions.numeric import round_places
 from vigil.operators.drift import bin_of, quantile_edges, to_long, valid_number
 from vigil.operators.metrics import f1_expr, safe_div
 from vigil.operators.sequence import attach, halo_window, prefix_sum
@@ -282,6 +283,25 @@ def pseudo_label(df: DataFrame, keys=None, label: str = "is_fraud", out_col: str
     return work.drop(*drop)
 
 
+# ------------------------------------------------------------------ change points
+
+def change_point(df: DataFrame, value_col: str, step: str = "step", keys=None) -> DataFrame:
+    """``keys + [change_step, strength]``: where a series' mean changed, by the cumulated deviation (CUSUM).
+
+    The deviations from the series' mean are summed up in order; the sum is furthest from zero at the last
+    value before the change.  ``change_step`` is the step after it, ``strength`` that distance (rounded to
+    six places, the earliest step of equal ones).  NULL and NaN values are left out; a series that never
+    leaves its mean has no change (NULL).  Running sums in blocks, so a series may be of any length."""
+    keys = _keys(keys)
+    clean = df.where(valid_number(F.col(value_col).cast("double"))).select(*keys, F.col(step).alias("_s"), F.col(value_col).cast("double").alias("_x"), F.lit(1.0).alias("_one"))
+    run = prefix_sum(clean, ["_s"], ["_x", "_one"], keys=keys, materialize=True)
+    mean = clean.groupBy(*keys).agg(F.avg("_x").alias("_mean"))
+    away = F.col("_x_cum") - F.col("_one_cum") * F.col("_mean")
+    far = attach(run, mean, keys, ["_mean"]).select(*keys, "_s", round_places(F.abs(away)).alias("_d"))
+    top = far.groupBy(*keys).agg(F.min_by(F.struct("_d", "_s"), F.struct(-F.col("_d"), F.col("_s"))).alias("_t"))
+    return top.select(*keys, F.when(F.col("_t._d") > 0, F.col("_t._s") + 1).alias("change_step"), F.col("_t._d").alias("strength"))
+
+
 # ------------------------------------------------------------------ scenario statistics
 
 def recovery_stats(df: DataFrame, f1_col: str, step: str = "step", keys=None, recurring=None,

@@ -22,7 +22,7 @@ from vigil import config as C
 from vigil.functions.features import scorecard
 from vigil.operators import metrics as M
 from vigil.operators import rolling as R
-from vigil.operators.sequence import dense_sequence
+from vigil.operators.sequence import attach, dense_sequence
 from vigil.session import cut_lineage
 from vigil.sources.tables import stream_transactions
 
@@ -86,27 +86,34 @@ def scenario_stats(spark, sf) -> DataFrame:
     rec = F.col("scenario") == F.lit(RECURRING_SCENARIO)
     stats = R.recovery_stats(frame.withColumn("_rec", rec), "f1_smooth", step="seq", keys=["scenario"],
                              recurring=F.col("_rec"))
-    det = frame.groupBy("scenario").agg(
-        F.min(F.when((F.col("psi") > C.PSI_ALERT) & (F.col("seq") >= C.DRIFT_START), F.col("seq")))
-         .alias("detection_step"),
-        F.max("psi").alias("peak_psi"))
+    # measured: where the monitored price changed, the first breach from there on, the steps at which the
+    # threshold and the model in use changed, the models that were in use
+    change = R.change_point(frame, "price", step="seq", keys=["scenario"]).select("scenario", F.col("change_step").alias("injected"))
+    marked = attach(frame, change, ["scenario"], ["injected"], "left")
+    det = marked.groupBy("scenario").agg(
+        F.max("injected").alias("injected"),
+        F.min(F.when((F.col("psi") > C.PSI_ALERT) & (F.col("seq") >= F.greatest("injected", F.lit(C.WINDOW_SIZE))), F.col("seq"))).alias("detection_step"),
+        F.max("psi").alias("peak_psi"),
+        F.min(F.when(F.col("threshold") != F.lit(0.5), F.col("seq"))).alias("retuned"),
+        F.min(F.when(F.col("model") != "champion", F.col("seq"))).alias("deployed"),
+        (F.count_distinct("model") - F.lit(1)).alias("cycles"))
     drifted = frame.where(F.col("seq") >= C.DRIFT_START)
     chall = M.best_f1_all_thresholds(drifted, "p", "y", keys=["scenario"]).select(
         "scenario", F.col("best_f1").alias("chall_f1"), F.col("roc_auc").alias("chall_auc"))
     out = stats.join(det, "scenario").join(chall, "scenario", "left")
-    cycles = F.when(F.col("scenario") == F.lit(RECURRING_SCENARIO), F.lit(2)).otherwise(F.lit(1))
+    took = F.col("deployed") - F.col("retuned")
     return out.select(
         "scenario",
-        F.lit(C.DRIFT_START).alias("drift_injection_time"),
+        F.col("injected").alias("drift_injection_time"),
         F.col("detection_step").alias("drift_detection_time"),
-        (F.col("detection_step") - F.lit(C.DRIFT_START)).alias("detection_latency"),
+        (F.col("detection_step") - F.col("injected")).alias("detection_latency"),
         "peak_psi",
-        cycles.alias("retraining_cycles"),
-        F.lit(0.0).alias("retraining_duration"),
-        F.lit(C.MODEL_DEPLOYED).alias("model_deployment_time"),
+        F.col("cycles").alias("retraining_cycles"),
+        took.alias("retraining_duration"),
+        F.col("deployed").alias("model_deployment_time"),
         "chall_f1", "chall_auc", "f1_before_drift", "lowest_f1", "f1_after_recovery",
         "absolute_recovery", "relative_recovery",
-        F.lit(C.DRIFT_START).alias("drift_step"),
+        F.col("injected").alias("drift_step"),
         F.col("detection_step"),
-        F.lit(C.MODEL_DEPLOYED).alias("deployment_step"),
-        F.lit(0.0).alias("retraining_time"))
+        F.col("deployed").alias("deployment_step"),
+        took.alias("retraining_time"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from vigil.functions.numeric import round_places
 
 from vigil import config as C
+from vigil.operators import drift as D
 from vigil.operators import jobs as J
 from vigil.operators import sampling as SP
+from vigil.plans.psi_sql import psi_ctes
 from vigil.plans.q_features import CANONICAL, PREDICTIVE
 from vigil.plans.registry import query
 from vigil.plans.sqlbind import STX, TXN, with_ctes
@@ -111,7 +113,9 @@ def q_job_expire(spark, sf):
   FROM jc, nw),
 ag AS (SELECT count(*) FILTER (WHERE status NOT IN ('COMPLETED', 'FAILED', 'REJECTED')) AS active_jobs,
               max(start_time) AS last_start FROM ex),
-ps AS (SELECT avg(value) / 100.0 AS psi FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+src AS (SELECT value, ts >= TIMESTAMP '2024-01-16' AS is_current FROM events),
+""" + psi_ctes("src", []) + f""",
+ps AS (SELECT psi FROM p_out)
 SELECT active_jobs, last_start,
   CASE WHEN active_jobs > 0 THEN 'SKIP_ACTIVE'
        WHEN last_start IS NOT NULL AND epoch(now) - epoch(last_start) < {C.JOB_COOLDOWN_SECONDS} THEN 'COOLDOWN'
@@ -122,8 +126,8 @@ FROM ag, nw, ps""")
 def q_job_gate(spark, sf):
     """Expire, then skip when a job is active, cool down after a recent start, else open a job."""
     cur = J.job_current(job_events(spark, sf), fields=["start_time", "status", "decision"])
-    ev = load(spark, sf, "events")
-    psi = ev.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).agg(F.avg("value") / 100.0).scalar()
+    ev = load(spark, sf, "events").select("value", (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("is_current"))
+    psi = D.psi(ev, "value", F.col("is_current")).select("psi").scalar()
     gate = J.job_gate(cur, _now(spark, sf), psi, F.lit(True))
     return gate.withColumn("psi_score", r6("psi_score"))
 
@@ -158,16 +162,15 @@ def q_champion_challenger(spark, sf):
     """Decision by AUC on the drifted period: champion = price/risk logistic score,
     challenger = the linear fallback score."""
     from vigil.functions.features import linear_score, round_half_up
-    from vigil.operators.metrics import best_f1_all_thresholds
+    from vigil.operators.metrics import roc_auc
     s = stream_transactions(spark, sf).where(F.col("is_current")).withColumn("scenario", F.col("event_type"))
     z = (F.lit(-4.0) + F.lit(0.0023) * F.col("price")) + F.lit(0.45) * F.col("merchant_risk_score")
     champ = round_half_up(F.least(F.greatest(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), F.lit(0.01)), F.lit(0.99)), 10)
     s = s.withColumn("champ", champ).withColumn("chall", linear_score("price"))
-    a = best_f1_all_thresholds(s, "champ", "is_fraud", keys=["scenario"]).select(
-        "scenario", F.col("roc_auc").alias("champ_auc"))
-    b = best_f1_all_thresholds(s, "chall", "is_fraud", keys=["scenario"]).select(
-        "scenario", F.col("roc_auc").alias("chall_auc"))
-    j = a.join(b, "scenario")
+    both = s.select("scenario", "is_fraud", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("s")) for k in ("champ", "chall")])).alias("x")) \
+        .select("scenario", "is_fraud", "x.kind", "x.s")
+    auc = roc_auc(both, "s", "is_fraud", keys=["scenario", "kind"])  # both models in one pass
+    j = auc.groupBy("scenario").agg(*[F.max(F.when(F.col("kind") == k, F.coalesce("roc_auc", F.lit(0.5)))).alias(f"{k}_auc") for k in ("champ", "chall")])
     return j.select("scenario", r6("champ_auc").alias("champion_auc"), r6("chall_auc").alias("challenger_auc"),
                     J.champion_challenger(F.col("champ_auc"), F.col("chall_auc")).alias("decision"))
 
@@ -186,6 +189,9 @@ def runs(spark, sf):
     th = ((F.col("o_orderkey") % 99 + 1) / F.lit(100.0)).cast("string")
     params = F.when(F.col("o_orderkey") % 10 == 0, F.create_map(F.lit("model_type"), mt)) \
         .otherwise(F.create_map(F.lit("model_type"), mt, F.lit("decision_threshold"), th))
+    version = F.create_map(F.lit("schema_version"), F.concat(F.lit("v"), (F.col("o_custkey") % 4).cast("string")))
+    adapter = F.create_map(F.lit("adapter"), F.lit("transactions"))
+    params = F.when(F.col("o_orderkey") % 3 == 0, F.map_concat(params, version)).otherwise(F.map_concat(params, version, adapter))
     f1 = F.col("o_totalprice") / (F.col("o_totalprice") + F.lit(100000.0))
     metrics = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("f1_score"), f1, F.lit("baseline_f1_score"), f1 / 2)) \
         .otherwise(F.create_map(F.lit("f1_score"), f1))
@@ -200,6 +206,7 @@ RUNS_SQL = """runs AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS run_id, 'exp_'
     CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
     CASE o_custkey % 3 WHEN 0 THEN 'champion' WHEN 1 THEN 'challenger' ELSE 'challenger_2' END AS model_type,
     CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST((o_orderkey % 99 + 1) / 100.0 AS DOUBLE) END AS thr,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'transactions' END AS adapter, 'v' || CAST(o_custkey % 4 AS VARCHAR) AS schema_version,
     o_totalprice / (o_totalprice + 100000.0) AS f1_score, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS n_base
   FROM orders)"""
 
@@ -217,10 +224,11 @@ def q_top_runs(spark, sf):
 WHERE experiment LIKE 'exp_1%' AND status = 'FINISHED' ORDER BY start_time DESC, run_id DESC LIMIT 1""")
 def q_active_model(spark, sf):
     """Newest finished run of the urgent-priority experiment, else the fallback scorer."""
-    return J.active_model(runs(spark, sf), prefix="exp_1")
+    return J.active_model(runs(spark, sf), prefix="exp_1").drop("adapter", "schema_version")
 
 
 @query("model_info", sql=with_ctes(RUNS_SQL) + f"""SELECT run_id AS model_run_id, experiment AS dataset_name,
+       coalesce(adapter, 'none') AS adapter_class, coalesce(schema_version, 'none') AS feature_schema_version,
        strftime(start_time, '%Y-%m-%dT%H:%M:%S') AS training_timestamp, {len(CANONICAL)} AS canonical_features_count,
        {len(PREDICTIVE)} AS predictive_features_count, {len(CANONICAL) + len(PREDICTIVE)} AS model_features_count
 FROM runs WHERE experiment LIKE 'exp_1%' AND status = 'FINISHED' ORDER BY start_time DESC, run_id DESC LIMIT 1""")

@@ -211,14 +211,19 @@ dfx AS (SELECT scenario, greatest({', '.join(f1_sql(f'count(*) FILTER (WHERE p >
                count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y <> 1) AS N FROM dr GROUP BY scenario),
 chall AS (SELECT scenario, CASE WHEN P = 0 OR N = 0 THEN 0.0 ELSE greatest(f1_fixed, f1_scores) END AS chall_f1,
                  CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE auc END AS chall_auc FROM dfx LEFT JOIN dfs USING (scenario)),
-det AS (SELECT scenario, min(seq) FILTER (WHERE psi > {C.PSI_ALERT} AND seq >= {C.DRIFT_START}) AS detection_step,
-               max(psi) AS peak_psi FROM rp GROUP BY scenario),
-stats AS (SELECT scenario, {C.DRIFT_START} AS drift_injection_time, detection_step AS drift_detection_time,
-       detection_step - {C.DRIFT_START} AS detection_latency, peak_psi,
-       CASE WHEN scenario = '{REC}' THEN 2 ELSE 1 END AS retraining_cycles, 0.0 AS retraining_duration,
-       {C.MODEL_DEPLOYED} AS model_deployment_time, chall_f1, chall_auc, f1_before_drift, lowest_f1,
-       f1_after_recovery, absolute_recovery, relative_recovery, {C.DRIFT_START} AS drift_step, detection_step,
-       {C.MODEL_DEPLOYED} AS deployment_step, 0.0 AS retraining_time
+cs AS (SELECT scenario, seq, floor(abs(sum(price) OVER w - count(price) OVER w * avg(price) OVER (PARTITION BY scenario)) * 1e6 + 0.5) / 1e6 AS d
+       FROM rp WHERE price IS NOT NULL AND NOT isnan(price)
+       WINDOW w AS (PARTITION BY scenario ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cp AS (SELECT scenario, CASE WHEN max(d) > 0 THEN arg_min(seq, (-d, seq)) + 1 END AS injected FROM cs GROUP BY scenario),
+det AS (SELECT rp.scenario, max(injected) AS injected, min(seq) FILTER (WHERE psi > {C.PSI_ALERT} AND seq >= greatest(injected, {W})) AS detection_step,
+               max(psi) AS peak_psi, min(seq) FILTER (WHERE threshold <> 0.5) AS retuned, min(seq) FILTER (WHERE model <> 'champion') AS deployed,
+               count(DISTINCT model) - 1 AS cycles
+        FROM rp LEFT JOIN cp USING (scenario) GROUP BY rp.scenario),
+stats AS (SELECT scenario, injected AS drift_injection_time, detection_step AS drift_detection_time,
+       detection_step - injected AS detection_latency, peak_psi, cycles AS retraining_cycles, deployed - retuned AS retraining_duration,
+       deployed AS model_deployment_time, chall_f1, chall_auc, f1_before_drift, lowest_f1,
+       f1_after_recovery, absolute_recovery, relative_recovery, injected AS drift_step, detection_step,
+       deployed AS deployment_step, deployed - retuned AS retraining_time
   FROM recs JOIN det USING (scenario) LEFT JOIN chall USING (scenario))"""
 
 STAT_DOUBLES = ["peak_psi", "chall_f1", "chall_auc", "f1_before_drift", "lowest_f1", "f1_after_recovery",
