@@ -107,7 +107,7 @@ def test_rolling_confusion_with_a_threshold_for_every_row(spark):
 def test_timeline_with_many_changes_of_one_key(spark, monkeypatch):
     """10^5 changes of one key over blocks of 2^13 rows: no array of changes anywhere"""
     import vigil.operators.sequence as Q
-    monkeypatch.setattr(Q.prefix_sum, "__defaults__", (None, "_cum", "sum", 1 << 13, False))
+    monkeypatch.setattr(Q.prefix_sum, "__defaults__", (None, "_cum", "sum", 1 << 13, False, None))
     n = 100_000
     changes = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 3).alias("change_step"), (F.col("id") * 0.5).alias("threshold"),
                                     F.when(F.col("id") % 7 != 0, F.concat(F.lit("m"), F.col("id").cast("string"))).alias("model"))

@@ -4,9 +4,12 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from vigil import config as C
+from vigil.operators import models as ML
 from vigil.operators.adwin import Adwin
 from vigil.session import scratch_path
 from vigil.sources import logs as L
+from vigil.sources import registry as R
 from vigil.streaming import adwin_stream as A
 from vigil.streaming import streams as S
 
@@ -145,3 +148,26 @@ def test_sliding_windows_in_append_mode(spark):
     assert len(got) == len(dict(got)) and dict(got) == batch
     assert len(batch) == 9 and sum(n for n, _ in batch.values()) == 2 * 61
     assert dropped == 2  # the late row, in both of its windows
+
+
+def test_the_stream_encodes_and_scores_with_the_active_run(spark):
+    """a switch in the registry between two triggers: each batch is encoded and scored by the model active then"""
+    src, log, ck, reg = (scratch_path(spark, n) for n in ("r-src", "r-log", "r-ck", "r-reg"))
+    rows = [(float(i % 40), float(i % 2), float(i % 2)) for i in range(80)]
+    frame = spark.createDataFrame(rows, "price double, device_type double, label double")
+    for name, path in (("one", scratch_path(spark, "m1")), ("two", scratch_path(spark, "m2"))):
+        ML.save_model(ML.train_gbt(frame if name == "one" else frame.withColumn("label", 1 - F.col("label")), ["price", "device_type"], max_iter=2, max_depth=2), path)
+        R.register_run(spark, reg, name, "fraud", "FINISHED", {"path": path, "canonical_features": "price,device_type", "predictive_features": ""})
+    assert R.switch_active(spark, reg, "one", None)
+    lookup = S.registry_scorer(spark, reg)
+    codes = list(C.CATEGORY_MAPS["device_type"])
+    for day, active in ((1, "one"), (2, "two")):
+        if active == "two":
+            assert R.switch_active(spark, reg, "two", "one")
+        lines = [(json.dumps({"event_time": f"2025-01-0{day} 00:00:00", "price": 5.0, "device_type": codes[k % 2], "user_id": k}),) for k in range(4)]
+        spark.createDataFrame(lines, "value string").write.mode("append").text(src)
+        S.stream_score(spark, src, log, ck, lookup).awaitTermination()
+    out = L.read_log(spark, log)
+    assert {(r.batch, r.model_version) for r in out.select("batch", "model_version").distinct().collect()} == {("0", "one"), ("1", "two")}
+    p = {(r.batch, r.device_type): r.fraud_probability for r in out.collect()}
+    assert p[("0", codes[1])] > 0.5 > p[("0", codes[0])] and p[("1", codes[1])] < 0.5 < p[("1", codes[0])]

@@ -133,7 +133,7 @@ def _order_statistics(clean: DataFrame, brackets: DataFrame, qs: list[float], ke
     held = F.explode(F.array_compact(F.array(*[
         F.when((F.col("_v") >= F.try_element_at("_lo", F.lit(i + 1))) & (F.col("_v") <= F.try_element_at("_hi", F.lit(i + 1))), F.lit(i)) for i in range(len(qs))])))
     values = values.select(*keys, held.alias("i"), "_v", "_c").groupBy(*keys, "i", "_v").agg(F.sum("_c").cast("double").alias("_c"))
-    ranked = prefix_sum(values, ["_v"], ["_c"], keys=[*keys, "i"])
+    ranked = prefix_sum(values, ["_v"], ["_c"], keys=[*keys, "i"], rows=counts.count())  # the stored table's row count
     near = attach(ranked, ranks.select(*keys, "i", "below", "_pos"), [*keys, "i"], ["below", "_pos"])
     first, last = F.col("below") + F.col("_c_cum") - F.col("_c"), F.col("below") + F.col("_c_cum") - F.lit(1.0)
     f_lo, f_hi = F.floor("_pos"), F.ceil("_pos")

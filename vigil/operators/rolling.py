@@ -147,9 +147,8 @@ def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: s
     binned = df.withColumn("_ed", row.select(F.struct(*features)).scalar())
     for f in features:
         binned = binned.withColumn(f"_b_{f}", F.when(valid_number(f), bin_of(
-            F.col(f).cast("double"), F.col("_ed")[f]["edges"], buckets - 1)))
-        binned = binned.withColumn(f"_s_{f}", F.col("_ed")[f]["shares"])
-    binned = binned.drop("_ed")
+            F.col(f).cast("double"), F.col("_ed")[f]["edges"], buckets - 1)).cast("byte"))
+    binned = binned.drop("_ed")  # rows carry their bins through the window; the shares are attached behind it
 
     # all bin counts of a feature's window fit into few whole numbers: a count needs `bits` bits, so a
     # row adds one bit pattern and the window is one sum per number
@@ -169,23 +168,19 @@ def rolling_psi(df: DataFrame, baseline: DataFrame, features: list[str], step: s
 
     out = halo_window(binned, step, window, build, keys=keys, chunk_rows=chunk_rows)
     mask = F.lit((1 << bits) - 1).cast("long")
-    counts = {}
-    for f in features:
-        cells = [F.shiftright(F.col(f"_w_{f}_{b // per_word}"), (b % per_word) * bits).bitwiseAND(mask) for b in range(buckets)]
-        counts[f"_n_{f}"] = F.array(*cells)
-    out = out.withColumns(counts)
-    out = out.withColumns({f"_t_{f}": F.aggregate(f"_n_{f}", F.lit(0).cast("long"), lambda a, x: a + x) for f in features})
+    out = out.withColumns({f"_n_{f}_{b}": F.shiftright(F.col(f"_w_{f}_{b // per_word}"), (b % per_word) * bits).bitwiseAND(mask)
+                           for f in features for b in range(buckets)})
+    out = out.withColumns({f"_t_{f}": sum((F.col(f"_n_{f}_{b}") for b in range(1, buckets)), F.col(f"_n_{f}_0")) for f in features})
+    out = out.withColumn("_sh", row.select(F.struct(*[F.col(f)["shares"].alias(f) for f in features])).scalar())
     per_feature = []
-    for f in features:
-        n, total = F.col(f"_n_{f}"), F.col(f"_t_{f}")
-
-        def term(x, e):
-            share = F.when(x == 0, F.lit(floor)).otherwise(x / total)
+    for f in features:  # plain expressions, no lambdas: they stay in generated code
+        terms = []
+        for b in range(buckets):
+            x, e = F.col(f"_n_{f}_{b}"), F.try_element_at(F.col("_sh")[f], F.lit(b + 1))
+            share = F.when(x == 0, F.lit(floor)).otherwise(x / F.col(f"_t_{f}"))
             base = F.when(e == 0, F.lit(floor)).otherwise(e)
-            return (share - base) * F.ln(share / base)
-
-        psi = F.aggregate(F.zip_with(n, F.col(f"_s_{f}"), term), F.lit(0.0), lambda a, x: a + x)
-        per_feature.append(F.when(total > 0, psi).otherwise(F.lit(0.0)))
+            terms.append((share - base) * F.ln(share / base))
+        per_feature.append(F.when(F.col(f"_t_{f}") > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0)))
     mean = sum(per_feature[1:], per_feature[0]) / F.lit(float(len(features)))
     warm = F.col(step) >= F.lit(window)
     return out.select(*[F.col(c) for c in df.columns],

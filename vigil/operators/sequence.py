@@ -84,7 +84,7 @@ def _text_block(df: DataFrame, order: str, n: int) -> Column:
 
 def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
                keys: list[str] | None = None, out_suffix: str = "_cum", how: str = "sum",
-               block_rows: int = BLOCK_ROWS, materialize: bool = False) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, materialize: bool = False, rows: int | None = None) -> DataFrame:
     """Inclusive running sums (``how="sum"``), maxima (``how="max"``) or latest values that are
     not NULL (``how="last"``, of any type) of ``value_cols`` per ``keys`` in ``order_cols`` order
     (ascending, NULLs first).
@@ -98,12 +98,13 @@ def prefix_sum(df: DataFrame, order_cols: list[str], value_cols: list[str],
     blocks; only rows that tie on the first column cannot be parted.  The bounds
     change the work, never the result.  ``materialize=True`` writes the input
     once first (for aggregates or long pipelines, which would otherwise be
-    evaluated for the bounds, the totals and the windows).
+    evaluated for the bounds, the totals and the windows).  ``rows`` is about how
+    many rows there are, where that is known without counting them.
     """
     keys = list(keys or [])
     if materialize:
         df = cut_lineage(df, "prefix-input")
-    n = -(-df.count() // block_rows)
+    n = -(-(df.count() if rows is None else rows) // block_rows)
 
     def val(v):
         c = F.col(v)

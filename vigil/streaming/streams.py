@@ -31,7 +31,9 @@ from vigil import config as C
 from vigil.functions.features import scorecard, stream_high_value
 from vigil.operators.drift import baseline_counts, bin_of, psi_against, quantile_edges, to_long, valid_number
 from vigil.operators.jobs import active_model, job_current, job_expire, job_gate
+from vigil.operators.models import load_model, model_frame, score_batch
 from vigil.sources.codec import json_decode
+from vigil.sources.registry import active_run
 from vigil.session import cut_lineage
 from vigil.sources.logs import log_append, newest
 from vigil.streaming.adwin_stream import adaptive_window_stream, use_rocksdb
@@ -73,6 +75,38 @@ def active_scorer(spark: SparkSession, runs_path: str, prefix: str, scorers: dic
     return lookup
 
 
+def model_scorer(model, canonical: list[str], predictive: list[str], version: str) -> Callable[[DataFrame], DataFrame]:
+    """A scorer that encodes the payload fields as in training and applies a saved model; the row's own columns stay."""
+    def score(df: DataFrame) -> DataFrame:
+        present = [f for f in predictive if f in df.columns]
+        rows = df
+        for f in predictive:
+            if f not in present:
+                rows = rows.withColumn(f, F.lit(None).cast("double"))
+        raw = F.struct(*[F.col(c) for c in df.columns])
+        encoded = model_frame(rows.withColumn("_raw", raw), canonical, predictive, label=None, keep=["_raw"])
+        return score_batch(model, encoded, "fraud_probability").select("_raw.*", "fraud_probability").withColumn("model_version", F.lit(version))
+    return score
+
+
+def registry_scorer(spark: SparkSession, registry: str) -> Callable[[], Callable[[DataFrame], DataFrame]]:
+    """A lookup for ``stream_score``: encodes and scores with the registry's active run, asked anew for each batch
+    (its model is loaded when it changes); the built-in scorecard where there is no run."""
+    loaded: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def lookup():
+        run = active_run(spark, registry)
+        if run is None:
+            return default_scorer
+        if run["run_id"] not in loaded:
+            loaded.clear()
+            names = [[f for f in run["params"][k].split(",") if f] for k in ("canonical_features", "predictive_features")]
+            loaded[run["run_id"]] = model_scorer(load_model(run["params"]["path"]), *names, run["run_id"])
+        return loaded[run["run_id"]]
+
+    return lookup
+
+
 def default_scorer(df: DataFrame) -> DataFrame:
     """Score with the built-in scorecard (model version 'scorecard-v1')."""
     return df.withColumn("fraud_probability", scorecard()).withColumn("model_version", F.lit("scorecard-v1"))
