@@ -39,3 +39,14 @@ def test_a_new_shard_takes_slots_only_into_itself(spark):
     more = S.add_shard(one, loads, 1, 4)
     changes = one.alias("a").join(more.alias("b"), "vslot").where("a.shard <> b.shard").select("b.shard").collect()
     assert changes and {r.shard for r in changes} == {4} and len(changes) < 256 / 4
+
+
+def test_the_law_holds_for_the_querys_own_rows(spark):
+    """bytes near equal over the 24 shards, slots gapless; a third of the rows have no id and one text"""
+    docs = spark.range(60_000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"),
+                                      F.when(F.col("id") % 3 == 0, F.lit("the same")).otherwise(F.repeat(F.lit("é"), (F.col("id") * 37 % 90).cast("int"))).alias("text"))
+    out = S.shard_documents(docs.repartition(5))
+    sums = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sums) == 24 and (max(sums) - min(sums)) / (sum(sums) / 24) < 0.01
+    gaps = out.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("z"), F.count_distinct("slot").alias("k"), F.count(F.lit(1)).alias("n"))
+    assert gaps.where("a <> 0 OR z <> n - 1 OR k <> n").count() == 0 and out.count() == 60_000

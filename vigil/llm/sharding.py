@@ -10,8 +10,8 @@ as well: slots move only into the new shard.  DataFrame functions only.
 Law ``bytes``: shard sizes differ by about one small slot.
 
 Defined cases: null text counts no bytes (size 8, checksum of the empty text);
-null ids and repeated rows hash by (id, text) like any other row, so rows of one
-id need not share a slot; ties in a slot are ordered by id, checksum and size
+records hash by (id, text), so rows of one id need not share a slot; rows without an
+id also by their place in the input, so equal ones spread; ties in a slot are ordered by id, checksum and size
 (rows equal in all three are interchangeable); an empty table gives no rows;
 further input columns are ignored.
 """
@@ -31,11 +31,14 @@ ROW_OVERHEAD = 8
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot): what the slots need of each record."""
     raw = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    # rows without an id may be equal in all that is hashed: their place in the input tells them apart (the records
+    # are stored, so it is read once)
+    apart = F.when(docs["doc_id"].isNull(), F.monotonically_increasing_id())
     return docs.select(
         docs["doc_id"].alias("doc_id"),
         (F.length(raw) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(n_slots)).cast("int").alias("vslot"))
+        F.pmod(F.xxhash64(docs["doc_id"], docs["text"], apart), F.lit(n_slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
