@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from vigil.session import scratch_path
 
 
+NARROW = 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -19,11 +22,15 @@ class Stored:
 
     ``df`` reads it back: no lineage to recompute, and a lost executor loses nothing.  The shuffle files
     behind it are then of no use; ``collect_garbage`` lets Spark's cleaner find that out at once instead
-    of at the driver's next full collection."""
+    of at the driver's next full collection.  ``narrow`` tables, pairs of ids and the like, are written by
+    ``NARROW`` tasks a core at most, however many partitions they come in, so they do not end up as thousands
+    of tiny files."""
 
-    def __init__(self, df: DataFrame, name: str, compression: str = "zstd"):
+    def __init__(self, df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
+        if narrow:
+            df = df.coalesce(NARROW * self.spark.sparkContext.defaultParallelism)
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 

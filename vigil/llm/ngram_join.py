@@ -221,7 +221,7 @@ def star_pairs(sigs: DataFrame, num: int, den: int) -> DataFrame:
     keys = sigs.select("class", "n", F.posexplode("minima").alias("turn", "least"))
     centre = keys.groupBy("turn", "least").agg(F.min(F.struct("class", "n")).alias("c"), F.count(F.lit(1)).alias("_k")) \
         .where(F.col("_k") > F.lit(1)).select(F.col("turn").alias("_turn"), F.col("least").alias("_least"), "c")
-    centre = Stored(centre, "jaccard-centres").df
+    centre = Stored(centre, "jaccard-centres", narrow=True).df
     return keys.join(centre, (F.col("turn") == F.col("_turn")) & (F.col("least") == F.col("_least"))) \
         .where((F.col("class") != F.col("c.class")) & (F.least("n", "c.n") * F.lit(den) >= F.greatest("n", "c.n") * F.lit(num))) \
         .select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
@@ -233,11 +233,11 @@ def tile_rows(sigs: DataFrame, parts: DataFrame) -> DataFrame:
     A tile is a run of rows of one shingle.  A run of over ``RUN`` rows is cut: its largest component
     into blocks, and all other rows into blocks; every block of the others is a tile, and so is every
     pair of blocks of which one holds others (``side`` tells them apart; -1: one block alone)."""
-    sizes = Stored(parts.groupBy(F.col("component").alias("_part")).agg(F.count(F.lit(1)).alias("_size")), "jaccard-sizes").df
+    sizes = Stored(parts.groupBy(F.col("component").alias("_part")).agg(F.count(F.lit(1)).alias("_size")), "jaccard-sizes", narrow=True).df
     named = sigs.select("class", "n", "prefix").join(parts, F.col("class") == F.col("node"), "left") \
         .select("class", "n", "prefix", F.coalesce("component", "class").alias("part"))
     rows = named.select("class", "n", "part", F.posexplode("prefix").alias("place", "shingle"))
-    long = Stored(rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(RUN)), "jaccard-long").df
+    long = Stored(rows.groupBy(F.col("shingle").alias("_shingle")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(RUN)), "jaccard-long", narrow=True).df
     if not has_rows(long):
         return rows.select("shingle", F.lit(0).cast("long").alias("tile"), F.lit(-1).alias("side"), "n", "place", "class", "part")
     # of each long run, the component that is largest over all
@@ -246,7 +246,7 @@ def tile_rows(sigs: DataFrame, parts: DataFrame) -> DataFrame:
     stats = Stored(inside.groupBy(F.col("shingle").alias("_shingle")).agg(
         F.sum("k").alias("_rows"), F.max(F.struct(F.coalesce("_size", F.lit(1)), "part", "k")).alias("_top")).select(
             "_shingle", F.col("_top.part").alias("_most"), F.ceil(F.col("_top.k") / F.lit(RUN)).alias("_d"),
-            F.ceil((F.col("_rows") - F.col("_top.k")) / F.lit(RUN)).alias("_o")).where("_o > 0"), "jaccard-runs").df
+            F.ceil((F.col("_rows") - F.col("_top.k")) / F.lit(RUN)).alias("_o")).where("_o > 0"), "jaccard-runs", narrow=True).df
     block = F.pmod(F.xxhash64("class"), F.when(F.col("part") == F.col("_most"), F.col("_d")).otherwise(F.col("_o")))
     own = F.struct((F.col("_o") * (F.col("_d") + F.col("_o")) + F.col("block")).alias("tile"), F.lit(-1).alias("side"))
     to = F.when(F.col("_shingle").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("tile"), F.lit(-1).alias("side")))) \
@@ -488,23 +488,23 @@ def tile_components(sigs: DataFrame, parts: DataFrame, sets_of, num: int, den: i
     members = Stored(tile_members(tile_rows(sigs, parts), num, den), "jaccard-tiles").collect_garbage()
     live, most = members.df, OFFERS
     while True:
-        pairs = Stored(best_offers(Stored(tile_offers(live, sigs, num, den, most), "jaccard-offers").collect_garbage().df, most), "jaccard-best").df
+        pairs = Stored(best_offers(Stored(tile_offers(live, sigs, num, den, most), "jaccard-offers").collect_garbage().df, most), "jaccard-best", narrow=True).df
         within = F.lit(True) if most is None else F.col("turn") <= F.lit(most)
         if not has_rows(pairs):
             break
         sets = sets_of(pairs.where(within))
         for turn in (F.col("turn") == F.lit(1), within & (F.col("turn") > F.lit(1))):
             apart = _apart(pairs.where(turn), parts)
-            found = Stored(exact_check(apart.select("a", "b"), sets.df, num, den).select("a", "b"), "jaccard-links").df
+            found = Stored(exact_check(apart.select("a", "b"), sets.df, num, den).select("a", "b"), "jaccard-links", narrow=True).df
             old = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = Stored(connected_components(old.unionByName(found)), "jaccard-parts").df
+            parts = Stored(connected_components(old.unionByName(found)), "jaccard-parts", narrow=True).df
             if most is None:
                 break
         sets.drop()
         sets.collect_garbage()
         if most is None:
             break
-        more = Stored(_apart(pairs.where(~within), parts).select("part_a", "part_b"), "jaccard-more").df
+        more = Stored(_apart(pairs.where(~within), parts).select("part_a", "part_b"), "jaccard-more", narrow=True).df
         if not has_rows(more):
             break
         # components that are apart and were offered more: their rows alone, in the components of now
@@ -534,9 +534,9 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     levels = count_levels(all_facts.df)
     all_facts.drop()
     usable = rows.where("class is not null and doc_id is not null")
-    classes = Stored(usable.groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-classes").df
+    classes = Stored(usable.groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-classes", narrow=True).df
     again = Stored(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("least"), F.max("class").alias("most"))
-                   .where("k > 1"), "jaccard-repeated").df  # ids that repeat
+                   .where("k > 1"), "jaccard-repeated", narrow=True).df  # ids that repeat
     repeated = has_rows(again)
     usable_docs = docs.where(docs["doc_id"].isNotNull())
     signed = Stored(signatures(usable_docs, levels, num, den).dropDuplicates(["class"]), "jaccard-signatures").collect_garbage()
@@ -544,25 +544,25 @@ def link_documents(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
 
     def sets_of(pairs: DataFrame) -> Stored:
         needed = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
-        wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), "jaccard-wanted").df
+        wanted = Stored(classes.join(needed, F.col("class") == F.col("_n"), "left_semi"), "jaccard-wanted", narrow=True).df
         sets = class_sets(docs, wanted)
         return Stored(sets.dropDuplicates(["class"]) if repeated else sets, "jaccard-sets").collect_garbage()
 
     passed = Stored(bitmap_check(star_pairs(sigs, num, den), sigs, num, den), "jaccard-star-candidates").collect_garbage().df
     star_sets = sets_of(passed)
-    stars = Stored(exact_check(passed, star_sets.df, num, den).select("a", "b"), "jaccard-star-links").df
+    stars = Stored(exact_check(passed, star_sets.df, num, den).select("a", "b"), "jaccard-star-links", narrow=True).df
     star_sets.drop()
     star_sets.collect_garbage()
     if repeated:
         same = usable.join(again.select(F.col("doc_id").alias("_d"), "least"), F.col("doc_id") == F.col("_d"))
         stars = stars.unionByName(same.select(F.col("class").alias("a"), F.col("least").alias("b")))
-    parts = Stored(connected_components(stars), "jaccard-stars").df
+    parts = Stored(connected_components(stars), "jaccard-stars", narrow=True).df
     parts = tile_components(sigs, parts, sets_of, num, den)
     signed.drop()
 
     named = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("part"))
-    named = Stored(named, "jaccard-named").df
-    least = Stored(named.groupBy("part").agg(F.min("rep").alias("component_id")), "jaccard-least").df
-    ids = Stored(named.join(least, "part").select(F.col("class").alias("_class"), "component_id"), "jaccard-ids").df
+    named = Stored(named, "jaccard-named", narrow=True).df
+    least = Stored(named.groupBy("part").agg(F.min("rep").alias("component_id")), "jaccard-least", narrow=True).df
+    ids = Stored(named.join(least, "part").select(F.col("class").alias("_class"), "component_id"), "jaccard-ids", narrow=True).df
     return rows.join(ids, F.col("class") == F.col("_class"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
