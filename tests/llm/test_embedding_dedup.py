@@ -71,6 +71,17 @@ def test_vectors_of_three_lengths(spark, monkeypatch):
     check(spark, [(*r, "x", 1, "x", "x") for r in rows])
 
 
+def test_a_chain_far_around_its_first_vector(spark, monkeypatch):
+    """a component that winds through all angles, in many rings and blocks"""
+    monkeypatch.setattr(D.link_counts, "__defaults__", (D.SIMILARITY, 8))
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(260):
+        a = np.pi * i / 150
+        rows.append((i, [float(np.cos(a)), float(np.sin(a)), float(0.05 * rng.normal()), float(0.05 * rng.normal()), 0.0, 0.0, 0.0, 1e-3], 0, "x", 1, "x", "x"))
+    check(spark, rows)
+
+
 def test_passes_follow_the_rows():
     assert D.passes_for(0) == D.passes_for(1000) == D.PASSES
     sizes = [D.passes_for(10 ** k) for k in range(3, 12)]

@@ -9,7 +9,8 @@ before it, so no pair is lost at a border and no task holds a label as a whole.
 The windows only have to connect a component; the number of links is then counted over
 all pairs of its members.  Members within half the angle of the threshold from the
 component's first vector all link with each other and are counted without comparing;
-the rest is compared with all members in blocks.
+the others are sorted into rings by their angle to that vector, and only blocks of neighbouring
+rings are compared.
 
 The number of passes follows the size of the largest label by one rule: see ``passes_for``.
 
@@ -27,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import Stored
@@ -41,6 +42,7 @@ WINDOW = 32
 KEY_BITS = 60
 TILE = 512       # rows of a pass compared in one go
 MEMBERS = 256    # members of a component compared in one go
+RING_BLOCKS = 1 << 20   # most blocks of a ring
 SEED = 7
 
 
@@ -129,24 +131,38 @@ def _groups(batches, key: int):
 def link_counts(vectors: DataFrame, parts: DataFrame, similarity: float = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """(id, component, n_links) of every member of a component."""
     half = math.sqrt((1 + similarity) / 2) + 1e-9  # cosine of half the angle, with room for rounding
+    ring = math.acos(similarity) * (1 + 1e-6) + 1e-6  # angles to the first vector of two that link differ by less
 
     def angle(batches):
         for b in batches:
-            near = row_cosines(b.column(2), b.column(3)) >= half
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], ["id", "component", "near"])
+            cosine = row_cosines(b.column(2), b.column(3))
+            rings = np.floor(np.arccos(np.clip(cosine, -1, 1)) / ring).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine >= half), pa.array(rings)], ["id", "component", "near", "ring"])
 
     first = vectors.select(F.col("id").alias("_first"), F.col("v").alias("w"))
     own = parts.join(vectors.select("id", "v"), F.col("node") == F.col("id")).select("id", "component", "v")
-    placed = Stored(own.join(first, F.col("component") == F.col("_first")).select("id", "component", "v", "w").mapInArrow(angle, "id long, component long, near boolean"), "member-angles").df
-    sizes = Stored(placed.groupBy("component").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")), "member-counts").df
+    placed = Stored(own.join(first, F.col("component") == F.col("_first")).select("id", "component", "v", "w")
+                    .mapInArrow(angle, "id long, component long, near boolean, ring int"), "member-angles").df
+    far = F.struct("ring", F.ceil(F.col("n") / F.lit(members)).cast("int").alias("blocks"))
+    sizes = placed.groupBy("component", "near", "ring").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(
+        F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)).alias("n_near"), F.sum(F.when(F.col("near"), 0).otherwise(F.col("n"))).alias("n_far"),
+        F.map_from_entries(F.collect_list(F.when(~F.col("near"), far))).alias("rings"))  # 180 degrees / ring entries at most
+    sizes = Stored(sizes, "member-counts").df
     sized = placed.join(sizes.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"))
 
-    # far members meet all members: blocks 0, 1, ... of the far, and -1, -2, ... of the near
-    blocks = F.ceil(F.col("n_far") / F.lit(members)).cast("int")
+    # far members, in blocks of their ring (from 0 on), meet those of the next rings; near ones (blocks -1, -2, ...)
+    # are within half the angle and can only link with far ones of the first two rings
+    def blocks_of(ring_number) -> Column:
+        n = F.coalesce(F.try_element_at("rings", ring_number), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: ring_number * F.lit(RING_BLOCKS) + i)).otherwise(F.array().cast("array<int>"))
+
     near_blocks = F.ceil(F.col("n_near") / F.lit(members)).cast("int")
-    own_block = F.when(F.col("near"), -1 - F.pmod(F.xxhash64("id"), near_blocks)).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int")
-    partners = F.when(F.col("near"), F.sequence(F.lit(0), blocks - 1)).otherwise(
-        F.concat(F.sequence(F.lit(0), blocks - 1), F.when(near_blocks > 0, F.transform(F.sequence(F.lit(1), near_blocks), lambda x: -x)).otherwise(F.array().cast("array<int>"))))
+    here = F.coalesce(F.try_element_at("rings", F.col("ring")), F.lit(1))
+    own_block = F.when(F.col("near"), -1 - F.pmod(F.xxhash64("id"), near_blocks)) \
+        .otherwise(F.col("ring") * F.lit(RING_BLOCKS) + F.pmod(F.xxhash64("id"), here)).cast("int")
+    among_near = F.when((F.col("ring") <= 1) & (near_blocks > 0), F.transform(F.sequence(F.lit(1), near_blocks), lambda x: -x)).otherwise(F.array().cast("array<int>"))
+    partners = F.when(F.col("near"), F.concat(blocks_of(F.lit(0)), blocks_of(F.lit(1)))) \
+        .otherwise(F.concat(blocks_of(F.col("ring") - 1), blocks_of(F.col("ring")), blocks_of(F.col("ring") + 1), among_near))
     dealt = sized.where("n_far > 0").select("id", "component", own_block.alias("block"), partners.alias("partners")) \
         .select("id", "component", "block", F.explode("partners").alias("other")) \
         .select("id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -166,8 +182,8 @@ def link_counts(vectors: DataFrame, parts: DataFrame, similarity: float = SIMILA
         .withColumn("tile", F.concat_ws("/", "component", "low", "high")) \
         .select("id", "block", "v", "tile").repartition("tile").sortWithinPartitions("tile", "id") \
         .mapInArrow(count, "id long, n long")
-    among_near = sized.where("near").select("id", (F.col("n_near") - 1).alias("n"))
-    counted = compared.unionByName(among_near).groupBy("id").agg(F.sum("n").alias("n_links"))
+    all_near = sized.where("near").select("id", (F.col("n_near") - 1).alias("n"))
+    counted = compared.unionByName(all_near).groupBy("id").agg(F.sum("n").alias("n_links"))
     return placed.select("id", "component").join(counted.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left") \
         .select("id", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
