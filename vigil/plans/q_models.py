@@ -22,7 +22,7 @@ from vigil.operators import models as ML
 from vigil.operators.sampling import hash_split
 from vigil.plans.q_features import CANONICAL, PREDICTIVE
 from vigil.plans.registry import query
-from vigil.functions.features import cohort_rewrite, rule_label
+from vigil.functions.features import cohort_rewrite, hash_share, rule_label
 from vigil.operators.loop import closed_loop
 from vigil.session import cut_lineage, ensure_checkpoint_dir, scratch_path
 from vigil.sources.registry import register_run, run_table
@@ -162,9 +162,11 @@ def q_save_load_model(spark, sf):
 
 
 def drifted(spark, sf):
-    """The current period as a what-if replay: prices of mobile rows tripled, and the shifted rule for the labels."""
+    """The current period as a what-if replay: 60 % of the rows become cheap-risk, high-discount mobile ones at three times
+    the price, and labels follow the shifted rule."""
     t = transactions(spark, sf).where(F.col("is_current"))
-    moved = cohort_rewrite(t, [(F.col("device_type") == "mobile", {"price": F.col("price") * 3.0, "discount_pct": F.least(F.col("discount_pct") + 0.2, F.lit(0.9))})])
+    moved = cohort_rewrite(t, [(hash_share("order_key", 7, 0.6), {"device_type": F.lit("mobile"), "merchant_risk_score": F.lit(0.05), "discount_pct": F.lit(0.45),
+                                                                  "price": F.col("price") * 3.0})])
     moved = moved.withColumn("is_fraud", rule_label(concept_shift=True))
     return hash_split(ML.model_frame(moved, CANONICAL, PREDICTIVE, keep=[*KEYS, "is_current"]), KEYS, {"train": 0.70, "val": 0.15, "test": 0.15}, seed=42)
 
