@@ -183,4 +183,4 @@ def q_closed_loop(spark, sf):
     row = closed_loop(base, cut_lineage(drifted(spark, sf), "loop-current"), FEATURES, f"{folder}/registry", f"{folder}/jobs", f"{folder}/models",
                       now="1999-01-01 00:00:00", monitored=C.MONITORED_FEATURES, challenger=_params(C.CHALLENGER_PARAMS), strong=_params(C.STRONG_CHALLENGER_PARAMS))
     active = run_table(spark, f"{folder}/registry").where("is_active").select(F.col("run_id").alias("active_run"), F.col("params")["decision_threshold"].alias("active_threshold"))
-    return row.crossJoin(F.broadcast(active))  # one row each
+    return row.withColumns({c: active.select(c).scalar() for c in active.columns})
