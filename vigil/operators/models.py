@@ -1,25 +1,23 @@
-"""Models on Spark ML: boosted-tree champion / challenger,
-batch scoring, evaluation, attribution shift, persistence.
-
-Boosted trees come from ``GBTClassifier`` (xgboost is not part of the stack):
-class weighting through ``weightCol``, ``subsample`` -> ``subsamplingRate``,
-column sampling -> ``featureSubsetStrategy``.  Scoring is ``model.transform``
-plus ``vector_to_array(probability)[1]``; evaluation reuses the aggregation
-metrics of ``vigil.operators.metrics`` (PR-AUC starting at precision 1, not
-Spark ML's ``areaUnderPR``).
+"""Models: boosted-tree champion / challenger, batch scoring,
+evaluation, attribution shift, persistence.
+
+Boosted trees are grown over histograms (``vigil.operators.boosting``; xgboost
+is not part of the stack) by the rules of ``GBTClassifier``: class weighting,
+``subsample`` -> ``subsampling_rate``, column sampling -> ``feature_subset``.  They
+are stages of a Spark ML ``PipelineModel``, with its persistence.  Evaluation reuses
+the aggregation metrics of ``vigil.operators.metrics`` (PR-AUC starting at
+precision 1, not Spark ML's ``areaUnderPR``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.features import encoded_column
+from vigil.operators import boosting
 from vigil.operators import metrics as M
 from vigil.session import cut_lineage
 
@@ -38,22 +36,13 @@ def model_frame(df: DataFrame, canonical: list[str], predictive: list[str], labe
 def train_gbt(df: DataFrame, features: list[str], max_iter: int = 100, max_depth: int = 5,
               step_size: float = 0.1, pos_weight: float = 1.0, seed: int = 42,
               subsampling_rate: float = 1.0, feature_subset: str = "all") -> PipelineModel:
-    """VectorAssembler + GBTClassifier; positives weighted ``pos_weight``."""
-    data = df.withColumn("w", F.when(F.col("label") == 1.0, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter,
-                        maxDepth=max_depth, stepSize=step_size, seed=seed, subsamplingRate=subsampling_rate,
-                        featureSubsetStrategy=feature_subset, maxMemoryInMB=1024, checkpointInterval=25)
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    # every tree reads the rows again: they are spread over all tasks once, and only what the trees need
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return Pipeline(stages=[asm, gbt]).fit(data.select(*features, "label", "w").repartition(max(tasks, data.rdd.getNumPartitions())))
+    """Boosted trees (``operators.boosting``) on all rows; positives weighted ``pos_weight``."""
+    return PipelineModel([boosting.fit(df, features, max_iter, max_depth, step_size, pos_weight, seed, subsampling_rate, feature_subset)])
 
 
 def score_batch(model: PipelineModel, df: DataFrame, out_col: str = "p") -> DataFrame:
     """P(class 1) for every row (columns of ``df`` kept)."""
-    scored = model.transform(df)
-    return scored.withColumn(out_col, vector_to_array(F.col("probability"))[1]) \
-                 .drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(df).withColumnRenamed("probability", out_col)
 
 
 def evaluate_model(scored: DataFrame, threshold: float = 0.5, score: str = "p", label: str = "label",
