@@ -82,7 +82,8 @@ def rolling_frame(spark, sf) -> DataFrame:
 def scenario_stats(spark, sf) -> DataFrame:
     """One row per scenario with the 19 benchmark statistics (measured, not fixed)."""
     frame = rolling_frame(spark, sf)
-    frame = R.smooth(frame, "f1", step="seq", keys=["scenario"])
+    # four statistics read it: the windows behind it run once, not for each of them
+    frame = cut_lineage(R.smooth(frame, "f1", step="seq", keys=["scenario"]), "scenario-frame")
     rec = F.col("scenario") == F.lit(RECURRING_SCENARIO)
     stats = R.recovery_stats(frame.withColumn("_rec", rec), "f1_smooth", step="seq", keys=["scenario"],
                              recurring=F.col("_rec"))
