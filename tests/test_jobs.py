@@ -55,3 +55,13 @@ def test_a_null_status_neither_blocks_nor_expires(spark):
     assert {r.status for r in J.job_expire(df, now).collect()} == {None, "COMPLETED"}
     g = J.job_gate(df, now, F.lit(0.3), F.lit(True)).first()
     assert (g.active_jobs, g.decision, g.new_status, g.psi_score, g.adwin_change) == (0, "OPEN", "PENDING", 0.3, 1)
+
+
+def test_event_trace_evaluates_its_frame_once(spark):
+    """the frame behind the trace is written before its detection and changes are read from it"""
+    psi = F.when(F.col("id").between(60, 61), 0.4).otherwise(0.1)
+    frame = spark.range(70).select(F.col("id").alias("seq"), psi.alias("psi"), F.timestamp_seconds("id").alias("at"))
+    out = J.event_trace(frame, step="seq", time_col="at")
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.seq, r.stage) for r in out.orderBy("seq").collect()] == [
+        (0, "Warm-up"), (50, "Monitoring"), (60, "Drift Detected"), (61, "Drift Active"), (62, "Recovered")]

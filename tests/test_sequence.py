@@ -50,6 +50,16 @@ def test_halo_window_equals_plain_window(spark, series):
     assert j.where((F.abs(F.col("ma") - F.col("ma_r")) > 1e-9) | (F.col("n") != F.col("n_r"))).count() == 0
 
 
+def test_halo_window_reads_its_input_once(spark):
+    """nested windows, too: the halo is copied in passing, not by a second evaluation"""
+    frame = spark.range(200).withColumnRenamed("id", "seq")
+    for c in ("a", "b"):
+        frame = halo_window(frame, "seq", 7, lambda f, w, c=c: f.withColumn(c, F.sum("seq").over(w)), chunk_rows=16)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = {r.seq: (r.a, r.b) for r in frame.collect()}
+    assert got == {i: (s := sum(range(max(0, i - 6), i + 1)), s) for i in range(200)}
+
+
 @pytest.mark.parametrize("how", ["sum", "max"])
 def test_prefix_blocked_many_blocks_with_nulls(spark, how):
     """Tiny blocks: offsets across many blocks, a hot key, NULL/NaN/inf order values, NULL values

@@ -128,7 +128,7 @@ def run_flatten(runs: DataFrame, metric_prefix: str = "baseline_") -> DataFrame:
 def live_status(frame: DataFrame, keys=None, step: str = "step") -> DataFrame:
     """Latest step's state per key: stage and labels from the measured PSI and the model in use."""
     keys = list(keys or [])
-    marked = with_detection(frame, step, "psi", keys)
+    marked = with_detection(frame.select(*keys, step, "psi", "f1", "model"), step, "psi", keys)
     last = marked.groupBy(*keys).agg(F.max_by(F.struct(F.col(step).alias("s"), "psi", "f1", "model", "detected"),
                                               F.col(step)).alias("x"))
     model, replaced = F.col("x.model"), F.col("x.model") != "champion"
@@ -145,7 +145,7 @@ def event_trace(frame: DataFrame, keys=None, step: str = "step", time_col: str =
                 component: str = "monitor") -> DataFrame:
     """Trace lines at each change of the measured stage: 'HH:mm:ss | component | stage | step=n | reason'."""
     keys = list(keys or [])
-    staged = with_detection(frame, step, "psi", keys).select(*keys, step, time_col, stage_of_step(step).alias("stage"))
+    staged = with_detection(frame.select(*keys, step, time_col, "psi"), step, "psi", keys).select(*keys, step, time_col, stage_of_step(step).alias("stage"))
     changes = stage_changes(staged, "stage", step=step, keys=keys)
     reasons = F.create_map(*[F.lit(x) for pair in C.STAGES.items() for x in pair])
     line = F.concat_ws(" | ", F.date_format(time_col, "HH:mm:ss"), F.lit(component), F.col("stage"),

@@ -56,8 +56,11 @@ def model_timeline(df: DataFrame, changes: DataFrame, step: str = "step", keys=N
 
 def with_detection(frame: DataFrame, step: str = "step", psi: str = "psi", keys=None, window: int = C.WINDOW_SIZE,
                    threshold: float = C.PSI_ALERT) -> DataFrame:
-    """Adds ``detected``: each series' first step with a full window and PSI over the threshold (NULL if none)."""
+    """Adds ``detected``: each series' first step with a full window and PSI over the threshold (NULL if none).
+
+    The frame is read for the steps and for the rows, so it is written once; give the columns that are needed."""
     keys = _keys(keys)
+    frame = cut_lineage(frame, "detection")
     first = frame.groupBy(*keys).agg(F.min(F.when((F.col(psi) > threshold) & (F.col(step) >= window), F.col(step))).alias("detected"))
     return attach(frame, first, keys, ["detected"], "left")
 

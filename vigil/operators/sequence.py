@@ -172,11 +172,11 @@ def halo_window(df: DataFrame, seq_col: str, size: int,
         chunk_rows = size
     seq = F.col(seq_col)
     chunk = F.floor(seq / F.lit(chunk_rows)).cast("long")
-    own = df.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
-    # the last size-1 rows of every chunk are also needed by the next chunk
-    tail = (df.where(F.pmod(seq, F.lit(chunk_rows)) >= F.lit(chunk_rows - (size - 1)))
-              .withColumn("_chunk", chunk + F.lit(1)).withColumn("_halo", F.lit(True)))
-    both = own.unionByName(tail) if size > 1 else own
+    own = F.struct(chunk.alias("_chunk"), F.lit(False).alias("_halo"))
+    # the last size-1 rows of every chunk are also needed by the next chunk; copied in passing, so ``df`` is evaluated once
+    tail = F.struct((chunk + F.lit(1)).alias("_chunk"), F.lit(True).alias("_halo"))
+    places = F.when(F.pmod(seq, F.lit(chunk_rows)) >= F.lit(chunk_rows - (size - 1)), F.array(own, tail)).otherwise(F.array(own)) if size > 1 else F.array(own)
+    both = df.withColumn("_place", F.explode(places)).withColumns({c: F.col("_place")[c] for c in ("_chunk", "_halo")}).drop("_place")
     w = (Window.partitionBy(*keys, "_chunk").orderBy(seq_col)
          .rowsBetween(-(size - 1), 0))
     built = build(both, w)

@@ -158,7 +158,7 @@ sg AS (SELECT rp.*, detected, CASE WHEN seq < {W} THEN 'Warm-up' WHEN detected I
 @query("stage_of_step", sql=STREAM_SQL + STAGED_SQL + "SELECT scenario, seq, stage FROM sg")
 def q_stage_of_step(spark, sf):
     """The measured stage of every row."""
-    frame = R.with_detection(MON.rolling_frame(spark, sf), "seq", "psi", ["scenario"])
+    frame = R.with_detection(MON.rolling_frame(spark, sf).select("scenario", "seq", "psi"), "seq", "psi", ["scenario"])
     return frame.select("scenario", "seq", R.stage_of_step("seq").alias("stage"))
 
 
@@ -172,7 +172,7 @@ SELECT scenario, stage, CASE WHEN pos < list_position([{STAGE_LIST}], cur) THEN
 FROM last, ord""")
 def q_stage_progress(spark, sf):
     """Done / active / future per stage at each scenario's latest step."""
-    frame = R.with_detection(MON.rolling_frame(spark, sf), "seq", "psi", ["scenario"])
+    frame = R.with_detection(MON.rolling_frame(spark, sf).select("scenario", "seq", "psi"), "seq", "psi", ["scenario"])
     cur = frame.groupBy("scenario").agg(F.max_by(R.stage_of_step("seq"), "seq").alias("stage"))
     return cur.select("scenario", F.explode(R.stage_progress("stage")).alias("s")).select(
         "scenario", F.col("s.stage").alias("stage"), F.col("s.state").alias("state"))
