@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, awkward_rows, empty
 from vigil.llm import ngram_join as J
@@ -105,6 +106,31 @@ def test_a_spread_group_verifies_few_pairs(spark, monkeypatch, n, run):
     assert offered[0][0] == J.OFFERS and sum(checked[1:]) <= 5 * max(offered[0][1], 1)
 
 
+@pytest.mark.parametrize("partners", [1, 3])
+def test_components_are_offered_to_their_nearest_first(spark, monkeypatch, partners):
+    """without stars every text is a component; the offers grow with the texts, not with their square"""
+    monkeypatch.setattr(J, "PARTNERS", partners)
+    monkeypatch.setattr(J, "star_pairs", lambda sigs, num, den: sigs.where("false").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    rows = spread(random.Random(7), 300) + [(1000 + i, t) for i, t in spread(random.Random(8), 20, most=30)]
+    offered = []
+    tiles = J.tile_offers
+    monkeypatch.setattr(J, "tile_offers", lambda *a: offered.append(tiles(*a).count()) or tiles(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check(spark, rows, df)
+    tasks = 4  # shuffle partitions of the tests
+    assert len(offered) >= 2 and max(offered) <= tasks * (partners + 1) * len(rows)
+
+
+def test_a_component_that_loses_a_pair_shows_it():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        x = rng.integers(0, 30, 400)
+        made = (x, x + rng.integers(1, 20, 400), rng.integers(0, 9, 400), np.arange(400), np.arange(400) + 400)
+        every, kept = (set(zip(o[0].tolist(), o[1].tolist())) for o in (J._best_offers([made], 5), J._best_offers([made], 5, 3)))
+        k = {c: sum(c in p for p in kept) for p in every for c in p}
+        assert kept < every and all(k[a] >= 3 and k[b] >= 3 for a, b in every - kept)
+
+
 def test_where_the_offers_do_not_link_all_pairs_are_tried(spark, monkeypatch):
     """two components that are offered one pair, which is taken as not linking: the second pass offers all"""
     rng = random.Random(12)

@@ -13,7 +13,8 @@
    only the band of sizes that can reach t; a pair must pass the bound that the
    shingle's places in both orders set.  Components are what is compared: of every two that
    meet, first one pair, the one whose bitmaps leave most room, is verified, then a few more,
-   then all; what links is united before the next step (see ``tile_components``).  A long
+   then all, and a component first meets only its nearest ones; what links is united before the next
+   step (see ``tile_components``).  A long
    run of one shingle is cut into blocks, and its largest component is only met by the
    other rows.
 5. Every pair, of a star or inside a tile, is checked by its bitmaps before it goes on:
@@ -50,6 +51,7 @@ BLOCK = 1 << 14          # slots a row of the stored table
 STARS = 3
 RUN = 1 << 14            # rows of one prefix shingle that a task compares in one go
 OFFERS = 4               # pairs that the tiles offer for each two components before one of them is known to link
+PARTNERS = 3             # components that a component is offered to first; a nearest one mostly links
 SHORT = 32               # rows of a tile up to which all its distances are compared at once
 CHUNK_BYTES = 1 << 22    # bitmaps compared at once
 MIN_BITS, MAX_BITS = 256, 1 << 18
@@ -280,11 +282,13 @@ def tile_members(rows: DataFrame, num: int, den: int) -> DataFrame:
         .mapInArrow(run, "shingle long, tile long, side int, n long, place int, class long, part long")
 
 
-def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: int | None, partners: int | None = None) -> DataFrame:
     """(x, y, room, a, b): of every two components x < y that meet in a tile, the ``most`` pairs (None: all)
     whose bitmaps leave most room above the overlap of a link; pairs that they rule out are left out.  One pair
-    more is given where there are more, so that it shows."""
+    more is given where there are more, so that it shows.  With ``partners`` a task gives only the pairs that are
+    among those of the ``partners`` nearest (most room) components of x or of y, and of one more."""
     most = None if most is None else most + 1
+    partners = None if partners is None else partners + 1
     own = sigs.select(F.col("class").alias("_class"), "bits")
     rows = members.join(own, F.col("class") == F.col("_class")).select("shingle", "tile", "side", "n", "place", "class", "part", "bits") \
         .repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "class")
@@ -302,19 +306,20 @@ def tile_offers(members: DataFrame, sigs: DataFrame, num: int, den: int, most: i
                 made.append((part[x], part[y], room, own[x], own[y]))
                 held += len(i)
                 if held > 1 << 17:
-                    made = [_best_offers(made, most)]
+                    made = [_best_offers(made, most, partners)]
                     held = len(made[0][0])
                     if held > 1 << 16:
                         yield _offer_rows(made[0])
                         made, held = [], 0
         if held:
-            yield _offer_rows(_best_offers(made, most))
+            yield _offer_rows(_best_offers(made, most, partners))
 
     return rows.mapInArrow(run, "x long, y long, room long, a long, b long")
 
 
-def _best_offers(made: list[tuple], most: int | None) -> tuple:
-    """Different pairs, and the first ``most`` of each two components."""
+def _best_offers(made: list[tuple], most: int | None, partners: int | None = None) -> tuple:
+    """Different pairs, and the first ``most`` of each two components that are near each other: one is among the first
+    ``partners`` of the other.  A component that loses a pair keeps as many partners as that."""
     x, y, room, a, b = (np.concatenate([m[i] for m in made]) for i in range(5))
     order = np.lexsort((b, a, -room, y, x))
     x, y, room, a, b = (c[order] for c in (x, y, room, a, b))
@@ -325,6 +330,16 @@ def _best_offers(made: list[tuple], most: int | None) -> tuple:
         start = np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
         few = np.arange(len(x)) - start < most
         x, y, room, a, b = (c[few] for c in (x, y, room, a, b))
+    if partners is not None and len(a):
+        first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        of, two = np.concatenate([x[first], y[first]]), np.tile(np.arange(first.sum()), 2)
+        order = np.lexsort((two, -np.tile(room[first], 2), of))
+        of, two = of[order], two[order]
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], of[1:] != of[:-1]]), np.arange(len(of)), 0))
+        near = np.zeros(int(first.sum()), bool)
+        near[two[np.arange(len(of)) - start < partners]] = True
+        near = near[np.cumsum(first) - 1]
+        x, y, room, a, b = (c[near] for c in (x, y, room, a, b))
     return x, y, room, a, b
 
 
@@ -333,13 +348,27 @@ def _offer_rows(offers: tuple) -> pa.RecordBatch:
 
 
 def best_offers(offers: DataFrame, most: int | None) -> DataFrame:
-    """(x, y, a, b, turn): the offers of all tiles together, best first; ``most`` for each two components, and one
+    """(x, y, room, a, b, turn): the offers of all tiles together, best first; ``most`` for each two components, and one
     more where there are more."""
     pairs = offers.distinct()
     if most is None:
-        return pairs.select("x", "y", "a", "b", F.lit(1).alias("turn"))
+        return pairs.select("x", "y", "room", "a", "b", F.lit(1).alias("turn"))
     best = Window.partitionBy("x", "y").orderBy(F.desc("room"), "a", "b")  # cut down before the shuffle
-    return pairs.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= F.lit(most + 1)).select("x", "y", "a", "b", "turn")
+    return pairs.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= F.lit(most + 1)).select("x", "y", "room", "a", "b", "turn")
+
+
+def full_components(pairs: DataFrame, partners: int) -> DataFrame:
+    """(part): components with more partners than ``partners``, of which some may not be among the pairs."""
+    ends = pairs.where("turn = 1").select(F.explode(F.array("x", "y")).alias("part"))
+    return ends.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > F.lit(partners)).select("part")
+
+
+def nearest(pairs: DataFrame, partners: int) -> DataFrame:
+    """The pairs of components of which one is among the ``partners`` nearest of the other."""
+    ends = pairs.where("turn = 1").select(F.explode(F.array("x", "y")).alias("part"), F.col("x").alias("_x"), F.col("y").alias("_y"), "room")
+    order = Window.partitionBy("part").orderBy(F.desc("room"), "_x", "_y")  # cut down before the shuffle
+    near = ends.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.lit(partners)).select("_x", "_y").distinct()
+    return pairs.join(near, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi")
 
 
 def _tiles(batches):
@@ -484,11 +513,19 @@ def tile_components(sigs: DataFrame, parts: DataFrame, sets_of, num: int, den: i
     Between two components one link is enough.  The tiles offer ``OFFERS`` pairs for each two components that
     meet, the most promising ones.  First the best is verified; of the components that are still apart, the other
     ones; and where there were more, all.  Then every pair that the bitmaps leave is verified or lies inside a
-    component."""
+    component.
+
+    A group of near copies that the stars leave in k components would offer the square of k.  So a component is at
+    first offered to its ``PARTNERS`` nearest components only; those that had more partners are looked at again
+    without that limit, as the few components that they have become."""
     members = Stored(tile_members(tile_rows(sigs, parts), num, den), "jaccard-tiles").collect_garbage()
-    live, most = members.df, OFFERS
+    live, most, partners = members.df, OFFERS, PARTNERS
     while True:
-        pairs = Stored(best_offers(Stored(tile_offers(live, sigs, num, den, most), "jaccard-offers").collect_garbage().df, most), "jaccard-best", narrow=True).df
+        pairs = Stored(best_offers(Stored(tile_offers(live, sigs, num, den, most, partners), "jaccard-offers").collect_garbage().df, most), "jaccard-best", narrow=True).df
+        full = Stored(full_components(pairs, partners), "jaccard-full", narrow=True).df if partners is not None else None
+        limited = full is not None and has_rows(full)
+        if limited:
+            pairs = Stored(nearest(pairs, partners), "jaccard-nearest", narrow=True).df
         within = F.lit(True) if most is None else F.col("turn") <= F.lit(most)
         if not has_rows(pairs):
             break
@@ -505,14 +542,18 @@ def tile_components(sigs: DataFrame, parts: DataFrame, sets_of, num: int, den: i
         if most is None:
             break
         more = Stored(_apart(pairs.where(~within), parts).select("part_a", "part_b"), "jaccard-more", narrow=True).df
-        if not has_rows(more):
+        if not limited and not has_rows(more):
             break
-        # components that are apart and were offered more: their rows alone, in the components of now
-        both = more.select(F.col("part_a").alias("_part")).unionByName(more.select(F.col("part_b").alias("_part"))).distinct()
+        # components that are apart and were offered more, or had more partners: their rows alone, in the components of now
+        both = more.select(F.col("part_a").alias("_part")).unionByName(more.select(F.col("part_b").alias("_part")))
+        if limited:  # a component's number is one of its classes
+            both = both.unionByName(full.join(parts, F.col("part") == F.col("node"), "left").select(F.coalesce("component", "part").alias("_part")))
+        both = both.distinct()
         live = live.drop("part").join(parts, F.col("class") == F.col("node"), "left") \
             .select("shingle", "tile", "side", "n", "place", "class", F.coalesce("component", "class").alias("part")) \
             .join(both, F.col("part") == F.col("_part"), "left_semi")
-        live, most = Stored(tile_members(live, num, den), "jaccard-tiles-left").df, None
+        live = Stored(tile_members(live, num, den), "jaccard-tiles-left").df
+        most, partners = OFFERS if limited else None, None
     members.drop()
     return parts
 
