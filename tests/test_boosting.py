@@ -101,3 +101,47 @@ def test_no_rows_or_odd_labels_are_refused(spark, frame):
         ML.train_gbt(frame.where("false"), FEATURES, max_iter=1, max_depth=1)
     with pytest.raises(ValueError):
         ML.train_gbt(frame.withColumn("label", F.col("label") + 1), FEATURES, max_iter=1, max_depth=1)
+
+
+@pytest.mark.parametrize("pos_weight", [15.0, 0.3])
+def test_lighter_children_give_the_sums_of_all_nodes(pos_weight):
+    """rows of the other children are not added up, and empty bins stay empty"""
+    rng = np.random.default_rng(8)
+    bins, n = [32, 9, 32, 7, 2], 5000
+    pack = B.Packing([list(range(b - 1)) for b in bins])
+    columns = [rng.integers(0, b, n) - 0.5 for b in bins]
+    block = pack.codes(columns), (rng.random(n) < 0.2).astype(np.uint8), rng.normal(size=n)
+    group, right, tree = np.zeros(127, dtype=np.intp), np.zeros((127, B.PACKED), dtype=np.uint8), {}
+    for i in range(127):
+        if i < 3 or rng.random() < 0.8:
+            f = int(rng.integers(0, len(bins)))
+            tree[i] = f, int(rng.integers(0, bins[f] - 1))
+            group[i], right[i] = pack.goes_right(*tree[i])
+    above = None
+    for level in range(8):
+        node = np.zeros(n, dtype=int)
+        for l in range(level):
+            node = np.array([2 * i + int((i + (1 << l) - 1) in tree and columns[tree[i + (1 << l) - 1][0]][j] > tree[i + (1 << l) - 1][1]) for j, i in enumerate(node)])
+        paths = B.Paths(group, right, level, len(pack.groups))
+        assert (paths.nodes(block[0]) == node).all()
+        (want,) = B.level_sums([block], pack, paths, np.arange(1 << level), False, pos_weight, None)
+        weight = np.where(block[1], pos_weight, 1.0)
+        for f, (offset, b) in enumerate(zip(np.cumsum([0, *bins]), bins)):
+            by_hand = np.bincount(node * b + (columns[f] + 0.5).astype(int), weight, (1 << level) * b).reshape(-1, b)
+            assert np.allclose(want[0][:, offset:offset + b], by_hand, rtol=1e-12)
+        if level:
+            wanted = np.array([2 * i + int((node == 2 * i + 1).sum() < (node == 2 * i).sum()) for i in range(1 << (level - 1))])
+            (light,) = B.level_sums([block], pack, paths, wanted, False, pos_weight, None)
+            whole = B.with_siblings(light, wanted, above)
+            assert np.allclose(whole, want, atol=1e-9) and ((whole == 0) == (want == 0)).all()
+        above = want
+
+
+def test_blocks_are_large_and_neither_packed_nor_copied_in_memory(spark, monkeypatch):
+    """25,000 rows of one file: one block, kept as it is"""
+    from pyspark import RDD
+    kept = []
+    monkeypatch.setattr(RDD, "persist", lambda self, level, persist=RDD.persist: kept.append((persist(self, level), level, self.count())) or self)
+    df = spark.range(0, 25_000, 1, 1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    ML.train_gbt(df, ["x"], max_iter=2, max_depth=1)
+    assert [(level.deserialized, blocks) for _, level, blocks in kept] == [(True, 1), (True, 1)]

@@ -4,7 +4,8 @@ Every feature is cut into at most ``BINS`` bins (all its values where there are
 otherwise).  The rows become blocks of bin numbers, a few bytes a row, which are written once and kept in memory
 together with the running margin of every row.  A tree grows level by level: each level is one job in which every
 task adds up weights and residuals per (node, feature, bin) over its blocks, and only those sums, whose size depends
-on the tree and not on the rows, are merged.  The splits are then exact for the bins.
+on the tree and not on the rows, are merged.  Below the root only the lighter child of every split is added up; its
+sibling's sums are the parent's less those.  The splits are then exact for the bins.
 
 The rules are those of ``GBTClassifier``: log loss on labels -1 and 1, the first tree fits the labels with weight 1,
 later ones the residuals with ``step_size``; variance as impurity; leaves hold weighted means; a value goes left if it
@@ -31,6 +32,7 @@ from vigil.session import scratch_path
 
 BINS = 32
 PACKED = 1024            # bins of features that are counted together, as one number
+BLOCK_ROWS = 65_536      # rows of a block: many beside the sums of a level, few beside a task's memory
 ROWS_A_TASK = 4_000_000  # bin numbers and margins of so many rows stay small beside a task's memory
 CHECKPOINT_EVERY = 25    # trees
 MERGED_BY_DRIVER = 64    # sums of more tasks than that are merged by tasks first
@@ -49,20 +51,21 @@ def bin_thresholds(df: DataFrame, features: list[str], label: str = "label") ->
     held = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
     shares = [i / BINS for i in range(1, BINS)] + [1.0]
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col(label).isin(0.0, 1.0), F.lit(False))).alias("odd"),
-                 *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(held.values())],
-                 *[F.percentile_approx(c, shares, 100 * BINS).alias(f"q{i}") for i, c in enumerate(held.values())]).first()
+                 *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(held.values())]).first()
     if not row["n"] or row["odd"]:
         raise ValueError(f"boosted trees need rows with labels 0 and 1: {row['n']} rows, {row['odd']} with other labels")
     few = [i for i in range(len(features)) if row[f"d{i}"] <= 2 * BINS]  # estimates: at most some more values than that
     sets = df.agg(*[F.collect_set(held[features[i]]).alias(f"s{i}") for i in few]).first() if few else None
+    values = {i: sorted(set(sets[f"s{i}"])) for i in few}
+    many = [i for i in range(len(features)) if i not in values or len(values[i]) > BINS]
+    quantiles = df.agg(*[F.percentile_approx(held[features[i]], shares, 100 * BINS).alias(f"q{i}") for i in many]).first() if many else None
     out = []
     for i in range(len(features)):
-        values = sorted(set(sets[f"s{i}"])) if i in few else None
-        if values is not None and len(values) <= BINS:
-            out.append(_between(values))
-        else:
-            *inner, top = row[f"q{i}"]
+        if i in many:
+            *inner, top = quantiles[f"q{i}"]
             out.append(sorted({q for q in inner if q < top}))
+        else:
+            out.append(_between(values[i]))
     return out, row["n"]
 
 
@@ -110,29 +113,79 @@ class Packing:
 
 # ---------------------------------------------------------------- what tasks do with a block
 
-def walk(codes: np.ndarray, group: np.ndarray, right: np.ndarray, levels: int) -> np.ndarray:
-    """The node of every row after ``levels`` levels of a tree (0 is the leftmost)."""
-    n = codes.shape[1]
-    flat, at, tables, node = codes.ravel(), np.arange(n), right.ravel(), np.zeros(n, dtype=np.intp)
-    for level in range(levels):
-        inner = node + ((1 << level) - 1)
-        code = flat.take(group.take(inner) * n + at)
-        node = 2 * node + tables.take(inner * PACKED + code)
-    return node
+class Paths:
+    """Finds the node of every row after ``levels`` levels of a tree (0 is the leftmost).  Up to 64 nodes are a word of
+    as many bits: the joint number of each group of features clears the nodes that it rules out, and the one bit that
+    stays is the node; deeper trees are walked."""
 
+    CHUNK = 8192
 
-def level_sums(blocks, pack: Packing, group, right, level: int, first: bool, pos_weight: float, bag: tuple | None):
-    """Weights and weighted residuals per (node, feature, bin) of a task's blocks: (2, nodes, all bins)."""
-    nodes = 1 << level
+    def __init__(self, group: np.ndarray, right: np.ndarray, levels: int, groups: int):
+        self.levels, nodes = levels, 1 << levels
+        if nodes > 64:
+            self.group, self.right = group[:nodes - 1].copy(), right[:nodes - 1].copy()
+            return
+        every = (1 << nodes) - 1
+        word = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if nodes <= bits)
+        masks = np.full((groups, PACKED), every, dtype=word)
+        for i in range(nodes - 1):
+            level = (i + 1).bit_length() - 1
+            width = nodes >> (level + 1)
+            first = (i + 1 - (1 << level)) * 2 * width
+            lefts, rights = (((1 << width) - 1) << first), (((1 << width) - 1) << (first + width))
+            masks[group[i]] &= np.where(right[i], word(every & ~lefts), word(every & ~rights))
+        self.masks = {g: m for g, m in enumerate(masks) if (m != every).any()}
+
+    def nodes(self, codes: np.ndarray) -> np.ndarray:
+        n = codes.shape[1]
+        out = np.zeros(n, dtype=np.intp)
+        for i in range(0, n if self.levels else 0, self.CHUNK):
+            part = codes[:, i:i + self.CHUNK]
+            out[i:i + self.CHUNK] = self._walk(part) if self.levels > 6 else self._meet(part)
+        return out
+
+    def _meet(self, codes: np.ndarray) -> np.ndarray | int:
+        left = None
+        for g, m in self.masks.items():
+            one = m.take(codes[g])
+            left = one if left is None else np.bitwise_and(left, one, out=left)
+        if left is None:  # no split so far: all rows are leftmost
+            return 0
+        return (left.astype(np.float64).view(np.int64) >> 52) - 1023
+
+    def _walk(self, codes: np.ndarray) -> np.ndarray:
+        n = codes.shape[1]
+        flat, at, tables, node = codes.ravel(), np.arange(n), self.right.ravel(), np.zeros(n, dtype=np.intp)
+        for level in range(self.levels):
+            inner = node + ((1 << level) - 1)
+            code = flat.take(self.group.take(inner) * n + at)
+            node = 2 * node + tables.take(inner * PACKED + code)
+        return node
+
+
+def level_sums(blocks, pack: Packing, paths: Paths, wanted: np.ndarray, first: bool, pos_weight: float, bag: tuple | None):
+    """Weights and weighted residuals per (node, feature, bin) of a task's blocks, for the ``wanted`` nodes only:
+    (2, wanted nodes, all bins)."""
+    nodes, whole = len(wanted), len(wanted) == 1 << paths.levels
+    number = np.full(1 << paths.levels, -1, dtype=np.intp)
+    number[wanted] = np.arange(nodes)
     sums = [[np.zeros(nodes * size) for size in pack.sizes] for _ in range(2)]
     for codes, y, margin in blocks:
-        sign = np.where(y, 1.0, -1.0)
+        in_bag = np.random.default_rng([bag[0], zlib.crc32(codes.tobytes())]).random(len(y)) < bag[1] if bag else None
+        node = paths.nodes(codes)
+        if not whole:
+            node = number.take(node)
+            rows = np.flatnonzero(node >= 0)
+            node, codes, y, margin = node.take(rows), codes.take(rows, axis=1), y.take(rows), margin.take(rows)
+            in_bag = in_bag.take(rows) if bag else None
         w = np.where(y, pos_weight, 1.0)
         if bag:
-            seed, rate = bag
-            w = w * (np.random.default_rng([seed, zlib.crc32(codes.tobytes())]).random(len(y)) < rate)
-        wr = w * (sign if first else 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * margin, 700.0))))
-        node = walk(codes, group, right, level)
+            w *= in_bag
+        wr = np.empty(len(y))
+        for i in range(0, len(y), Paths.CHUNK):  # temporary arrays of that size stay in the processor's cache
+            part = slice(i, i + Paths.CHUNK)
+            sign = np.where(y[part], 1.0, -1.0)
+            wr[part] = w[part] * (sign if first else 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * margin[part], 700.0))))
         for g, size in enumerate(pack.sizes):
             at = node * size + codes[g]
             sums[0][g] += np.bincount(at, w, nodes * size)
@@ -151,11 +204,11 @@ def subset_size(strategy: str, n: int) -> int:
 
 
 def best_splits(sums: np.ndarray, pack: Packing, k: int, rng) -> tuple[np.ndarray, ...]:
-    """Per node: gain, feature and bin of the best cut, and the means left and right of it.  Ties go to the first
-    feature and the lowest bin."""
+    """Per node: gain, feature and bin of the best cut, the means left and right of it, and which child is lighter (1:
+    the right one).  Ties go to the first feature and the lowest bin."""
     nodes, n = sums.shape[1], len(pack.n_bins)
     gain, feature, cut = np.zeros(nodes), np.full(nodes, -1), np.zeros(nodes, dtype=int)
-    means = np.zeros((nodes, 2))
+    means, lighter = np.zeros((nodes, 2)), np.zeros(nodes, dtype=int)
     allowed = np.ones((nodes, n), dtype=bool) if k >= n else np.argsort(rng.random((nodes, n)), axis=1).argsort(axis=1) < k
     offset = 0
     for f, bins in enumerate(pack.n_bins):
@@ -172,10 +225,22 @@ def best_splits(sums: np.ndarray, pack: Packing, k: int, rng) -> tuple[np.ndarra
             gains = np.where(good, sl * left + sr * right - s * s / w, -np.inf)
         at = gains.argmax(axis=1)
         best = gains[np.arange(nodes), at]
-        for i in np.flatnonzero(best > np.maximum(gain, 1e-12 * w[:, 0])):
+        for i in np.flatnonzero(best > np.maximum(gain * (1 + 1e-12), 1e-12 * w[:, 0])):
             gain[i], feature[i], cut[i] = best[i], f, at[i]
             means[i] = left[i, at[i]], right[i, at[i]]
-    return gain, feature, cut, means
+            lighter[i] = wr[i, at[i]] < wl[i, at[i]]
+    return gain, feature, cut, means, lighter
+
+
+def with_siblings(light: np.ndarray, wanted: np.ndarray, parents: np.ndarray) -> np.ndarray:
+    """Sums of all nodes of a level from those of the lighter children and of the level above.  Bins that the sibling
+    leaves empty are empty, whatever the rounding of weights left there."""
+    sums = np.zeros((2, 2 * parents.shape[1], parents.shape[2]))
+    above = parents[:, wanted >> 1]
+    rest = above - light
+    rest[:, rest[0] <= 1e-11 * above[0]] = 0.0
+    sums[:, wanted], sums[:, wanted ^ 1] = light, rest
+    return sums
 
 
 def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_size: float, pos_weight: float, seed: int,
@@ -188,12 +253,23 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
 
     def to_blocks(batches):
         import pyarrow as pa
+
+        def block(parts):
+            codes, y = (np.concatenate(p, axis=-1) for p in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["codes", "y"])
+
+        parts, rows = [], 0
         for b in batches:
             if b.num_rows:
                 # NULL becomes NaN
                 columns = [np.asarray(b.column(i).to_numpy(zero_copy_only=False), dtype=np.float64) for i in range(b.num_columns)]
-                yield pa.RecordBatch.from_arrays([pa.array([pack.codes(columns[:-1]).tobytes()], pa.binary()),
-                                                  pa.array([(columns[-1] == 1.0).astype(np.uint8).tobytes()], pa.binary())], ["codes", "y"])
+                parts.append((pack.codes(columns[:-1]), (columns[-1] == 1.0).astype(np.uint8)))
+                rows += b.num_rows
+                if rows >= BLOCK_ROWS:
+                    yield block(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield block(parts)
 
     tasks = sc.defaultParallelism
     tasks *= -(-n // (ROWS_A_TASK * tasks))
@@ -204,29 +280,31 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
         y = np.frombuffer(row["y"], dtype=np.uint8)
         return np.frombuffer(row["codes"], dtype=np.uint16).reshape(len(pack.groups), -1), y, np.zeros(len(y))
 
-    state = spark.read.parquet(path).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    state = spark.read.parquet(path).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     saved, trees, rng = None, [], np.random.default_rng(seed)
     k = subset_size(feature_subset, len(features))
     for m in range(max_iter):
         inner = (1 << max_depth) - 1
         feature, threshold, gains = np.full(inner, -1), np.zeros(inner), np.zeros(inner)
         group, right = np.zeros(inner, dtype=np.intp), np.zeros((inner, PACKED), dtype=np.uint8)
-        value, is_open = None, np.array([True])
+        value, is_open, wanted, sums = None, np.array([True]), np.array([0]), None
         bag = (seed + m, subsampling_rate) if subsampling_rate < 1.0 else None
         for level in range(max_depth):
             nodes, at = 1 << level, (1 << level) - 1
             children = np.repeat(value, 2) if value is not None else None
             if is_open.any():
-                # nodes above this level only: they travel with the tasks
-                parts = state.mapPartitions(_sums(pack, group[:at].copy(), right[:at].copy(), level, m == 0, pos_weight, bag))
-                sums = parts.treeReduce(np.add) if parts.getNumPartitions() > MERGED_BY_DRIVER else sum(parts.collect())
+                parts = state.mapPartitions(_sums(pack, Paths(group, right, level, len(pack.groups)), wanted, m == 0, pos_weight, bag))
+                found = parts.treeReduce(np.add) if parts.getNumPartitions() > MERGED_BY_DRIVER else sum(parts.collect())
+                sums = with_siblings(found, wanted, sums) if level else found
                 if value is None:
                     w, s = sums[0, :, :pack.n_bins[0]].sum(axis=1), sums[1, :, :pack.n_bins[0]].sum(axis=1)
                     value = np.where(w > 0, s / np.where(w > 0, w, 1.0), 0.0)
                     children = np.repeat(value, 2)
-                gain, best, cut, means = best_splits(sums, pack, k, rng)
+                gain, best, cut, means, lighter = best_splits(sums, pack, k, rng)
                 now_open = np.zeros(2 * nodes, dtype=bool)
-                for i in np.flatnonzero(is_open & (best >= 0)):
+                split = np.flatnonzero(is_open & (best >= 0))
+                wanted = 2 * split + lighter[split]
+                for i in split:
                     feature[at + i], threshold[at + i], gains[at + i] = best[i], pack.thresholds[best[i]][cut[i]], gain[i]
                     group[at + i], right[at + i] = pack.goes_right(best[i], cut[i])
                     children[2 * i:2 * i + 2] = means[i]
@@ -237,7 +315,7 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
             value = children
         trees.append({"feature": feature.tolist(), "threshold": threshold.tolist(), "gain": gains.tolist(), "value": value.tolist()})
         if m + 1 < max_iter:
-            before, state = state, state.map(_advance(group, right, value * (1.0 if m == 0 else step_size), max_depth)).persist(StorageLevel.MEMORY_AND_DISK)
+            before, state = state, state.map(_advance(Paths(group, right, max_depth, len(pack.groups)), value * (1.0 if m == 0 else step_size))).persist(StorageLevel.MEMORY_AND_DISK_DESER)
             if (m + 1) % CHECKPOINT_EVERY == 0:
                 state.checkpoint()
             state.foreachPartition(_exhaust)
@@ -253,13 +331,13 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
     return BoostedTrees(inputCols=list(features), depth=max_depth, stepSize=float(step_size), trees=json.dumps(trees))
 
 
-def _sums(pack, group, right, level, first, pos_weight, bag):
-    return lambda blocks: level_sums(blocks, pack, group, right, level, first, pos_weight, bag)
+def _sums(pack, paths, wanted, first, pos_weight, bag):
+    return lambda blocks: level_sums(blocks, pack, paths, wanted, first, pos_weight, bag)
 
 
-def _advance(group, right, value, depth):
+def _advance(paths, value):
     """Adds a tree's values to the margins."""
-    return lambda b: (b[0], b[1], b[2] + value.take(walk(b[0], group, right, depth)))
+    return lambda b: (b[0], b[1], b[2] + value.take(paths.nodes(b[0])))
 
 
 def _exhaust(blocks) -> None:
@@ -275,10 +353,10 @@ def _delete(spark, folder: str) -> None:
 # ---------------------------------------------------------------- the model
 
 class Scorer:
-    """Margins of rows.  A tree of at most 64 leaves is a word of as many bits a row: each feature's bin clears the leaves
-    that it rules out, and the one bit that stays is the leaf; deeper trees are walked."""
+    """Margins of rows.  A tree of at most 64 leaves is a word of as many bits a row: the joint number of each group of features
+    clears the leaves that it rules out, and the one bit that stays is the leaf; deeper trees are walked."""
 
-    CHUNK = 1024
+    CHUNK = 256
 
     def __init__(self, trees: list[dict], step_size: float, depth: int, n_features: int):
         self.depth, leaves = depth, 1 << depth
@@ -290,9 +368,8 @@ class Scorer:
             return
         word = np.uint32 if depth <= 5 else np.uint64
         every = (1 << leaves) - 1
-        self.cuts = [np.unique(self.threshold[self.feature == f]) for f in range(n_features)]
-        masks = [np.full((len(c) + 1, len(trees)), every, dtype=object) for c in self.cuts]
-        start = np.full(len(trees), every, dtype=object)
+        self.pack = Packing([np.unique(self.threshold[self.feature == f]).tolist() for f in range(n_features)])
+        masks = [np.full((size, len(trees)), every, dtype=word) for size in self.pack.sizes]
         for t in range(len(trees)):
             for i in range(leaves - 1):
                 level = (i + 1).bit_length() - 1
@@ -301,31 +378,45 @@ class Scorer:
                 lefts, rights = (((1 << width) - 1) << first), (((1 << width) - 1) << (first + width))
                 f = self.feature[t, i]
                 if f < 0:
-                    start[t] &= every & ~rights
+                    masks[0][:, t] &= word(every & ~rights)
                     continue
-                cut = int(np.searchsorted(self.cuts[f], self.threshold[t, i]))
-                masks[f][:cut + 1, t] &= every & ~rights
-                masks[f][cut + 1:, t] &= every & ~lefts
-        self.masks, self.start = [m.astype(word) for m in masks], start.astype(word)
+                g, right = self.pack.goes_right(f, int(np.searchsorted(self.pack.thresholds[f], self.threshold[t, i])))
+                masks[g][:, t] &= np.where(right[:self.pack.sizes[g]], word(every & ~lefts), word(every & ~rights))
+        self.masks = masks
 
     def margins(self, columns: list[np.ndarray]) -> np.ndarray:
-        n = len(columns[0])
-        return np.concatenate([self._margins([c[i:i + self.CHUNK] for c in columns]) for i in range(0, n, self.CHUNK)]) if n else np.zeros(0)
-
-    def _margins(self, columns: list[np.ndarray]) -> np.ndarray:
         n, t = len(columns[0]), len(self.value)
+        out = np.zeros(n)
         if self.depth > 6:
-            x, tree, node = np.stack(columns), np.arange(t)[None, :], np.zeros((n, t), dtype=np.intp)
-            for _ in range(self.depth):
-                f = self.feature[tree, node]
-                node = 2 * node + 1 + ((f >= 0) & ~(x[f, np.arange(n)[:, None]] <= self.threshold[tree, node]))
-            return self.value[tree, node - ((1 << self.depth) - 1)].sum(axis=1)
-        left = np.tile(self.start, (n, 1))
-        for x, cuts, masks in zip(columns, self.cuts, self.masks):
-            if len(cuts):
-                left &= masks.take(np.searchsorted(cuts, x, side="left"), axis=0)
-        leaf = (left.astype(np.float64).view(np.int64) >> 52) - 1023
-        return self.value.ravel().take(leaf + np.arange(t) * (1 << self.depth)).sum(axis=1)
+            for i in range(0, n, self.CHUNK):
+                out[i:i + self.CHUNK] = self._walk([c[i:i + self.CHUNK] for c in columns])
+            return out
+        codes = self.pack.codes(columns)
+        first_leaf = np.arange(t) * (1 << self.depth) - 1023  # 1023: what a float adds to an exponent
+        # the arrays of a chunk are taken once
+        left, one = (np.empty((min(n, self.CHUNK), t), dtype=self.masks[0].dtype) for _ in range(2))
+        bits, value = (np.empty((min(n, self.CHUNK), t)) for _ in range(2))
+        for i in range(0, n, self.CHUNK):
+            m = min(self.CHUNK, n - i)
+            for g, masks in enumerate(self.masks):
+                masks.take(codes[g, i:i + m], axis=0, out=one[:m] if g else left[:m], mode="clip")
+                if g:
+                    np.bitwise_and(left[:m], one[:m], out=left[:m])
+            bits[:m] = left[:m]
+            leaf = bits[:m].view(np.int64)
+            leaf >>= 52
+            leaf += first_leaf
+            self.value.ravel().take(leaf, out=value[:m], mode="clip")
+            out[i:i + m] = value[:m].sum(axis=1)
+        return out
+
+    def _walk(self, columns: list[np.ndarray]) -> np.ndarray:
+        n, t = len(columns[0]), len(self.value)
+        x, tree, node = np.stack(columns), np.arange(t)[None, :], np.zeros((n, t), dtype=np.intp)
+        for _ in range(self.depth):
+            f = self.feature[tree, node]
+            node = 2 * node + 1 + ((f >= 0) & ~(x[f, np.arange(n)[:, None]] <= self.threshold[tree, node]))
+        return self.value[tree, node - ((1 << self.depth) - 1)].sum(axis=1)
 
 
 class BoostedTrees(Model, DefaultParamsReadable, DefaultParamsWritable):

@@ -29,14 +29,14 @@ def hash_bucket(key_cols: list[str], seed: int, buckets: int = 10000) -> Column:
 def hash_split(df: DataFrame, key_cols: list[str], shares: dict[str, float], seed: int = 42,
                out_col: str = "part") -> DataFrame:
     """Unstratified split by hash bucket: shares in order, e.g. train/val/test 70/15/15."""
-    b = hash_bucket(key_cols, seed)
+    b = F.col("_bucket")  # the hash is taken once, not for every share
     expr, acc, names = None, 0.0, list(shares)
     for name in names[:-1]:
         acc += shares[name]
         cond = b < F.lit(int(round(acc * 10000)))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     expr = expr.otherwise(F.lit(names[-1])) if expr is not None else F.lit(names[-1])
-    return df.withColumn(out_col, expr)
+    return df.withColumn("_bucket", hash_bucket(key_cols, seed)).withColumn(out_col, expr).drop("_bucket")
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_share: float = 0.2,
