@@ -281,7 +281,7 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
         return np.frombuffer(row["codes"], dtype=np.uint16).reshape(len(pack.groups), -1), y, np.zeros(len(y))
 
     state = spark.read.parquet(path).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    saved, trees, rng = None, [], np.random.default_rng(seed)
+    before, saved, trees, rng = None, None, [], np.random.default_rng(seed)
     k = subset_size(feature_subset, len(features))
     for m in range(max_iter):
         inner = (1 << max_depth) - 1
@@ -296,6 +296,13 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
                 parts = state.mapPartitions(_sums(pack, Paths(group, right, level, len(pack.groups)), wanted, m == 0, pos_weight, bag))
                 found = parts.treeReduce(np.add) if parts.getNumPartitions() > MERGED_BY_DRIVER else sum(parts.collect())
                 sums = with_siblings(found, wanted, sums) if level else found
+                if before is not None:
+                    before.unpersist()
+                    before = None
+                    if m % CHECKPOINT_EVERY == 0:
+                        if saved:
+                            _delete(spark, saved)
+                        saved = state.getCheckpointFile()
                 if value is None:
                     w, s = sums[0, :, :pack.n_bins[0]].sum(axis=1), sums[1, :, :pack.n_bins[0]].sum(axis=1)
                     value = np.where(w > 0, s / np.where(w > 0, w, 1.0), 0.0)
@@ -315,15 +322,10 @@ def fit(df: DataFrame, features: list[str], max_iter: int, max_depth: int, step_
             value = children
         trees.append({"feature": feature.tolist(), "threshold": threshold.tolist(), "gain": gains.tolist(), "value": value.tolist()})
         if m + 1 < max_iter:
+            # the first level of the next tree carries the margins on and keeps them
             before, state = state, state.map(_advance(Paths(group, right, max_depth, len(pack.groups)), value * (1.0 if m == 0 else step_size))).persist(StorageLevel.MEMORY_AND_DISK_DESER)
             if (m + 1) % CHECKPOINT_EVERY == 0:
                 state.checkpoint()
-            state.foreachPartition(_exhaust)
-            before.unpersist()
-            if (m + 1) % CHECKPOINT_EVERY == 0:
-                if saved:
-                    _delete(spark, saved)
-                saved = state.getCheckpointFile()
     state.unpersist()
     for old in (saved, path):
         if old:
@@ -340,11 +342,6 @@ def _advance(paths, value):
     return lambda b: (b[0], b[1], b[2] + value.take(paths.nodes(b[0])))
 
 
-def _exhaust(blocks) -> None:
-    for _ in blocks:
-        pass
-
-
 def _delete(spark, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
